@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import langid, ngram_join, packing
+from loomspark.llm import langid, ngram_join, packing, pii
 from loomspark.llm.common import fold_of, read
 
 
@@ -14,6 +14,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), buckets=8, budget=16384)
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-format spans and discovered identifiers of every document."""
+    found = pii.find(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"), *[count(k) for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"),
+    )
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by Jaccard 0.85 over 4-word shingles."""
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), k=4, threshold="0.85")
@@ -32,6 +42,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_packing": op4_packing,
+    "op8_personal_data": op8_personal_data,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_language_id": op10_language_id,
 }
