@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import langid, ngram_join, packing, pii
+from loomspark.llm import decontam, langid, ngram_join, packing, pii, toxicity
 from loomspark.llm.common import fold_of, read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned from labelled rows whose crc32 fold of three is not 1."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.filter(fold_of("doc_id", 3) != 1), read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that leaks into it."""
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket, batch and slot of every document: eight buckets, 16,384 tokens a batch."""
     return packing.pack(read(spark, sf_dir, "documents"), buckets=8, budget=16384)
@@ -41,6 +54,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op8_personal_data": op8_personal_data,
     "op9_ngram_jaccard": op9_ngram_jaccard,
