@@ -29,7 +29,7 @@ FEATURES = (
     "capitals", "shouted_words", "exclamations", "questions", "mark_runs", "obfuscated", "obfuscated_hits", "log_words",
 )
 #: Lengths of word beginnings, and the characters that stand for letters in obfuscated words.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile(r"[!?]{2,}")
