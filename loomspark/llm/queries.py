@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontam, html_extract, langid, ngram_join, packing, pii, toxicity
+from loomspark.llm import decontam, fingerprint, html_extract, langid, ngram_join, packing, pii, toxicity, warc
 from loomspark.llm.common import fold_of, read
 
 
@@ -33,6 +33,29 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), buckets=8, budget=16384)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash fingerprint of every document and of its edited text, and their likeness."""
+    marks = fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+    return marks.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint.written("sketch").alias("fingerprint"), fingerprint.written("edited_sketch").alias("edited_fingerprint"),
+        fingerprint.likeness("sketch", "edited_sketch").alias("near_edited"), fingerprint.likeness("sketch", "next_sketch").alias("near_next"),
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages to WARC archives in the shared folder and reads them back."""
+    files = warc.write(read(spark, sf_dir, "pages"), warc.scratch(spark))
+    records = warc.read(spark, files).filter(F.col("type").isin("response", "revisit"))
+    page = lambda c: F.when(F.col(c) != "<urn:x-page:null>", F.regexp_extract(c, "^<urn:x-page:(.*)>$", 1)).cast("long")
+    response = F.col("type") == "response"
+    return records.select(
+        page("record_id").alias("page_id"),
+        F.when(response, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"), page("refers_to").alias("refers_to"),
+    )
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed-format spans and discovered identifiers of every document."""
     found = pii.find(read(spark, sf_dir, "documents"))
@@ -64,6 +87,8 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_warc": op7_warc,
     "op8_personal_data": op8_personal_data,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_language_id": op10_language_id,
