@@ -19,7 +19,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import components, cut, mix64, parts, shingles, signed, word_hashes
@@ -38,6 +38,11 @@ def _needed(a, b, t: Fraction):
     return -(-(a + b) * t.numerator // (t.numerator + t.denominator))
 
 
+def signature(values: np.ndarray) -> int:
+    """64 bits that identify a set of shingles, given sorted."""
+    return int(signed(mix64(np.bitwise_xor.reduce(mix64(values)) + mix64(values[-1:] + values.sum(dtype=_U))))[0])
+
+
 def bitmap(values: np.ndarray) -> bytes:
     """Parity bitmap of a set; its width is the power of two in the set's size band, from 64 to WIDEST bits."""
     bits = min(WIDEST, max(64, 1 << (len(values) - 1).bit_length()))
@@ -86,7 +91,7 @@ def shingle_sets(docs: DataFrame, text: str, key: str, k: int, threshold: Fracti
                     out.append((doc, 0, None, None, None))
                     continue
                 n = len(values)
-                sig = int(signed(mix64(np.bitwise_xor.reduce(mix64(values)) + mix64(values[-1:] + values.sum(dtype=_U))))[0])
+                sig = signature(values)
                 size = n - _ceil_share(n, threshold) + 1
                 rank = np.zeros(n, dtype=np.int64)
                 if len(ranked):
@@ -100,23 +105,51 @@ def shingle_sets(docs: DataFrame, text: str, key: str, k: int, threshold: Fracti
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInPandas(build, f"id {kind}, n long, sig long, prefix array<long>, bits binary")
 
 
+#: Bits of a membership filter; it takes 8 MB whatever the table's size.
+FILTER_BITS = 1 << 26
+
+
+def _filter(values: DataFrame, column: str) -> np.ndarray:
+    """Bits, one hash each, of the values of a long column: those not in it are surely not among the values."""
+    place = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    buckets = values.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+    out = np.zeros(FILTER_BITS // 8 + 8192, dtype=np.uint8)
+    for row in buckets.toLocalIterator():
+        part = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+        out[row["b"] * 4096 : row["b"] * 4096 + len(part)] = part
+    return out
+
+
+def _place(column: str) -> Column:
+    """Where to look a value up in a filter: byte and bit as one number."""
+    place = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    return F.bitmap_bucket_number(place) * 32768 + F.bitmap_bit_position(place)
+
+
+def _maybe(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
 def _exact(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, key: str, k: int, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) of set signatures whose sets reach the threshold."""
+    """The pairs (a, b) of set signatures whose sets reach the threshold.
+
+    Only representatives of wanted sets are turned into arrays of shingles; a filter of their keys keeps nearly all
+    other texts from being looked at, and an exact join on the signature drops the rest.
+    """
     pairs = cut(pairs)
     if pairs.isEmpty():
         return pairs
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    held = sets.join(wanted, "sig", "left_semi").select("sig", F.col("rep").alias("id"))
+    wanted = cut(pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct())
+    held = docs.sparkSession.sparkContext.broadcast(_filter(sets.join(wanted, "sig", "left_semi"), "rep"))
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"sig": batch["sig"], "v": [shingles(word_hashes(t), k).tobytes() for t in batch["text"]]})
+            found = [shingles(word_hashes(t), k) for t in batch["text"][_maybe(held.value, batch["place"].to_numpy())]]
+            found = [v for v in found if len(v)]
+            yield pd.DataFrame({"sig": [signature(v) for v in found], "v": [v.tobytes() for v in found]})
 
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(held, "id")
-    arrays = texts.select("sig", "text").mapInPandas(values, "sig long, v binary")
-    if docs.select(key).isEmpty():
-        return pairs
-    one = arrays.dropDuplicates(["sig"])
+    arrays = docs.select(_place(key).alias("place"), F.col(text).alias("text")).mapInPandas(values, "sig long, v binary")
+    one = arrays.join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -131,51 +164,72 @@ def _exact(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, key: s
     return cut(sided.select("a", "b", "va", "vb").mapInPandas(linked, "a long, b long"))
 
 
-def _tile_pairs(threshold: Fraction):
-    """Reads rows sorted by (key, tile, side); yields pairs of different components that may link."""
-
-    def allowed(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        out = []
-        width = {}
-        for name, side in (("l", left), ("r", right)):
-            width[name] = side["bits"].map(len).to_numpy()
-        for wl in np.unique(width["l"]):
-            rows = left[width["l"] == wl]
-            a = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint8).reshape(len(rows), wl)
-            for wr in np.unique(width["r"]):
-                other = right[width["r"] == wr]
-                b = np.frombuffer(b"".join(other["bits"]), dtype=np.uint8).reshape(len(other), wr)
-                narrow = min(wl, wr)
-                fa, fb = _fold(a, narrow).view(_U), _fold(b, narrow).view(_U)
-                na, nb, ca, cb = rows["n"].to_numpy(), other["n"].to_numpy(), rows["comp"].to_numpy(), other["comp"].to_numpy()
-                sa, sb = rows["sig"].to_numpy(), other["sig"].to_numpy()
-                for i in range(len(rows)):
-                    small, large = np.minimum(na[i], nb), np.maximum(na[i], nb)
-                    fit = np.flatnonzero((cb != ca[i]) & (small * threshold.denominator >= large * threshold.numerator) & ((sb > sa[i]) | (not same)))
-                    if not len(fit):
-                        continue
+def _allows(na, nb, differ, threshold: Fraction):
+    """Whether sets of these sizes, with so many differing bits, can reach the threshold."""
+    return (na + nb - differ) // 2 >= _needed(na, nb, threshold)
+
+
+def _few(rows: list[tuple], threshold: Fraction) -> Iterator[tuple[int, int]]:
+    """Pairs of a small tile, rows (side, sig, comp, n, bits)."""
+    rows = sorted(rows, key=lambda r: r[3])
+    whole = [np.frombuffer(r[4], dtype=np.uint8)[None] for r in rows]
+    for i, (side, sig, comp, n, _) in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            other = rows[j]
+            if n * threshold.denominator < other[3] * threshold.numerator:
+                break
+            if other[2] == comp or (side >= 0 and other[0] == side):
+                continue
+            width = min(whole[i].shape[1], whole[j].shape[1])
+            differ = int(np.bitwise_count(_fold(whole[i], width) ^ _fold(whole[j], width)).sum())
+            if _allows(n, other[3], differ, threshold):
+                yield min(sig, other[1]), max(sig, other[1])
+
+
+def _many(left: list[tuple], right: list[tuple], same: bool, threshold: Fraction) -> Iterator[tuple[int, int]]:
+    """Pairs of a large tile: each row of one side against all rows of the other, by width of their bitmaps."""
+
+    def banded(rows: list[tuple]) -> dict[int, tuple]:
+        out: dict[int, list] = {}
+        for r in rows:
+            out.setdefault(len(r[4]), []).append(r)
+        return {w: (*(np.array([r[f] for r in own]) for f in (1, 2, 3)), np.frombuffer(b"".join(r[4] for r in own), dtype=np.uint8).reshape(len(own), w)) for w, own in out.items()}
+
+    for wl, (sa, ca, na, a) in banded(left).items():
+        for wr, (sb, cb, nb, b) in banded(right).items():
+            width = min(wl, wr)
+            fa, fb = _fold(a, width).copy().view(_U), _fold(b, width).copy().view(_U)
+            for i in range(len(sa)):
+                small, large = np.minimum(na[i], nb), np.maximum(na[i], nb)
+                fit = np.flatnonzero((cb != ca[i]) & (small * threshold.denominator >= large * threshold.numerator) & ((sb > sa[i]) | (not same)))
+                if len(fit):
                     differ = np.bitwise_count(fb[fit] ^ fa[i]).sum(axis=1, dtype=np.int64)
-                    fit = fit[(na[i] + nb[fit] - differ) // 2 >= _needed(na[i], nb[fit], threshold)]
-                    out.append(pd.DataFrame({"a": np.minimum(sa[i], sb[fit]), "b": np.maximum(sa[i], sb[fit])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
+                    for other in sb[fit[_allows(na[i], nb[fit], differ, threshold)]].tolist():
+                        yield min(int(sa[i]), other), max(int(sa[i]), other)
+
+
+def _tile_pairs(threshold: Fraction):
+    """Reads rows sorted by (key, tile); yields pairs of different components that may link."""
+
+    def solve(rows: list[tuple]) -> set[tuple[int, int]]:
+        if len(rows) <= 48:
+            return set(_few(rows, threshold))
+        left, right = [r for r in rows if r[0] != 1], [r for r in rows if r[0] == 1]
+        return set(_many(left, right, False, threshold) if right else _many(left, left, True, threshold))
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        mark, rows, found = None, [], set()
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            mark = batch["key"].to_numpy() * 1_000_003 + batch["tile"].to_numpy()
-            starts = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1])))
-            rest = batch.iloc[starts[-1] :]
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                yield from solve(batch.iloc[lo:hi])
-        if rest is not None:
-            yield from solve(rest)
-
-    def solve(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        left, right = group[group["side"] != 1], group[group["side"] == 1]
-        found = allowed(left, left, True) if right.empty else allowed(left, right, False)
-        if len(found):
-            yield found.drop_duplicates().astype("int64")
+            for key, tile, *row in batch.itertuples(index=False, name=None):
+                if (key, tile) != mark:
+                    if len(rows) > 1:
+                        found |= solve(rows)
+                    mark, rows = (key, tile), []
+                rows.append(row)
+            yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
+            found = set()
+        if len(rows) > 1:
+            yield pd.DataFrame(list(solve(rows)), columns=["a", "b"], dtype="int64")
 
     return tiles
 
@@ -196,7 +250,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     rows = cut(shingle_sets(docs, text, key, k, limit, common))
     sets = rows.filter("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
     sets = cut(sets)
-    first = rows.filter("sig is not null").join(sets.select("sig", F.col("rep").alias("id")), ["sig", "id"], "left_semi").dropDuplicates(["sig"])
+    copied = spark.sparkContext.broadcast(_filter(sets.filter("copies > 1"), "sig"))
+    maybe_copied = F.pandas_udf(lambda places: pd.Series(_maybe(copied.value, places.to_numpy())), "boolean")
+    marked = rows.filter("sig is not null").select("sig", "n", "prefix", "bits").withColumn("again", maybe_copied(_place("sig")))
+    first = marked.filter("not again").unionByName(marked.filter("again").dropDuplicates(["sig"])).drop("again")
     hot = spark.createDataFrame(pd.DataFrame({"key": signed(np.sort(common))}), "key long") if len(common) else None
     keyed = first.select("sig", F.explode("prefix").alias("key"))
     if hot is None:

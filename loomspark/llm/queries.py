@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontam, fingerprint, html_extract, langid, ngram_join, packing, pii, toxicity, warc
+from loomspark.llm import decontam, fingerprint, html_extract, langid, license_scan, ngram_join, packing, pii, toxicity, warc
 from loomspark.llm.common import fold_of, read
 
 
@@ -33,6 +33,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), buckets=8, budget=16384)
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """documents as a tree of files: source / thousands / dozens, with a licence file first in each sixth directory."""
+    number = F.col("doc_id")
+    name = F.when(number % 96 == 0, F.lit("LICENSE")).otherwise(F.concat(number.cast("string"), F.lit(".txt")))
+    folder = F.when(number % 96 == 0, F.concat_ws("/", "source", (number / 960).cast("long"))).otherwise(F.concat_ws("/", "source", (number / 960).cast("long"), (number / 16).cast("long")))
+    return docs.withColumn("path", F.concat_ws("/", folder, name))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, placed in a tree of directories, its own or inherited."""
+    return license_scan.scan(document_paths(read(spark, sf_dir, "documents")))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprint of every document and of its edited text, and their likeness."""
     marks = fingerprint.fingerprints(read(spark, sf_dir, "documents"))
@@ -87,6 +100,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
+    "op5_license_scan": op5_license_scan,
     "op6_fingerprints": op6_fingerprints,
     "op7_warc": op7_warc,
     "op8_personal_data": op8_personal_data,
