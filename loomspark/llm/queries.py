@@ -108,4 +108,58 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]"
+
+
+def _packing_sql(buckets: int = 8, budget: int = 16384) -> str:
+    """Dynamic programming over the length histogram, one step for each further bucket, then numbering inside buckets."""
+    parts = [
+        f"docs AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{_TOKENS}')) AS BIGINT) AS n FROM documents)",
+        "hist AS (SELECT n, count(*) AS c, row_number() OVER (ORDER BY n) AS j FROM docs GROUP BY n)",
+        "pre AS (SELECT 0 AS j, 0 AS n, 0::HUGEINT AS r, 0::HUGEINT AS m UNION ALL SELECT j, n, sum(c) OVER (ORDER BY j), sum(n * c) OVER (ORDER BY j) FROM hist)",
+        "b1 AS (SELECT j, CASE WHEN j = 0 THEN 0 ELSE n * r - m END AS cost, 0 AS i FROM pre)",
+    ]
+    for step in range(2, buckets + 1):
+        parts.append(
+            f"t{step} AS (SELECT q.j, b.j AS i, b.cost + q.n * (q.r - p.r) - (q.m - p.m) AS cost FROM pre q JOIN b{step - 1} b ON b.j < q.j JOIN pre p ON p.j = b.j), "
+            f"b{step} AS (SELECT j, cost, i FROM t{step} QUALIFY row_number() OVER (PARTITION BY j ORDER BY cost, i) = 1 UNION ALL SELECT 0, 0, 0)"
+        )
+    parts.append(f"e{buckets} AS (SELECT max(j) AS j FROM hist)")
+    for step in range(buckets, 1, -1):
+        parts.append(f"e{step - 1} AS (SELECT b.i AS j FROM e{step} e JOIN b{step} b ON b.j = e.j)")
+    ends = " UNION ".join(f"SELECT j FROM e{step}" for step in range(1, buckets + 1))
+    parts.append(f"ends AS (SELECT h.n AS bucket_end, CAST(row_number() OVER (ORDER BY h.n) - 1 AS INTEGER) AS bucket FROM ({ends}) JOIN hist h USING (j) WHERE j > 0)")
+    parts.append("placed AS (SELECT d.doc_id, d.n, (SELECT min(bucket) FROM ends e WHERE e.bucket_end >= d.n) AS bucket FROM docs d)")
+    parts.append("numbered AS (SELECT p.*, e.bucket_end, row_number() OVER (PARTITION BY p.bucket ORDER BY substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 3), doc_id NULLS FIRST, n) - 1 AS place FROM placed p JOIN ends e USING (bucket))")
+    room = f"greatest(1, {budget} // greatest(bucket_end, 1))"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, n AS n_tokens, bucket, bucket_end, CAST(place // {room} AS BIGINT) AS batch, CAST(place % {room} AS BIGINT) AS slot FROM numbered"
+
+
+_WARC_SQL = """
+WITH d AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest, n >= 1000) END AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < first THEN first END AS refers_to
+FROM f
+"""
+
+
+def _jaccard_sql(k: int = 4, percent: int = 85) -> str:
+    """Shingle sets, the pairs that share a shingle and reach the threshold, and components by recursion."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - {k - 1}, 1) + 1), lambda i: array_to_string(ws[i:i + {k - 1}], ' '))) AS s FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT s FROM sh GROUP BY s HAVING count(*) > 1),
+h AS (SELECT doc_id, s FROM sh JOIN common USING (s)),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM h x JOIN h y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= {percent} * (na.n + nb.n - both)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(node, seen) AS (SELECT DISTINCT a, a FROM edge UNION SELECT r.node, e.b FROM reach r JOIN edge e ON e.a = r.seen)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.least, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(seen) AS least FROM reach GROUP BY node) c USING (doc_id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op4_packing": _packing_sql(), "op7_warc": _WARC_SQL, "op9_ngram_jaccard": _jaccard_sql()}
