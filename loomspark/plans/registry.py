@@ -1,4 +1,6 @@
 """All registered queries of the library's own operators with their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from loomspark.plans import relational
+
+QUERIES: dict = {**relational.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL}
