@@ -4,12 +4,14 @@ Documents with equal shingle sets are one set. Two sets that reach the similarit
 (the first n - ceil(t n) + 1 shingles of any one global order), so prefixes propose what is compared. Rare shingles
 come first in the order, which keeps shared passages out of most prefixes; the order never changes the result.
 
-1. In each prefix group every set is compared exactly with the group's least set; components of these links follow.
-2. Groups that still hold several components are cut into tiles; within a tile, pairs of different components whose
-   sizes fit and whose bitmaps allow the overlap are compared exactly. Parity bitmaps have a width by size band; with
-   x differing bits two sets share at most (|A| + |B| - x) / 2 shingles.
-
-After step 2 each pair that can link is either compared or already connected, so the components are exact.
+1. In each prefix group every set is compared with the group's least set; components of these links follow.
+2. Groups that still hold several components are cut into tiles. A tile proposes pairs of different components whose
+   sizes fit and whose bitmaps allow the overlap, but only as many as would join them all; these are compared exactly,
+   and the rest goes round again with the components and the refuted pairs, until no tile proposes any.
+
+Parity bitmaps have a width by size band; with x differing bits two sets share at most (|A| + |B| - x) / 2 shingles.
+All pairs that these bounds let through are compared by intersecting sorted arrays. At the end each pair that can link
+is compared, excluded by a bound, or connected otherwise, so the components are exact.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspark.llm.common import components, cut, mix64, parts, shingles, signed, word_hashes
 
 _U = np.uint64
 #: Rows of one side of a tile, bits of the widest bitmap, salts of a frequent shingle.
-TILE, WIDEST, SALTS = 1024, 4096, 64
+TILE, WIDEST, SALTS = 1024, 16384, 64
+#: Rounds of spanning pairs before all pairs left are compared, and refuted pairs that tiles are told of (16 MB).
+ROUNDS, REFUTED = 4, 1_000_000
 
 
 def _ceil_share(n: int, t: Fraction) -> int:
@@ -44,8 +49,8 @@ def signature(values: np.ndarray) -> int:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """Parity bitmap of a set; its width is the power of two in the set's size band, from 64 to WIDEST bits."""
-    bits = min(WIDEST, max(64, 1 << (len(values) - 1).bit_length()))
+    """Parity bitmap of a set; its width is twice the power of two that ends the set's size band, from 64 to WIDEST bits."""
+    bits = min(WIDEST, max(64, 2 << (len(values) - 1).bit_length()))
     odd = np.bincount((mix64(values) % _U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -169,71 +174,96 @@ def _allows(na, nb, differ, threshold: Fraction):
     return (na + nb - differ) // 2 >= _needed(na, nb, threshold)
 
 
-def _few(rows: list[tuple], threshold: Fraction) -> Iterator[tuple[int, int]]:
-    """Pairs of a small tile, rows (side, sig, comp, n, bits)."""
+def _bounded(pairs: DataFrame, bits: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) of signatures whose sizes and bitmaps allow a link; bits has (sig, n, bits)."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ok = []
+            for na, nb, ba, bb in zip(batch["na"], batch["nb"], batch["ba"], batch["bb"], strict=True):
+                one, other = np.frombuffer(ba, dtype=np.uint8)[None], np.frombuffer(bb, dtype=np.uint8)[None]
+                width = min(one.shape[1], other.shape[1])
+                ok.append(_allows(na, nb, int(np.bitwise_count(_fold(one, width) ^ _fold(other, width)).sum()), threshold))
+            yield batch.loc[ok, ["a", "b"]]
+
+    side = lambda c: bits.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
+    sized = pairs.join(side("a").drop("ba"), "a").join(side("b").drop("bb"), "b").filter(f"{threshold.denominator} * least(na, nb) >= {threshold.numerator} * greatest(na, nb)")
+    whole = sized.select("a", "b", "na").join(side("b"), "b").join(side("a").drop("na"), "a")
+    return whole.select("a", "b", "na", "nb", "ba", "bb").mapInPandas(keep, "a long, b long")
+
+
+def _spanning(rows: list[tuple], threshold: Fraction, refuted: np.ndarray, every: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of a tile, rows (side, sig, comp, n, bits), that may link different components.
+
+    Rows are taken by size; pairs that would only join what earlier pairs of the tile already join are left out, so a
+    tile yields fewer pairs than it has rows. With `every` none is left out. Pairs known as refuted never count.
+    """
     rows = sorted(rows, key=lambda r: r[3])
-    whole = [np.frombuffer(r[4], dtype=np.uint8)[None] for r in rows]
-    for i, (side, sig, comp, n, _) in enumerate(rows):
-        for j in range(i + 1, len(rows)):
-            other = rows[j]
-            if n * threshold.denominator < other[3] * threshold.numerator:
-                break
-            if other[2] == comp or (side >= 0 and other[0] == side):
+    side, sig, comp, n = (np.array([r[f] for r in rows]) for f in range(4))
+    comp = comp.copy()
+    widths = np.array([len(r[4]) for r in rows])
+    bands = {w: (np.flatnonzero(widths == w), np.frombuffer(b"".join(r[4] for r in rows if len(r[4]) == w), dtype=np.uint8).reshape(-1, w)) for w in np.unique(widths)}
+    last = np.searchsorted(n * threshold.numerator, n * threshold.denominator, side="right")
+    for i in range(len(rows)):
+        if last[i] <= i + 1 or (not every and (comp[i + 1 : last[i]] == comp[i]).all()):
+            continue
+        own = np.frombuffer(rows[i][4], dtype=np.uint8)[None]
+        for w, (at, bits) in bands.items():
+            inside = (at > i) & (at < last[i])
+            inside &= comp[at] != comp[i]
+            if side[i] >= 0:
+                inside &= side[at] != side[i]
+            fit = np.flatnonzero(inside)
+            if not len(fit):
                 continue
-            width = min(whole[i].shape[1], whole[j].shape[1])
-            differ = int(np.bitwise_count(_fold(whole[i], width) ^ _fold(whole[j], width)).sum())
-            if _allows(n, other[3], differ, threshold):
-                yield min(sig, other[1]), max(sig, other[1])
-
-
-def _many(left: list[tuple], right: list[tuple], same: bool, threshold: Fraction) -> Iterator[tuple[int, int]]:
-    """Pairs of a large tile: each row of one side against all rows of the other, by width of their bitmaps."""
-
-    def banded(rows: list[tuple]) -> dict[int, tuple]:
-        out: dict[int, list] = {}
-        for r in rows:
-            out.setdefault(len(r[4]), []).append(r)
-        return {w: (*(np.array([r[f] for r in own]) for f in (1, 2, 3)), np.frombuffer(b"".join(r[4] for r in own), dtype=np.uint8).reshape(len(own), w)) for w, own in out.items()}
-
-    for wl, (sa, ca, na, a) in banded(left).items():
-        for wr, (sb, cb, nb, b) in banded(right).items():
-            width = min(wl, wr)
-            fa, fb = _fold(a, width).copy().view(_U), _fold(b, width).copy().view(_U)
-            for i in range(len(sa)):
-                small, large = np.minimum(na[i], nb), np.maximum(na[i], nb)
-                fit = np.flatnonzero((cb != ca[i]) & (small * threshold.denominator >= large * threshold.numerator) & ((sb > sa[i]) | (not same)))
-                if len(fit):
-                    differ = np.bitwise_count(fb[fit] ^ fa[i]).sum(axis=1, dtype=np.int64)
-                    for other in sb[fit[_allows(na[i], nb[fit], differ, threshold)]].tolist():
-                        yield min(int(sa[i]), other), max(int(sa[i]), other)
-
-
-def _tile_pairs(threshold: Fraction):
-    """Reads rows sorted by (key, tile); yields pairs of different components that may link."""
-
-    def solve(rows: list[tuple]) -> set[tuple[int, int]]:
-        if len(rows) <= 48:
-            return set(_few(rows, threshold))
-        left, right = [r for r in rows if r[0] != 1], [r for r in rows if r[0] == 1]
-        return set(_many(left, right, False, threshold) if right else _many(left, left, True, threshold))
+            width = min(w, own.shape[1])
+            differ = np.bitwise_count(_fold(bits[fit], width) ^ _fold(own, width)).sum(axis=1, dtype=np.int64)
+            for j in at[fit[_allows(n[i], n[at[fit]], differ, threshold)]].tolist():
+                if not every and comp[j] == comp[i]:
+                    continue
+                pair = (min(int(sig[i]), int(sig[j])), max(int(sig[i]), int(sig[j])))
+                if len(refuted):
+                    lo, hi = np.searchsorted(refuted["a"], pair[0]), np.searchsorted(refuted["a"], pair[0], side="right")
+                    if (refuted["b"][lo:hi] == pair[1]).any():
+                        continue
+                yield pair
+                if not every:
+                    comp[comp == comp[j]] = comp[i]
+
+
+def _tile_pairs(threshold: Fraction, refuted, every: bool):
+    """Reads rows sorted by (key, tile); yields the pairs of each tile, refuted pairs (sorted, broadcast) left out."""
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mark, rows, found = None, [], set()
         for batch in batches:
             for key, tile, *row in batch.itertuples(index=False, name=None):
                 if (key, tile) != mark:
-                    if len(rows) > 1:
-                        found |= solve(rows)
+                    found.update(_spanning(rows, threshold, refuted.value, every) if len(rows) > 1 else ())
                     mark, rows = (key, tile), []
                 rows.append(row)
             yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
             found = set()
-        if len(rows) > 1:
-            yield pd.DataFrame(list(solve(rows)), columns=["a", "b"], dtype="int64")
+        found.update(_spanning(rows, threshold, refuted.value, every) if len(rows) > 1 else ())
+        yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
     return tiles
 
 
+def _tiles(rest: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
+    """(key, tile, side, sig, comp, n, bits) of the groups that still hold several components, sorted by tile.
+
+    A group of more than TILE rows is cut into blocks, and each pair of blocks is a tile of its own.
+    """
+    labelled = rest.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
+    members = labelled.join(mixed.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(7)), F.col("blocks")).cast("int"))
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    tiled = spread.select("key", (i * 100_000 + j).cast("long").alias("tile"), F.when(i == j, -1).when(F.col("block") == i, 0).otherwise(1).alias("side"), "sig", "comp")
+    return tiled.join(bits, "sig").select("key", "tile", "side", "sig", "comp", "n", "bits").repartition(parts(rest.sparkSession), "key", "tile").sortWithinPartitions("key", "tile")
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, threshold: str = "0.85", sample_rows: int = 20000, common_shingles: int = 65536) -> DataFrame:
     """One row per document: key, n_shingles, component_id (the least key reachable by links, its own included).
 
@@ -266,24 +296,31 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     tops = shared.filter("sig = head").groupBy("key").agg(F.min("head").alias("top"), F.count("*").alias("heads"))
     across = shared.filter("sig = head").join(tops.filter("heads > 1"), "key").select(F.col("top").alias("a"), F.col("head").alias("b"))
     stars = shared.select(F.col("head").alias("a"), F.col("sig").alias("b")).union(across).filter("a <> b").distinct()
-    size_of = sets.select("sig", "n")
-    sized = stars.join(size_of.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(size_of.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
-    share = f"{limit.denominator} * least(na, nb) >= {limit.numerator} * greatest(na, nb)"
-    links = _exact(sized.filter(share).select("a", "b"), sets, docs, text, key, k, limit)
+    bits = cut(first.select("sig", "n", "bits"))
+    links = _exact(_bounded(stars, bits, limit), sets, docs, text, key, k, limit)
     roots = cut(components(links))
 
-    labelled = shared.select("key", "sig").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
-    blocks = F.ceil(F.col("size") / TILE).cast("int")
-    members = labelled.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(7)), F.col("blocks")).cast("int"))
-    i, j = F.least("block", "other"), F.greatest("block", "other")
-    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = spread.select("key", (i * 100_000 + j).cast("long").alias("tile"), F.when(i == j, -1).when(F.col("block") == i, 0).otherwise(1).alias("side"), "sig", "comp")
-    tiled = tiled.join(first.select("sig", "n", "bits"), "sig").select("key", "tile", "side", "sig", "comp", "n", "bits")
-    tiled = tiled.repartition(parts(spark), "key", "tile").sortWithinPartitions("key", "tile")
-    more = _exact(tiled.mapInPandas(_tile_pairs(limit), "a long, b long").distinct(), sets, docs, text, key, k, limit)
-    if not more.isEmpty():
-        roots = cut(components(links.union(more)))
+    # what a head was compared with in step 1 needs no tile; of the rest only rows with another of fitting size count
+    rest = shared.filter("salt >= 0 or sig <> head").select("key", "sig").join(bits.select("sig", "n"), "sig")
+    by_size = Window.partitionBy("key").orderBy("n", "sig")
+    near = lambda other: (limit.denominator * F.least("n", other) >= limit.numerator * F.greatest("n", other))
+    rest = rest.withColumn("before", F.lag("n").over(by_size)).withColumn("after", F.lead("n").over(by_size))
+    rest = cut(rest.filter(F.coalesce(near(F.col("before")), F.lit(False)) | F.coalesce(near(F.col("after")), F.lit(False))).select("key", "sig"))
+    refuted = np.empty(0, dtype=[("a", np.int64), ("b", np.int64)])
+    for turn in range(ROUNDS + 1):
+        every = turn == ROUNDS or len(refuted) > REFUTED
+        tiles = _tiles(rest, roots, bits)
+        told = spark.sparkContext.broadcast(np.sort(refuted, order=["a", "b"])[:REFUTED])
+        asked = cut(tiles.mapInPandas(_tile_pairs(limit, told, every), "a long, b long").distinct())
+        if asked.isEmpty():
+            break
+        more = _exact(asked, sets, docs, text, key, k, limit)
+        links = cut(links.union(more))
+        roots = cut(components(links))
+        if every:
+            break
+        wrong = asked.join(more, ["a", "b"], "left_anti").limit(REFUTED + 1).toPandas()
+        refuted = np.concatenate([refuted, wrong.to_records(index=False).astype(refuted.dtype)])
     owner = sets.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     least = owner.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = owner.join(least, "root").select("sig", "component_id")

@@ -153,8 +153,8 @@ sh AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) -
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 common AS (SELECT s FROM sh GROUP BY s HAVING count(*) > 1),
 h AS (SELECT doc_id, s FROM sh JOIN common USING (s)),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM h x JOIN h y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
-link AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= {percent} * (na.n + nb.n - both)),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM h x JOIN h y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= {percent} * (na.n + nb.n - shared)),
 edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach(node, seen) AS (SELECT DISTINCT a, a FROM edge UNION SELECT r.node, e.b FROM reach r JOIN edge e ON e.a = r.seen)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.least, w.doc_id) AS component_id
