@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.functions import scalars, text
+from loomspark.functions import text
 
 
 def active(df: DataFrame, *flags: str) -> DataFrame:
@@ -24,19 +28,51 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
 def knn(queries: DataFrame, corpus: DataFrame, k: int, block: int = 4096, qid: str = "query_id", cid: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """The k nearest corpus vectors of each query by cosine distance, ties by id: (qid, cid, score, rank), score max(0, 1 - d).
 
-    Exact. Queries are the stated side: they go to the executors in blocks of at most `block` vectors, each block against
-    all rows, and every block's candidates are cut to k per query before the shuffle. Null and zero vectors rank nowhere.
+    Exact. Queries are the stated side: they go to the executors in blocks of at most about `block` vectors, each block
+    against all rows. A task multiplies matrices and hands on its own k best of each query (and what ties with the last),
+    so what is shuffled doesn't grow with the corpus but with tasks. Null, zero and misfit vectors rank nowhere.
     """
-    q = queries.select(F.col(qid), F.col(vector).alias("qv")).filter("qv is not null")
-    c = corpus.select(F.col(cid), F.col(vector).alias("cv")).filter("cv is not null")
-    blocks = max(1, -(-q.count() // block))
+    kinds = dict(queries.dtypes)[qid], dict(corpus.dtypes)[cid]
+    asked = queries.select(F.col(qid).alias("q"), F.col(vector).alias("v")).filter("v is not null")
+    blocks = max(1, -(-asked.count() // block))
     out = None
     for b in range(blocks):
-        side = q if blocks == 1 else q.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b)
-        scored = c.join(F.broadcast(side)).select(qid, cid, scalars.cosine("cv", "qv").alias("sim")).filter("sim is not null and not isnan(sim)")
-        part = top(scored, [qid], [F.desc("sim"), F.col(cid)], k)
+        rows = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
+        ids, wide = [r["q"] for r in rows], len(rows[0]["v"])
+        matrix = np.array([r["v"] if len(r["v"]) == wide else [np.nan] * wide for r in rows], dtype=np.float64)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, side = shared.value
+            best: list[list[tuple]] = [[] for _ in names]
+            for batch in batches:
+                fit = [i for i, v in enumerate(batch["v"]) if v is not None and len(v) == side.shape[1]]
+                if not fit:
+                    continue
+                vectors = np.array([batch["v"].iloc[i] for i in fit], dtype=np.float64)
+                norms = np.linalg.norm(vectors, axis=1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sims = (vectors / norms[:, None]) @ side.T
+                chunk = batch["c"].to_numpy()[fit]
+                for j in range(len(names)):
+                    column = sims[:, j]
+                    good = np.flatnonzero(np.isfinite(column))
+                    if len(good) > k:
+                        good = good[column[good] >= np.partition(column[good], len(good) - k)[len(good) - k]]
+                    merged = sorted([*best[j], *((-column[i], chunk[i]) for i in good)])
+                    best[j] = [m for m in merged if len(merged) <= k or m[0] <= merged[k - 1][0]]
+            yield pd.DataFrame([(n, c, -s) for n, own in zip(names, best, strict=True) for s, c in own], columns=["q", "c", "sim"])
+
+        part = corpus.select(F.col(cid).alias("c"), F.col(vector).alias("v")).filter("v is not null").mapInPandas(nearest, f"q {kinds[0]}, c {kinds[1]}, sim double")
         out = part if out is None else out.unionByName(part)
-    return out.select(qid, cid, F.greatest(F.lit(0.0), "sim").alias("score"), "rank")
+    if out is None:
+        return corpus.sparkSession.createDataFrame([], f"{qid} {kinds[0]}, {cid} {kinds[1]}, score double, rank int")
+    named = out.select(F.col("q").alias(qid), F.col("c").alias(cid), "sim")
+    return top(named, [qid], [F.desc("sim"), F.col(cid)], k).select(qid, cid, F.greatest(F.lit(0.0), "sim").alias("score"), "rank")
 
 
 def postings(corpus: DataFrame, cid: str = "chunk_id", body: str = "text") -> DataFrame:
@@ -50,15 +86,18 @@ def lexical(queries: DataFrame, corpus: DataFrame, index: DataFrame | None = Non
 
     Stage 1 takes the first stage1 chunks by id with a token that starts with a keyword of the query; stage 2 ranks
     those of positive trigram similarity, ties by id. Queries without keywords or stage-2 rows are compared with every
-    chunk. The prefix match is an equi-join on the first three characters, checked in full.
+    chunk. Words and tokens meet once each, by an equi-join on up to three first characters that is checked in full.
     """
     index = postings(corpus, cid) if index is None else index
     asked = queries.select(qid, F.explode(text.keywords("query")).alias("word")).select(qid, F.lower("word").alias("word")).distinct()
-    prefix = asked.withColumn("head", F.substring("word", 1, 3)).withColumn("short", F.length("word") < 3)
-    tokens = index.select(cid, "token", F.explode(F.array_distinct(F.array(*[F.substring("token", 1, n) for n in (1, 2, 3)]))).alias("head"))
-    met = tokens.join(prefix, "head").filter(F.startswith("token", F.col("word"))).select(qid, cid).distinct()
+    words = asked.select("word").distinct().withColumn("head", F.substring("word", 1, 3))
+    heads = index.select("token").distinct().select("token", F.explode(F.array_distinct(F.array(*[F.substring("token", 1, n) for n in (1, 2, 3)]))).alias("head"))
+    forms = heads.join(words, "head").filter(F.startswith("token", F.col("word"))).select("token", "word")
+    hits = index.join(forms, "token").select("word", cid).distinct()
+    met = hits.join(asked, "word").select(qid, cid).distinct()
     first = top(met, [qid], [F.col(cid)], stage1).select(qid, cid)
-    grams = corpus.select(cid, text.trigrams("text").alias("cg"))
+    # dealt by id before the trigrams are made, as these are larger than the text
+    grams = corpus.select(cid, "text").repartition(F.col(cid)).select(cid, text.trigrams("text").alias("cg"))
     asking = queries.select(qid, text.trigrams("query").alias("qg"))
     scored = first.join(asking, qid).join(grams, cid).select(qid, cid, text.set_similarity("qg", "cg").alias("score")).filter("score > 0")
     rest = asking.join(scored.select(qid).distinct(), qid, "left_anti")
