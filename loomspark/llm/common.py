@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from a reliable checkpoint in the shared folder from now on."""
+    """The same rows, read from a reliable checkpoint in the shared folder from now on.
+
+    Not for loops of joins: a checkpoint keeps its plan's size estimate, the product of what was joined, and that number
+    doubles its digits with each round until planning takes longer than the work. See Scratch.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of a loop, written to a folder of its own in the shared folder, which goes when the block ends.
+
+    What is returned from the block must have been cut() before.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows, read from a Parquet table."""
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -112,29 +140,22 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hangs every node below its least smaller neighbour, flattens these trees by pointer doubling and
     contracts the edges; the roots at least halve, so rounds grow with the logarithm of the number of nodes.
     """
-    spark = edges.sparkSession
     pair = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    live = cut(pair.filter("a is not null and b is not null and a < b").distinct())
-    links = None
-    while not live.isEmpty():
-        up = cut(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
-        while True:
-            higher = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            step = up.join(higher, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
-            step = cut(step)
-            moved = not step.filter("moved").isEmpty()
-            up = step.select("node", "root")
-            if not moved:
-                break
-        if links is None:
-            links = up
-        else:
+    with Scratch(edges.sparkSession) as scratch:
+        keep = scratch.keep
+        live = keep(pair.filter("a is not null and b is not null and a < b").distinct())
+        links = live.select(F.col("b").alias("node"), F.col("a").alias("root")).limit(0)
+        while not live.isEmpty():
+            up = keep(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
+            moved = True
+            while moved:
+                higher = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
+                step = keep(up.join(higher, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+                moved = not step.filter("moved").isEmpty()
+                up = step.select("node", "root")
             over = links.join(up.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
-            links = cut(over.select("node", F.coalesce("above", "root").alias("root")).unionByName(up))
-        left, right = up.select(F.col("node").alias("a"), F.col("root").alias("ra")), up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        moved_edges = live.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
-        live = cut(moved_edges.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    if links is None:
-        return spark.createDataFrame([], "node long, root long")
-    roots = links.select(F.col("root").alias("node"), "root").distinct()
-    return links.unionByName(roots)
+            links = keep(over.select("node", F.coalesce("above", "root").alias("root")).unionByName(up))
+            left, right = up.select(F.col("node").alias("a"), F.col("root").alias("ra")), up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+            ends = live.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
+            live = keep(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        return cut(links.unionByName(links.select(F.col("root").alias("node"), "root").distinct()))

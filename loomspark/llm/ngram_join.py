@@ -298,7 +298,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     stars = shared.select(F.col("head").alias("a"), F.col("sig").alias("b")).union(across).filter("a <> b").distinct()
     bits = cut(first.select("sig", "n", "bits"))
     links = _exact(_bounded(stars, bits, limit), sets, docs, text, key, k, limit)
-    roots = cut(components(links))
+    roots = components(links)
 
     # what a head was compared with in step 1 needs no tile; of the rest only rows with another of fitting size count
     rest = shared.filter("salt >= 0 or sig <> head").select("key", "sig").join(bits.select("sig", "n"), "sig")
@@ -316,7 +316,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             break
         more = _exact(asked, sets, docs, text, key, k, limit)
         links = cut(links.union(more))
-        roots = cut(components(links))
+        roots = components(links)
         if every:
             break
         wrong = asked.join(more, ["a", "b"], "left_anti").limit(REFUTED + 1).toPandas()
