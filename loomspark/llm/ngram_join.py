@@ -104,7 +104,9 @@ def shingle_sets(docs: DataFrame, text: str, key: str, k: int, threshold: Fracti
                     rank = np.where(ranked[at] == values, ranks[at], 0)
                 first = values[np.argsort(rank, kind="stable")[:size]]
                 out.append((doc, n, sig, signed(first), bitmap(values)))
-            yield pd.DataFrame(out, columns=["id", "n", "sig", "prefix", "bits"]).astype({"sig": "Int64", "id": batch["id"].dtype})
+            _, n, sig, prefix, bits = zip(*out, strict=True) if out else [()] * 5
+            # a plain column of integers and None would pass through floats and lose digits
+            yield pd.DataFrame({"id": batch["id"], "n": np.array(n, dtype=np.int64), "sig": pd.array(sig, dtype="Int64"), "prefix": pd.Series(prefix, dtype=object, index=batch.index), "bits": pd.Series(bits, dtype=object, index=batch.index)})
 
     kind = dict(docs.dtypes)[key]
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInPandas(build, f"id {kind}, n long, sig long, prefix array<long>, bits binary")
