@@ -234,20 +234,25 @@ def _spanning(rows: list[tuple], threshold: Fraction, refuted: np.ndarray, every
 
 
 def _tile_pairs(threshold: Fraction, refuted, every: bool):
-    """Reads rows sorted by (key, tile); yields the pairs of each tile, refuted pairs (sorted, broadcast) left out."""
+    """Reads rows sorted by (key, tile); yields (key, a, b) for the pairs of each tile, refuted pairs (sorted, broadcast) left out."""
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mark, rows, found = None, [], set()
+        mark, rows, found = (None, None), [], []
+
+        def solve(mark: tuple, rows: list, found: list) -> None:
+            if len(rows) > 1:
+                found.extend((mark[0], *pair) for pair in _spanning(rows, threshold, refuted.value, every))
+
         for batch in batches:
             for key, tile, *row in batch.itertuples(index=False, name=None):
                 if (key, tile) != mark:
-                    found.update(_spanning(rows, threshold, refuted.value, every) if len(rows) > 1 else ())
+                    solve(mark, rows, found)
                     mark, rows = (key, tile), []
                 rows.append(row)
-            yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
-            found = set()
-        found.update(_spanning(rows, threshold, refuted.value, every) if len(rows) > 1 else ())
-        yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(found, columns=["key", "a", "b"], dtype="int64")
+            found = []
+        solve(mark, rows, found)
+        yield pd.DataFrame(found, columns=["key", "a", "b"], dtype="int64")
 
     return tiles
 
@@ -313,7 +318,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         every = turn == ROUNDS or len(refuted) > REFUTED
         tiles = _tiles(rest, roots, bits)
         told = spark.sparkContext.broadcast(np.sort(refuted, order=["a", "b"])[:REFUTED])
-        asked = cut(tiles.mapInPandas(_tile_pairs(limit, told, every), "a long, b long").distinct())
+        proposed = cut(tiles.mapInPandas(_tile_pairs(limit, told, every), "key long, a long, b long").distinct())
+        asked = cut(proposed.select("a", "b").distinct())
         if asked.isEmpty():
             break
         more = _exact(asked, sets, docs, text, key, k, limit)
@@ -321,8 +327,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         roots = components(links)
         if every:
             break
-        wrong = asked.join(more, ["a", "b"], "left_anti").limit(REFUTED + 1).toPandas()
-        refuted = np.concatenate([refuted, wrong.to_records(index=False).astype(refuted.dtype)])
+        # a group whose pairs all hold is joined as far as it can be; only groups with a refuted pair go round again
+        wrong = cut(asked.join(more, ["a", "b"], "left_anti"))
+        again = proposed.join(wrong, ["a", "b"], "left_semi").select("key").distinct()
+        rest = cut(rest.join(again, "key", "left_semi"))
+        refuted = np.concatenate([refuted, wrong.limit(REFUTED + 1).toPandas().to_records(index=False).astype(refuted.dtype)])
     owner = sets.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     least = owner.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = owner.join(least, "root").select("sig", "component_id")
