@@ -53,18 +53,15 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
     return ends[::-1]
 
 
-def boundaries(lengths: DataFrame, column: str, buckets: int, max_bins: int = 32768) -> list[int]:
+def boundaries(lengths: DataFrame, column: str, buckets: int) -> list[int]:
     """Optimal bucket ends of a column of lengths.
 
-    The histogram is counted over all rows. It reaches the driver with at most max_bins bins: lengths are rounded up
-    to a step that is 1, and the result exact, while the longest row has no more than max_bins tokens.
+    The histogram is counted over all rows and reaches the driver with one bin for each distinct length. d distinct
+    lengths take at least d * (d - 1) / 2 tokens, so a table of 5e9 tokens has at most about 1e5 of them.
     """
-    top = lengths.agg(F.max(column)).first()[0]
-    if top is None:
+    histogram = lengths.groupBy(F.col(column).alias("n")).agg(F.count("*").alias("c")).orderBy("n").collect()
+    if not histogram:
         return []
-    step = max(1, -(-int(top) // max_bins))
-    binned = (F.ceil(F.col(column) / step) * step).cast("long").alias("n")
-    histogram = lengths.groupBy(binned).agg(F.count("*").alias("c")).orderBy("n").collect()
     return best_boundaries(np.array([r["n"] for r in histogram], dtype=np.int64), np.array([r["c"] for r in histogram], dtype=np.int64), buckets)
 
 

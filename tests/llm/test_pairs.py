@@ -120,6 +120,14 @@ def test_batches_respect_the_budget(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_buckets_stay_exact_with_a_very_long_document(spark):
+    lengths = [3, 5, 5, 8, 21, 34, 55, 55, 89, 1_000_001]
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
+    got = {r["doc_id"]: r["bucket_end"] for r in packing.pack(df, F.col("n"), buckets=4).collect()}
+    ends = packing.best_boundaries(*np.unique(lengths, return_counts=True), 4)
+    assert got == {i: min(e for e in ends if e >= n) for i, n in enumerate(lengths)} and ends[-1] == 1_000_001
+
+
 def test_fingerprints_follow_edits(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 5) + str(rng.randrange(500)) for _ in range(120)) for _ in range(6)]
