@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +15,11 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 _WIDTH_BITS = 12
+#: Length bands by numbers of trigrams, and the characters of excerpts that calibrate the shorter bands.
+BANDS = (8, 16, 64, 256, 1024)
+EXCERPTS = (8, 20, 60, 200, 800)
+#: Held-out texts from which on a limit is read from them alone.
+ENOUGH = 50
 
 
 @functools.lru_cache(maxsize=1)
@@ -45,7 +52,7 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
 
 @dataclass
 class CentroidModel:
-    """Unit centroids (one row each), the language and least accepted cosine of each, and the term weights."""
+    """Unit centroids (one row each), the language and least accepted cosine of each by length band, and the term weights."""
 
     languages: list[str]
     centroids: np.ndarray
@@ -60,7 +67,7 @@ class CentroidModel:
         vector = np.log1p(counts) * self.idf
         cosines = self.centroids @ (vector / np.linalg.norm(vector))
         best = int(cosines.argmax())
-        return self.languages[best], float(min(1.0, max(0.0, cosines[best]))), bool(cosines[best] >= self.floors[best])
+        return self.languages[best], float(min(1.0, max(0.0, cosines[best]))), bool(cosines[best] >= self.floors[best, np.searchsorted(BANDS, counts.sum())])
 
 
 def _cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -76,12 +83,30 @@ def _cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", clusters: int = 3, max_rows: int = 2000, slack: float = 0.5) -> CentroidModel:
-    """Fits the centroids on a bounded sample of labelled rows.
+def _floors(languages: list[str], near: np.ndarray, band: np.ndarray, cosine: np.ndarray, quantile: float) -> np.ndarray:
+    """Least accepted cosine of each centroid and band, the quantile of the held-out texts nearest to it.
+
+    With fewer than ENOUGH of them those of its language are taken, then those of all languages in the band; bands
+    without any take the next shorter band's, and 0 without a shorter one.
+    """
+    spoken = np.array(languages)
+    out = np.zeros((len(languages), len(BANDS) + 1))
+    for j in range(out.shape[1]):
+        for i, name in enumerate(languages):
+            own = [cosine[(band == j) & (near == i)], cosine[(band == j) & (spoken[near] == name)], cosine[band == j]]
+            some = next((c for c in own if len(c) >= ENOUGH), own[-1])
+            out[i, j] = np.quantile(some, quantile, method="lower") if len(some) else out[i, j - 1] if j else 0.0
+    return out
+
+
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", clusters: int = 3, max_rows: int = 2000, quantile: float = 0.01) -> CentroidModel:
+    """Fits the centroids on a bounded sample of labelled rows and their rejection distances on rows held out of it.
 
     At most about max_rows rows in all, shared evenly by the languages and chosen by a hash of the key, are learned
-    from; each vector is 16 KB. Rows without language or letters are left out. A centroid rejects what lies further
-    than slack times the cosine of the furthest of its own sample. No labelled row gives a model that answers `und`.
+    from. Rows without language or letters are left out. A third of the texts, whole and cut to EXCERPTS characters,
+    are held out of centroids and term weights; those nearest to a centroid of their own language give each centroid's
+    limit in each length band, the quantile of their cosines. A language with fewer than 8 other rows learns from all
+    of its rows. No labelled row gives a model that answers `und`.
     """
     labelled = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
     sizes = {r["l"]: r["count"] for r in labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_rows // 8).collect()}
@@ -93,26 +118,47 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counted = [ngram_counts(t) for t in batch["t"]]
-            yield pd.DataFrame({"l": batch["l"], "v": [None if c is None else np.log1p(c).astype(np.float32).tobytes() for c in counted]})
-
-    sample = labelled.filter(wanted).select("l", "t").mapInPandas(vectors, "l string, v binary").filter("v is not null").toPandas() if sizes else pd.DataFrame({"l": [], "v": []})
-    if sample.empty:
-        return CentroidModel([], np.empty((0, 1 << _WIDTH_BITS)), np.empty(0), np.ones(1 << _WIDTH_BITS))
-    order = np.argsort([f"{a}\0".encode() + b for a, b in zip(sample["l"], sample["v"], strict=True)], kind="stable")
-    sample = sample.iloc[order]
-    weight = np.stack([np.frombuffer(v, dtype=np.float32) for v in sample["v"]]).astype(np.float64)
+            found = []
+            for name, body in zip(batch["l"], batch["t"], strict=True):
+                held = zlib.crc32(body.encode("utf-8", "surrogatepass")) % 3 == 0
+                for size in (None, *(n for n in EXCERPTS if held and n < len(body))):
+                    counts = ngram_counts(body[:size])
+                    if counts is not None:
+                        at = np.flatnonzero(counts)
+                        found.append((name, held, size is None, int(counts.sum()), at.astype(np.uint16).tobytes(), np.log1p(counts[at]).astype(np.float32).tobytes()))
+            yield pd.DataFrame(found, columns=["l", "held", "whole", "n", "at", "v"])
+
+    schema = "l string, held boolean, whole boolean, n long, at binary, v binary"
+    sample = labelled.filter(wanted).select("l", "t").mapInPandas(vectors, schema).collect() if sizes else []
+    if not sample:
+        return CentroidModel([], np.empty((0, 1 << _WIDTH_BITS)), np.empty((0, len(BANDS) + 1)), np.ones(1 << _WIDTH_BITS))
+    sample.sort(key=lambda r: (r["l"], bytes(r["at"]), bytes(r["v"])))
+    kept = Counter(r["l"] for r in sample if not r["held"])
+    learned = [r for r in sample if r["whole"] and (not r["held"] or kept[r["l"]] < 8)]
+    weight = np.zeros((len(learned), 1 << _WIDTH_BITS))
+    for row, r in zip(weight, learned, strict=True):
+        row[np.frombuffer(r["at"], dtype=np.uint16)] = np.frombuffer(r["v"], dtype=np.float32)
     idf = np.log((1 + len(weight)) / (1 + (weight > 0).sum(axis=0))) + 1
     weight *= idf
     weight /= np.linalg.norm(weight, axis=1, keepdims=True)
-    languages, centres, floors = [], [], []
-    for name in sorted(set(sample["l"])):
-        own = weight[(sample["l"] == name).to_numpy()]
-        for centre in _cluster(own, clusters):
-            languages.append(name)
+    languages, centres = [], []
+    names = np.array([r["l"] for r in learned])
+    for name in sorted(set(names)):
+        for centre in _cluster(weight[names == name], clusters):
+            languages.append(str(name))
             centres.append(centre)
-            floors.append(slack * float((own @ centre).min()))
-    return CentroidModel(languages, np.array(centres), np.array(floors), idf)
+    centroids = np.array(centres)
+    measured = []
+    for r in sample:
+        if r["held"] and kept[r["l"]] >= 8:
+            at = np.frombuffer(r["at"], dtype=np.uint16)
+            vector = np.frombuffer(r["v"], dtype=np.float32) * idf[at]
+            cosines = centroids[:, at] @ (vector / np.linalg.norm(vector))
+            best = int(cosines.argmax())
+            if languages[best] == r["l"]:
+                measured.append((best, int(np.searchsorted(BANDS, r["n"])), float(cosines[best])))
+    near, band, cosine = (np.array(c) for c in zip(*measured, strict=True)) if measured else (np.empty(0, dtype=int), np.empty(0, dtype=int), np.empty(0))
+    return CentroidModel(languages, centroids, _floors(languages, near, band, cosine, quantile), idf)
 
 
 def classify(text: Column | str, model: CentroidModel) -> Column:

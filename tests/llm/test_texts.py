@@ -28,6 +28,17 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("left", ["de", "es", "fr"])
+def test_language_rejects_the_unlearned(spark, left):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null and n_chars > 400")
+    model = langid.fit(docs.filter(F.col("lang") != left))
+    accepted = lambda lang: [model.classify(r["text"])[2] for r in docs.filter(F.col("lang") == lang).limit(60).collect()]
+    foreign, english = accepted(left), accepted("en")
+    assert sum(foreign) <= 0.2 * len(foreign) and sum(english) >= 0.9 * len(english)
+    short = [" ".join(r["text"].split()[:n]) for r in docs.filter("lang = 'en'").limit(60).collect() for n in (2, 4, 9)]
+    assert sum(model.classify(t)[2] for t in short) >= 0.9 * len(short)
+
+
 def test_toxicity_held_out(spark):
     got = queries.op1_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out").toPandas()
     ranks = got.score.rank()
