@@ -2,8 +2,8 @@
 
 Benchmark items are cut into short passages, documents into overlapping windows. A randomised SVD of the passages'
 TF-IDF matrix, with power iterations summed over Spark partitions, gives a latent space; windows whose projection is
-close to a passage's are candidates. A candidate counts as a leak if the document around the window has most of the
-item's words in order, and its answer.
+close to a passage's are candidates, and so is every place that shares a run of GRAM words, or the whole of a shorter
+item. A candidate counts as a leak if the document around it has most of the item's words in order, and its answer.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from loomspark.llm.common import signed, word_hashes
 _U = np.uint64
 #: Words of a benchmark passage, of a document window, and between window starts.
 PASSAGE, WINDOW, STRIDE = 16, 32, 16
+#: Words of a run that makes a candidate by itself.
+GRAM = 5
 #: Bounds: words of the latent space, its rank, rows of one summed slice, passages compared in one pass.
 MAX_WORDS, MAX_RANK, SLICE, BLOCK = 32768, 128, 1024, 65536
 
@@ -33,6 +35,14 @@ def passages(words: np.ndarray) -> list[np.ndarray]:
     return [words[s : s + PASSAGE] for s in starts]
 
 
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words, in order."""
+    out = np.zeros(max(0, len(words) - n + 1), dtype=_U)
+    for i in range(n):
+        out = out * _U(0x9E3779B97F4A7C15) + words[i : i + len(out)]
+    return out
+
+
 def lcs_length(mask_of: dict[int, int], length: int, words: np.ndarray) -> int:
     """Length of the longest common subsequence, bit-parallel; mask_of has the positions of each word of the pattern."""
     full = (1 << length) - 1
@@ -88,7 +98,8 @@ def document_frequency(docs: DataFrame, words: np.ndarray, text: str) -> tuple[n
 def fit(benchmark: DataFrame, docs: DataFrame, item_text: str = "text", text: str = "text", iterations: int = 2) -> LatentSpace:
     """The latent space of all benchmark passages, weighted by document frequencies over all docs.
 
-    Words beyond the MAX_WORDS with the most occurrences count as unknown; the basis has at most MAX_RANK columns, so
+    Words beyond the MAX_WORDS with the most occurrences count as unknown, what they are in is found by runs of words
+    only; the basis has at most MAX_RANK columns, so
     what is broadcast or summed has at most 32768 x 128 numbers whatever the size of the tables.
     """
     spark = benchmark.sparkSession
@@ -150,10 +161,14 @@ class _Items:
     masks: list
     lengths: list
     answers: list
+    #: Of each item: the columns of its words, sorted, and how often it has each.
+    held: list
+    #: By number of words: sorted hashes of runs, and the item and place of each.
+    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _prepare(rows: list, space: LatentSpace, answer_words: int) -> _Items:
-    ids, vectors, owner, masks, lengths, answers = [], [], [], [], [], []
+    ids, vectors, owner, masks, lengths, answers, held, found = [], [], [], [], [], [], [], {}
     for row in rows:
         words = word_hashes(row["text"])
         if not len(words):
@@ -166,66 +181,134 @@ def _prepare(rows: list, space: LatentSpace, answer_words: int) -> _Items:
                 vectors.append(vector / norm)
                 owner.append(len(ids))
         answer = word_hashes(row["answer"]) if row["answer"] else words[-answer_words:]
+        size = min(GRAM, len(words))
+        hashes = grams(words, size)
+        found.setdefault(size, []).append((hashes, np.full(len(hashes), len(ids)), np.arange(len(hashes))))
         ids.append(row["item"])
         masks.append(_masks(words))
         lengths.append(len(words))
+        held.append(np.unique(space.columns(words), return_counts=True))
         answers.append((_masks(answer), len(answer)))
-    return _Items(ids, np.array(vectors, dtype=np.float32).reshape(-1, space.basis.shape[1]), np.array(owner, dtype=int), masks, lengths, answers)
+    runs = {}
+    for size, own in found.items():
+        hashes, item, place = (np.concatenate(c) for c in zip(*own, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        runs[size] = hashes[order], item[order].astype(np.int32), place[order].astype(np.int32)
+    return _Items(ids, np.array(vectors, dtype=np.float32).reshape(-1, space.basis.shape[1]), np.array(owner, dtype=int), masks, lengths, answers, held, runs)
+
+
+def _aligned(words: np.ndarray, items: _Items) -> list[tuple[int, int]]:
+    """(item, where it would start in the words) of each run of words that both have; the start can be negative."""
+    out: set[tuple[int, int]] = set()
+    for size, (hashes, item, place) in items.runs.items():
+        own = grams(words, size)
+        at = np.searchsorted(hashes, own)
+        hit = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == own)
+        upto = np.searchsorted(hashes, own[hit], side="right")
+        for where, lo, hi in zip(hit.tolist(), at[hit].tolist(), upto.tolist(), strict=True):
+            out.update(zip(item[lo:hi].tolist(), (where - place[lo:hi]).tolist(), strict=True))
+    return sorted(out)
+
+
+def _nearness(words: np.ndarray, space: LatentSpace, items: _Items, item: int) -> float:
+    """Cosine of some words to the nearest passage of an item, 0 where the latent space has none of either."""
+    at = space.columns(words)
+    vector = (space.basis[at] * space.weight[at, None]).sum(axis=0)
+    near = items.latent[items.owner == item] @ (vector / max(1e-12, np.linalg.norm(vector)))
+    return float(near.max()) if len(near) else 0.0
 
 
-def _leaks(words: np.ndarray, space: LatentSpace, items: _Items, mass: float, cosine: float, overlap: float, sure: float, answer: float) -> dict[int, tuple[float, float, float]]:
+def _leaks(words: np.ndarray, space: LatentSpace, items: _Items, cosine: float, overlap: float, sure: float, answer: float) -> dict[int, tuple[float, float, float]]:
     """(cosine, LCS share, answer share) of each item that leaks into the words of one document."""
     n, unknown = len(words), len(space.words)
-    if not n or not len(items.latent):
+    if not n or not items.ids:
         return {}
     at = space.columns(words)
-    square = space.weight[at] ** 2
-    whole = np.concatenate(([0.0], np.cumsum(square)))
-    known = np.concatenate(([0.0], np.cumsum(square * (at < unknown))))
+    known = np.concatenate(([0], np.cumsum(at < unknown)))
     starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
     ends = np.minimum(starts + WINDOW, n)
-    keep = known[ends] - known[starts] >= mass * (whole[ends] - whole[starts])
+    keep = known[ends] > known[starts]
     starts, ends = starts[keep], ends[keep]
     found: dict[int, tuple[float, float, float]] = {}
+
+    def check(item: int, region: np.ndarray) -> tuple[float, float] | None:
+        """(LCS share, answer share) if the item leaks into the region with a larger share than so far."""
+        length = items.lengths[item]
+        share = lcs_length(items.masks[item], length, region) / length
+        if share < overlap or share <= found.get(item, (0, 0, 0))[1]:
+            return None
+        masks, size = items.answers[item]
+        hit = lcs_length(masks, size, region) / size if size else 1.0
+        return (share, hit) if share >= sure or hit >= answer else None
+
     tail = np.concatenate((at, np.full(WINDOW, unknown)))
+    lengths, place = np.array(items.lengths), np.zeros(unknown + 1, dtype=int)
     for lo in range(0, len(starts), 256):
         some = starts[lo : lo + 256]
         columns = tail[some[:, None] + np.arange(WINDOW)]
         latent = np.einsum("ijk,ij->ik", space.basis[columns], space.weight[columns].astype(np.float32))
         latent /= np.maximum(1e-12, np.linalg.norm(latent, axis=1, keepdims=True))
         near = latent @ items.latent.T
-        for w, p in zip(*np.nonzero(near >= cosine), strict=True):
-            item = int(items.owner[p])
-            length = items.lengths[item]
-            around = max(0, length - PASSAGE) + 4
-            region = words[max(0, starts[lo + w] - around) : ends[lo + w] + around]
-            share = lcs_length(items.masks[item], length, region) / length
-            if share < overlap or share <= found.get(item, (0, 0, 0))[1]:
-                continue
-            masks, size = items.answers[item]
-            hit = lcs_length(masks, size, region) / size if size else 1.0
-            if share >= sure or hit >= answer:
-                found[item] = (float(near[w, p]), share, hit)
+        w, p = np.nonzero(near >= cosine)
+        if not len(w):
+            continue
+        # of several passages of an item that meet a window the first stands for all
+        once = np.sort(np.unique(w * len(items.ids) + items.owner[p], return_index=True)[1])
+        w, p = w[once], p[once]
+        owner = items.owner[p]
+        around = np.maximum(0, lengths[owner] - PASSAGE) + 4
+        first, last = np.maximum(0, starts[lo + w] - around), np.minimum(n, ends[lo + w] + around)
+        # a region with too few of the item's words can't have them in order
+        for item in np.unique(owner).tolist():
+            columns, counts = items.held[item]
+            mine = np.flatnonzero(owner == item)
+            place[columns] = np.arange(1, len(columns) + 1)
+            local = place[at]
+            place[columns] = 0
+            met = np.concatenate(([0], np.cumsum(local > 0)))
+            few = met[last[mine]] - met[first[mine]] < overlap * lengths[item] - 1e-6
+            first[mine[few]] = n
+            for i in mine[~few].tolist():
+                here = np.bincount(local[first[i] : last[i]], minlength=len(columns) + 1)[1:]
+                room = here if columns[-1] == unknown else np.minimum(here, counts)
+                if room.sum() < overlap * lengths[item] - 1e-6:
+                    first[i] = n
+        for i in np.flatnonzero(first < n).tolist():
+            item = int(owner[i])
+            scores = check(item, words[first[i] : last[i]])
+            if scores:
+                found[item] = (float(near[w[i], p[i]]), *scores)
+    near_by = set(found)
+    for item, start in _aligned(words, items):
+        if item in near_by:
+            continue
+        length = items.lengths[item]
+        around = length // 4 + 4
+        scores = check(item, words[max(0, start - around) : start + length + around])
+        if scores:
+            found[item] = (_nearness(words[max(0, start) : start + min(length, PASSAGE)], space, items, item), *scores)
     return found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id",
-          item_answer: str | None = None, mass: float = 0.15, cosine: float = 0.5, overlap: float = 0.6, sure: float = 0.8, answer: float = 0.6, answer_words: int = 8) -> DataFrame:
+          item_answer: str | None = None, cosine: float = 0.5, overlap: float = 0.6, sure: float = 0.8, answer: float = 0.6, answer_words: int = 8) -> DataFrame:
     """One row per document and item that leaks into it: key, item_key, cosine, lcs_share, answer_share.
 
-    A window with at least `mass` of its squared TF-IDF weight on benchmark words is compared with all passages; from
-    `cosine` on, the surrounding words must have at least `overlap` of the item's words in order, and either `sure` of
-    them or `answer` of the answer's words. The answer is the item_answer column or the item's last answer_words
+    A window with a benchmark word is compared with all passages; from `cosine` on, or where a run of GRAM words or a
+    whole shorter item occurs in the document, the surrounding words must have at least `overlap` of the item's words
+    in order, and either `sure` of them or `answer` of the answer's words. So no verbatim copy is lost, whatever its
+    length, its words and its surroundings; cosine is then that of the copy's first passage. The answer is the item_answer column or the item's last answer_words
     words. Null, empty and blank texts leak nothing and hold no leaks; repeated documents give repeated rows, items
     of equal text each their own rows; an empty table gives an empty result. Columns named as the result's are not
-    used otherwise. Benchmarks of more than BLOCK items are compared block by block.
+    used otherwise. Benchmarks of more than BLOCK / 4 items or 96 x BLOCK characters are compared block by block.
     """
     spark = docs.sparkSession
     space = fit(benchmark, docs, item_text, text)
     shared = spark.sparkContext.broadcast(space)
     kept = F.col(item_answer) if item_answer else F.lit(None).cast("string")
     items = benchmark.select(F.col(item_key).alias("item"), F.col(item_text).alias("text"), kept.alias("answer")).filter("text is not null")
-    blocks = max(1, -(-items.count() * 4 // BLOCK))
+    count, characters = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count * 4 // BLOCK), -(-characters // (96 * BLOCK)))
     kinds = dict(docs.dtypes)[key], dict(benchmark.dtypes)[item_key]
     schema = f"id {kinds[0]}, item {kinds[1]}, cosine double, lcs_share double, answer_share double"
     out = None
@@ -237,7 +320,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
             for batch in batches:
                 hits = []
                 for doc, body in zip(batch["id"], batch["text"], strict=True):
-                    found = _leaks(word_hashes(body), shared.value, prepared.value, mass, cosine, overlap, sure, answer)
+                    found = _leaks(word_hashes(body), shared.value, prepared.value, cosine, overlap, sure, answer)
                     hits += [(doc, prepared.value.ids[i], *score) for i, score in sorted(found.items())]
                 yield pd.DataFrame(hits, columns=["id", "item", "cosine", "lcs_share", "answer_share"])
 

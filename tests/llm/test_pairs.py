@@ -174,3 +174,21 @@ def test_leaks_are_found(spark):
     got = sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b).collect())
     assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (10, 2)]
     assert decontam.leaks(d, b.limit(0)).count() == 0 and decontam.leaks(d.limit(0), b).count() == 0
+
+
+def test_verbatim_leaks_are_found_whatever_surrounds_them(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 8)))
+    items = [" ".join(word("abcdefghij") for _ in range(n)) for n in (3, 6, 7, 16, 16)]
+    foreign = [word("pqrstuvwxyz") for _ in range(4000)]
+    filler = lambda n: " ".join(rng.choice(foreign) for _ in range(n))
+    known = lambda n: " ".join(rng.choice(" ".join(items).split()) for _ in range(n))
+    common = items[3].split()
+    docs = [(i, f"{known(60)} {items[i]} {known(60)}") for i in range(3)] + [(3, f"{filler(90)} {items[3]} {filler(90)}"), (4, filler(40) + " " + items[4])]
+    docs += [(100 + i, f"{filler(30)} {' '.join(rng.sample(common, 8))}") for i in range(300)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, i) for i in range(5)}
+    assert want <= {(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b).collect()}
+    monkeypatch.setattr(decontam, "MAX_WORDS", 4)
+    assert want <= {(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b).collect()}
+    assert decontam.leaks(d.filter("doc_id >= 100").select("doc_id", F.lit(filler(90)).alias("text")), b).count() == 0
