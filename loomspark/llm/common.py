@@ -19,6 +19,8 @@ _PLACE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0
 #: The six ASCII white-space bytes: space, tab, LF, VT, FF, CR.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Rows of a file of a small scratch table.
+ROWS_OF_A_FILE = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,16 +56,30 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """The same rows, read from a Parquet table."""
+    def keep(self, df: DataFrame, most: int | None = None) -> DataFrame:
+        """The same rows, read from a Parquet table; a small one has few files. most: a bound of the rows where one is known."""
+        if most is not None:
+            return self._written(df.coalesce(1 + most // ROWS_OF_A_FILE))
+        files = self._written(df)
+        wanted, first = 1 + files.count() // ROWS_OF_A_FILE, self.n
+        if len(files.inputFiles()) <= 4 * wanted:
+            return files
+        few = self._written(files.coalesce(wanted))
+        self._delete(f"{self.folder}/{first}")
+        return few
+
+    def _written(self, df: DataFrame) -> DataFrame:
         self.n += 1
         df.write.parquet(f"{self.folder}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
-    def __exit__(self, *_: object) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def __exit__(self, *_: object) -> None:
+        self._delete(self.folder)
+
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -142,8 +158,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pair = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     with Scratch(edges.sparkSession) as scratch:
-        keep = scratch.keep
-        live = keep(pair.filter("a is not null and b is not null and a < b").distinct())
+        live = scratch.keep(pair.filter("a is not null and b is not null and a < b").distinct())
+        most = 2 * live.count()
+        keep = lambda df: scratch.keep(df, most)
         links = live.select(F.col("b").alias("node"), F.col("a").alias("root")).limit(0)
         while not live.isEmpty():
             up = keep(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
@@ -158,4 +175,4 @@ def components(edges: DataFrame) -> DataFrame:
             left, right = up.select(F.col("node").alias("a"), F.col("root").alias("ra")), up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
             ends = live.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
             live = keep(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        return cut(links.unionByName(links.select(F.col("root").alias("node"), "root").distinct()))
+        return cut(links.unionByName(links.select(F.col("root").alias("node"), "root").distinct()).coalesce(1 + most // ROWS_OF_A_FILE))

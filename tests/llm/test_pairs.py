@@ -49,9 +49,10 @@ def brute(texts, k, percent):
     return [(i, len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("k", "threshold", "percent"), [(4, "0.85", 85), (5, "0.8", 80)])
-def test_components_equal_brute_force(spark, k, threshold, percent, monkeypatch):
+@pytest.mark.parametrize(("k", "threshold", "percent", "spare"), [(4, "0.85", 85, 40), (5, "0.8", 80, 8)])
+def test_components_equal_brute_force(spark, k, threshold, percent, spare, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 3)
+    monkeypatch.setattr(ngram_join, "SPARE", spare)
     texts = corpus()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("sig", F.lit("clash"))
     got = ngram_join.jaccard_components(df, k=k, threshold=threshold)
@@ -73,14 +74,27 @@ def test_spanning_pairs_join_what_all_pairs_join(spark):
         own[rng.choice(200, rng.integers(0, 12), replace=False)] = rng.integers(0, 2**63, 1)[0]
         sets.append(np.unique(own))
     limit = ngram_join.Fraction("0.85")
-    rows = [(-1, i, i, len(s), ngram_join.bitmap(s)) for i, s in enumerate(sets)]
-    none = np.empty(0, dtype=[("a", np.int64), ("b", np.int64)])
-    every = set(ngram_join._spanning(rows, limit, none, True))
-    some = set(ngram_join._spanning(rows, limit, none, False))
+    row = lambda i, no=None: (-1, i, i, len(sets[i]), ngram_join.bitmap(sets[i]), no)
+    every = set(ngram_join._spanning([row(i) for i in range(60)], limit, 60))
+    some = set(ngram_join._spanning([row(i) for i in range(60)], limit))
     linked = {(i, j) for i, j in itertools.combinations(range(60), 2) if len(np.intersect1d(sets[i], sets[j])) * 100 >= 85 * len(np.union1d(sets[i], sets[j]))}
     assert linked <= every and some <= every and len(some) < 60
-    refuted = np.array(sorted(some), dtype=none.dtype)
-    assert not some & set(ngram_join._spanning(rows, limit, refuted, False))
+    refuted = {i: [j for pair in some for j in pair if i in pair and j != i] for i in range(60)}
+    assert not some & set(ngram_join._spanning([row(i, refuted[i]) for i in range(60)], limit))
+
+
+def test_prefixes_share_as_many_shingles_as_they_must():
+    rng = np.random.default_rng(3)
+    limit = ngram_join.Fraction("0.85")
+    for _ in range(300):
+        a = rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64)
+        b = np.concatenate((a[: len(a) - int(rng.integers(0, 1 + len(a) // 8))], rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 8))).astype(np.uint64)))
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        if both * 100 >= 85 * (len(a) + len(b) - both):
+            size = [ngram_join._prefix_size(len(v), limit) for v in (a, b)]
+            met = len(np.intersect1d(a[: size[0]], b[: size[1]]))
+            assert met >= max(len(v) * 85 // (100 * ngram_join.SPARE) + 1 for v in (a, b))
 
 
 def test_components_of_a_path(spark):
