@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: The largest Arrow batch that goes to a Python worker at once: rows of very long texts come in small batches.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds the Arrow batches of what is run inside, and sets them back."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(before), BATCH_BYTES) if before.isdigit() and int(before) > 0 else BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a reliable checkpoint in the shared folder from now on.
 

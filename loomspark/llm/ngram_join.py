@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.llm.common import Scratch, components, cut, mix64, parts, shingles, signed, word_hashes
+from loomspark.llm.common import Scratch, components, cut, mix64, parts, shingles, signed, small_batches, word_hashes
 
 _U = np.uint64
 #: Rows of one side of a tile or members compared with one array in a task, bits of the widest bitmap, tasks of a frequent shingle.
@@ -229,24 +229,19 @@ def _maybe(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _arrays(texts: DataFrame, sets: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """(sig, v) of the chosen signatures: the sorted shingles as bytes; some sets repeatedly.
+    """(sig, v) of the chosen signatures and a few others: the sorted shingles as bytes; some sets repeatedly.
 
-    Only representatives of chosen sets are turned into arrays: filters of their keys and signatures pass over the rest.
+    Only representatives of chosen sets are turned into arrays: a filter of their keys passes over the rest.
     """
-    wanted = cut(sets.join(chosen, "sig", "left_semi").select("rep", "sig"))
-    held = texts.sparkSession.sparkContext.broadcast((_filter(wanted, "rep"), _filter(wanted, "sig")))
+    held = texts.sparkSession.sparkContext.broadcast(_filter(sets.join(chosen, "sig", "left_semi"), "rep"))
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [shingles(word_hashes(t), k) for t in batch["text"][_maybe(held.value[0], batch["place"].to_numpy())]]
+            found = [shingles(word_hashes(t), k) for t in batch["text"][_maybe(held.value, batch["place"].to_numpy())]]
             own = {signature(v): v.tobytes() for v in found if len(v)}
             yield pd.DataFrame({"sig": np.array(list(own), dtype=np.int64), "v": list(own.values())})
 
-    @F.pandas_udf("boolean")
-    def chosen_too(places: pd.Series) -> pd.Series:
-        return pd.Series(_maybe(held.value[1], places.to_numpy()))
-
-    return texts.select(_place("id").alias("place"), "text").mapInPandas(values, "sig long, v binary").filter(chosen_too(_place("sig")))
+    return texts.select(_place("id").alias("place"), "text").mapInPandas(values, "sig long, v binary")
 
 
 def _exact(pairs: DataFrame, arrays: DataFrame, threshold: Fraction) -> DataFrame:
@@ -375,19 +370,9 @@ def _extended(roots: DataFrame, links: DataFrame) -> DataFrame:
     return moved.unionByName(fresh.join(roots, "node", "left_anti"))
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, threshold: str = "0.85", sample_rows: int = 20000) -> DataFrame:
-    """One row per document: key, n_shingles, component_id (the least key reachable by links, its own included).
-
-    Words are runs without ASCII white space, A-Z lower-cased. Two documents link when the Jaccard similarity of their
-    sets of k-word shingles is at least threshold (decimal text, kept exact). A text with fewer words is one shingle;
-    a null, empty or blank text has an empty set, n_shingles 0, links with nothing and is its own component. Repeated
-    rows stay repeated rows. A null key is passed over by the minimum; such a row links through the keyed rows that
-    share its set. An empty table gives an empty result; other columns are not used. Very long texts are taken whole.
-    Only the order of prefixes depends on a sample; the result does not.
-    """
-    spark = docs.sparkSession
-    limit = Fraction(threshold)
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+def _joined(texts: DataFrame, k: int, limit: Fraction, sample_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of texts (id, text): (id, n, sig) of each, the least id of each set, and the components (node, root) of linked sets."""
+    spark = texts.sparkSession
     rows = cut(shingle_sets(texts, k))
     sets = cut(rows.filter("sig is not null").groupBy("sig").agg(F.min("id").alias("rep")))
     counted = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
@@ -421,7 +406,22 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             live = scratch.keep(live.join(proposed.join(wrong, ["a", "b"], "left_semi").select("key").distinct(), "key", "left_semi"))
             refuted = scratch.keep(refuted.union(wrong))
             forests *= 2
-        roots = cut(roots)
+        return rows, sets, cut(roots)
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, threshold: str = "0.85", sample_rows: int = 20000) -> DataFrame:
+    """One row per document: key, n_shingles, component_id (the least key reachable by links, its own included).
+
+    Words are runs without ASCII white space, A-Z lower-cased. Two documents link when the Jaccard similarity of their
+    sets of k-word shingles is at least threshold (decimal text, kept exact). A text with fewer words is one shingle;
+    a null, empty or blank text has an empty set, n_shingles 0, links with nothing and is its own component. Repeated
+    rows stay repeated rows. A null key is passed over by the minimum; such a row links through the keyed rows that
+    share its set. An empty table gives an empty result; other columns are not used. Very long texts are taken whole.
+    Only the order of prefixes depends on a sample; the result does not.
+    """
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    with small_batches(docs.sparkSession):
+        rows, sets, roots = _joined(texts, k, Fraction(threshold), sample_rows)
     owner = sets.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     named = owner.join(owner.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("sig", "component_id")
     return rows.join(named, "sig", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
