@@ -8,20 +8,28 @@ sketches among those that either has.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.llm.common import cut, parts
+from loomspark.llm.common import parts
 
-#: A piece: up to 12 characters without white space. K-mers are runs of K pieces.
-PIECE, K = r"\S{1,12}", 3
-_POSITION_BITS = 24
+_SIGN = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+_LETTER = rf"[^\s{_SIGN}]"
+#: A piece: one sign of a script that is written without blanks, or up to 12 other characters; longer words are cut
+#: after certain characters, so that an edit moves few cuts. K-mers are runs of K pieces.
+PIECE, K = rf"[{_SIGN}]|{_LETTER}{{1,12}}(?!{_LETTER})|{_LETTER}{{1,12}}?(?<=[aeiouAEIOU048])|{_LETTER}{{1,12}}", 3
+#: Texts of fewer characters have each character as a piece.
+SHORT = 64
+_POSITION_BITS = 32
 
 
 def _kmers(text: Column) -> Column:
     """Hashes of the k-mers of a text in order; one of the whole text if it has fewer pieces, none if it has none."""
-    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    pieces = F.when(F.length(text) < SHORT, F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)))
 
     def hashed(p: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.size(p) - K), lambda i: F.xxhash64(*[F.get(p, i + j) for j in range(K)]))
@@ -64,48 +72,51 @@ def likeness(one: str, other: str) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(one, other)) / either)
 
 
-def successors(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, kv, h, n, kv2, h2): each distinct row, its code points, and the row that follows it by key; after the last the first.
+def _ranges(rows: DataFrame, kind: str, ranges: int) -> tuple[Column, Column, int]:
+    """The range of each row by (some, kv, h), from 1, whether it is the first of its range, and the number of ranges.
 
-    kv and h name a row by its key and a hash of its text; rows of one key follow in the order of h, a null key comes
-    first. The rows are dealt by ranges; what passes between ranges is one row of each.
+    The least row of each range is all that reaches the driver; it is found over keys and hashes only.
     """
-    spark = docs.sparkSession
-    ids = docs.select(key, "kv", "h", F.length(text).cast("long").alias("n")).distinct()
-    ranged = cut(ids.repartitionByRange(parts(spark), F.col(key), F.col("h")).withColumn("p", F.spark_partition_id()))
-    follows = F.lead(F.struct("kv", "h")).over(Window.partitionBy("p").orderBy(F.col(key).asc_nulls_first(), "h"))
-    heads = ranged.groupBy("p").agg(F.min(F.struct(F.col(key).isNotNull().alias("some"), F.col(key).alias("k"), F.col("h").alias("h"), F.col("kv").alias("kv"))).alias("head"))
-    order = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    turn = F.coalesce(F.lead("head").over(Window.orderBy("p")), F.first("head").over(order))
-    after = heads.select("p", F.struct(turn["kv"].alias("kv"), turn["h"].alias("h")).alias("after"))
-    linked = ranged.withColumn("follows", follows).join(F.broadcast(after), "p")
-    target = F.coalesce("follows", "after")
-    return linked.select(key, "kv", "h", "n", target["kv"].alias("kv2"), target["h"].alias("h2"))
+    order = F.struct("some", "kv", "h")
+    dealt = rows.select("some", "kv", "h").repartitionByRange(ranges, "some", "kv", "h")
+    least = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min(order).alias("low")).select(F.to_json("low").alias("low")).collect()
+    low = sorted((json.loads(r["low"]) for r in least), key=lambda r: (r["some"], r["kv"], r["h"]))
+    table = F.from_json(F.lit(json.dumps(low)), f"array<struct<some:boolean,kv:{kind},h:bigint>>")
+    width = max(1, math.isqrt(len(low)))
+    coarse = F.from_json(F.lit(json.dumps(low[::width])), f"array<struct<some:boolean,kv:{kind},h:bigint>>")
+    upto = lambda a: F.size(F.filter(a, lambda b: b <= order))
+    before = (F.greatest(upto(coarse), F.lit(1)) - 1) * width
+    number = before + upto(F.slice(table, before + 1, F.lit(width)))
+    return number, F.get(table, F.col("range") - 1) == order, len(low)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", sketches: int = 64, share: int = 4) -> DataFrame:
     """Fingerprints of every document, of an edited copy and of the next document.
 
     Returns key, n_chars, edited_sha256, sketch, edited_sketch, next_sketch. The edit puts the first n_chars // share code
-    points of the next document by key (or all it has) in the place of the last ones. Null texts count as empty; equal
-    texts have equal fingerprints. Rows that repeat both key and text give one row; rows of one key and different
-    texts are documents of their own. A single document follows itself; an empty table gives an empty result; other
-    columns are not used.
+    points of the next document by key (or all it has) in the place of the last ones; rows of one key follow in the
+    order of a hash of their text, a null key comes first, after the last row comes the first. Null texts count as
+    empty; equal texts have equal fingerprints; repeated rows stay repeated rows. A single document follows itself; an
+    empty table gives an empty result; very long texts are taken whole; other columns are not used.
+
+    Texts move once, dealt by ranges of the key; each range has the first row of the next as a guest.
     """
     kind = dict(docs.dtypes)[key]
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), body.alias("text"))
-    rows = rows.select("key", F.coalesce(F.col("key"), F.lit(0).cast(kind)).alias("kv"), F.xxhash64("text", F.col("key").isNull()).alias("h"), "text")
-    chain = cut(successors(rows, "text", "key"))
-    held = rows.select("kv", "h", "text").repartition(4 * parts(docs.sparkSession), "kv", "h").dropDuplicates(["kv", "h"])
-    wanted = chain.select(F.col("kv").alias("kv1"), F.col("h").alias("h1"), F.floor(F.col("n") / share).cast("int").alias("take"), F.col("kv2").alias("kv"), F.col("h2").alias("h"))
-    heads = held.join(wanted, ["kv", "h"]).select(F.col("kv1").alias("kv"), F.col("h1").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("take")).alias("head"))
+    rows = docs.select(F.col(key).isNotNull().alias("some"), F.coalesce(F.col(key), F.lit(0).cast(kind)).alias("kv"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.select("some", "kv", F.xxhash64("text").alias("h"), "text")
+    number, first, ranges = _ranges(rows, kind, 4 * parts(docs.sparkSession))
+    placed = rows.withColumn("range", number)
+    guests = placed.filter(first).dropDuplicates(["range"]).withColumn("range", F.when(F.col("range") == 1, ranges).otherwise(F.col("range") - 1))
+    both = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    order = Window.partitionBy("range").orderBy("guest", "some", "kv", "h")
+    dealt = both.repartition(max(1, ranges), "range")
+    linked = dealt.select("*", F.row_number().over(order).alias("nth"), F.lead("text").over(order).alias("after"))
     n = F.length("text")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / share).cast("int")), F.col("head"))
-    both = held.join(heads, ["kv", "h"]).select("kv", "h", "text", edited.alias("edited"))
-    versions = both.select("kv", "h", F.posexplode(F.array("text", "edited")).alias("v", "t"))
-    marks = sketch(versions, ["kv", "h", "v"], "t", sketches).groupBy("kv", "h").agg(*[F.max(F.when(F.col("v") == v, F.col("sketch"))).alias(name) for v, name in ((0, "sketch"), (1, "edited_sketch"))])
-    done = cut(marks.join(both.select("kv", "h", F.sha2("edited", 256).alias("edited_sha256")), ["kv", "h"]))
-    after = done.select(F.col("kv").alias("kv2"), F.col("h").alias("h2"), F.col("sketch").alias("next_sketch"))
-    out = chain.join(done, ["kv", "h"]).join(after, ["kv2", "h2"])
+    taken = F.floor(n / share).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - taken), F.substring(F.col("after"), F.lit(1), taken))
+    versions = linked.select("range", "nth", F.posexplode(F.when(F.col("guest"), F.array("text")).otherwise(F.array(F.col("text"), edited))).alias("v", "t"))
+    marks = sketch(versions, ["range", "nth", "v"], "t", sketches).groupBy("range", "nth").agg(*[F.max(F.when(F.col("v") == v, F.col("sketch"))).alias(name) for v, name in ((0, "sketch"), (1, "edited_sketch"))])
+    marks = marks.withColumn("next_sketch", F.lead("sketch").over(Window.partitionBy("range").orderBy("nth")))
+    facts = linked.filter(~F.col("guest")).select("range", "nth", F.when(F.col("some"), F.col("kv")).alias("key"), n.cast("long").alias("n"), F.sha2(edited, 256).alias("edited_sha256"))
+    out = facts.join(marks, ["range", "nth"])
     return out.select(F.col("key").alias(key), F.col("n").alias("n_chars"), "edited_sha256", "sketch", "edited_sketch", "next_sketch")
