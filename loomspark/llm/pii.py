@@ -1,14 +1,16 @@
 """Personal data: fixed formats, and identifiers that bootstrapped contextual patterns discover.
 
-Spans of the fixed formats and a few seed cues label candidate identifiers (unbroken strings with a digit). Each
-candidate occurs with lexical patterns: the word and marks on its left, and its own leading letters with its shape.
-Over the graph of patterns and candidate strings Spark scores patterns by the share of known strings among all their
-distinct strings, and strings by their best pattern, for a few rounds; the patterns that stay confident mark strings
-no fixed format knows.
+Seed entities are the spans of the fixed formats and strings that mix letters and digits as generated keys do. Seeds
+induce patterns: the word and the marks on the left of an instance (`pass-code: "`), or an instance's own beginning and
+shape. Over the graph of patterns and instances Spark scores patterns by the share of known instances among all their
+distinct instances, and instances by their best pattern, for a few rounds. Whatever stands in a pattern that stays
+confident is found, whether it looks like a seed or not; a seed outside of all confident patterns is not, unless a
+fixed format has it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -20,20 +22,25 @@ from loomspark.llm.common import cut
 
 #: Kinds in the order of results; the last is what only patterns find.
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Fixed formats, as given.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: Fixed formats, as given. Possessive where that can't change a match, so that long runs are read once.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Seeds of the kind secret: a value assigned to one of these words, and the format of one kind of access key.
-CUE = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?\Z")
-ACCESS_KEY = re.compile(r"AKIA[0-9A-Z]{16}\Z")
 
-_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-_DIGITS = re.compile(r"[0-9]+")
-_LEFT = re.compile(r"([^\W\d_]{0,24})([^\w\n]{0,6})\Z")
-_BODY = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_@.+/-")
-_ENDS = "._+/-@"
+#: What may stand between a word and the value it names: quotes and blanks around one of these signs.
+_NAMED = re.compile(r"[:=]")
+_BEFORE = re.compile(r"([^\W\d_](?:[\w.-]{0,39}[^\W_])?)[\"']?\Z")
+_AFTER = re.compile(r"[:=>]{1,2}[^\S\n]{0,3}([\"'`]?)")
+_NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().\-/]{0,3}[0-9])*+")
+_PLAIN = re.compile(r"[^\s\"'`<>|,;&]++")
+_ADDRESS = re.compile(r"[A-Za-z]{2,12}://")
+#: Strings that may be generated keys: letters and digits, 16 or more, that change over often.
+_KEY = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+")
+_CHANGE = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
+#: Names of values that look like keys and are none.
+DIGESTS = frozenset("sha sha1 sha256 sha512 md5 commit checksum digest hash etag uuid guid revision rev crc integrity isbn doi".split())
 
 
 def luhn(digits: str) -> bool:
@@ -44,17 +51,30 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Each @ in turn: the characters before it that the format allows, as far as the last match ended, and a domain after it."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        found = _DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            yield start, found.end()
+        done = found.end() if found else at + 1
+        at = text.find("@", done)
+
+
+def _octet(part: str) -> bool:
+    digits = part.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and int(digits) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the fixed formats, by kind, then start; leftmost and non-overlapping within a kind."""
-    out = []
-    if "@" in text:
-        for run in _RUN.finditer(text):
-            if "@" in run[0]:
-                out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text, run.start(), run.end())]
-    if _DIGITS.search(text) is None:
-        return out
+    out = [(0, *span) for span in _emails(text)]
     if "." in text:
-        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(map(_octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -65,44 +85,69 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _shape(value: str) -> str:
-    kinds = "".join(sorted({"9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in value}))
-    return f"{kinds}{len(value)}"
+def like_key(value: str) -> bool:
+    """Whether a string changes between letters and digits as often as generated keys do: once in six characters at least."""
+    return 6 * sum(1 for _ in _CHANGE.finditer(value)) >= len(value)
+
 
+def _identity(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-def candidates(text: str, known: list[tuple[int, int, int]], least: int = 8) -> list[tuple[str, list[str], int, int, int]]:
-    """(string, patterns, start, end, seed kind or -1) of the unbroken strings with a digit and at least `least` characters."""
-    out, done = [], 0
-    for digits in _DIGITS.finditer(text):
-        if digits.start() < done:
+
+def instances(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, list[str], int, int, int]]:
+    """(identity, patterns, start, end, seed kind or -1) of what patterns may find.
+
+    These are the values that a word names with : or = (in quotes as a whole, else up to a blank), as
+    number or as other value, and strings like keys wherever they stand. The patterns of numbers and of other values
+    differ, so a number is never taken for a secret, nor a word for a number.
+    """
+    out, taken = [], set()
+    numbers = {(a, b): k for k, a, b in known if k in (1, 2, 3)}
+    starts = {a: (a, b) for a, b in sorted(numbers)}
+
+    def own(value: str) -> list[str]:
+        letters = re.match(r"[A-Za-z]{3,4}", value)
+        shape = "".join(sorted({"9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in value}))
+        return [f"own {letters[0]} {shape}{len(value)}"] if letters and like_key(value) else []
+
+    done = 0
+    for sign in _NAMED.finditer(text):
+        at = sign.start()
+        if at < done:
             continue
-        start, end = digits.span()
-        while start > done and text[start - 1] in _BODY:
-            start -= 1
-        while end < len(text) and text[end] in _BODY:
-            end += 1
-        done = end
-        while start < end and text[start] in _ENDS:
-            start += 1
-        while end > start and text[end - 1] in _ENDS:
-            end -= 1
-        if end - start < least or end - start > 256:
+        back = at
+        while back > 0 and at - back < 3 and text[back - 1] in " \t":
+            back -= 1
+        name = _BEFORE.search(text, max(0, back - 48), back)
+        opened = _AFTER.match(text, at)
+        if not name or (start := opened.end()) >= len(text):
+            continue
+        pattern = f"{name[1].lower()} {''.join(text[at:start].split())}"
+        number = _NUMBER.match(text, start)
+        if start in starts or number and sum(c.isdigit() for c in number[0]) >= 7 and (number.end() == len(text) or not text[number.end()].isalnum()):
+            start, done = starts.get(start) or number.span()
+            out.append((_identity(text[start:done]), [f"number {pattern}"], start, done, numbers.get((start, done), -1)))
             continue
-        value = text[start:end]
-        left = _LEFT.search(text, max(0, start - 32), start)
-        patterns = [f"left {left[1].lower()}{left[2]}"] if left[1] or left[2].strip() else []
-        letters = re.match(r"[A-Za-z]{3,6}", value)
-        if letters:
-            patterns.append(f"own {letters[0][:4]} {_shape(value)}")
-        seed = next((k for k, a, b in known if a < end and start < b), -1)
-        if seed < 0 and (CUE.search(text, max(0, start - 32), start) or ACCESS_KEY.match(value)):
-            seed = 4
-        out.append((value, patterns, start, end, seed))
+        if opened[1]:
+            end = text.find(opened[1], start)
+            end = -1 if text.find("\n", start, max(start, end)) >= 0 else end
+        else:
+            plain = _PLAIN.match(text, start)
+            whole = plain[0].split("?", 1)[0] if plain and _ADDRESS.match(plain[0]) else plain[0] if plain else ""
+            end = start + len(whole.rstrip(".:!?)]}"))
+        if end > start:
+            value, done = text[start:end], end
+            seed = len(KINDS) - 1 if _KEY.fullmatch(value) and like_key(value) and name[1].lower() not in DIGESTS else -1
+            taken.add(start)
+            out.append((_identity(value), [f"value {pattern}", *own(value)], start, end, seed))
+    for m in _KEY.finditer(text):
+        if m.start() not in taken and (patterns := own(m[0])):
+            out.append((_identity(m[0]), patterns, m.start(), m.end(), -1))
     return out
 
 
 _SPAN = "struct<kind:int,start:int,end:int>"
-_CAND = "struct<value:string,patterns:array<string>,start:int,end:int,seed:int>"
+_CAND = "struct<value:long,patterns:array<string>,start:int,end:int,seed:int>"
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -113,48 +158,51 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
             texts = [t or "" for t in batch["text"]]
             base = [base_spans(t) for t in texts]
             names, fields = ("kind", "start", "end"), ("value", "patterns", "start", "end", "seed")
-            found = [[dict(zip(fields, c, strict=True)) for c in candidates(t, b)] for t, b in zip(texts, base, strict=True)]
+            found = [[dict(zip(fields, c, strict=True)) for c in instances(t, b)] for t, b in zip(texts, base, strict=True)]
             yield pd.DataFrame({"id": batch["id"], "body": batch["body"], "base": [[dict(zip(names, s, strict=True)) for s in b] for b in base], "candidates": found})
 
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
     return rows.mapInPandas(each, f"id {dict(docs.dtypes)[key]}, body long, base array<{_SPAN}>, candidates array<{_CAND}>")
 
 
-def score_patterns(occurrences: DataFrame, rounds: int = 3, confidence: float = 0.75, support: int = 4) -> DataFrame:
+def score_patterns(occurrences: DataFrame, rounds: int = 3, confidence: float = 0.75, support: int = 3) -> DataFrame:
     """(pattern, kind, score) of the confident patterns.
 
-    A pattern's score for a kind is the summed score of its strings of that kind over its number of distinct strings
-    plus one. Patterns with fewer than `support` distinct strings, or a lower score than `confidence`, don't count.
+    A pattern's score for a kind is the summed score of its instances of that kind over its number of distinct instances
+    plus one. Patterns with fewer than `support` distinct instances, or a lower score than `confidence`, don't count.
+    Seeds speak for names only: an instance's own shape counts once other patterns have confirmed instances of it.
     """
     edges = cut(occurrences.select(F.explode("patterns").alias("pattern"), "value").distinct())
     size = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
     seeds = occurrences.filter("seed >= 0").groupBy("value", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("score"))
-    known, scored = seeds, None
+    shaped = F.startswith("pattern", F.lit("own "))
+    confirmed, scored = None, None
     for _ in range(rounds):
-        mass = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
-        scored = mass.join(size, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("score"))
+        mass = edges.filter(~shaped).join(seeds if confirmed is None else confirmed.unionByName(seeds).groupBy("value", "kind").agg(F.max("score").alias("score")), "value")
+        if confirmed is not None:
+            mass = mass.unionByName(edges.filter(shaped).join(confirmed, "value"))
+        sums = mass.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
+        scored = sums.join(size, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("score"))
         scored = cut(scored.filter(F.col("score") >= confidence))
-        drawn = edges.join(scored, "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"))
-        known = drawn.unionByName(seeds).groupBy("value", "kind").agg(F.max("score").alias("score"))
+        confirmed = edges.join(scored, "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"))
     return scored
 
 
-def find(docs: DataFrame, text: str = "text", key: str = "doc_id", rounds: int = 3, confidence: float = 0.75, support: int = 4) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", key: str = "doc_id", rounds: int = 3, confidence: float = 0.75, support: int = 3) -> DataFrame:
     """One row per document: id, body, base and spans, arrays of (kind, start, end) with kind an index into KINDS.
 
-    Positions are code points, ends exclusive; spans holds base and, where nothing of base overlaps them, the strings
-    found by seeds or confident patterns, sorted by kind, then start. Null and empty texts have no spans. Repeated
-    rows stay repeated rows with the same spans; a null id is an id like others. An empty table gives an empty result;
-    other columns aren't used.
+    Positions are code points, ends exclusive; spans holds base and, where nothing of base overlaps them, the instances
+    in confident patterns, of the best pattern's kind (of equal scores the later kind), sorted by kind, then start. Null
+    and empty texts have no spans; very long texts are read whole, in time that grows with their length. Repeated rows
+    stay repeated rows with the same spans; a null id is an id like others. An empty table gives an empty result; other
+    columns aren't used.
     """
     rows = cut(scan(docs, text, key))
     occurrences = rows.select("id", "body", "base", F.explode("candidates").alias("c")).select("id", "body", "base", "c.*")
     patterns = score_patterns(occurrences, rounds, confidence, support)
     free = occurrences.filter(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
-    keyed = free.select("id", "body", "start", "end", "seed", F.explode("patterns").alias("pattern"))
-    by_pattern = keyed.join(patterns, "pattern").select("id", "body", "start", "end", "kind", "score")
-    by_seed = free.filter("seed >= 0").select("id", "body", "start", "end", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
-    best = by_pattern.unionByName(by_seed).groupBy("id", "body", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
+    keyed = free.select("id", "body", "start", "end", F.explode("patterns").alias("pattern"))
+    best = keyed.join(patterns, "pattern").groupBy("id", "body", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
     added = best.groupBy("id", "body").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("added"))
     added = added.select(F.col("id").alias("id2"), F.col("body").alias("body2"), "added")
     joined = rows.join(added, F.col("id").eqNullSafe(F.col("id2")) & (F.col("body") == F.col("body2")), "left")
@@ -186,6 +234,8 @@ def mask(docs: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_
             out.append("".join([*pieces, body[at:]]))
         return pd.Series(out, dtype=object)
 
-    marks = found.filter(F.size("spans") > 0).select(F.col("id").alias("_id"), F.col("body").alias("_body"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_body"])
-    both = docs.join(marks, docs[key].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_body")), "left")
-    return both.withColumn(text, F.when(F.col("_spans").isNotNull(), cover(F.col(text), F.col("_spans"))).otherwise(F.col(text))).select(*docs.columns)
+    marks = found.filter(F.size("spans") > 0).select("id", "body", "spans").dropDuplicates(["id", "body"])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("of"), F.xxhash64(text).alias("hash"))
+    both = rows.join(marks, F.col("of").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("body")), "left")
+    covered = F.when(F.col("spans").isNotNull(), cover(F.col("row")[text], F.col("spans"))).otherwise(F.col("row")[text])
+    return both.select(*[covered.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

@@ -78,6 +78,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), *[count(k) for k in ("email", "ip", "card", "phone")],
         F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"] == pii.KINDS.index("secret"))).cast("long").alias("n_secret"),
     )
 
 
