@@ -1,8 +1,13 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-Each block has a cost for being content and one for being boilerplate, from its text and its place in the document;
-neighbouring blocks and blocks of one parent are tied by edges that are stronger the closer they lie in the tree. The
-minimum cut between content and boilerplate labels all blocks of a page together.
+Each block has a cost for being content and one for being boilerplate: the log odds of a logistic regression over its
+text, and bounded evidence of the names around it. Neighbouring blocks and blocks of one parent are tied by edges that
+are stronger the closer they lie in the tree. The minimum cut between content and boilerplate labels all blocks of a
+page together; both kinds of evidence are of the edges' scale, so blocks that say little by themselves, such as short
+lines, headings and captions, go with their surroundings.
+
+The regression is learned from the pages themselves: blocks inside article or main elements against blocks inside
+elements that are boilerplate by their tag or names. It sees no names, so it also serves pages that have none.
 """
 
 from __future__ import annotations
@@ -15,9 +20,13 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.common import cut
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr".split())
 #: Elements whose text is never shown as text of the page.
@@ -137,29 +146,81 @@ def blocks_of(html: str) -> list[Block]:
     return parser.blocks
 
 
-def evidence(block: Block) -> float:
-    """Log odds that a block is content, from its own text and place."""
-    words = block.text.count(" ") + 1
-    odds = -2.5 + 0.9 * math.log(words) - 5.0 * min(1.0, block.link_chars / len(block.text))
-    odds += 1.0 if _SENTENCE.search(block.text) else 0.0
-    odds += 4.0 if block.node.main else 0.0
-    odds -= 3.0 if "©" in block.text or block.text.lower().startswith("copyright") else 0.0
-    odds -= 14.0 if block.node.bad or block.node.worse else 0.0
-    return odds
+#: What the regression sees of a block's text.
+FEATURES = ("log_words", "link_share", "sentence", "commas_a_word", "capital_share", "copyright")
+#: Bound of the regression's log odds; evidence of a main element around a block, of one elsewhere on the page, and of boilerplate names.
+TEXT_BOUND, INSIDE, OUTSIDE, NAMED = 2.5, 2.0, -1.5, -8.0
+
+
+@dataclass(frozen=True)
+class Costs:
+    """Log odds that a block is content, from its text: an intercept and a weight for each of FEATURES."""
+
+    intercept: float = -2.5
+    weights: tuple[float, ...] = (0.9, -5.0, 1.0, 1.0, -0.5, -3.0)
+
+    def of(self, values: list[float]) -> float:
+        odds = self.intercept + sum(w * v for w, v in zip(self.weights, values, strict=True))
+        return max(-TEXT_BOUND, min(TEXT_BOUND, odds))
+
 
+def features(block: Block) -> list[float]:
+    text = block.text
+    words = text.count(" ") + 1
+    return [
+        math.log(words), min(1.0, block.link_chars / len(text)), float(bool(_SENTENCE.search(text))), min(1.0, text.count(",") / words),
+        sum(map(str.isupper, text)) / len(text), float("©" in text or text.lower().startswith("copyright")),
+    ]
 
-def _nearness(a: _Node, b: _Node, reach: int = 6) -> float:
-    """1 for one parent, halved with each step up to the common ancestor."""
-    steps = 0
-    while a is not b and steps < reach:
+
+def evidence(blocks: list[Block], costs: Costs) -> list[float]:
+    """Log odds of each block of a page by itself: its text's, and what the names around it say."""
+    whole = any(b.node.main for b in blocks)
+    place = lambda n: (INSIDE if n.main else OUTSIDE if whole else 0.0) + (NAMED if n.bad or n.worse else 0.0)
+    return [costs.of(features(b)) + place(b.node) for b in blocks]
+
+
+def fit(pages: DataFrame, html: str = "html", max_pages: int = 2000) -> Costs:
+    """Learns the regression from about max_pages pages at most, chosen by a hash of the page.
+
+    A block inside an article or main element and under no boilerplate name counts as content, one under a boilerplate
+    name as boilerplate, others are left out. Without blocks of both kinds the default weights are returned.
+    """
+    total = pages.count()
+    drawn = pages.select(F.col(html).alias("html")).filter(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < F.lit(1_000_000 * min(1.0, max_pages / max(1, total))))
+
+    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for block in (b for page in batch["html"] if page for b in blocks_of(page)):
+                named = block.node.bad or block.node.worse
+                if named or block.node.main:
+                    rows.append((features(block), float(not named)))
+            yield pd.DataFrame(rows, columns=["x", "label"])
+
+    seen = cut(drawn.mapInPandas(labelled, "x array<double>, label double"))
+    if seen.select("label").distinct().count() < 2:
+        return Costs()
+    found = LogisticRegression(featuresCol="features", maxIter=60, regParam=0.01, standardization=False).fit(seen.select(array_to_vector("x").alias("features"), "label"))
+    return Costs(round(found.intercept, 3), tuple(round(float(w), 3) for w in found.coefficients))
+
+
+#: Weight of an edge between neighbouring blocks by the steps between their elements in the tree, and of edges further on.
+NEAR, FAR = (1.5, 1.2, 1.2, 0.4), 0.2
+
+
+def _weight(a: _Node, b: _Node) -> float:
+    """Blocks of one element or of sibling elements are tied closely, others the less the further up they meet."""
+    for weight in NEAR:
+        if a is b:
+            return weight
         if a.depth >= b.depth:
             a = a.parent
         else:
             b = b.parent
-        steps += 1
         if a is None or b is None:
-            return 0.0
-    return 0.5**steps if a is b else 0.0
+            break
+    return FAR
 
 
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -217,33 +278,42 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
     return label
 
 
-def main_text(html: str | None) -> str:
-    """The content blocks of a page, in order, joined by single blanks."""
-    if not html:
-        return ""
-    blocks = blocks_of(html)
-    edges = [(i, i + 1, 0.3 + 1.2 * _nearness(blocks[i].node, blocks[i + 1].node)) for i in range(len(blocks) - 1)]
+def ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges between neighbouring blocks, and from each block to the last one before its neighbour that has the same parent."""
+    edges = [(i, i + 1, _weight(blocks[i].node, blocks[i + 1].node)) for i in range(len(blocks) - 1)]
     last: dict[int, int] = {}
     for i, block in enumerate(blocks):
         family = id(block.node.parent)
         if family in last and last[family] < i - 1:
             edges.append((last[family], i, 0.5))
         last[family] = i
-    labels = min_cut([evidence(b) for b in blocks], edges)
+    return edges
+
+
+def main_text(html: str | None, costs: Costs | None = None) -> str:
+    """The content blocks of a page, in order, joined by single blanks."""
+    if not html:
+        return ""
+    blocks = blocks_of(html)
+    labels = min_cut(evidence(blocks, costs or Costs()), ties(blocks))
     return " ".join(b.text for b, content in zip(blocks, labels, strict=True) if content)
 
 
-def extracted(html: str | Column) -> Column:
+def extracted(html: str | Column, costs: Costs | None = None) -> Column:
     """Main text of a column of pages; '' for null, empty and pages without content."""
 
     @F.pandas_udf("string")
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
-            yield pd.Series([main_text(p) for p in pages], dtype=object)
+            yield pd.Series([main_text(p, costs) for p in pages], dtype=object)
 
     return extract(html)
 
 
-def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
-    """pages with the main text in the column `into` (replaced if there is one); rows and other columns stay as they are."""
-    return pages.withColumn(into, extracted(html))
+def extract(pages: DataFrame, html: str = "html", into: str = "text", costs: Costs | None = None) -> DataFrame:
+    """pages with the main text in the column `into` (replaced if there is one); rows and other columns stay as they are.
+
+    Null, empty and malformed pages give the text that is left of them, '' at least. Pages of any length are taken
+    whole. Where both labels cost the same, a block is left out. An empty table gives an empty result.
+    """
+    return pages.withColumn(into, extracted(html, costs))

@@ -21,7 +21,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    text = html_extract.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = html_extract.extract(pages, costs=html_extract.fit(pages)).drop("html")
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -185,6 +185,43 @@ def test_main_text(spark):
     assert got[1]["text"] == "" and got[2]["text"] == ""
 
 
+def test_neighbours_overturn_what_a_block_says_itself():
+    long = "This paragraph says a great deal about the matter, and it does so in several whole sentences. It goes on."
+    page = f"<body><div><p>{long}</p><p>Fig 3</p><p>{long}</p></div><div><a href=x>Home</a></div><div><a href=y>More</a></div></body>"
+    blocks = html_extract.blocks_of(page)
+    own = html_extract.evidence(blocks, html_extract.Costs())
+    labels = html_extract.min_cut(own, html_extract.ties(blocks))
+    assert own[1] < 0 and labels == [True, True, True, False, False]
+    assert html_extract.main_text(page) == f"{long} Fig 3 {long}"
+
+
+def test_whole_pages_equal_the_cheapest_labelling(spark):
+    rng = random.Random(12)
+    tags = ["<p>{}</p>", "<div class=ad>{}</div>", "<li><a href=x>{}</a></li>", "<h2>{}</h2>", "<article>{}</article>", "<footer>{}</footer>", "<span>{}</span><br>"]
+    words = lambda: " ".join(rng.choice(["One", "two,", "three.", "four", "© five"]) for _ in range(rng.randrange(1, 12)))
+    pages = ["".join(rng.choice(tags).format(words()) for _ in range(rng.randrange(1, 10))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    costs = html_extract.fit(df)
+    assert costs != html_extract.Costs()
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df, costs=costs).collect()}
+    for i, page in enumerate(pages):
+        blocks = html_extract.blocks_of(page)
+        own, ties = html_extract.evidence(blocks, costs), html_extract.ties(blocks)
+        best, cost = brute_cut(own, ties)
+        kept = [b.text for b in blocks]
+        texts = {" ".join(t for t, c in zip(kept, label, strict=True) if c) for label in itertools.product((False, True), repeat=len(blocks)) if cost(label) < best + 1e-6}
+        assert got[i] in texts
+
+
+def test_pages_of_every_kind(spark):
+    long = "<article>" + "<p>word and word.</p>" * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, long), (2, None), (3, ""), (4, "<p>"), (4, "<p>")], "page_id long, html string").withColumn("text", F.lit("clash")).withColumn("x", F.lit(1))
+    got = html_extract.extract(df, costs=html_extract.fit(df))
+    rows = got.collect()
+    assert got.columns == df.columns and len(rows) == 5 and {len(r["text"]) for r in rows} == {0, 15 * 20_000 - 1}
+    assert html_extract.fit(df.limit(0)) == html_extract.Costs() and html_extract.extract(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("split", [1, 7, 100, 10_000])
 def test_split_reader_owns_each_record_once(split):
     inner = warc.member("response", "<urn:x:inner>", None, None, b"inner", "d", content="text/plain")
