@@ -23,8 +23,9 @@ _U = np.uint64
 PASSAGE, WINDOW, STRIDE = 16, 32, 16
 #: Words of a run that makes a candidate by itself.
 GRAM = 5
-#: Bounds: words of the latent space, its rank, rows of one summed slice, passages compared in one pass.
-MAX_WORDS, MAX_RANK, SLICE, BLOCK = 32768, 128, 1024, 65536
+#: Words with a row of their own in the latent space, rows that all further words share, the rank, rows of one summed
+#: slice, passages compared in one pass, blocks of STRIDE words projected at once.
+OWN_ROWS, SHARED_ROWS, MAX_RANK, SLICE, BLOCK, BLOCKS = 32768, 32768, 128, 1024, 65536, 2048
 
 
 def passages(words: np.ndarray) -> list[np.ndarray]:
@@ -63,16 +64,34 @@ def _masks(words: np.ndarray) -> dict[int, int]:
 
 @dataclass
 class LatentSpace:
-    """Sorted benchmark words, their weights (the last for unknown words), and the word rows of the latent basis."""
+    """Sorted benchmark words, the row of each, the rows' weights and their part of the latent basis; the last row is for unknown words."""
 
     words: np.ndarray
+    row: np.ndarray
     weight: np.ndarray
     basis: np.ndarray
 
+    @property
+    def unknown(self) -> int:
+        return len(self.weight) - 1
+
     def columns(self, words: np.ndarray) -> np.ndarray:
-        """Column of each word, len(self.words) for unknown ones."""
-        at = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
-        return np.where(self.words[at] == words, at, len(self.words)) if len(self.words) else np.zeros(len(words), dtype=int)
+        """Row of each word."""
+        if not len(self.words):
+            return np.zeros(len(words), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.row[at], self.unknown)
+
+    def project(self, columns: np.ndarray) -> np.ndarray:
+        """The sum of the weighted rows."""
+        return (self.basis[columns] * self.weight[columns, None]).sum(axis=0)
+
+    def windows(self, columns: np.ndarray) -> np.ndarray:
+        """Unit vectors of the windows of WINDOW words that begin every STRIDE words; each row is read once."""
+        weighted = self.basis[columns] * self.weight[columns, None].astype(np.float32)
+        sums = np.add.reduceat(weighted, np.arange(0, len(columns), STRIDE), axis=0)
+        out = sums[:-1] + sums[1:] if len(sums) > 1 else sums
+        return out / np.maximum(1e-12, np.linalg.norm(out, axis=1, keepdims=True))
 
 
 def document_frequency(docs: DataFrame, words: np.ndarray, text: str) -> tuple[np.ndarray, int]:
@@ -98,9 +117,9 @@ def document_frequency(docs: DataFrame, words: np.ndarray, text: str) -> tuple[n
 def fit(benchmark: DataFrame, docs: DataFrame, item_text: str = "text", text: str = "text", iterations: int = 2) -> LatentSpace:
     """The latent space of all benchmark passages, weighted by document frequencies over all docs.
 
-    Words beyond the MAX_WORDS with the most occurrences count as unknown, what they are in is found by runs of words
-    only; the basis has at most MAX_RANK columns, so
-    what is broadcast or summed has at most 32768 x 128 numbers whatever the size of the tables.
+    The OWN_ROWS words with the most occurrences have a row each, all others share SHARED_ROWS by their hash; the basis
+    has at most MAX_RANK columns. So what is summed has at most 65536 x 128 numbers whatever the size of the tables,
+    and what is broadcast 12 bytes more for each distinct word of the benchmark.
     """
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_text).alias("text")).filter("text is not null")
@@ -110,14 +129,19 @@ def fit(benchmark: DataFrame, docs: DataFrame, item_text: str = "text", text: st
             values, counts = np.unique(np.concatenate([np.empty(0, dtype=_U), *map(word_hashes, batch["text"])]), return_counts=True)
             yield pd.DataFrame({"w": signed(values), "n": counts})
 
-    top = items.mapInPandas(used, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(MAX_WORDS).collect()
-    words = np.sort(np.array([r["w"] for r in top], dtype=np.int64).view(_U))
+    met = items.mapInPandas(used, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toPandas()
+    words, times = met["w"].to_numpy(dtype=np.int64).view(_U), met["n"].to_numpy(dtype=np.int64)
+    words, times = words[np.argsort(words)], times[np.argsort(words)]
     if not len(words):
-        return LatentSpace(words, np.ones(1), np.zeros((1, 1), dtype=np.float32))
+        return LatentSpace(words, np.empty(0, dtype=np.int32), np.ones(1), np.zeros((1, 1), dtype=np.float32))
+    row = (OWN_ROWS + words % _U(SHARED_ROWS)).astype(np.int32)
+    often = np.lexsort((words, -times))[:OWN_ROWS]
+    row[often] = np.arange(len(often))
+    size = int(row.max()) + 1
     counts, total = document_frequency(docs, words, text)
-    weight = np.log((total + 1) / (np.append(counts, 0) + 1)) + 1
-    space = LatentSpace(words, weight, np.zeros((len(words) + 1, 1)))
-    rank = min(MAX_RANK, len(words), 8 + items.count())
+    weight = np.log((total + 1) / (np.append(np.minimum(total, np.bincount(row, counts, minlength=size)), 0) + 1)) + 1
+    space = LatentSpace(words, row, weight, np.zeros((size + 1, 1)))
+    rank = min(MAX_RANK, size, 8 + items.count())
     shared = spark.sparkContext.broadcast(space)
 
     def sums(right: np.ndarray) -> np.ndarray:
@@ -131,7 +155,6 @@ def fit(benchmark: DataFrame, docs: DataFrame, item_text: str = "text", text: st
                 for body in batch["text"]:
                     for passage in passages(word_hashes(body)):
                         at, tf = np.unique(known.columns(passage), return_counts=True)
-                        at, tf = at[at < len(known.words)], tf[at < len(known.words)]
                         row = known.weight[at] * tf
                         row /= max(1e-12, np.linalg.norm(row))
                         out[at] += row[:, None] * (row @ x[at])
@@ -143,12 +166,13 @@ def fit(benchmark: DataFrame, docs: DataFrame, item_text: str = "text", text: st
         done = items.mapInPandas(partial, "s int, v binary").groupBy("s").applyInPandas(added, "s int, v binary").collect()
         return np.concatenate([np.frombuffer(r["v"]) for r in sorted(done, key=lambda r: r["s"])]).reshape(right.shape)
 
-    basis = np.random.default_rng(20).standard_normal((len(words), rank))
+    basis = np.random.default_rng(20).standard_normal((size, rank))
     for _ in range(iterations):
         basis = np.linalg.qr(sums(basis))[0]
     values, turn = np.linalg.eigh(basis.T @ sums(basis))
     basis = basis @ turn[:, values > 1e-9]
-    return LatentSpace(words, weight, np.vstack([basis, np.zeros((1, basis.shape[1]))]).astype(np.float32))
+    shared.destroy()
+    return LatentSpace(words, row, weight, np.vstack([basis, np.zeros((1, basis.shape[1]))]).astype(np.float32))
 
 
 @dataclass
@@ -161,8 +185,9 @@ class _Items:
     masks: list
     lengths: list
     answers: list
-    #: Of each item: the columns of its words, sorted, and how often it has each.
+    #: Of each item: the rows of its words, sorted, and how often it has each; by row, one bit for each item that has it.
     held: list
+    bits: np.ndarray
     #: By number of words: sorted hashes of runs, and the item and place of each.
     runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -175,7 +200,7 @@ def _prepare(rows: list, space: LatentSpace, answer_words: int) -> _Items:
             continue
         for passage in passages(words):
             at = space.columns(passage)
-            vector = (space.basis[at] * space.weight[at, None]).sum(axis=0)
+            vector = space.project(at)
             norm = np.linalg.norm(vector)
             if norm > 0:
                 vectors.append(vector / norm)
@@ -194,7 +219,10 @@ def _prepare(rows: list, space: LatentSpace, answer_words: int) -> _Items:
         hashes, item, place = (np.concatenate(c) for c in zip(*own, strict=True))
         order = np.argsort(hashes, kind="stable")
         runs[size] = hashes[order], item[order].astype(np.int32), place[order].astype(np.int32)
-    return _Items(ids, np.array(vectors, dtype=np.float32).reshape(-1, space.basis.shape[1]), np.array(owner, dtype=int), masks, lengths, answers, held, runs)
+    bits = np.zeros((space.unknown + 1, -(-len(ids) // 8)), dtype=np.uint8)
+    for i, (columns, _) in enumerate(held):
+        bits[columns, i >> 3] |= np.uint8(1 << (i & 7))
+    return _Items(ids, np.array(vectors, dtype=np.float32).reshape(-1, space.basis.shape[1]), np.array(owner, dtype=int), masks, lengths, answers, held, bits, runs)
 
 
 def _aligned(words: np.ndarray, items: _Items) -> list[tuple[int, int]]:
@@ -213,22 +241,17 @@ def _aligned(words: np.ndarray, items: _Items) -> list[tuple[int, int]]:
 def _nearness(words: np.ndarray, space: LatentSpace, items: _Items, item: int) -> float:
     """Cosine of some words to the nearest passage of an item, 0 where the latent space has none of either."""
     at = space.columns(words)
-    vector = (space.basis[at] * space.weight[at, None]).sum(axis=0)
+    vector = space.project(at)
     near = items.latent[items.owner == item] @ (vector / max(1e-12, np.linalg.norm(vector)))
     return float(near.max()) if len(near) else 0.0
 
 
 def _leaks(words: np.ndarray, space: LatentSpace, items: _Items, cosine: float, overlap: float, sure: float, answer: float) -> dict[int, tuple[float, float, float]]:
     """(cosine, LCS share, answer share) of each item that leaks into the words of one document."""
-    n, unknown = len(words), len(space.words)
+    n = len(words)
     if not n or not items.ids:
         return {}
     at = space.columns(words)
-    known = np.concatenate(([0], np.cumsum(at < unknown)))
-    starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
-    ends = np.minimum(starts + WINDOW, n)
-    keep = known[ends] > known[starts]
-    starts, ends = starts[keep], ends[keep]
     found: dict[int, tuple[float, float, float]] = {}
 
     def check(item: int, region: np.ndarray) -> tuple[float, float] | None:
@@ -241,14 +264,10 @@ def _leaks(words: np.ndarray, space: LatentSpace, items: _Items, cosine: float,
         hit = lcs_length(masks, size, region) / size if size else 1.0
         return (share, hit) if share >= sure or hit >= answer else None
 
-    tail = np.concatenate((at, np.full(WINDOW, unknown)))
-    lengths, place = np.array(items.lengths), np.zeros(unknown + 1, dtype=int)
-    for lo in range(0, len(starts), 256):
-        some = starts[lo : lo + 256]
-        columns = tail[some[:, None] + np.arange(WINDOW)]
-        latent = np.einsum("ijk,ij->ik", space.basis[columns], space.weight[columns].astype(np.float32))
-        latent /= np.maximum(1e-12, np.linalg.norm(latent, axis=1, keepdims=True))
-        near = latent @ items.latent.T
+    lengths = np.array(items.lengths)
+    for block in range(0, max(1, -(-n // STRIDE) - 1), BLOCKS):
+        begin = block * STRIDE
+        near = space.windows(at[begin : begin + (BLOCKS + 1) * STRIDE]) @ items.latent.T
         w, p = np.nonzero(near >= cosine)
         if not len(w):
             continue
@@ -256,26 +275,22 @@ def _leaks(words: np.ndarray, space: LatentSpace, items: _Items, cosine: float,
         once = np.sort(np.unique(w * len(items.ids) + items.owner[p], return_index=True)[1])
         w, p = w[once], p[once]
         owner = items.owner[p]
+        starts = begin + w * STRIDE
         around = np.maximum(0, lengths[owner] - PASSAGE) + 4
-        first, last = np.maximum(0, starts[lo + w] - around), np.minimum(n, ends[lo + w] + around)
+        first, last = np.maximum(0, starts - around), np.minimum(n, starts + WINDOW + around)
         # a region with too few of the item's words can't have them in order
-        for item in np.unique(owner).tolist():
-            columns, counts = items.held[item]
-            mine = np.flatnonzero(owner == item)
-            place[columns] = np.arange(1, len(columns) + 1)
-            local = place[at]
-            place[columns] = 0
-            met = np.concatenate(([0], np.cumsum(local > 0)))
-            few = met[last[mine]] - met[first[mine]] < overlap * lengths[item] - 1e-6
-            first[mine[few]] = n
-            for i in mine[~few].tolist():
-                here = np.bincount(local[first[i] : last[i]], minlength=len(columns) + 1)[1:]
-                room = here if columns[-1] == unknown else np.minimum(here, counts)
-                if room.sum() < overlap * lengths[item] - 1e-6:
-                    first[i] = n
-        for i in np.flatnonzero(first < n).tolist():
+        lo, some = int(first.min()), np.unique(owner)
+        own = (items.bits[at[lo : int(last.max())][:, None], some >> 3] >> (some & 7).astype(np.uint8)) & 1
+        met = np.concatenate((np.zeros((1, len(some)), dtype=np.int32), np.cumsum(own, axis=0, dtype=np.int32)))
+        place = np.searchsorted(some, owner)
+        enough = met[last - lo, place] - met[first - lo, place] >= overlap * lengths[owner] - 1e-6
+        for i in np.flatnonzero(enough).tolist():
             item = int(owner[i])
-            scores = check(item, words[first[i] : last[i]])
+            columns, counts = items.held[item]
+            here = at[first[i] : last[i]]
+            spot = np.minimum(np.searchsorted(columns, here), len(columns) - 1)
+            room = np.minimum(np.bincount(spot[columns[spot] == here], minlength=len(columns)), counts).sum()
+            scores = check(item, words[first[i] : last[i]]) if room >= overlap * lengths[item] - 1e-6 else None
             if scores:
                 found[item] = (float(near[w[i], p[i]]), *scores)
     near_by = set(found)

@@ -203,6 +203,59 @@ def test_verbatim_leaks_are_found_whatever_surrounds_them(spark, monkeypatch):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = {(i, i) for i in range(5)}
     assert want <= {(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b).collect()}
-    monkeypatch.setattr(decontam, "MAX_WORDS", 4)
+    monkeypatch.setattr(decontam, "OWN_ROWS", 4)
+    monkeypatch.setattr(decontam, "SHARED_ROWS", 8)
     assert want <= {(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b).collect()}
     assert decontam.leaks(d.filter("doc_id >= 100").select("doc_id", F.lit(filler(90)).alias("text")), b).count() == 0
+
+
+def brute_leaks(docs, items, overlap=0.6, sure=0.8, answer=0.6):
+    """Every window as wide as the search's regions, every item: longest common subsequence by dynamic programming."""
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    out = set()
+    for d, text in docs:
+        words = text.lower().split()
+        for i, item in items:
+            want = item.lower().split()
+            around = max(0, len(want) - decontam.PASSAGE) + 4
+            for start in range(0, max(1, len(words) - decontam.STRIDE), decontam.STRIDE):
+                region = words[max(0, start - around) : start + decontam.WINDOW + around]
+                share = lcs(want, region) / len(want)
+                if share >= overlap and (share >= sure or lcs(want[-8:], region) / len(want[-8:]) >= answer):
+                    out.add((d, i))
+    return out
+
+
+def test_candidate_search_recalls_all_windows(spark):
+    rng = random.Random(21)
+    common = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 6))) for _ in range(400)]
+    word = lambda: common[min(int(rng.expovariate(0.02)), 399)]
+    items = [(i, " ".join(word() for _ in range(rng.randrange(14, 50)))) for i in range(12)]
+    docs = []
+    for d in range(40):
+        text = [word() for _ in range(rng.randrange(20, 200))]
+        if d % 2:
+            keep, copy = rng.choice([0.7, 0.8, 0.9]), rng.choice(items)[1].split()
+            at = rng.randrange(len(text))
+            text[at:at] = [w if rng.random() < keep else word() for w in copy]
+        docs.append((d, " ".join(text)))
+    want = brute_leaks(docs, items)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) >= 10 and len(got & want) >= 0.9 * len(want)
+
+
+def test_leaks_of_repeated_rows_and_clashing_columns(spark):
+    item = " ".join(f"word{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"x {item} y"), (1, f"x {item} y"), (2, "b " * 300_000 + item), (3, None)], "doc_id long, text string").withColumn("item_id", F.lit("x")).withColumn("cosine", F.lit("y"))
+    bench = spark.createDataFrame([(7, item), (8, item), (9, "")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect())
+    assert got == [(1, 7), (1, 7), (1, 8), (1, 8), (2, 7), (2, 8)]
