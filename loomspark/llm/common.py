@@ -26,25 +26,36 @@ ROWS_OF_A_FILE = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local folder where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Given with its file system. Where that is unset, the session's checkpoint folder, or on a local master a new local one; a cluster must name it.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="loomspark-"))
-        configured = context.getCheckpointDir()
-    return configured
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomspark-"))
+        configured = spark.sparkContext.getCheckpointDir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(configured)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 #: The largest Arrow batch that goes to a Python worker at once: rows of very long texts come in small batches.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of what the session runs from now on, unless its bound is lower already."""
+    now = spark.conf.get(BATCH)
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Bounds the Arrow batches of what is run inside, and sets them back."""
     before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(min(int(before), BATCH_BYTES) if before.isdigit() and int(before) > 0 else BATCH_BYTES))
+    bound_batches(spark)
     try:
         yield
     finally:
@@ -57,10 +68,17 @@ def cut(df: DataFrame) -> DataFrame:
     Not for loops of joins: a checkpoint keeps its plan's size estimate, the product of what was joined, and that number
     doubles its digits with each round until planning takes longer than the work. See Scratch.
     """
-    shared_dir(df.sparkSession)
+    folder, context = shared_dir(df.sparkSession), df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables of a loop, written to a folder of its own in the shared folder, which goes when the block ends.
 
@@ -82,7 +100,7 @@ class Scratch:
         if len(files.inputFiles()) <= 4 * wanted:
             return files
         few = self._written(files.coalesce(wanted))
-        self._delete(f"{self.folder}/{first}")
+        delete(self.spark, f"{self.folder}/{first}")
         return few
 
     def _written(self, df: DataFrame) -> DataFrame:
@@ -90,12 +108,8 @@ class Scratch:
         df.write.parquet(f"{self.folder}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
-    def _delete(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
     def __exit__(self, *_: object) -> None:
-        self._delete(self.folder)
+        delete(self.spark, self.folder)
 
 
 def parts(spark: SparkSession) -> int:

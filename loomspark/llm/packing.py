@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from loomspark.llm.common import cut
+
 #: A token: a run of letters, digits and underscores, or one other visible character.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]"
 
@@ -65,36 +67,36 @@ def boundaries(lengths: DataFrame, column: str, buckets: int) -> list[int]:
     return best_boundaries(np.array([r["n"] for r in histogram], dtype=np.int64), np.array([r["c"] for r in histogram], dtype=np.int64), buckets)
 
 
-def pack(docs: DataFrame, length: Column | None = None, key: str = "doc_id", buckets: int = 8, budget: int = 16384) -> DataFrame:
-    """One row per document: key, n_tokens, bucket, bucket_end, batch, slot.
+def pack(docs: DataFrame, length: Column | None = None, key: str = "doc_id", buckets: int = 8, budget: int = 16384, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: key, n_tokens, bucket, bucket_end, batch, slot, and the columns of docs named in carry.
 
     Rows of a bucket are padded to bucket_end, so a batch holds max(1, budget // bucket_end) of them; a document
     longer than the budget has a batch of its own. Inside a bucket rows are numbered in the order of the first three
     digits of md5(key), then key, then length: the digits deal even a bucket with most rows over 4096 groups that are
     numbered apart and joined by a running total of their counts. Equal rows take separate slots; a null key counts as
     the text 'null'; null and empty texts have length 0; an empty table gives an empty result. Other columns of docs
-    are not used.
+    are not used. Equal lengths share a bucket; a text of any length is counted whole.
     """
     length = token_length() if length is None else length
-    rows = docs.select(F.col(key).alias("k"), length.cast("long").alias("n_tokens"))
-    rows = rows.select("k", "n_tokens", F.substring(F.md5(F.coalesce(F.col("k").cast("string"), F.lit("null")).cast("binary")), 1, 3).alias("salt"))
-    from loomspark.llm.common import cut
-
-    rows = cut(rows)
+    salt = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")), 1, 3)
+    own = [F.col(key).alias("k"), length.cast("long").alias("n_tokens"), salt.alias("salt")]
+    rows = cut(docs.select(*own))
     ends = boundaries(rows, "n_tokens", buckets)
     edge = F.lit(None).cast("int")
     for i in reversed(range(len(ends))):
         edge = F.when(F.col("n_tokens") <= ends[i], F.lit(i)).otherwise(edge)
     table = F.array(*[F.lit(e).cast("long") for e in ends]) if ends else F.array().cast(T.ArrayType(T.LongType()))
-    placed = rows.withColumn("bucket", edge).withColumn("bucket_end", F.get(table, F.col("bucket")))
-    sizes = placed.groupBy("bucket", "salt").agg(F.count("*").alias("n"))
+    place = lambda df: df.withColumn("bucket", edge).withColumn("bucket_end", F.get(table, F.col("bucket")))
+    sizes = place(rows).groupBy("bucket", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("bucket", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     local = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("k", "n_tokens"))
-    numbered = placed.withColumn("nth", local).join(F.broadcast(offsets), ["bucket", "salt"])
-    place = F.col("before") + F.col("nth") - 1
+    whole = docs.select(*own, F.struct(*carry).alias("carried")) if carry else rows
+    numbered = place(whole).withColumn("nth", local).join(F.broadcast(offsets), ["bucket", "salt"])
+    at = F.col("before") + F.col("nth") - 1
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_end"), F.lit(1))))
     return numbered.select(
         F.col("k").alias(key), "n_tokens", "bucket", "bucket_end",
-        F.floor(place / room).cast("long").alias("batch"), F.pmod(place, room).cast("long").alias("slot"),
+        F.floor(at / room).cast("long").alias("batch"), F.pmod(at, room).cast("long").alias("slot"),
+        *([F.col("carried")[c].alias(c) for c in carry]),
     )

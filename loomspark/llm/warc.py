@@ -29,7 +29,7 @@ def _filesystem(uri: str):
     from pyarrow import fs
 
     if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
+        raise ValueError(f"{uri!r} names no file system; give an address such as file:///folder or hdfs://host/folder")
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import itertools
+import math
 import random
 import re
 import time
@@ -257,6 +258,44 @@ def test_licences_and_inheritance(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "hello there you", "en"), (2, "bonjour mes amis", "fr")], "doc_id long, text string, lang string").withColumn("_found", F.lit("mine")).withColumn("row", F.lit(1)).withColumn("found", F.lit(2))
+    got = langid.identify(docs, langid.fit(docs))
+    assert [r["_found"] for r in got.collect()] == ["mine", "mine"] and got.columns[: len(docs.columns)] == docs.columns
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    scored = toxicity.score(docs.limit(0), toxicity.fit(docs, labels))
+    assert scored.count() == 0 and scored.columns == [*docs.columns, "score"]
+    assert langid.identify(docs.limit(0), langid.fit(docs.limit(0))).count() == 0
+
+
+def test_language_equals_plain_cosines(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(150)
+    model = langid.fit(docs)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for r in docs.collect():
+        counts = langid.ngram_counts(r["text"])
+        if counts is None:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        weights = [math.log(1 + int(c)) * float(w) for c, w in zip(counts, model.idf, strict=True)]
+        length = math.sqrt(sum(x * x for x in weights))
+        cosines = [sum(x * float(y) for x, y in zip(weights, centre, strict=True) if x) / length for centre in model.centroids]
+        assert abs(got[r["doc_id"]]["score"] - max(cosines)) < 1e-9
+        assert got[r["doc_id"]]["lang_pred"] in {n for n, c in zip(model.languages, cosines, strict=True) if c > max(cosines) - 1e-9}
+
+
+def test_toxicity_features_equal_plain_counts():
+    lexicon = toxicity.Lexicon({"bad": 2.0, "worse": 3.0}, {"idio": 1.5})
+    text = "YOU are BAD, bad idiots!! and b4d? tu 3x"
+    got = dict(zip(toxicity.FEATURES, lexicon.features(text), strict=True))
+    words = re.findall(r"[^\W_]+", text.lower())
+    assert got["word_hits"] == 2 and got["word_density"] == 2 / len(words) and got["stem_hits"] == 1 and got["strongest"] == 2.0 and got["distinct_hits"] == 2
+    assert got["exclamations"] == 2 / len(words) and got["questions"] == 1 / len(words) and got["mark_runs"] == 1 / len(words)
+    assert got["capitals"] == sum(c.isupper() for c in text) / len(text) and got["obfuscated_hits"] == 1 and got["second_person"] == 2 / len(words)
+    assert lexicon.features(None) == lexicon.features("") == [0.0] * len(toxicity.FEATURES)
+    assert len(lexicon.features("bad " * 300_000)) == len(toxicity.FEATURES)
+
+
 def test_pipeline_keeps_the_clean(spark):
     import corpus_pipeline
 
@@ -265,3 +304,64 @@ def test_pipeline_keeps_the_clean(spark):
     assert left.columns == docs.columns and left.count() > 0.97 * docs.count()
     clean = corpus_pipeline.personal_data(spark, left.limit(50), SF)
     assert clean.columns == docs.columns and clean.count() == 50
+
+
+def test_pipeline_stages_on_rows_of_every_kind(spark):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    words = lambda n: " ".join(rng.choice("one two three four five six seven eight nine ten".split()) for _ in range(n))
+    body, item = words(60), spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(1, body, "en"), (2, body + " more", "en"), (3, words(70), "en"), (3, words(80), None), (4, None, "en"), (5, "", None), (None, body + " x", "en"), (6, f"{words(20)} {item} {words(20)}", "en"), (7, body, "en"), (7, body, "en"), (8, "mail a@b.example now", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long")).withColumn("_found", F.lit(1)).withColumn("bucketed", F.lit(2))
+    once = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted((r["doc_id"] or 0, r["lang"] or "") for r in once.collect()) == [(0, "en"), (1, "en"), (3, ""), (3, "en"), (4, "en"), (5, ""), (6, "en"), (8, "en")]
+    twice = docs.filter("doc_id = 3").unionByName(docs.filter("doc_id = 3"))
+    assert corpus_pipeline.near_duplicates(spark, twice, SF).count() == 2
+    assert {r["doc_id"] for r in corpus_pipeline.benchmark_leaks(spark, docs, SF).collect()} == {1, 2, 3, 4, 5, 7, 8, None}
+    masked = {r["doc_id"]: r for r in corpus_pipeline.personal_data(spark, docs, SF).collect()}
+    assert masked[8]["text"] == "mail <email> now" and masked[8]["n_chars"] == 16 and masked[4]["text"] is None
+    packed = corpus_pipeline.pack(spark, docs, SF)
+    assert {*docs.columns} < {*packed.columns} and packed.count() == len(rows) and {r["text"] for r in packed.collect()} == {r[1] for r in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.count() == 0 and (name == "packing" or empty.columns == docs.columns)
+
+
+def test_pipeline_leaves_what_plain_stages_leave(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    texts = {r["doc_id"]: r for r in docs.collect()}
+    model = langid.fit(docs)
+    kept = {i: r["text"] for i, r in texts.items() if model.classify(r["text"])[2]}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in kept.items() if (w := t.lower().split())}
+    least = {i: i for i in kept}
+    by_gram = {}
+    for i, own in sets.items():
+        for g in own:
+            by_gram.setdefault(g, []).append(i)
+
+    def top(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for pair in {p for ids in by_gram.values() if len(ids) > 1 for p in itertools.combinations(ids, 2)}:
+        a, b = (sets[i] for i in pair)
+        if 10 * len(a & b) >= 8 * len(a | b):
+            x, y = sorted(map(top, pair))
+            least[y] = x
+    kept = {i: t for i, t in kept.items() if least[i] == i}
+    items = [r["text"].lower().split() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    verbatim = {i for i, t in kept.items() if any(" ".join(item) in " ".join(t.lower().split()) for item in items)}
+    assert verbatim and not verbatim & set(out) and set(out) <= set(kept)
+    assert len(set(kept) - verbatim - set(out)) <= 0.03 * len(kept)
+    for i, r in out.items():
+        assert not pii.base_spans(r["text"]) or pii.base_spans(r["text"]) != pii.base_spans(kept[i])
+        if not pii.base_spans(kept[i]) and "token" not in kept[i]:
+            assert r["text"] == kept[i] and r["n_chars"] == len(kept[i])
+        assert r["n_tokens"] <= r["bucket_end"] and (r["slot"] + 1) * r["bucket_end"] <= max(16384, r["bucket_end"])
+
+
