@@ -105,9 +105,11 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", sketc
     rows = docs.select(F.col(key).isNotNull().alias("some"), F.coalesce(F.col(key), F.lit(0).cast(kind)).alias("kv"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("some", "kv", F.xxhash64("text").alias("h"), "text")
     number, first, ranges = _ranges(rows, kind, 4 * parts(docs.sparkSession))
-    placed = rows.withColumn("range", number)
-    guests = placed.filter(first).dropDuplicates(["range"]).withColumn("range", F.when(F.col("range") == 1, ranges).otherwise(F.col("range") - 1))
-    both = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    placed = rows.withColumn("range", number).withColumn("first", first)
+    before = F.when(F.col("range") == 1, ranges).otherwise(F.col("range") - 1)
+    seat = lambda at, guest: F.struct(at.alias("range"), F.lit(guest).alias("guest"))
+    seats = F.when(F.col("first"), F.array(seat(F.col("range"), False), seat(before, True))).otherwise(F.array(seat(F.col("range"), False)))
+    both = placed.select("some", "kv", "h", "text", F.explode(seats).alias("seat")).select("some", "kv", "h", "text", "seat.range", "seat.guest")
     order = Window.partitionBy("range").orderBy("guest", "some", "kv", "h")
     dealt = both.repartition(max(1, ranges), "range")
     linked = dealt.select("*", F.row_number().over(order).alias("nth"), F.lead("text").over(order).alias("after"))
