@@ -122,10 +122,10 @@ def set_similarity(one: Column | str, other: Column | str) -> Column:
 
 def bigrams(text: Column | str) -> Column:
     """Distinct character bigrams of the normalised text, blanks included."""
-    value = normalized(text)
-    return F.when(F.length(value) < 2, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - 1, F.lit(1))), lambda i: F.substring(value, i, F.lit(2))))
+    pairs = lambda v: F.when(F.length(v) < 2, F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(v) - 1, F.lit(1))), lambda i: F.substring(v, i, F.lit(2))))
     )
+    return F.element_at(F.transform(F.array(normalized(text)), pairs), 1)  # the array makes Spark normalise once, not for each pair
 
 
 def coverage(query: Column | str, title: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.functions import text
+from loomspark.functions import scalars, text
 
 
 def active(df: DataFrame, *flags: str) -> DataFrame:
@@ -25,6 +25,11 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; Spark chooses the join otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, block: int = 4096, qid: str = "query_id", cid: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """The k nearest corpus vectors of each query by cosine distance, ties by id: (qid, cid, score, rank), score max(0, 1 - d).
 
@@ -81,28 +86,41 @@ def postings(corpus: DataFrame, cid: str = "chunk_id", body: str = "text") -> Da
     return corpus.select(F.col(cid), F.explode(F.array_distinct(words)).alias("token"))
 
 
+def similar(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "query_id", cid: str = "chunk_id") -> DataFrame:
+    """The k chunks of the highest trigram similarity to each query, ties by id: (qid, cid, score, rank); only positive ones.
+
+    Queries are the stated side. Chunks are dealt by id once; each meets the queries by an equi-join on trigrams, common
+    ones are counted where the chunk lies, and a task hands on its best k of each query only.
+    """
+    asked = queries.select(qid, text.trigrams("query").alias("g")).select(qid, F.size("g").alias("qn"), F.explode("g").alias("g"))
+    held = corpus.select(cid, "text").repartition(F.col(cid)).select(cid, text.trigrams("text").alias("g")).select(cid, F.size("g").alias("cn"), F.explode("g").alias("g"))
+    met = held.join(small(asked, 2_000_000), "g").groupBy(cid, qid, "cn", "qn").agg(F.count("*").alias("both"))
+    return top(met.select(qid, cid, (F.col("both") / (F.col("qn") + F.col("cn") - F.col("both"))).alias("score")), [qid], [F.desc("score"), F.col(cid)], k)
+
+
 def lexical(queries: DataFrame, corpus: DataFrame, index: DataFrame | None = None, stage1: int = 600, k: int = 200, qid: str = "query_id", cid: str = "chunk_id") -> DataFrame:
     """Two-stage lexical search: (qid, cid, score, rank).
 
     Stage 1 takes the first stage1 chunks by id with a token that starts with a keyword of the query; stage 2 ranks
     those of positive trigram similarity, ties by id. Queries without keywords or stage-2 rows are compared with every
     chunk. Words and tokens meet once each, by an equi-join on up to three first characters that is checked in full.
+    Only chunks of stage 1 are turned into trigrams; what stage 2 scores is kept in memory or on disk, as it is read
+    twice, and has at most stage1 rows a query.
     """
     index = postings(corpus, cid) if index is None else index
     asked = queries.select(qid, F.explode(text.keywords("query")).alias("word")).select(qid, F.lower("word").alias("word")).distinct()
     words = asked.select("word").distinct().withColumn("head", F.substring("word", 1, 3))
     heads = index.select("token").distinct().select("token", F.explode(F.array_distinct(F.array(*[F.substring("token", 1, n) for n in (1, 2, 3)]))).alias("head"))
-    forms = heads.join(words, "head").filter(F.startswith("token", F.col("word"))).select("token", "word")
-    hits = index.join(forms, "token").select("word", cid).distinct()
-    met = hits.join(asked, "word").select(qid, cid).distinct()
-    first = top(met, [qid], [F.col(cid)], stage1).select(qid, cid)
-    # dealt by id before the trigrams are made, as these are larger than the text
-    grams = corpus.select(cid, "text").repartition(F.col(cid)).select(cid, text.trigrams("text").alias("cg"))
+    forms = heads.join(small(words), "head").filter(F.startswith("token", F.col("word"))).select("token", "word")
+    met = index.join(forms, "token").join(small(asked), "word").select(qid, cid).distinct()
+    first = top(met, [qid], [F.col(cid)], stage1).select(qid, cid).persist()
+    wanted = small(first.select(cid).distinct())
+    grams = corpus.select(cid, "text").join(wanted, cid, "left_semi").repartition(F.col(cid)).select(cid, text.trigrams("text").alias("cg"))
     asking = queries.select(qid, text.trigrams("query").alias("qg"))
-    scored = first.join(asking, qid).join(grams, cid).select(qid, cid, text.set_similarity("qg", "cg").alias("score")).filter("score > 0")
-    rest = asking.join(scored.select(qid).distinct(), qid, "left_anti")
-    everywhere = rest.join(grams, F.arrays_overlap("qg", "cg")).select(qid, cid, text.set_similarity("qg", "cg").alias("score")).filter("score > 0")
-    return top(scored.unionByName(everywhere), [qid], [F.desc("score"), F.col(cid)], k)
+    scored = first.join(small(asking), qid).join(grams, cid).select(qid, cid, text.set_similarity("qg", "cg").alias("score")).filter("score > 0").persist()
+    ranked = top(scored, [qid], [F.desc("score"), F.col(cid)], k)
+    rest = queries.join(scored.select(qid).distinct(), qid, "left_anti")
+    return ranked if rest.isEmpty() else ranked.unionByName(similar(rest, corpus, k, qid, cid))
 
 
 def fuse(ranked: list[DataFrame], k: int = 60, qid: str = "query_id", cid: str = "chunk_id") -> DataFrame:
@@ -135,13 +153,24 @@ def calibrated(model: Column, query: Column | str, title: Column | str, source_k
 
 
 def hybrid(queries: DataFrame, corpus: DataFrame, dense: DataFrame, lexical_hits: DataFrame, boost: Column | None = None, per_group: int = 3, fused_k: int = 30, least: float = 0.15, k: int = 8) -> DataFrame:
-    """Fusion, quality boost, group caps, rerank by trigram similarity with title calibration, and group diversity.
+    """Fusion, boosts, group caps, rerank by trigram similarity with title calibration, and group diversity.
 
-    corpus: chunk_id, source_key, group_key, title, text and what boost uses. A query without result is left out.
+    corpus: chunk_id, source_key, group_key, title, text and what boost uses. Where queries have a column groups (array
+    of arrays of terms), a chunk must have a term of every group; where they have anchors (array of terms), chunks that
+    name them get a bonus. Texts join the rows that are left after the caps, or before them where groups or anchors
+    read them. A query without result is left out.
     """
-    fused = fuse([dense, lexical_hits]).join(corpus, "chunk_id")
-    scored = fused.withColumn("score", F.col("rrf") + (boost if boost is not None else F.lit(0.0)))
-    kept = cap_groups(scored, per_group=per_group, k=fused_k).drop("rank", "in_group")
+    reads = [c for c in ("groups", "anchors") if c in queries.columns]
+    fused = fuse([dense, lexical_hits]).join(corpus if reads else corpus.drop("text"), "chunk_id")
+    score = F.col("rrf") + (boost if boost is not None else F.lit(0.0))
+    if reads:
+        fused = fused.join(queries.select("query_id", *reads), "query_id")
+        title, body = text.normalized("title"), text.normalized("text")
+        if "groups" in reads:
+            fused = fused.filter(scalars.in_scope("groups", F.concat_ws(" ", title, body)))
+        if "anchors" in reads:
+            score = score + scalars.anchor_boost("anchors", title, body, "source_key")
+    kept = cap_groups(fused.withColumn("score", score).drop("text", *reads), per_group=per_group, k=fused_k).drop("rank", "in_group")
     model = text.set_similarity(text.trigrams("query"), text.trigrams("text"))
-    rated = kept.join(queries, "query_id").withColumn("rerank", calibrated(model, "query", "title", "source_key"))
+    rated = kept.join(corpus.select("chunk_id", "text"), "chunk_id").join(queries.drop(*reads), "query_id").withColumn("rerank", calibrated(model, "query", "title", "source_key"))
     return best_of_groups(rated, least=least, k=k)

@@ -26,6 +26,14 @@ def query(sql: str | None = None):
     return add
 
 
+def _title(c: str = "text"):
+    """The first line of a text stands for its title."""
+    return F.substring_index(c, "\n", 1)
+
+
+_TITLE = "split_part(text, chr(10), 1)"
+
+
 #: SQL macros as text: trigrams of a string, and similarity of two lists.
 def _tri(c: str) -> str:
     return f"list_distinct(flatten(list_transform(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
@@ -60,9 +68,19 @@ def keywords_extract(t, spark: SparkSession) -> DataFrame:
     return t("benchmark").select("item_id", F.array_join(text.keywords("text"), " ").alias("words"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}', '[email]', 'g') AS masked FROM documents""")
+_W = r"\p{L}\p{N}\p{M}_"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT doc_id, replace(text, chr(0), '') AS t FROM documents),
+ m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+   '(^|[^{_W}.-])([{_W}.+-]+@[{_W}.-]+\\.[A-Za-z]{{2,}})($|[^{_W}.-])', '\\1[이메일 삭제]\\3', 'g'),
+   '(^|[^0-9])((?:\\+?82[- .]?)?0?1[016789][- .]?[0-9]{{3,4}}[- .]?[0-9]{{4}})($|[^0-9])', '\\1[전화번호 삭제]\\3', 'g'),
+   '<@!?[0-9]{{15,22}}>|<@&[0-9]{{15,22}}>', '[Discord 식별자 삭제]', 'g'),
+   '(^|[^{_W}])([{_W}.]{{2,32}}#[0-9]{{4}})($|[^0-9])', '\\1[Discord 식별자 삭제]\\3', 'g') AS t FROM e),
+ l AS (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t\\f\\v]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g') AS t FROM m)
+ SELECT doc_id, trim(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS masked FROM l""")
 def pii_mask(t, spark: SparkSession) -> DataFrame:
-    return t("documents").select("doc_id", F.regexp_replace("text", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}", "[email]").alias("masked"))
+    return t("documents").select("doc_id", text.masked("text").alias("masked"))
 
 
 @query("SELECT doc_id, CASE WHEN length(f) <= 80 THEN f ELSE rtrim(substring(f, 1, 79)) || '…' END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)")
@@ -70,48 +88,48 @@ def truncate_excerpt(t, spark: SparkSession) -> DataFrame:
     return t("documents").select("doc_id", text.truncated("text", 80).alias("excerpt"))
 
 
-@query("""SELECT page_id, coalesce(regexp_extract(url, '^([a-z]+)://', 1) = 'https' AND regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) LIKE '%.example.com' AND regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) LIKE '/en/%', false) AS allowed FROM pages""")
+_HOSTS = ("blog.tionsh.example.net", "www.ththhe.example.com", "blog.tionsh.example.com", "tionble.example.org")
+
+
+@query(f"""SELECT page_id, coalesce(regexp_extract(url, '^([a-z]+)://', 1) = 'https' AND regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) IN {_HOSTS} AND regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) LIKE '/en/%', false) AS allowed FROM pages""")
 def url_policy(t, spark: SparkSession) -> DataFrame:
-    host = F.try_parse_url("url", F.lit("HOST"))
-    ok = (F.try_parse_url("url", F.lit("PROTOCOL")) == "https") & host.endswith(".example.com") & F.try_parse_url("url", F.lit("PATH")).startswith("/en/")
-    return t("pages").select("page_id", F.coalesce(ok, F.lit(False)).alias("allowed"))
+    return t("pages").select("page_id", text.allowed_url("url", _HOSTS, "^/en/").alias("allowed"))
 
 
-@query("SELECT doc_id, '제목: ' || left(text, 20) || chr(10) || '게시판: ' || source || chr(10) || '분류: ' || coalesce(lang, '분류 없음') || chr(10) || '작성일: 날짜 미상' AS header FROM documents")
+@query("SELECT doc_id, '제목: ' || split_part(text, chr(10), 1) || chr(10) || '게시판: ' || source || chr(10) || '분류: ' || coalesce(lang, '분류 없음') || chr(10) || '작성일: 날짜 미상' AS header FROM documents")
 def chunk_header(t, spark: SparkSession) -> DataFrame:
-    return t("documents").select("doc_id", chunking.header(F.substring("text", 1, 20), "source", "lang", F.lit(None).cast("timestamp")).alias("header"))
+    return t("documents").select("doc_id", chunking.header(_title(), "source", "lang", F.lit(None).cast("timestamp")).alias("header"))
 
 
-@query(f"""WITH q AS (SELECT item_id, {_tri('text')} AS g FROM benchmark), d AS (SELECT vec_id, {_tri('t')} AS g FROM (SELECT doc_id AS vec_id, left(text, 300) AS t FROM documents)),
-  s AS (SELECT item_id, vec_id AS doc_id, {_sim('q.g', 'd.g')} AS score FROM q, d) SELECT item_id, doc_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
+@query(f"""WITH q AS (SELECT item_id, {_tri('text')} AS g FROM benchmark), d AS (SELECT doc_id, {_tri('text')} AS g FROM documents),
+  s AS (SELECT item_id, doc_id, {_sim('q.g', 'd.g')} AS score FROM q, d) SELECT item_id, doc_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def trigram_topk(t, spark: SparkSession) -> DataFrame:
-    q = t("benchmark").select("item_id", text.trigrams("text").alias("q"))
-    d = t("documents").select("doc_id", text.trigrams(F.substring("text", 1, 300)).alias("d"))
-    s = d.join(F.broadcast(q), F.arrays_overlap("q", "d")).select("item_id", "doc_id", text.set_similarity("q", "d").alias("score")).filter("score > 0")
-    return retrieval.top(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 5).withColumn("score", F.round("score", 9))
+    q = t("benchmark").select("item_id", F.col("text").alias("query"))
+    return retrieval.similar(q, t("documents"), 5, "item_id", "doc_id").withColumn("score", F.round("score", 9))
 
 
-@query(f"""SELECT b.item_id, c.item_id AS other, round(CASE WHEN len(b.g) = 0 THEN 0.0 ELSE len(list_intersect(b.g, c.g)) / len(b.g) END, 9) AS coverage FROM (SELECT item_id, {_big('text')} AS g FROM benchmark) b, (SELECT item_id, {_big('left(text, 60)')} AS g FROM benchmark) c WHERE b.item_id <> c.item_id AND b.item_id % 4 = c.item_id % 4""")
+@query(f"""SELECT b.item_id, c.item_id AS other, round(CASE WHEN len(b.g) = 0 THEN 0.0 ELSE len(list_intersect(b.g, c.g)) / len(b.g) END, 9) AS coverage FROM (SELECT item_id, {_big('text')} AS g FROM benchmark WHERE item_id % 20 = 0) b, (SELECT item_id, {_big(_TITLE)} AS g FROM benchmark) c WHERE b.item_id <> c.item_id""")
 def bigram_title_coverage(t, spark: SparkSession) -> DataFrame:
-    b = t("benchmark").select("item_id", "text")
-    c = b.select(F.col("item_id").alias("other"), F.substring("text", 1, 60).alias("title"))
-    j = b.join(c, (F.col("item_id") % 4 == F.col("other") % 4) & (F.col("item_id") != F.col("other")))
+    """Every item whose id 20 divides against the titles of all others."""
+    b = t("benchmark")
+    asked = retrieval.small(b.filter("item_id % 20 = 0").select("item_id", "text"))
+    j = b.select(F.col("item_id").alias("other"), _title().alias("title")).join(asked, F.col("item_id") != F.col("other"))
     return j.select("item_id", "other", F.round(text.coverage("text", "title"), 9).alias("coverage"))
 
 
 def _asked(t) -> DataFrame:
-    return t("benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _corpus(t) -> DataFrame:
     labels = t("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return t("documents").join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("chunk_id"), "text", F.substring("text", 1, 60).alias("title"), F.concat(F.lit("article:"), F.col("doc_id").cast("string")).alias("source_key"),
+        F.col("doc_id").alias("chunk_id"), "text", _title().alias("title"), F.concat(F.lit("article:"), F.col("doc_id").cast("string")).alias("source_key"),
         F.col("source").alias("group_key"), "n_chars", F.coalesce("quality", F.lit(0)).alias("quality"), F.col("lang").alias("lang"),
     )
 
 
-_LEXICAL = f"""WITH q AS (SELECT item_id AS query_id, left(text, 60) AS query FROM benchmark),
+_LEXICAL = f"""WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
  w AS (SELECT DISTINCT query_id, lower(unnest(list_filter(regexp_extract_all(query, '[a-zA-Z0-9가-힣]+'), lambda w: length(w) <= 100)[1:10])) AS word FROM q),
  p AS (SELECT DISTINCT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM documents),
  words AS (SELECT DISTINCT word FROM w), hit AS (SELECT word, chunk_id FROM p JOIN words ON token LIKE word || '%'),
@@ -144,22 +162,28 @@ def embedding_contract(t, spark: SparkSession) -> DataFrame:
     return t("embeddings").select("vec_id", scalars.valid_embedding("embedding", 64).alias("valid"))
 
 
-def _quality_leg(t, k: int = 50) -> DataFrame:
-    """A second ranking that doesn't look at the query's words: labelled quality, then length, within the query's shard."""
-    c = _corpus(t).filter("quality = 1").select("chunk_id", "n_chars", (F.col("chunk_id") % 40).alias("shard"))
-    j = _asked(t).select("query_id", (F.col("query_id") % 40).alias("shard")).join(c, "shard")
-    return retrieval.top(j, ["query_id"], [F.desc("n_chars"), F.col("chunk_id")], k)
+def _dense_leg(t, k: int = 1000) -> DataFrame:
+    """The k nearest documents with an embedding; a query has the embedding of its number."""
+    e = t("embeddings")
+    asked = e.join(_asked(t).select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
+    held = e.join(t("documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return retrieval.knn(asked, held, k).select("query_id", "chunk_id", "rank")
+
+
+def _lexical_leg(t) -> DataFrame:
+    return retrieval.lexical(_asked(t), t("documents").select(F.col("doc_id").alias("chunk_id"), "text")).select("query_id", "chunk_id", "rank")
 
 
-_LEGS = _LEXICAL + """, lab AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
- dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, chunk_id) AS rank FROM q JOIN (SELECT doc_id AS chunk_id, n_chars FROM documents JOIN lab USING (doc_id) WHERE quality = 1) ON query_id % 40 = chunk_id % 40),
- rrf AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS rrf FROM (SELECT query_id, chunk_id, rank FROM lexical WHERE rank <= 50 UNION ALL SELECT query_id, chunk_id, rank FROM dense WHERE rank <= 50) GROUP BY ALL) """
+_LEGS = _LEXICAL + f""", lab AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+ near AS (SELECT a.vec_id AS query_id, c.vec_id AS chunk_id, {_DOT.format(a='a.embedding', b='c.embedding')} / (sqrt({_DOT.format(a='a.embedding', b='a.embedding')}) * sqrt({_DOT.format(a='c.embedding', b='c.embedding')})) AS sim
+   FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT query_id FROM q)) a, (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) c),
+ dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM near),
+ rrf AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS rrf FROM (SELECT query_id, chunk_id, rank FROM lexical WHERE rank <= 200 UNION ALL SELECT query_id, chunk_id, rank FROM dense WHERE rank <= 1000) GROUP BY ALL) """
 
 
 @query(_LEGS + "SELECT query_id, chunk_id, round(rrf, 9) AS rrf FROM rrf")
 def rrf_fusion(t, spark: SparkSession) -> DataFrame:
-    lexical = retrieval.lexical(_asked(t), _corpus(t).select("chunk_id", "text"), k=50)
-    return retrieval.fuse([_quality_leg(t), lexical]).withColumn("rrf", F.round("rrf", 9))
+    return retrieval.fuse([_dense_leg(t), _lexical_leg(t)]).withColumn("rrf", F.round("rrf", 9))
 
 
 _BOOST = "least(0.012, least(0.004, ln(1 + n_chars) / 1000) + least(0.0025, ln(1 + n_chars * 10) / 4000) + CASE WHEN quality = 1 THEN 0.0025 ELSE 0.0 END + 0.003 * exp(-(chunk_id % 700) / 365.0)) + CASE WHEN lang = 'en' THEN 0.02 ELSE 0.0 END"
@@ -175,32 +199,30 @@ def quality_boost(t, spark: SparkSession) -> DataFrame:
 
 
 @query("""SELECT doc_id, round(least(0.06, list_sum(list_transform(['the', 'and', 'que', 'der'], lambda w: CASE WHEN contains(ti, w) OR (doc_id % 2 = 0 AND contains(tx, w)) THEN 0.04 WHEN contains(tx, w) THEN 0.006 ELSE 0.0 END))), 9) AS boost
-  FROM (SELECT doc_id, trim(regexp_replace(lower(left(text, 60)), '\\s+', ' ', 'g')) AS ti, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS tx FROM documents)""")
+  FROM (SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g')) AS ti, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS tx FROM documents)""")
 def anchor_boost(t, spark: SparkSession) -> DataFrame:
     key = F.when(F.col("doc_id") % 2 == 0, "article:1").otherwise("comment:1")
     terms = F.array(*[F.lit(w) for w in ("the", "and", "que", "der")])
-    b = scalars.anchor_boost(terms, text.normalized(F.substring("text", 1, 60)), text.normalized("text"), key)
+    b = scalars.anchor_boost(terms, text.normalized(_title()), text.normalized("text"), key)
     return t("documents").select("doc_id", F.round(b, 9).alias("boost"))
 
 
-@query(_LEGS + f""", c AS (SELECT doc_id AS chunk_id, text, left(text, 60) AS title, source AS group_key, n_chars, lang, coalesce(quality, 0) AS quality FROM documents LEFT JOIN lab USING (doc_id)),
+@query(_LEGS + f""", c AS (SELECT doc_id AS chunk_id, text, source AS group_key, n_chars, lang, coalesce(quality, 0) AS quality FROM documents LEFT JOIN lab USING (doc_id)),
  fused AS (SELECT query_id, chunk_id, group_key, rrf + {_BOOST} AS score FROM rrf JOIN c USING (chunk_id)),
  g AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id, group_key ORDER BY score DESC, chunk_id) <= 3),
  k AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 30),
- tb AS (SELECT query_id, {_big('query')} AS b FROM q), cb AS (SELECT doc_id AS chunk_id, {_big('left(text, 60)')} AS b FROM documents),
+ tb AS (SELECT query_id, {_big('query')} AS b FROM q), cb AS (SELECT doc_id AS chunk_id, {_big(_TITLE)} AS b FROM documents),
  r AS (SELECT query_id, chunk_id, group_key, score, greatest({_sim('qg', 'cg')}, least(1.0, 0.6 * CASE WHEN len(tb.b) = 0 THEN 0.0 ELSE len(list_intersect(tb.b, cb.b)) / len(tb.b) END)) AS rerank
    FROM k JOIN qg USING (query_id) JOIN cg USING (chunk_id) JOIN tb USING (query_id) JOIN cb USING (chunk_id)),
  b AS (SELECT * FROM r WHERE rerank >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_id, group_key ORDER BY rerank DESC, score DESC, chunk_id) = 1)
  SELECT query_id, rank, chunk_id, group_key, round(rerank, 6) AS rerank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, score DESC, chunk_id) AS rank FROM b) WHERE rank <= 8""")
 def hybrid_topk(t, spark: SparkSession) -> DataFrame:
-    corpus, asked = _corpus(t), _asked(t)
-    lexical = retrieval.lexical(asked, corpus.select("chunk_id", "text"), k=50).select("query_id", "chunk_id", "rank")
-    found = retrieval.hybrid(asked, corpus, _quality_leg(t).select("query_id", "chunk_id", "rank"), lexical, _boost())
+    found = retrieval.hybrid(_asked(t), _corpus(t), _dense_leg(t), _lexical_leg(t), _boost())
     return found.select("query_id", "rank", "chunk_id", "group_key", F.round("rerank", 6).alias("rerank"))
 
 
 @query("""WITH a AS (SELECT 'nation:' || n_nationkey AS entity_id, CASE WHEN n_nationkey % 3 = 0 THEN 'job' WHEN n_nationkey % 3 = 1 THEN 'job_family' ELSE 'item' END AS entity_type, lower(n_name) AS alias FROM nation),
- q AS (SELECT c_custkey AS query_id, lower(n_name || ' or nation_' || (c_custkey % 25)) AS query FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 = 0),
+ q AS (SELECT c_custkey AS query_id, lower(n_name || ' or nation_' || (c_custkey % 25)) AS query FROM customer JOIN nation ON c_nationkey = n_nationkey),
  o AS (SELECT query_id, entity_id, entity_type, alias, CAST(s - 1 AS INT) AS start, CAST(s - 1 + length(alias) AS INT) AS "end" FROM q, a, LATERAL (SELECT unnest(range(1, 60)) AS s) WHERE substring(query, s, length(alias)) = alias),
  k AS (SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.query_id = o.query_id AND x.start < o."end" AND o.start < x."end" AND length(x.alias) > length(o.alias))),
  h AS (SELECT *, max(CASE entity_type WHEN 'job' THEN 3 WHEN 'job_family' THEN 2 END) OVER (PARTITION BY query_id) AS top FROM k)
@@ -209,7 +231,7 @@ def entity_link(t, spark: SparkSession) -> DataFrame:
     n = t("nation")
     kind = F.when(F.col("n_nationkey") % 3 == 0, "job").when(F.col("n_nationkey") % 3 == 1, "job_family").otherwise("item")
     aliases = n.select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("entity_id"), kind.alias("entity_type"), F.col("n_name").alias("alias"))
-    asked = t("customer").filter("c_custkey % 5 = 0").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    asked = t("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     texts = asked.select(F.col("c_custkey").alias("query_id"), F.concat("n_name", F.lit(" or nation_"), (F.col("c_custkey") % 25).cast("string")).alias("query"))
     return entities.link(texts, aliases).select("query_id", "entity_id", "start", "end")
 
@@ -223,7 +245,7 @@ def _graph(t) -> DataFrame:
 
 
 _GRAPH = """WITH g AS (SELECT *, sha256(subject || chr(0) || predicate || chr(0) || object) AS relation_id FROM (SELECT 'n' || n_nationkey AS subject, 'part_of' AS predicate, 'r' || n_regionkey AS object FROM nation UNION ALL SELECT 's' || s_suppkey, 'is_a', 'n' || s_nationkey FROM supplier)),
- e AS (SELECT c_custkey AS query_id, 'n' || c_nationkey AS entity_id FROM customer WHERE c_custkey % 10 = 0) """
+ e AS (SELECT c_custkey AS query_id, 'n' || c_nationkey AS entity_id FROM customer) """
 
 
 @query(_GRAPH + """, one AS (SELECT DISTINCT query_id, relation_id, subject, object FROM e JOIN g ON entity_id IN (subject, object)),
@@ -232,13 +254,13 @@ _GRAPH = """WITH g AS (SELECT *, sha256(subject || chr(0) || predicate || chr(0)
  m AS (SELECT query_id, relation_id, CAST(min(hop) AS INT) AS hop FROM both GROUP BY ALL)
  SELECT query_id, relation_id, hop FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, relation_id) <= 16""".replace("both", "reached"))
 def graph_two_hop(t, spark: SparkSession) -> DataFrame:
-    seeds = t("customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("entity_id"))
+    seeds = t("customer").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("entity_id"))
     return entities.neighbourhood(seeds, _graph(t), 2, 16)
 
 
 @query(_GRAPH + """SELECT DISTINCT query_id, relation_id FROM e JOIN g ON (query_id % 20 = 0 AND subject = entity_id AND predicate = 'is_a') OR (query_id % 20 <> 0 AND ((object = entity_id AND predicate = 'is_a') OR (subject = entity_id AND predicate = 'part_of')))""")
 def typed_traversal(t, spark: SparkSession) -> DataFrame:
-    linked = t("customer").filter("c_custkey % 10 = 0").select(
+    linked = t("customer").select(
         F.col("c_custkey").alias("query_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("entity_id"), F.when(F.col("c_custkey") % 20 == 0, "job").otherwise("job_family").alias("entity_type")
     )
     return entities.typed_relations(linked, _graph(t))
@@ -257,18 +279,19 @@ def eval_recall_mrr(t, spark: SparkSession) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT 'd' || i AS target, unnest([CASE i WHEN 0 THEN 'the' WHEN 1 THEN 'der' ELSE 'que' END, CASE i WHEN 0 THEN 'thon' WHEN 1 THEN 'ung' ELSE 'ción' END]) AS term FROM range(0, 3) r(i)),
- a AS (SELECT doc_id AS article_id, lower(left(text, 40)) AS title, lower(text) AS body, n_chars, TIMESTAMP '2024-01-10 00:00:00' + to_minutes(doc_id * 7) AS ts FROM documents WHERE doc_id % 3 <> 2),
+ a AS (SELECT doc_id AS article_id, lower(split_part(text, chr(10), 1)) AS title, lower(text) AS body, n_chars, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 30 AS INT)) + to_minutes(doc_id % 1440) AS ts FROM documents WHERE doc_id % 3 <> 2),
  d AS (SELECT * FROM a WHERE ts >= TIMESTAMP '2024-01-10 15:00:00' AND ts < TIMESTAMP '2024-01-11 15:00:00'),
- m AS (SELECT target, article_id, max(contains(title, term)) AS titled FROM d JOIN t ON contains(body, term) OR contains(title, term) GROUP BY ALL)
- SELECT target, rank, article_id, titled FROM (SELECT target, article_id, titled, row_number() OVER (PARTITION BY target ORDER BY titled DESC, n_chars DESC, ts DESC, article_id DESC) AS rank FROM m JOIN d USING (article_id)) WHERE rank <= 20""")
+ o AS (SELECT conv_id AS article_id, turn, lower(text) AS body FROM conversations WHERE conv_id IN (SELECT article_id FROM d)), c AS (SELECT article_id, count(*) AS n FROM o GROUP BY article_id),
+ m AS (SELECT target, article_id, max(titled) AS titled FROM (SELECT target, article_id, contains(title, term) AS titled FROM d JOIN t ON contains(body, term) OR contains(title, term) UNION ALL SELECT target, article_id, false FROM o JOIN t ON contains(body, term)) GROUP BY ALL)
+ SELECT target, rank, article_id, titled FROM (SELECT target, article_id, titled, row_number() OVER (PARTITION BY target ORDER BY titled DESC, n_chars DESC, coalesce(n, 0) DESC, ts DESC, article_id DESC) AS rank FROM m JOIN d USING (article_id) LEFT JOIN c USING (article_id)) WHERE rank <= 20""")
 def day_ranked_search(t, spark: SparkSession) -> DataFrame:
     terms = [("d0", ["the", "thon"]), ("d1", ["der", "ung"]), ("d2", ["que", "ción"])]
-    at = F.expr("timestamp '2024-01-10 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 7 as int))")
+    at = F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 30 as int), 0, cast(doc_id % 1440 as int))")
     articles = t("documents").select(
         F.col("doc_id").alias("article_id"), (F.col("doc_id") % 3).cast("int").alias("board_id"), F.lit("indexed").alias("status"), F.lit(None).cast("string").alias("category"),
-        F.substring("text", 1, 40).alias("title"), F.col("text").alias("body"), F.col("n_chars").alias("recommended"), F.lit(0).alias("views"), at.alias("published_at"), F.lit(None).cast("timestamp").alias("collected_at"),
+        _title().alias("title"), F.col("text").alias("body"), F.col("n_chars").alias("recommended"), F.lit(0).alias("views"), at.alias("published_at"), F.lit(None).cast("timestamp").alias("collected_at"),
     )
-    comments = spark.createDataFrame([], "article_id long, comment_id long, body string, score int, published_at timestamp, status string")
+    comments = t("conversations").select(F.col("conv_id").alias("article_id"), F.col("turn").alias("comment_id"), F.col("text").alias("body"), (F.col("turn") % 3).alias("score"), F.lit(None).cast("timestamp").alias("published_at"), F.lit("indexed").alias("status"))
     targets = spark.createDataFrame(terms, "target string, terms array<string>")
     return analytics.day_search(targets, articles, comments, (0, 1), "2024-01-11").select("target", "rank", "article_id", "titled")
 
@@ -297,7 +320,7 @@ def term_audit(t, spark: SparkSession) -> DataFrame:
 
 @query()
 def chunk_documents(t, spark: SparkSession) -> DataFrame:
-    d = t("documents").select(F.lit("article").alias("source_type"), F.concat(F.lit("article:1:"), F.col("doc_id").cast("string")).alias("source_key"), F.substring("text", 1, 30).alias("title"), F.col("source").alias("board"), F.col("lang").alias("category"), F.lit(None).cast("timestamp").alias("published_at"), "text")
+    d = t("documents").select(F.lit("article").alias("source_type"), F.concat(F.lit("article:1:"), F.col("doc_id").cast("string")).alias("source_key"), text.truncated(_title(), 80).alias("title"), F.col("source").alias("board"), F.col("lang").alias("category"), F.lit(None).cast("timestamp").alias("published_at"), "text")
     return chunking.chunk(d).select("source_key", "ordinal", "chunk_id", "token_count")
 
 

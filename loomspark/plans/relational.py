@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.functions import scalars
+from loomspark.functions import scalars, text
 from loomspark.operators import merge, retrieval, temporal, threads
 
 QUERIES: dict = {}
@@ -61,7 +61,8 @@ def anti_denylist(t, spark: SparkSession) -> DataFrame:
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%ring%' OR p_name ILIKE '%\\%%' ESCAPE '\\'")
 def ilike_escaped(t, spark: SparkSession) -> DataFrame:
-    return t("part").filter("p_name ilike '%ring%' or contains(p_name, '%')").select("p_partkey", "p_name")
+    terms = spark.createDataFrame([("ring",), ("%",)], "term string").select(F.concat(F.lit("%"), text.like_escaped("term"), F.lit("%")).alias("wanted"))
+    return t("part").join(F.broadcast(terms), F.expr("p_name ilike wanted"), "left_semi").select("p_partkey", "p_name")
 
 
 @query("SELECT p_type, count(*) AS n FROM part WHERE p_type LIKE 'ECO%' OR contains(p_name, 'widget') GROUP BY p_type")
