@@ -149,3 +149,12 @@ def potions(level: Column | str, percent: Column | str, count: Column | str, tab
     done = F.when(_c(count) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(_c(count), F.lit(1))), start, drink)).otherwise(start)
     pct = lambda s: F.when(s["level"] < top, s["exp"] / need(s["level"]) * 100.0).otherwise(100.0)
     return F.transform(F.array(done), lambda s: F.struct(s["level"].alias("level"), pct(s).alias("percent"), s["gained"].cast("long").alias("gained")))[0]
+
+
+def resolved(name: Column | str, names: dict[str, tuple[str, ...]]) -> Column:
+    """The canonical name that a given name or alias stands for, blanks and case ignored; null for unknown ones."""
+    flat = lambda c: F.lower(F.replace(F.trim(c), F.lit(" "), F.lit("")))
+    out = F.lit(None).cast("string")
+    for canonical, aliases in reversed(names.items()):
+        out = F.when(flat(_c(name)).isin(*[n.lower().replace(" ", "") for n in (canonical, *aliases)]), canonical).otherwise(out)
+    return out

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark.functions import text
+from loomspark.functions.answers import terms
 from loomspark.functions.text import normalized
 
 #: Specificity inside the job ontology.
@@ -116,11 +118,47 @@ def neighbourhood(seeds: DataFrame, relations: DataFrame, hops: int = 2, most: i
     return ranked.filter(F.col("n") <= most).drop("n")
 
 
+def anchors(queries: DataFrame, facts: DataFrame, tid: str = "query_id", body: str = "query", kinds: tuple[str, ...] = ("job", "boss")) -> DataFrame:
+    """(tid, anchors, groups): names of a query's facts that it mentions, in the facts' order, and those of each kind as a group.
+
+    facts: tid, pos, subject_name, subject_type, object_name, object_type. Kinds without a mentioned name give no group.
+    """
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("subject_name").alias("name"), F.col("subject_type").alias("type")), F.struct(F.lit(1).alias("side"), F.col("object_name").alias("name"), F.col("object_type").alias("type")))
+    named = facts.select(tid, "pos", F.explode(ends).alias("e")).select(tid, "pos", "e.*")
+    said = named.join(queries.select(tid, normalized(body).alias("_q")), tid).filter(F.contains("_q", normalized("name")))
+    once = said.groupBy(tid, "name", "type").agg(F.min(F.struct("pos", "side")).alias("at"))
+    names = lambda kept: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("at", "name")))), lambda x: x["name"]))
+    lists = once.groupBy(tid).agg(names(F.lit(True)).alias("anchors"), *[names(F.col("type") == k).alias(f"_{k}") for k in kinds])
+    return lists.select(tid, "anchors", F.filter(F.array(*[F.col(f"_{k}") for k in kinds]), lambda g: F.size(g) > 0).alias("groups"))
+
+
+def unsupported_expansions(answers: DataFrame, facts: DataFrame, tid: str = "answer_id", body: str = "answer") -> DataFrame:
+    """(tid, term, observed, expected): what an answer explains in brackets other than the facts do, each once.
+
+    facts: tid, subject_name, predicate, object_name. A registered abbreviation must be explained by its object's name
+    (expected); another term by names of facts: the whole as a name, or every part as what the term is, belongs to, or
+    comes in. Names are compared in lower case, without blanks.
+    """
+    flat = lambda c: F.replace(normalized(c), F.lit(" "), F.lit(""))
+    short = facts.filter("predicate = 'abbreviation_of'").select(tid, F.col("subject_name").alias("term"), F.col("object_name").alias("expected"))
+    said = answers.select(tid, F.col(body).alias("_t")).join(short, tid).select(tid, "term", F.explode(text.expansions("_t", "term")).alias("observed"), "expected")
+    wrong = said.filter(~F.contains(flat("observed"), flat("expected"))).select(tid, "term", "observed", "expected")
+    found = answers.select(tid, F.explode(terms(body)).alias("t")).select(tid, F.col("t.term").alias("term"), F.col("t.expansion").alias("observed"))
+    found = found.withColumn("_k", flat("term")).join(short.select(tid, flat("term").alias("_k")).distinct(), [tid, "_k"], "left_anti").distinct()
+    names = facts.select(tid, F.explode(F.array("subject_name", "object_name")).alias("name")).select(tid, flat("name").alias("_whole")).distinct()
+    open_ = found.withColumn("_whole", flat(F.concat("term", F.lit("("), "observed", F.lit(")")))).join(names, [tid, "_whole"], "left_anti")
+    parts = open_.select(tid, "term", "observed", "_k", F.explode(F.filter(F.split("observed", r"[·/,+]"), lambda p: F.trim(p) != "")).alias("_p")).withColumn("_p", flat("_p"))
+    related = facts.filter(F.col("predicate").isin("is_a", "part_of", "variant_of", "has_difficulty")).select(tid, flat("subject_name").alias("_k"), flat("object_name").alias("_p")).distinct()
+    missing = parts.join(related, [tid, "_k", "_p"], "left_anti").select(tid, "term", "observed").distinct()
+    return wrong.unionByName(missing.withColumn("expected", F.lit(None).cast("string"))).distinct()
+
+
 def hydrate(chosen: DataFrame, relations: DataFrame, entities: DataFrame, tid: str = "query_id") -> DataFrame:
-    """Facts with names and types of both ends; everything involved must be active."""
+    """Facts with names and types of both ends, numbered by subject type, subject name, predicate and id; everything involved must be active."""
     end = lambda p: entities.filter("active").select(F.col("entity_id").alias(p), F.col("name").alias(f"{p}_name"), F.col("entity_type").alias(f"{p}_type"))
     facts = relations.filter("active").drop("active").join(end("subject"), "subject").join(end("object"), "object")
-    return chosen.select(tid, "relation_id").join(facts, "relation_id")
+    order = Window.partitionBy(tid).orderBy("subject_type", "subject_name", "predicate", "relation_id")
+    return chosen.select(tid, "relation_id").join(facts, "relation_id").withColumn("pos", F.row_number().over(order))
 
 
 def merge_facts(query_facts: DataFrame, evidence_facts: DataFrame, tid: str = "query_id") -> DataFrame:

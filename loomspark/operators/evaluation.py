@@ -49,27 +49,62 @@ def passed(figures: DataFrame, gate: tuple = GATE) -> DataFrame:
     return figures.withColumn("passed", F.expr(" and ".join(f"coalesce({m} {op} {v}, false)" for m, op, v in gate)))
 
 
-def claims(cases: DataFrame, predictions: DataFrame, k: int = 8, attribution: tuple[str, ...] = (), abstention: tuple[str, ...] = ()) -> DataFrame:
-    """Per case of a post-level protocol: recall@k, reciprocal rank, claim recall (a claim needs one of its alternatives), complete, attributed, abstained.
+#: Figures of the post-level protocol; each needs a threshold.
+POST_FIGURES = ("answer_source_recall_at_k", "mrr_at_k", "source_containment_rate", "claim_recall", "complete_answer_rate", "attribution_rate", "abstention_accuracy")
 
-    cases (id, expected_sources, required_claims array of arrays, answerable); predictions (id, sources, answer).
+
+def claims(cases: DataFrame, predictions: DataFrame, target: str = "", k: int = 8, attribution: tuple[str, ...] = (), abstention: tuple[str, ...] = ()) -> DataFrame:
+    """Per case of a post-level protocol: hit, reciprocal rank, contained (all its sources are of the target post), claims met and wanted, complete, attributed, abstained.
+
+    cases (id, expected_sources, required_claims array of arrays, answerable); predictions (id, sources, answer). A claim
+    needs one of its alternatives; only letters and digits count.
     """
-    said = F.regexp_replace(F.lower(F.coalesce("answer", F.lit(""))), r"(?U)[\W_]+", "")
     flat = lambda t: F.regexp_replace(F.lower(t), r"(?U)[\W_]+", "")
+    said = flat(F.coalesce("answer", F.lit("")))
     first = F.slice("sources", 1, k)
     met = F.filter("required_claims", lambda c: F.exists(c, lambda t: F.contains(said, flat(t))))
     places = F.filter(F.transform("expected_sources", lambda s: F.array_position(first, s)), lambda p: p > 0)
     any_of = lambda terms: F.greatest(*[F.contains(said, flat(F.lit(t))) for t in terms], F.lit(False)) if terms else F.lit(False)
     return cases.join(predictions, "id").select(
-        "id", "answerable",
-        (F.size(F.array_intersect("expected_sources", first)) / F.size("expected_sources")).alias("recall"), F.coalesce(1.0 / F.array_min(places), F.lit(0.0)).alias("rr"),
-        F.when(F.size("required_claims") > 0, F.size(met) / F.size("required_claims")).alias("claim_recall"), (F.size(met) == F.size("required_claims")).alias("complete"),
-        any_of(attribution).alias("attributed"), any_of(abstention).alias("abstained"),
+        "id", "answerable", (F.size(places) > 0).alias("hit"), F.coalesce(1.0 / F.array_min(places), F.lit(0.0)).alias("rr"),
+        ((F.size(first) > 0) & F.forall(first, lambda s: F.contains(s, F.lit(target)))).alias("contained"),
+        F.size(met).alias("met"), F.size("required_claims").alias("wanted"), (F.size(met) == F.size("required_claims")).alias("complete"),
+        any_of(attribution).alias("attributed"), ((F.size("sources") == 0) & any_of(abstention)).alias("abstained"),
+    )
+
+
+def post_summary(scored: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """One row: POST_FIGURES of claims(), and with thresholds whether all are reached. All but the last are of answerable cases."""
+    share = lambda c, of: F.avg(F.when(of, F.col(c).cast("double")))
+    yes = F.col("answerable")
+    figures = scored.agg(
+        share("hit", yes).alias(POST_FIGURES[0]), share("rr", yes).alias(POST_FIGURES[1]), share("contained", yes).alias(POST_FIGURES[2]),
+        (F.sum(F.when(yes, F.col("met"))) / F.sum(F.when(yes, F.col("wanted")))).alias(POST_FIGURES[3]), share("complete", yes).alias(POST_FIGURES[4]),
+        share("attributed", yes).alias(POST_FIGURES[5]), share("abstained", ~yes).alias(POST_FIGURES[6]),
     )
+    return passed(figures, tuple((m, ">=", v) for m, v in thresholds.items())) if thresholds else figures
 
 
-def protocol_problems(cases: DataFrame) -> DataFrame:
-    """(problem): repeated ids, no answerable case, no control case."""
+def protocol_problems(cases: DataFrame, thresholds: dict[str, float], target: str) -> DataFrame:
+    """(problem, id): what is wrong with a protocol, id null for what concerns all of it.
+
+    Ids are unique; there are answerable and control cases; queries are not blank; answerable cases have sources, all of
+    the target post, and claims, controls neither; thresholds name POST_FIGURES exactly and lie between 0 and 1.
+    """
+    spark = cases.sparkSession
     s = cases.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count(F.when(F.col("answerable"), 1)).alias("yes"), F.count(F.when(~F.col("answerable"), 1)).alias("no"))
-    found = F.array_compact(F.array(F.when(F.col("n") != F.col("ids"), "id twice"), F.when(F.col("yes") == 0, "no answerable case"), F.when(F.col("no") == 0, "no control case")))
-    return s.select(F.explode(found).alias("problem"))
+    whole = s.select(F.explode(F.array_compact(F.array(F.when(F.col("n") != F.col("ids"), "id twice"), F.when(F.col("yes") == 0, "no answerable case"), F.when(F.col("no") == 0, "no control case")))).alias("problem"), F.lit(None).cast("string").alias("id"))
+    sources, wanted = F.size("expected_sources"), F.size("required_claims")
+    each = F.array_compact(F.array(
+        F.when(F.trim("query") == "", "blank query"), F.when(F.col("answerable") & ((sources == 0) | (wanted == 0)), "answerable without gold"),
+        F.when(F.col("answerable") & F.exists("expected_sources", lambda x: ~F.contains(x, F.lit(target))), "source of another post"), F.when(~F.col("answerable") & ((sources > 0) | (wanted > 0)), "control with gold"),
+    ))
+    own = cases.select(F.explode(each).alias("problem"), F.col("id").cast("string").alias("id"))
+    bad = set(thresholds) != set(POST_FIGURES) or any(not 0 <= v <= 1 for v in thresholds.values())
+    limits = spark.createDataFrame([("thresholds", None)] if bad else [], "problem string, id string")
+    return whole.unionByName(own).unionByName(limits)
+
+
+def percentile(values: DataFrame, by: list[str], value: str, share: float = 0.95) -> DataFrame:
+    """(*by, value) at a share of each group's sorted values: the one at position ceil(share * n), exact."""
+    return values.groupBy(*by).agg(F.element_at(F.array_sort(F.collect_list(value)), F.ceil(F.count(value) * share).cast("int")).alias(value))

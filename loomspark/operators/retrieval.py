@@ -146,6 +146,12 @@ def best_of_groups(reranked: DataFrame, score: str = "rerank", least: float = 0.
     return top(best, [qid], order, k)
 
 
+def by_authority(evidence: DataFrame, official: bool, k: int, qid: str = "query_id", authority: str = "source_authority") -> DataFrame:
+    """The first k passages of each query that are, or are not, of an official source, by rank."""
+    own = F.coalesce(F.col(authority) == "official", F.lit(False))
+    return top(evidence.filter(own if official else ~own), [qid], [F.col("rank")], k, "place")
+
+
 def calibrated(model: Column, query: Column | str, title: Column | str, source_key: Column | str) -> Column:
     """The model's score; for articles at least 0.6 of the title's coverage of the query."""
     floor = F.least(F.lit(1.0), 0.6 * text.coverage(query, title))

@@ -1,6 +1,6 @@
 """All registered queries of the library's own operators with their DuckDB equivalents."""
 
-from loomspark.plans import corpus, relational
+from loomspark.plans import corpus, knowledge, relational
 
-QUERIES: dict = {**relational.QUERIES, **corpus.QUERIES}
-ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **corpus.ORACLE_SQL}
+QUERIES: dict = {**relational.QUERIES, **knowledge.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **knowledge.ORACLE_SQL}
