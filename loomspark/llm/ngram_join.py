@@ -7,7 +7,8 @@ sample shows to be frequent come last in the order; the order never changes the
 1. Prefix shingles are counted in packed blocks. A shingle counts for a set if another set of fitting size has it; sets
    with fewer such shingles than l link with nothing and are left out. The rest keep all but their l - 1 most frequent.
 2. Each set is compared exactly with the set that heads most of its shingle groups; components of these links follow.
-3. Groups that still hold several components are cut into tiles by size. A tile proposes pairs of different components
+3. Sets that shared shingles connect are a group, as far as these are small; larger ones stay groups by shingle. Groups
+   that still hold several components are cut into tiles by size. A tile proposes pairs of different components
    whose parity bitmaps allow the overlap, but only as many as would join them all; these are compared exactly, and
    groups with a refuted pair go round again, with twice as many proposals, until no tile proposes any.
 
@@ -34,6 +35,8 @@ from loomspark.llm.common import Scratch, components, cut, mix64, parts, shingle
 _U = np.uint64
 #: Rows of one side of a tile or members compared with one array in a task, bits of the widest bitmap, tasks of a frequent shingle.
 TILE, WIDEST, SALTS = 1024, 16384, 64
+#: Sets that shingles connect and that are compared as one group, so that a set travels once and not once a shingle.
+CLUSTER = 4 * TILE
 #: Shingles of a set per further shingle that two sets must share.
 SPARE = 40
 #: Postings packed into blocks at once, and the size that a frequent shingle's group counts as.
@@ -345,6 +348,13 @@ def _banded(kept: DataFrame, threshold: Fraction) -> DataFrame:
     return dealt.select(F.when(F.col("band").isNull(), F.col("key")).otherwise(F.xxhash64("key", "band")).alias("key"), "sig", "n")
 
 
+def _clustered(live: DataFrame, stars: DataFrame) -> DataFrame:
+    """live with each set once where it can: sets that shingles connect are one group if they are CLUSTER at most, else groups stay."""
+    found = components(stars.select(F.col("head").alias("a"), F.col("sig").alias("b")))
+    small = found.join(found.groupBy("root").count().filter(F.col("count") <= CLUSTER), "root").select(F.col("node").alias("sig"), F.col("root").alias("cluster"))
+    return live.join(small, "sig", "left").select(F.coalesce("cluster", "key").alias("key"), "sig", "n").distinct()
+
+
 def _tiles(live: DataFrame, roots: DataFrame, bits: DataFrame, refuted: DataFrame) -> DataFrame:
     """(key, tile, side, sig, comp, n, bits, refuted) of the groups that still hold several components, sorted by tile.
 
@@ -388,7 +398,8 @@ def _joined(texts: DataFrame, k: int, limit: Fraction, sample_rows: int) -> tupl
         arrays = scratch.keep(_arrays(texts, sets, live.select("sig").distinct(), k))
         bits = scratch.keep(arrays.mapInPandas(_bitmaps, "sig long, bits binary").dropDuplicates(["sig"]))
         heads = live.groupBy("key").agg(F.min("sig").alias("head"))
-        stars = live.join(heads, "key").filter("sig <> head").groupBy("head", "sig").agg(F.count("*").alias("met"))
+        stars = scratch.keep(live.join(heads, "key").filter("sig <> head").groupBy("head", "sig").agg(F.count("*").alias("met")))
+        live = scratch.keep(_clustered(live, stars))
         asked = scratch.keep(stars.groupBy(F.col("sig").alias("b")).agg(F.max_by("head", F.struct("met", "head")).alias("a")).select("a", "b"))
         links = scratch.keep(_exact(asked, arrays, limit))
         roots = scratch.keep(components(links))

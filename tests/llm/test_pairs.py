@@ -49,10 +49,10 @@ def brute(texts, k, percent):
     return [(i, len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("k", "threshold", "percent", "spare"), [(4, "0.85", 85, 40), (5, "0.8", 80, 8)])
-def test_components_equal_brute_force(spark, k, threshold, percent, spare, monkeypatch):
+@pytest.mark.parametrize(("k", "threshold", "percent", "cluster"), [(4, "0.85", 85, 100), (5, "0.8", 80, 5), (4, "0.85", 85, 0)])
+def test_components_equal_brute_force(spark, k, threshold, percent, cluster, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 3)
-    monkeypatch.setattr(ngram_join, "SPARE", spare)
+    monkeypatch.setattr(ngram_join, "CLUSTER", cluster)
     texts = corpus()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("sig", F.lit("clash"))
     got = ngram_join.jaccard_components(df, k=k, threshold=threshold)
