@@ -1,8 +1,9 @@
 """Licence scan in DataFrame functions only: TF-IDF cosine of headers and licence files to templates, then inheritance.
 
-Every line of a file is a possible header; a licence file also counts as a whole. Each is compared with the templates
-by the cosine of sparse TF-IDF vectors over the templates' words; a file without a licence of its own takes that of
-the licence file in its nearest ancestor directory.
+Every line of a file and every run of 2, 4 and 8 of its lines is a possible header, as notices are wrapped over lines;
+a licence file also counts as a whole. Each is compared with the templates by the cosine of sparse TF-IDF vectors over
+the templates' words (letters and digits, so marks of comments don't count); a file without a licence of its own takes
+that of the licence file in its nearest ancestor directory.
 """
 
 from __future__ import annotations
@@ -16,23 +17,42 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.common import cut
 
-#: Short forms of common licence statements; fixed values.
+#: Names of licences in identifiers, and where their notices differ; fixed values.
+IDENTIFIERS = ("Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0")
+#: Common licence statements, notices and headings of licence files; fixed values.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS),
 )
+#: Numbers of lines that make a unit.
+RUNS = (1, 2, 4, 8)
 WORD = r"[a-z0-9]+"
 #: Names of files that give a licence for their directory.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.(txt|md))?$"
@@ -82,14 +102,19 @@ def weigh(files: DataFrame, text: str, templates: tuple = TEMPLATES) -> Template
 
 
 def headers(files: DataFrame, weights: Templates, key: str, path: str, text: str, cosine: float) -> DataFrame:
-    """(key, path, licence, score, line): the best template of each file that has a header or is a licence file close to one."""
+    """(key, path, licence, score, line, lines): the best template of each file that has a header or is a licence file close to one."""
     anchors = weights.anchors(cosine)
     anchor = F.lit("(?<![a-z0-9])(?:" + "|".join(anchors) + ")(?![a-z0-9])")
     rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text")).filter(F.regexp_like(F.lower("text"), anchor))
     name = F.element_at(F.split("path", "/"), -1)
-    units = F.split("text", "\n")
-    units = F.when(name.rlike(LICENCE_FILE), F.concat(units, F.array(F.col("text")))).otherwise(units)
-    lines = rows.select("key", "path", F.posexplode(units).alias("line", "unit")).filter(F.regexp_like(F.lower("unit"), anchor))
+    def runs(ls: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(ls) - n, F.lit(0))), lambda i: F.struct(i.alias("line"), F.lit(n).alias("lines"), F.array_join(F.slice(ls, i + 1, n), " ").alias("unit")))
+
+    held = F.transform(F.array(F.split("text", "\n")), lambda ls: F.flatten(F.array(*[runs(ls, n) for n in RUNS])))
+    units = F.filter(F.element_at(held, 1), lambda u: (u["lines"] == 1) | (u["line"] + u["lines"] <= F.size(F.split("text", "\n"))))
+    whole = F.array(F.struct(F.size(F.split("text", "\n")).alias("line"), F.lit(0).alias("lines"), F.col("text").alias("unit")))
+    units = F.when(name.rlike(LICENCE_FILE), F.concat(units, whole)).otherwise(units)
+    lines = rows.select("key", "path", F.explode(units).alias("u")).select("key", "path", (F.col("u.line") * 16 + F.col("u.lines")).alias("line"), F.col("u.unit").alias("unit")).filter(F.regexp_like(F.lower("unit"), anchor))
     # squared length of the unit's vector: words outside the templates weigh as much as the rarest inside
     rarest = max(weights.idf.values())
     table = F.create_map(*[F.lit(x) for pair in sorted(weights.idf.items()) for x in pair])
@@ -102,7 +127,7 @@ def headers(files: DataFrame, weights: Templates, key: str, path: str, text: str
     best = summed.select("key", "path", "line", F.array_max(scores).alias("best")).filter(F.col("best.score") >= cosine)
     names = F.array(*[F.lit(n) for n in weights.names])
     top = best.groupBy("key", "path").agg(F.max(F.struct(F.col("best.score").alias("score"), F.col("best.rank").alias("rank"), (-F.col("line")).alias("line"))).alias("top"))
-    return top.select("key", "path", F.get(names, -F.col("top.rank")).alias("licence"), F.col("top.score").alias("score"), (-F.col("top.line")).cast("long").alias("line"))
+    return top.select("key", "path", F.get(names, -F.col("top.rank")).alias("licence"), F.col("top.score").alias("score"), F.floor(-F.col("top.line") / 16).cast("long").alias("line"), F.pmod(-F.col("top.line"), F.lit(16)).cast("long").alias("lines"))
 
 
 def directory(path: Column | str) -> Column:
@@ -124,11 +149,11 @@ def inherit(directories: DataFrame, licensed: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", cosine: float = 0.8, templates: tuple = TEMPLATES) -> DataFrame:
-    """One row per file: key, path, own, score, line, licence, from_dir, up.
+    """One row per file: key, path, own, score, line, lines, licence, from_dir, up.
 
-    own is the template closest to a line (or, for a licence file, to the whole text) with at least this cosine, score
-    and line say how close and where (a whole text counts as the line after the last); of equal scores the earlier
-    template, then the first line is taken. licence is own, else that of the licence file in the nearest directory
+    own is the template closest to a line or run of lines (or, for a licence file, to the whole text) with at least this
+    cosine, score, line and lines say how close, where it begins and how many lines it has (a whole text: the line after
+    the last, 0 lines); of equal scores the earlier template, then the first line, then the shorter run is taken. licence is own, else that of the licence file in the nearest directory
     above (from_dir, up steps away), else null. A directory with several licence files takes the closest one's, then
     the least name. Null and empty texts have no licence of their own; a null path inherits nothing; rows that repeat
     key and path share their results; other columns are not used. The words outside the templates weigh like the
@@ -144,6 +169,6 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     joined = rows.join(own, F.col("key").eqNullSafe(F.col("key2")) & F.col("path").eqNullSafe(F.col("path2")), "left").join(handed, "dir", "left")
     mine = F.col("licence").isNotNull()
     return joined.select(
-        F.col("key").alias(key), F.col("path").alias(path), F.col("licence").alias("own"), "score", "line",
+        F.col("key").alias(key), F.col("path").alias(path), F.col("licence").alias("own"), "score", "line", "lines",
         F.coalesce("licence", "given").alias("licence"), F.when(~mine, F.col("from_dir")).alias("from_dir"), F.when(~mine, F.col("up")).alias("up"),
     )

@@ -176,7 +176,8 @@ t(i, name, w, tf) AS (VALUES {values}),
 seen AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM f) WHERE w IN (SELECT w FROM t) GROUP BY w),
 idf AS (SELECT w, ln(((SELECT count(*) FROM f) + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT w FROM t) LEFT JOIN seen USING (w)),
 v AS (SELECT i, name, w, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY i)) AS x FROM t JOIN idf USING (w)),
-u AS (SELECT doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS unit FROM (SELECT doc_id, string_split(text, chr(10)) || CASE WHEN given THEN [text] ELSE [] END AS ls FROM f)),
+l AS (SELECT doc_id, text, given, string_split(text, chr(10)) AS ls FROM f),
+u AS (SELECT doc_id, i * 16 + n AS line, array_to_string(ls[i + 1:i + n], ' ') AS unit FROM l, (VALUES (1), (2), (4), (8)) r(n), LATERAL (SELECT unnest(range(0, len(ls) - n + 1)) AS i) UNION ALL SELECT doc_id, len(ls) * 16, text FROM l WHERE given),
 k AS (SELECT doc_id, line, w, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) AS w FROM u) GROUP BY ALL),
 x AS (SELECT doc_id, line, w, tf * coalesce(idf, (SELECT max(idf) FROM idf)) AS x FROM k LEFT JOIN idf USING (w)),
 n AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
@@ -184,7 +185,7 @@ sc AS (SELECT doc_id, line, i, name, round(sum(x.x * v.x) / any_value(norm), 9)
 own AS (SELECT doc_id, name, score, line FROM sc WHERE score >= {cosine} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i, line) = 1),
 lic AS (SELECT dir, arg_max(name, (score, name)) AS licence FROM own JOIN f USING (doc_id) WHERE given GROUP BY dir),
 up AS (SELECT doc_id, lic.dir AS from_dir, licence, len(string_split(f.dir, '/')) - len(string_split(lic.dir, '/')) AS up FROM f JOIN lic ON f.dir = lic.dir OR starts_with(f.dir, lic.dir || '/') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(lic.dir) DESC) = 1)
-SELECT f.doc_id, f.dir || '/' || CASE WHEN given THEN 'LICENSE' ELSE f.doc_id || '.txt' END AS path, own.name AS own, own.score, CAST(own.line AS BIGINT) AS line, coalesce(own.name, up.licence) AS licence,
+SELECT f.doc_id, f.dir || '/' || CASE WHEN given THEN 'LICENSE' ELSE f.doc_id || '.txt' END AS path, own.name AS own, own.score, CAST(own.line // 16 AS BIGINT) AS line, CAST(own.line % 16 AS BIGINT) AS lines, coalesce(own.name, up.licence) AS licence,
        CASE WHEN own.name IS NULL THEN up.from_dir END AS from_dir, CASE WHEN own.name IS NULL THEN CAST(up.up AS BIGINT) END AS up
 FROM f LEFT JOIN own USING (doc_id) LEFT JOIN up USING (doc_id)
 """

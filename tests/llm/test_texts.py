@@ -296,6 +296,22 @@ def test_toxicity_features_equal_plain_counts():
     assert len(lexicon.features("bad " * 300_000)) == len(toxicity.FEATURES)
 
 
+def test_real_headers_are_found(spark):
+    wrap = lambda text, mark: "\n".join(mark + " ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
+    full = [(n, t) for n, t in license_scan.TEMPLATES if len(t.split()) > 20]
+    rows = []
+    for i, (name, text) in enumerate(full):
+        for j, mark in enumerate((" * ", "# ")):
+            rows.append((10 * i + j, f"src/{i}/{j}.c", f"#include <x>\n{wrap(text, mark)}\n\nint main() {{ return 0; }}", name))
+    rows += [(1000 + i, f"id/{i}/x.py", f"# SPDX-License-Identifier: {n}\nimport os", n) for i, n in enumerate(license_scan.IDENTIFIERS)]
+    rows += [(2000, "m/LICENSE", "MIT License\n\nCopyright (c) 2020 A\n\n" + wrap(next(t for n, t in full if n == "MIT"), "") + "\n\nThe above copyright notice and this permission notice shall be included in all copies.", "MIT"), (2001, "m/a/b.c", "int x;" * 100_000, "MIT")]
+    plain = [(3000 + i, f"p/{i}.txt", t, None) for i, t in enumerate(["the general public is free to use the library", "you may copy this file and use it", "", None, "permission is needed for use of the source"])]
+    df = spark.createDataFrame(rows + plain, "doc_id long, path string, text string, want string").withColumn("key", F.lit(1)).withColumn("licence", F.lit("x"))
+    got = {r["doc_id"]: r["licence"] for r in license_scan.scan(df).collect()}
+    assert sum(got[r[0]] == r[3] for r in rows) >= 0.9 * len(rows)
+    assert all(got[r[0]] is None for r in plain)
+
+
 def test_pipeline_keeps_the_clean(spark):
     import corpus_pipeline
 
