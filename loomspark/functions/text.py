@@ -122,16 +122,18 @@ def set_similarity(one: Column | str, other: Column | str) -> Column:
 
 def bigrams(text: Column | str) -> Column:
     """Distinct character bigrams of the normalised text, blanks included."""
-    pairs = lambda v: F.when(F.length(v) < 2, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(v) - 1, F.lit(1))), lambda i: F.substring(v, i, F.lit(2))))
+    signs = F.regexp_extract_all(normalized(text), F.lit("(?s)."), F.lit(0))
+    pairs = lambda c: F.when(F.size(c) < 2, F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0))), lambda i: F.concat(F.get(c, i), F.get(c, i + 1))))
     )
-    return F.element_at(F.transform(F.array(normalized(text)), pairs), 1)  # the array makes Spark normalise once, not for each pair
+    return F.element_at(F.transform(F.array(signs), pairs), 1)  # the array makes Spark take the signs apart once, not for each pair
 
 
 def coverage(query: Column | str, title: Column | str) -> Column:
     """Share of the query's character bigrams that the title has; 0 without bigrams."""
-    asked = bigrams(query)
-    return F.when(F.size(asked) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(asked, bigrams(F.coalesce(_c(title), F.lit(""))))) / F.size(asked))
+    share = lambda both: F.when(F.size(both["q"]) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(both["q"], both["t"])) / F.size(both["q"]))
+    sides = F.struct(bigrams(query).alias("q"), bigrams(F.coalesce(_c(title), F.lit(""))).alias("t"))
+    return F.element_at(F.transform(F.array(sides), share), 1)
 
 
 def truncated(text: Column | str, limit: int) -> Column:

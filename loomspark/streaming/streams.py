@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from loomspark.operators import merge
 
@@ -65,23 +66,26 @@ def distinct_events(events: DataFrame, key: str = "dedupe_key", delay: str = "1
     return events.withWatermark("at", delay).dropDuplicatesWithinWatermark([key])
 
 
-def merge_into(stream: DataFrame, table: str, events: str, checkpoint: str, key: str, always: tuple[str, ...] = ()):
-    """Merges each batch of a stream into a versioned table and appends its change events; returns the query.
+def append_changes(stream: DataFrame, log: str, checkpoint: str, key: str):
+    """Appends the newest row of each key of each batch to a log, partitioned by batch; returns the query.
 
-    Versions are folders table/v=<batch>; a batch that is run again finds its version there and writes nothing anew.
+    Nothing that is there is read or written again, and a batch that runs twice overwrites its own partition.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = merge.latest(batch, [key], [F.desc("at")]).drop("at")
-        done = f"{table}/v={number}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(done + "/_SUCCESS")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            return
-        fields = [c for c in newest.columns if c != "status"]
-        old = spark.read.parquet(f"{table}/v={number - 1}") if number else newest.limit(0).select(*fields, F.lit("sanitized").alias("status"))
-        merged = merge.changed_upsert(old.select(*fields, "status"), newest.select(*fields), key, always)
-        merge.outbox(merged, key).write.mode("overwrite").parquet(f"{events}/batch={number}")
-        merged.drop("action").write.mode("overwrite").parquet(done)
+        merge.latest(batch, [key], [F.desc("at")]).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(log: DataFrame, key: str) -> DataFrame:
+    """The newest row of each key of a log."""
+    return merge.latest(log, [key], [F.desc("batch")]).drop("batch")
+
+
+def changes(log: DataFrame, key: str, digest: str = "content_hash") -> DataFrame:
+    """Change events of a log: the first row of each key and those with another digest than the row before, with a key that makes replays harmless."""
+    before = F.lag(digest).over(Window.partitionBy(key).orderBy("batch"))
+    first = F.row_number().over(Window.partitionBy(key).orderBy("batch")) == 1
+    rows = log.withColumn("action", F.when(first, "inserted").when(~F.col(digest).eqNullSafe(before), "updated").otherwise("unchanged"))
+    return merge.outbox(rows, key, digest)

@@ -29,12 +29,12 @@ def test_window_counts_equal_batch(spark, tmp_path):
     assert sum(r["n"] for r in spark.table("counted").collect()) == 200
 
 
-def test_merge_into_versions(spark, tmp_path):
+def test_changes_are_appended(spark, tmp_path):
     schema = "k long, content_hash string, at timestamp"
-    spark.sql("select id k, 'a' content_hash, timestamp '2024-01-01' at from range(3)").write.parquet(str(tmp_path / "in"))
-    where = [str(tmp_path / p) for p in ("table", "events", "ckpt")]
-    streams.merge_into(streams.source(spark, str(tmp_path / "in"), schema), *where, key="k").awaitTermination()
-    spark.sql("select id k, if(id = 1, 'b', 'a') content_hash, timestamp '2024-01-02' at from range(4)").write.mode("append").parquet(str(tmp_path / "in"))
-    streams.merge_into(streams.source(spark, str(tmp_path / "in"), schema), *where, key="k").awaitTermination()
-    assert spark.read.parquet(where[0] + "/v=1").count() == 4
-    assert sorted(r["dedupe_key"] for r in spark.read.parquet(where[1] + "/batch=1").collect()) == ["1:b", "3:a"]
+    log, checkpoint = str(tmp_path / "log"), str(tmp_path / "ckpt")
+    for n, digest in ((3, "'a'"), (4, "if(id = 1, 'b', 'a')")):
+        spark.sql(f"select id k, {digest} content_hash, timestamp '2024-01-0{n}' at from range({n})").write.mode("append").parquet(str(tmp_path / "in"))
+        streams.append_changes(streams.source(spark, str(tmp_path / "in"), schema), log, checkpoint, "k").awaitTermination()
+    rows = spark.read.parquet(log)
+    assert sorted(tuple(r) for r in streams.current(rows, "k").select("k", "content_hash").collect()) == [(0, "a"), (1, "b"), (2, "a"), (3, "a")]
+    assert sorted((r["action"], r["dedupe_key"]) for r in streams.changes(rows, "k").collect()) == [("inserted", "0:a"), ("inserted", "1:a"), ("inserted", "2:a"), ("inserted", "3:a"), ("updated", "1:b")]

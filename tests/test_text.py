@@ -1,6 +1,10 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from loomspark.functions import text
+from loomspark.functions import answers, text
+from loomspark.operators import chunking, retrieval
 
 
 def one(spark, column, **values):
@@ -78,3 +82,63 @@ def test_roles_and_groups(spark):
     kind = text.role("q", "b")
     got = row.select(kind.alias("r"), text.group_key("k", kind, "p").alias("g"), text.claim_text("t", kind).alias("c")).first()
     assert tuple(got) == ("answer_with_question_context", "comment-thread:article:1:2", "댓글 1: a")
+
+
+def test_message_parts_fill_what_they_can(spark):
+    rng = random.Random(1)
+    made = ["".join(rng.choice(["ab", " ", "\n", "\n\n", "x" * 40, "é", "@here "]) for _ in range(rng.randrange(300))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*made, None, " \n ", "y" * 350])], "id long, t string")
+    got = {r["id"]: r["p"] for r in df.select("id", text.message_parts("t", 100).alias("p")).collect()}
+    for i, body in enumerate(made):
+        safe = body.replace("@here", "@\u200bhere")
+        assert "".join("".join(got[i]).split()) == "".join(safe.split()) and all(0 < len(p) <= 100 and p == p.strip() for p in got[i])
+        rest = safe.strip()
+        for part in got[i][:-1]:
+            assert rest.startswith(part) and len(rest) > 100
+            tail = rest[len(part) : 101]
+            assert not tail.strip() or len(part) == 100 or not any(c in " \n" for c in tail.lstrip())
+            rest = rest[len(part) :].lstrip()
+    assert got[60] == got[61] == [] and got[62] == ["y" * 100] * 3 + ["y" * 50]
+
+
+def test_log_values_are_redacted(spark):
+    row = spark.sql("select map('message', 'a', 'discord_token', 'b', 'Query', 'c', 'level', 'info', 'url', 'https://u:p@h/x') m").select(text.redacted("m").alias("r")).first()["r"]
+    assert row["message"] == row["discord_token"] == row["Query"] == "<redacted>" and row["level"] == "info" and "u:p" not in row["url"]
+
+
+def test_chunks_hold_all_words_within_bounds(spark):
+    rng = random.Random(5)
+    for _ in range(300):
+        body = "".join(rng.choice(["word ", "b! ", "\n\n", "\n# head ", "\n- item ", "!" * 30 + " ", "x" * 9, "가나 "]) for _ in range(rng.randrange(60)))
+        sections = chunking.pieces(body, 17)
+        assert "".join("".join(sections).split()) == "".join(body.split()) and all(0 < chunking.tokens(s) <= 17 for s in sections)
+        sizes = [chunking.tokens(s) for s in sections]
+        ranges = chunking.spans(sizes, 9, 17, 5)
+        assert [b for _, b in ranges] == sorted({b for _, b in ranges}) and (not sizes or ranges[-1][1] == len(sizes))
+        fresh = 0
+        for a, b in ranges:
+            assert a <= fresh < b and sum(sizes[a:fresh]) <= 5 and (sum(sizes[a:b]) <= 17)
+            assert b == fresh + 1 or sum(sizes[a:b]) <= 9
+            assert b == len(sizes) or sum(sizes[a : b + 1]) > 9
+            fresh = b
+    with pytest.raises(ValueError, match="budget"):
+        chunking.bodies("a", 15, 9, 20, 5)
+
+
+def test_rerank_documents_keep_the_header(spark):
+    head = "제목: t\n게시판: b\n\n"
+    rows = [(1, head + "x" * 3000, "community_post"), (2, "제목: t\n게시판: b\nbody " + "y" * 3000, "community_post"), (3, "plain " * 400, "community_post"), (4, "질문 문맥: q\n\n댓글 1: " + "z" * 3000, answers.BRANCH), (5, "short", "community_post"), (6, "제목: " + "w" * 3000, "community_post")]
+    df = spark.createDataFrame(rows, "id long, p string, k string")
+    got = {r["id"]: r for r in df.select("id", answers.rerank_document("p", "k", F.lit("T"), F.lit(None)).alias("d"), answers.question_context("p", "k").alias("q")).collect()}
+    assert all(len(got[i]["d"]) == 1500 for i in (1, 2, 3, 4, 6)) and got[5]["d"] == "short"
+    assert got[1]["d"].startswith(head) and got[2]["d"].startswith("제목: t\n게시판: b\nbody ") and got[4]["d"].startswith("제목: T\n게시판: 게시판 미상\n댓글 답변:\n댓글 1: zz")
+    assert got[4]["q"] == "q" and got[1]["q"] is None
+
+
+def test_scope_and_anchors_steer_the_hybrid_search(spark):
+    corpus = spark.createDataFrame([(1, "article:1", "g1", "red fox", "the red fox runs"), (2, "article:2", "g2", "blue fox", "the blue fox runs"), (3, "article:3", "g3", "red hen", "the red hen sits")], "chunk_id long, source_key string, group_key string, title string, text string")
+    legs = spark.createDataFrame([(7, 3, 1), (7, 2, 2), (7, 1, 3)], "query_id long, chunk_id long, rank int")
+    asked = spark.createDataFrame([(7, "red fox runs", [["red"], ["fox", "wolf"]], ["fox"])], "query_id long, query string, groups array<array<string>>, anchors array<string>")
+    found = retrieval.hybrid(asked, corpus, legs, legs)
+    assert [r["chunk_id"] for r in found.collect()] == [1]
+    assert {r["chunk_id"] for r in retrieval.hybrid(asked.drop("groups", "anchors"), corpus, legs, legs).collect()} == {1, 2, 3}
