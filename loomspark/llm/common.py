@@ -105,7 +105,8 @@ class Scratch:
 
     def _written(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        df.write.parquet(f"{self.folder}/{self.n}")
+        # pages end with the row that fills them: a page of large values would be buffered outside the heap as a whole
+        df.write.option("compression", "uncompressed").option("parquet.page.size.row.check.min", "1").parquet(f"{self.folder}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
     def __exit__(self, *_: object) -> None:
