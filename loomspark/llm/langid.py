@@ -103,7 +103,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """Fits the centroids on a bounded sample of labelled rows and their rejection distances on rows held out of it.
 
     At most about max_rows rows in all, shared evenly by the languages and chosen by a hash of the key, are learned
-    from. Rows without language or letters are left out. A third of the texts, whole and cut to EXCERPTS characters,
+    from, so at most max_rows / 8 languages, the most frequent ones. Rows without language or letters are left out. A third of the texts, whole and cut to EXCERPTS characters,
     are held out of centroids and term weights; those nearest to a centroid of their own language give each centroid's
     limit in each length band, the quantile of their cosines. A language with fewer than 8 other rows learns from all
     of its rows. No labelled row gives a model that answers `und`.

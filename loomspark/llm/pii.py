@@ -1,11 +1,10 @@
 """Personal data: fixed formats, and identifiers that bootstrapped contextual patterns discover.
 
-Seed entities are the spans of the fixed formats and strings that mix letters and digits as generated keys do. Seeds
-induce patterns: the word and the marks on the left of an instance (`pass-code: "`), or an instance's own beginning and
+Seed entities are the spans of the fixed formats, values named as passwords, secrets or access keys (found whatever they
+look like), and strings that mix letters and digits as generated keys do (not found by that alone). Seeds induce patterns: the word and the marks on the left of an instance (`pass-code: "`), or an instance's own beginning and
 shape. Over the graph of patterns and instances Spark scores patterns by the share of known instances among all their
 distinct instances, and instances by their best pattern, for a few rounds. Whatever stands in a pattern that stays
-confident is found, whether it looks like a seed or not; a seed outside of all confident patterns is not, unless a
-fixed format has it.
+confident is found, whether it looks like a seed or not.
 """
 
 from __future__ import annotations
@@ -39,6 +38,8 @@ _ADDRESS = re.compile(r"[A-Za-z]{2,12}://")
 #: Strings that may be generated keys: letters and digits, 16 or more, that change over often.
 _KEY = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+")
 _CHANGE = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
+#: Names whose values are secrets by themselves.
+CUE = re.compile(r"(?i)(?:.*[_.-])?(?:password|passwd|passphrase|pwd|secret|(?:api|access|private|secret)[_-]?key)")
 #: Names of values that look like keys and are none.
 DIGESTS = frozenset("sha sha1 sha256 sha512 md5 commit checksum digest hash etag uuid guid revision rev crc integrity isbn doi".split())
 
@@ -94,8 +95,8 @@ def _identity(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def instances(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, list[str], int, int, int]]:
-    """(identity, patterns, start, end, seed kind or -1) of what patterns may find.
+def instances(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, list[str], int, int, int, bool]]:
+    """(identity, patterns, start, end, seed kind or -1, whether it is found without a pattern) of what patterns may find.
 
     These are the values that a word names with : or = (in quotes as a whole, else up to a blank), as
     number or as other value, and strings like keys wherever they stand. The patterns of numbers and of other values
@@ -123,10 +124,11 @@ def instances(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, l
         if not name or (start := opened.end()) >= len(text):
             continue
         pattern = f"{name[1].lower()} {''.join(text[at:start].split())}"
-        number = _NUMBER.match(text, start)
-        if start in starts or number and sum(c.isdigit() for c in number[0]) >= 7 and (number.end() == len(text) or not text[number.end()].isalnum()):
+        cue = CUE.fullmatch(name[1]) is not None
+        number = None if cue else _NUMBER.match(text, start)
+        if not cue and start in starts or number and sum(c.isdigit() for c in number[0]) >= 7 and (number.end() == len(text) or not text[number.end()].isalnum()):
             start, done = starts.get(start) or number.span()
-            out.append((_identity(text[start:done]), [f"number {pattern}"], start, done, numbers.get((start, done), -1)))
+            out.append((_identity(text[start:done]), [f"number {pattern}"], start, done, numbers.get((start, done), -1), False))
             continue
         if opened[1]:
             end = text.find(opened[1], start)
@@ -137,17 +139,18 @@ def instances(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, l
             end = start + len(whole.rstrip(".:!?)]}"))
         if end > start:
             value, done = text[start:end], end
-            seed = len(KINDS) - 1 if _KEY.fullmatch(value) and like_key(value) and name[1].lower() not in DIGESTS else -1
+            key = _KEY.fullmatch(value) and like_key(value) and name[1].lower() not in DIGESTS
+            seed = len(KINDS) - 1 if cue or key else -1
             taken.add(start)
-            out.append((_identity(value), [f"value {pattern}", *own(value)], start, end, seed))
+            out.append((_identity(value), [f"value {pattern}", *own(value)], start, end, seed, cue))
     for m in _KEY.finditer(text):
         if m.start() not in taken and (patterns := own(m[0])):
-            out.append((_identity(m[0]), patterns, m.start(), m.end(), -1))
+            out.append((_identity(m[0]), patterns, m.start(), m.end(), -1, False))
     return out
 
 
 _SPAN = "struct<kind:int,start:int,end:int>"
-_CAND = "struct<value:long,patterns:array<string>,start:int,end:int,seed:int>"
+_CAND = "struct<value:long,patterns:array<string>,start:int,end:int,seed:int,sure:boolean>"
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -157,7 +160,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             base = [base_spans(t) for t in texts]
-            names, fields = ("kind", "start", "end"), ("value", "patterns", "start", "end", "seed")
+            names, fields = ("kind", "start", "end"), ("value", "patterns", "start", "end", "seed", "sure")
             found = [[dict(zip(fields, c, strict=True)) for c in instances(t, b)] for t, b in zip(texts, base, strict=True)]
             yield pd.DataFrame({"id": batch["id"], "body": batch["body"], "base": [[dict(zip(names, s, strict=True)) for s in b] for b in base], "candidates": found})
 
@@ -192,7 +195,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", rounds: int =
     """One row per document: id, body, base and spans, arrays of (kind, start, end) with kind an index into KINDS.
 
     Positions are code points, ends exclusive; spans holds base and, where nothing of base overlaps them, the instances
-    in confident patterns, of the best pattern's kind (of equal scores the later kind), sorted by kind, then start. Null
+    in confident patterns and the named secrets, of the best pattern's kind (of equal scores the later kind), sorted by kind, then start. Null
     and empty texts have no spans; very long texts are read whole, in time that grows with their length. Repeated rows
     stay repeated rows with the same spans; a null id is an id like others. An empty table gives an empty result; other
     columns aren't used.
@@ -202,7 +205,8 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", rounds: int =
     patterns = score_patterns(occurrences, rounds, confidence, support)
     free = occurrences.filter(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
     keyed = free.select("id", "body", "start", "end", F.explode("patterns").alias("pattern"))
-    best = keyed.join(patterns, "pattern").groupBy("id", "body", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
+    sure = free.filter("sure").select("id", "body", "start", "end", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
+    best = keyed.join(patterns, "pattern").select(*sure.columns).unionByName(sure).groupBy("id", "body", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
     added = best.groupBy("id", "body").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("added"))
     added = added.select(F.col("id").alias("id2"), F.col("body").alias("body2"), "added")
     joined = rows.join(added, F.col("id").eqNullSafe(F.col("id2")) & (F.col("body") == F.col("body2")), "left")

@@ -63,7 +63,11 @@ class Lexicon:
         return known
 
     def features(self, text: str | None) -> list[float]:
-        """Values of FEATURES for a whole text; all 0 for null and empty."""
+        """Values of FEATURES for a whole text; all 0 for null and empty.
+
+        Shouted words count in texts with more than a fifth of capitals; an obfuscated word is read up to 24 characters to
+        either side of its sign. Texts are read whole, whatever their length.
+        """
         text = text or ""
         words = _WORD.findall(text.lower())
         if not words:
@@ -179,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str = "score") -> DataFrame:
     """docs with a column `into`: 0 to 1, higher for likelier toxic.
 
-    Null and empty texts are scored like texts without any hit. Repeated rows score alike; all other columns stay, one
+    Null and empty texts are scored like texts without any hit; equal features score alike; an empty table gives an empty
+    result. Repeated rows score alike; all other columns stay, one
     named `into` is replaced.
     """
     if model.trees is None or model.calibration is None:

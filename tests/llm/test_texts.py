@@ -132,7 +132,7 @@ def brute_patterns(occurrences, rounds, confidence, support):
 
 
 def test_pattern_scores_equal_brute_force(spark):
-    rows = [(v, p, s) for _, t, _ in planted() for v, p, _, _, s in pii.instances(t, pii.base_spans(t))]
+    rows = [(v, p, s) for _, t, _ in planted() for v, p, _, _, s, _ in pii.instances(t, pii.base_spans(t))]
     rows += [(1000 + i, ["value a=", f"own abc {i % 3}"], 4 if i < 9 else -1) for i in range(11)] + [(2000 + i, [f"own abc {i % 3}"], -1) for i in range(2)]
     occurrences = spark.createDataFrame(rows, "value long, patterns array<string>, seed int")
     got = {(r["pattern"], r["kind"]): r["score"] for r in pii.score_patterns(occurrences, 3, 0.6, 3).collect()}
@@ -148,12 +148,13 @@ def test_patterns_alone_find_the_secrets_of_the_table(spark):
 
 
 def test_masking_and_edges(spark):
-    rows = [(i, f"some words password={hexed(i)} more {i}") for i in range(8)] + [(i, f"the vault-id: {hexed(i % 8)}, as said") for i in range(8, 16)] + [(20, f"also vault-id: {hexed(99)}"), (20, f"also vault-id: {hexed(99)}"), (21, "order of 12345678 pieces"), (22, None), (23, ""), (None, "a@b.c x")]
+    rows = [(i, f"some words password={hexed(i)} more {i}") for i in range(8)] + [(i, f"the vault-id: {hexed(i % 8)}, as said") for i in range(8, 16)] + [(20, f"also vault-id: {hexed(99)}"), (20, f"also vault-id: {hexed(99)}"), (21, "order of 12345678 pieces"), (22, None), (23, ""), (None, "a@b.c x"), (24, "my Password: correct-horse! and api_key='a b c' 12")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(1).alias(c) for c in ("body", "id", "spans", "_body", "_id", "_spans", "row", "of", "hash")])
     found = pii.find(docs)
     spans = {r["id"]: r["spans"] for r in found.collect()}
     assert all(len(spans[i]) == 1 for i in range(16)), spans
     assert len(spans[20]) == 1 and spans[20][0]["kind"] == 4
+    assert [(s["start"], s["end"]) for s in spans[24]] == [(13, 26), (41, 46)]
     assert spans[21] == [] and spans[22] == [] and spans[23] == []
     masked = pii.mask(docs, found)
     got = {r["doc_id"]: r["text"] for r in masked.collect()}
