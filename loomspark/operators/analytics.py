@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import scalars, text
+from loomspark.operators.retrieval import small
 
 
 def day_search(targets: DataFrame, articles: DataFrame, comments: DataFrame, boards: tuple[int, ...], day: str, limit: int = 20, most_comments: int = 10) -> DataFrame:
@@ -22,9 +23,9 @@ def day_search(targets: DataFrame, articles: DataFrame, comments: DataFrame, boa
     terms = targets.select("target", F.explode("terms").alias("term")).select("target", F.lower("term").alias("term"))
     own = comments.filter(F.col("status").isin("sanitized", "indexed")).join(day_rows.select("article_id"), "article_id", "left_semi")
     has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.col("term"))
-    direct = day_rows.join(F.broadcast(terms), has("title") | has("body") | has("category"))
+    direct = day_rows.join(small(terms), has("title") | has("body") | has("category"))
     by_text = direct.select("target", "article_id", has("title").alias("titled"))
-    by_comment = own.join(F.broadcast(terms), has("body")).select("target", "article_id", F.lit(False).alias("titled"))
+    by_comment = own.join(small(terms), has("body")).select("target", "article_id", F.lit(False).alias("titled"))
     met = by_text.unionByName(by_comment).groupBy("target", "article_id").agg(F.max("titled").alias("titled"))
     counts = own.groupBy("article_id").agg(F.count("*").alias("n_comments"))
     ranked = met.join(day_rows, "article_id").join(counts, "article_id", "left").withColumn("n_comments", F.coalesce("n_comments", F.lit(0)))
@@ -50,12 +51,12 @@ def guide_candidates(articles: DataFrame, comments: DataFrame, topic: Column, ti
 def audit_terms(chunks: DataFrame, pairs: DataFrame, letters: str = "가-힣", top: int = 20, letters_ratio: float = 0.55) -> DataFrame:
     """Use of abbreviations and official names: (abbreviation, official, abbreviation_chunks, official_chunks, matching, different, compounds).
 
-    pairs (abbreviation, official) is the catalog's side and is broadcast; all terms are counted in one pass over the
+    pairs (abbreviation, official) is the catalog's side and is broadcast while it is small; all terms are counted in one pass over the
     chunks. matching counts explicit expansions that hold the official name; different lists up to `top` others that
     resemble it by Ratcliff-Obershelp ratio; compounds lists the most frequent longer forms, ties by name.
     """
     hit = F.contains("text", F.col("abbreviation")) | F.contains("text", F.col("official"))
-    met = chunks.select("chunk_id", "text").join(F.broadcast(pairs), hit)
+    met = chunks.select("chunk_id", "text").join(small(pairs), hit)
     flat = lambda c: F.replace(text.normalized(c), F.lit(" "), F.lit(""))
     counts = met.groupBy("abbreviation", "official").agg(
         F.count(F.when(F.contains("text", F.col("abbreviation")), 1)).alias("abbreviation_chunks"),
@@ -87,7 +88,7 @@ def find_guides(asked: DataFrame, guides: DataFrame) -> DataFrame:
     """For each asked name the guide of that name, else the first by name that contains it or is contained in it."""
     flat = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit(""))
     g = guides.withColumn("g", flat("job_name"))
-    met = asked.withColumn("a", flat("asked")).join(F.broadcast(g), F.contains("g", F.col("a")) | F.contains("a", F.col("g")))
+    met = asked.withColumn("a", flat("asked")).join(small(g), F.contains("g", F.col("a")) | F.contains("a", F.col("g")))
     order = Window.partitionBy("asked").orderBy(F.desc(F.col("a") == F.col("g")), "job_name")
     return met.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n", "a", "g")
 

@@ -326,8 +326,8 @@ def chunk_documents(t, spark: SparkSession) -> DataFrame:
 
 @query()
 def page_articles(t, spark: SparkSession) -> DataFrame:
-    """Title and text of pages whose article element is given the body's id."""
-    html = F.replace("html", F.lit("<article>"), F.lit('<article id="powerbbsContent">'))
+    """Title and text of pages whose article element and heading are given the marks of an article page."""
+    html = F.replace(F.replace("html", F.lit("<article>"), F.lit('<article id="powerbbsContent">')), F.lit("<h1>"), F.lit('<h1 data-title="article">'))
     return t("pages").select("page_id", pages.articles(html, "https://example.com/").alias("a")).select("page_id", "a.status", "a.title", F.length("a.body").alias("n"))
 
 

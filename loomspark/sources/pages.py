@@ -24,53 +24,73 @@ VIEWS, LIKES = re.compile(r"조회\s*:\s*([\d,]+)"), re.compile(r"추천\s*:\s*(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-class _Listing(HTMLParser):
-    def __init__(self) -> None:
+class _Captured(HTMLParser):
+    """The elements that rules name, in the order in which they begin: (rule, attributes, text, enclosing elements found before).
+
+    rules: name and a test of tag and attributes. An element ends with its own end tag, or with that of one around it.
+    """
+
+    def __init__(self, rules: dict) -> None:
         super().__init__(convert_charrefs=True)
-        self.categories: list[str] = []
-        self.rows: dict[int, dict] = {}
-        self.bad = False
-        self.article: dict | None = None
-        self.link = False
+        self.rules, self.found, self.path, self.open = rules, [], [], []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
-        if "data-category" in a and tag == "a" and a["data-category"] not in self.categories:
-            self.categories.append(a["data-category"])
-        elif tag == "article" and "data-article-id" in a:
-            self.article = {"category": a.get("data-category") or None, "published_at": a.get("data-published-at") or None, "pinned": a.get("data-pinned", "").lower() == "true", "id": a["data-article-id"], "title": "", "url": ""}
-        elif tag == "a" and self.article is not None and "title" in a.get("class", "").split():
-            self.article["url"], self.link = a.get("href", ""), True
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "a":
-            self.link = False
-        if tag == "article" and self.article is not None:
-            row, self.article = self.article, None
-            row["title"] = " ".join(row["title"].split())
-            if not row["id"].isdigit() or not row["title"] or not row["url"]:
-                self.bad = True
-            else:
-                row["id"] = int(row["id"])
-                self.rows[row["id"]] = row
+        for name, wanted in self.rules.items():
+            if wanted(tag, a):
+                entry = (name, a, [], [e for _, e in self.open])
+                self.found.append(entry)
+                if tag not in VOID:
+                    self.open.append((len(self.path), entry))
+        if tag not in VOID:
+            self.path.append(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.link and self.article is not None:
-            self.article["title"] += data
+        for _, entry in self.open:
+            entry[2].append(data)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.path:
+            at = len(self.path) - 1 - self.path[::-1].index(tag)
+            del self.path[at:]
+            self.open = [(depth, entry) for depth, entry in self.open if depth < at]
+
+
+def _captured(page: str | None, rules: dict) -> list[tuple[str, dict, str, list]]:
+    parser = _Captured(rules)
+    parser.feed(page or "")
+    parser.close()
+    return [(name, a, " ".join("".join(parts).split()), around) for name, a, parts, around in parser.found]
+
+
+#: The path of an article of a board.
+ARTICLE_PATH = re.compile(r"/board/maple/(\d+)/(\d+)(?:[/?#]|$)")
+_classes = lambda a: a.get("class", "").split()
+LISTING_RULES = {
+    "category": lambda tag, a: tag in ("a", "option") and ("data-category" in a or "category=" in a.get("href", "") and not ARTICLE_PATH.search(a["href"])) and "subject-link" not in _classes(a),
+    "row": lambda tag, a: tag == "article" and "data-article-id" in a,
+    "title": lambda tag, a: tag == "a" and "title" in _classes(a),
+    "subject": lambda tag, a: tag == "a" and "subject-link" in _classes(a) and bool(ARTICLE_PATH.search(a.get("href", ""))),
+}
+ARTICLE_RULES = {
+    "heading": lambda tag, a: tag == "h1" and (a.get("data-title") == "article" or "article-title" in _classes(a)),
+    "og": lambda tag, a: tag == "meta" and a.get("property") == "og:title",
+    "author": lambda tag, a: tag in ("span", "div") and (a.get("data-author") == "nickname" or bool({"user-name", "nickname", "article-author"} & set(_classes(a)))),
+    "hits": lambda tag, a: tag == "div" and "articleHit" in _classes(a),
+}
 
 
 class _Article(HTMLParser):
+    """The body of an article: its lines and media."""
+
     def __init__(self, body_id: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.body_id, self.title, self.head, self.whole = body_id, "", False, []
-        self.depth, self.seen, self.parts, self.media, self.skip = 0, False, [], [], 0
+        self.body_id, self.depth, self.seen, self.parts, self.media, self.skip = body_id, 0, False, [], [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
         if tag in ("script", "style", "noscript"):
             self.skip += 1
-        if tag == "h1" and (a.get("data-title") == "article" or not self.title):
-            self.head = True
         if self.depth:
             if tag in BLOCKS:
                 self.parts.append("\n")
@@ -85,36 +105,45 @@ class _Article(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style", "noscript"):
             self.skip = max(0, self.skip - 1)
-        if tag == "h1":
-            self.head = False
         if self.depth and tag not in VOID:
             self.depth -= 1
             if tag in BLOCKS:
                 self.parts.append("\n")
 
     def handle_data(self, data: str) -> None:
-        if self.skip:
-            return
-        self.whole.append(data)
-        if self.head:
-            self.title += data
-        if self.depth:
+        if self.depth and not self.skip:
             self.parts.append(data)
 
 
 LISTING = "status string, categories array<string>, articles array<struct<id:long,title:string,url:string,category:string,published_at:string,pinned:boolean>>"
-ARTICLE = "status string, title string, body string, views long, likes long, media array<struct<kind:string,url:string,alt:string>>"
+ARTICLE = "status string, title string, author string, body string, views long, likes long, media array<struct<kind:string,url:string,alt:string>>"
 
 
-def listings(html: Column | str, base_url: str) -> Column:
-    """Categories and articles of listing pages; of repeated ids the last wins in the place of the first. status: ok or drift."""
+def listings(html: Column | str, base_url: str, board_id: int | None = None) -> Column:
+    """Categories and articles of listing pages; of repeated ids the last wins in the place of the first. status: ok or drift.
+
+    Categories are texts of links and options that lead to one. Articles are marked elements with a titled link, and
+    subject links to an article's path, with board_id only those of the board.
+    """
 
     def read(page: str | None) -> dict:
-        parser = _Listing()
-        parser.feed(page or "")
-        parser.close()
-        status = "drift" if parser.bad or not parser.categories else "ok"
-        return {"status": status, "categories": parser.categories, "articles": [{**r, "url": urljoin(base_url, r["url"])} for r in parser.rows.values()] if status == "ok" else []}
+        found = _captured(page, LISTING_RULES)
+        categories = list(dict.fromkeys(text for name, _, text, _ in found if name == "category" and text))
+        rows: dict[int, dict] = {}
+        links = [(around[-1][1], a.get("href", ""), text) for name, a, text, around in found if name == "title" and around and around[-1][0] == "row"]
+        bad = len({id(row) for row, _, _ in links}) < sum(name == "row" for name, *_ in found)
+        for row, href, title in links:
+            if row["data-article-id"].isdigit() and title and href:
+                rows[int(row["data-article-id"])] = {"title": title, "url": href, "category": row.get("data-category") or None, "published_at": row.get("data-published-at") or None, "pinned": row.get("data-pinned", "").lower() == "true"}
+            else:
+                bad = True
+        for name, a, title, _ in found:
+            path = ARTICLE_PATH.search(a.get("href", "")) if name == "subject" else None
+            if path and (board_id is None or int(path[1]) == board_id):
+                bad = bad or not title
+                rows[int(path[2])] = {"title": title, "url": a["href"], "category": a.get("data-category") or None, "published_at": None, "pinned": False}
+        status = "drift" if bad or not categories else "ok"
+        return {"status": status, "categories": categories, "articles": [{"id": i, **r, "url": urljoin(base_url, r["url"])} for i, r in rows.items()] if status == "ok" else []}
 
     @F.pandas_udf(LISTING)
     def parse(pages: pd.Series) -> pd.DataFrame:
@@ -124,7 +153,7 @@ def listings(html: Column | str, base_url: str) -> Column:
 
 
 def articles(html: Column | str, base_url: str, body_id: str = BODY_ID) -> Column:
-    """Title, body, counters and media of article pages. status: ok, drift (the body never ends or is missing), unavailable (empty)."""
+    """Title, author, body, counters and media of article pages; the page's own heading counts before og:title. status: ok, drift (the body never ends or is missing), unavailable (empty)."""
 
     def count(pattern: re.Pattern, whole: str) -> int:
         found = pattern.search(whole)
@@ -135,14 +164,18 @@ def articles(html: Column | str, base_url: str, body_id: str = BODY_ID) -> Colum
         parser.feed(page or "")
         parser.close()
         lines = (" ".join(line.split()) for line in "".join(parser.parts).split("\n"))
-        body, whole = "\n".join(line for line in lines if line), " ".join(parser.whole)
+        body = "\n".join(line for line in lines if line)
         status = "drift" if not parser.seen or parser.depth else "ok" if body else "unavailable"
         media = [{"kind": k, "url": urljoin(base_url, u), "alt": a} for k, u, a in parser.media]
-        return status, " ".join(parser.title.split()), body, count(VIEWS, whole), count(LIKES, whole), media
+        facts: dict[str, str] = {}
+        for name, a, said, _ in _captured(page, ARTICLE_RULES):
+            facts.setdefault(name, a.get("content", "") if name == "og" else said)
+        hits = facts.get("hits", "")
+        return status, facts.get("heading") or facts.get("og", ""), facts.get("author", ""), body, count(VIEWS, hits), count(LIKES, hits), media
 
     @F.pandas_udf(ARTICLE)
     def parse(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read(p) for p in pages], columns=["status", "title", "body", "views", "likes", "media"])
+        return pd.DataFrame([read(p) for p in pages], columns=["status", "title", "author", "body", "views", "likes", "media"])
 
     return parse(html)
 

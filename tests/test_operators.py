@@ -129,9 +129,12 @@ def test_pages(spark):
     got = spark.createDataFrame([(listing,), ("<p>",)], "h string").select(pages.listings("h", "https://a.b/").alias("p")).select("p.*").collect()
     assert got[0]["status"] == "ok" and [(a["id"], a["title"], a["url"]) for a in got[0]["articles"]] == [(7, "new & x", "https://a.b/7")]
     assert got[1]["status"] == "drift"
-    page = '<h1 data-title="article">T</h1> 조회 : 1,234 <div id="powerbbsContent"><p>a</p><script>x</script><p>b<img src="/i.png" alt="pic"></p></div>'
+    board = '<a href="?category=Tips">Tips</a><a class="subject-link" href="/board/maple/2304/99?x">Hello <b>you</b></a><a class="subject-link" href="/board/maple/7/1">other</a>'
+    own = spark.createDataFrame([(board,)], "h string").select(pages.listings("h", "https://a.b/", 2304).alias("p")).select("p.*").first()
+    assert own["categories"] == ["Tips"] and [(a["id"], a["title"], a["url"]) for a in own["articles"]] == [(99, "Hello you", "https://a.b/board/maple/2304/99?x")]
+    page = '<meta property="og:title" content="O"><h1 data-title="article">T</h1><span data-author="nickname"> N </span><p>조회 : 9</p><div class="articleHit"><div>조회 : 1,234</div> 추천: 5</div><div id="powerbbsContent"><p>a</p><script>x</script><p>b<img src="/i.png" alt="pic"></p></div>'
     art = spark.createDataFrame([(page,), ('<div id="powerbbsContent"><p>a',)], "h string").select(pages.articles("h", "https://a.b/").alias("p")).select("p.*").collect()
-    assert (art[0]["status"], art[0]["title"], art[0]["body"], art[0]["views"], art[0]["media"][0]["url"]) == ("ok", "T", "a\nb", 1234, "https://a.b/i.png")
+    assert (art[0]["status"], art[0]["title"], art[0]["body"], art[0]["views"], art[0]["likes"], art[0]["author"], art[0]["media"][0]["url"]) == ("ok", "T", "a\nb", 1234, 5, "N", "https://a.b/i.png")
     assert art[1]["status"] == "drift"
 
 
