@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontam, fingerprint, html_extract, langid, license_scan, ngram_join, packing, pii, toxicity, warc
-from loomspark.llm.common import fold_of, read
+from loomspark.llm import decontam, fingerprint, html_extract, langid, license_scan, ngram_join, packing, pii, prefix_trie, toxicity, warc
+from loomspark.llm.common import Scratch, fold_of, read
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +99,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each opened by the first turns of the first of its hundred."""
+    with Scratch(spark) as scratch:
+        own = prefix_trie.turns(read(spark, sf_dir, "conversations"), scratch)
+        return prefix_trie.trie(prefix_trie.branched(own), own.select("conv_id").distinct(), scratch)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extraction": op2_html_extraction,
@@ -110,6 +117,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_language_id": op10_language_id,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 _TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]"
@@ -191,4 +199,25 @@ FROM f LEFT JOIN own USING (doc_id) LEFT JOIN up USING (doc_id)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op4_packing": _packing_sql(), "op5_license_scan": _licence_sql(), "op7_warc": _WARC_SQL, "op9_ngram_jaccard": _jaccard_sql()}
+#: crc32 of a text of ASCII letters and digits, bit by bit.
+_CRC32 = "xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::BIGINT))))"
+
+_TRIE_SQL = f"""
+WITH t AS (SELECT conv_id AS c, r, x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(length(r) || ':' || r || x), 1, 32)) AS n FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+i AS (SELECT c, c - c % 100 AS b, {_CRC32.format('CAST(c AS VARCHAR)')} % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+o AS (SELECT i.c, h, coalesce(least(h, (SELECT max(n) FROM t WHERE t.c = i.b)), 0) AS m FROM i),
+s AS (SELECT i.c, t.n AS d, r, x FROM i JOIN t ON t.c = i.b AND t.n <= i.h UNION ALL SELECT t.c, t.n - o.h + o.m, r, x FROM t JOIN o ON t.c = o.c AND t.n > o.h),
+k AS (SELECT c, d, x, list({{'r': r, 'x': x}}) OVER (PARTITION BY c ORDER BY d) AS key FROM s),
+u AS (SELECT c, d, x, CAST(key AS VARCHAR) AS key, CASE WHEN d > 1 THEN CAST(key[1:d - 1] AS VARCHAR) ELSE '' END AS up FROM k UNION ALL SELECT c, 0, '', '', NULL FROM i),
+z AS (SELECT c, arg_max(key, d) AS last FROM u GROUP BY c),
+v AS (SELECT key, any_value(up) AS up, d, min(c) AS conv_id, count(*) AS n_convs, any_value(length(x)) AS chars FROM u GROUP BY key, d),
+e AS (SELECT last AS key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS sha FROM z GROUP BY last),
+ch AS (SELECT up AS key, count(*) AS n FROM v WHERE up IS NOT NULL GROUP BY up),
+w AS (SELECT v.*, coalesce(ch.n, 0) AS n_children FROM v LEFT JOIN ch USING (key)),
+below AS (SELECT DISTINCT a.key AS top, b.key FROM u a JOIN u b ON a.c = b.c AND b.d >= a.d),
+sub AS (SELECT top AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM below JOIN w USING (key) GROUP BY top)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM w JOIN sub USING (key) LEFT JOIN v p ON p.key = w.up LEFT JOIN e ON e.key = w.key
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_packing": _packing_sql(), "op5_license_scan": _licence_sql(), "op7_warc": _WARC_SQL, "op9_ngram_jaccard": _jaccard_sql(), "op12_prefix_trie": _TRIE_SQL}
