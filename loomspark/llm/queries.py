@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontam, fingerprint, html_extract, langid, license_scan, ngram_join, packing, pii, prefix_trie, toxicity, warc
+from loomspark.llm import decontam, fingerprint, html_extract, langid, license_scan, ngram_join, packing, pii, prefix_trie, token_files, toxicity, warc
 from loomspark.llm.common import Scratch, fold_of, read
 
 
@@ -99,6 +99,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the token ids of every document to files in the shared folder and reads them back."""
+    import public_tokenizers
+
+    files = token_files.write(read(spark, sf_dir, "documents"), token_files.scratch(spark), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.digests(token_files.read(files)).withColumnRenamed("key", "doc_id")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the prefix trie of all conversations, each opened by the first turns of the first of its hundred."""
     with Scratch(spark) as scratch:
@@ -117,6 +125,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_language_id": op10_language_id,
+    "op11_token_files": op11_token_files,
     "op12_prefix_trie": op12_prefix_trie,
 }
 
