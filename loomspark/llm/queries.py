@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontam, fingerprint, html_extract, langid, license_scan, ngram_join, packing, pii, prefix_trie, token_files, toxicity, warc
+from loomspark.llm import decontam, fingerprint, html_extract, langid, license_scan, ngram_join, packing, phrases, pii, prefix_trie, token_files, toxicity, warc
 from loomspark.llm.common import Scratch, fold_of, read
 
 
@@ -114,6 +114,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         return prefix_trie.trie(prefix_trie.branched(own), own.select("conv_id").distinct(), scratch)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of two to five words of each language, by how much they occur together."""
+    return phrases.collocations(read(spark, sf_dir, "documents").select("text", "lang"), least=100, most=5, k=2000)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extraction": op2_html_extraction,
@@ -127,6 +132,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_token_files": op11_token_files,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_phrases": op13_phrases,
 }
 
 _TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]"
@@ -229,4 +235,23 @@ SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n
 FROM w JOIN sub USING (key) LEFT JOIN v p ON p.key = w.up LEFT JOIN e ON e.key = w.key
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_packing": _packing_sql(), "op5_license_scan": _licence_sql(), "op7_warc": _WARC_SQL, "op9_ngram_jaccard": _jaccard_sql(), "op12_prefix_trie": _TRIE_SQL}
+def _phrases_sql(least: int = 100, most: int = 5, k: int = 2000) -> str:
+    """All n-grams counted, all cuts, and what stands inside any longer phrase as often."""
+    cuts = " UNION ALL ".join(f"SELECT lang, g, f AS a, {i} AS k, g[1:{i}] AS x, g[{i} + 1:] AS y FROM c WHERE len(g) > {i}" for i in range(1, most))
+    inner = " UNION ".join(f"SELECT lang, g[{i}:{i + m - 1}] AS g, f FROM c WHERE len(g) >= {i + m - 1} AND len(g) > {m}" for m in range(2, most) for i in range(1, most - m + 2))
+    return f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM documents),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS g FROM p, range(1, {most + 1}) r(m)),
+f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g HAVING count(*) >= {least}),
+c AS (SELECT * FROM f WHERE len(g) > 1),
+ins AS ({inner}),
+al AS (SELECT * FROM c ANTI JOIN ins USING (lang, g, f)),
+cuts AS ({cuts}),
+s AS (SELECT cuts.*, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM cuts JOIN al USING (lang, g) JOIN f x ON x.lang = cuts.lang AND x.g = cuts.x JOIN f y ON y.lang = cuts.lang AND y.g = cuts.y JOIN n ON n.lang = cuts.lang),
+b AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= {k}
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op4_packing": _packing_sql(), "op5_license_scan": _licence_sql(), "op7_warc": _WARC_SQL, "op9_ngram_jaccard": _jaccard_sql(), "op12_prefix_trie": _TRIE_SQL, "op13_phrases": _phrases_sql()}
