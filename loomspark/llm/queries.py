@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import decontam, fingerprint, html_extract, langid, license_scan, ngram_join, packing, phrases, pii, prefix_trie, token_files, toxicity, warc
-from loomspark.llm.common import Scratch, fold_of, read
+from loomspark.llm.common import Scratch, cut, delete, fold_of, read
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +103,12 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the token ids of every document to files in the shared folder and reads them back."""
     import public_tokenizers
 
-    files = token_files.write(read(spark, sf_dir, "documents"), token_files.scratch(spark), public_tokenizers.path("word_bpe_49k.json"))
-    return token_files.digests(token_files.read(files)).withColumnRenamed("key", "doc_id")
+    folder = token_files.scratch(spark)
+    try:
+        files = token_files.write(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+        return cut(token_files.digests(token_files.read(files)).withColumnRenamed("key", "doc_id"))
+    finally:
+        delete(spark, folder)
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ SAMPLE = 256
 #: Ids of a file at most, but for its last document; documents that a reader's task takes.
 IDS_OF_A_FILE, DOCS_OF_A_READ = 1 << 28, 1 << 15
 #: Words that a worker remembers with their ids, and the characters that such a word has at most.
-KNOWN, LONGEST = 250_000, 48
+KNOWN, LONGEST = 200_000, 32
+#: Words of Latin letters that no normal form changes or joins, and marks that split off from them.
+PLAIN, MARKS = "^[A-Za-zÀ-ÖØ-öø-ɏ]+$", tuple(".,;:!?")
 
 
 def packed(values: np.ndarray, width: int) -> bytes:
@@ -112,6 +115,7 @@ class Encoder:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        self.marks = self._raw(list(MARKS))
 
     @staticmethod
     def fits(path: str) -> bool:
@@ -128,48 +132,61 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
+    def _words(self, words: pa.Array) -> list[bytes]:
         """The ids of each word. Words of plain letters are encoded as one text, in which each ends with an id of a word's end."""
-        plain = [w for w in words if w.isalpha() and max(w) < "\u0250"] if self.ends is not None else []
-        out = {}
+        out: list[bytes | None] = [None] * len(words)
+        plain = np.flatnonzero(pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)) if self.ends is not None else []
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, dtype=self.dtype)
+            ids = np.array(self.tokenizer.encode("\n".join(words.take(pa.array(some)).to_pylist()), add_special_tokens=False).ids, dtype=self.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some):
-                data, step = ids.tobytes(), ids.itemsize
-                out.update((w, data[a * step : b * step]) for w, a, b in zip(some, [0, *stops[:-1].tolist()], stops.tolist(), strict=True))
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self._raw(rest), strict=True))
+                data, stops = ids.tobytes(), (stops * ids.itemsize).tolist()
+                for i, a, b in zip(some.tolist(), [0, *stops[:-1]], stops, strict=True):
+                    out[i] = data[a:b]
+        rest = [i for i, data in enumerate(out) if data is None]
+        for i, data in zip(rest, self._raw(words.take(pa.array(rest, type=pa.int64())).to_pylist()), strict=True):
+            out[i] = data
         return out
 
-    @staticmethod
-    def _form(word: str) -> tuple[str, str]:
-        """A word without what splits off or makes no difference: its last mark, if a letter stands before it, and capitals of ASCII."""
-        mark = ""
-        if word[-1] in ".,;:!?" and len(word) > 1 and word[-2].isalpha() and word[-2] < "\u0250":
-            word, mark = word[:-1], word[-1]
-        return word.lower() if word.isascii() and "<" not in word else word, mark
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as bytes."""
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text as bytes.
+
+        Of a batch's words only the distinct ones are looked up, without what splits off or makes no difference: the last
+        mark after a plain letter, and capitals of words in ASCII without a sign that special tokens have.
+        """
         if not self.apart:
-            for text in texts:
+            for text in texts.to_pylist():
                 yield self._raw([text])[0]
             return
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        bounds, met = split.offsets.to_numpy(), split.values.dictionary_encode()
+        words = met.dictionary
+        mark = pc.match_substring_regex(words, f"{PLAIN[1:-2]}[.,;:!?]$")
+        base = pc.if_else(mark, pc.utf8_slice_codeunits(words, 0, -1), words)
+        small = pc.and_(pc.string_is_ascii(base), pc.invert(pc.match_substring(base, "<")))
+        forms = pc.if_else(small, pc.ascii_lower(base), base).dictionary_encode()
         if len(self.words) > KNOWN:
             self.older, self.words = self.words, {}
-        forms = {w: self._form(w) for w in set().union(*split) if w}
-        wanted = {x for form in forms.values() for x in form if x}
-        known = {w: b for w in wanted if (b := self.words.get(w) or self.older.get(w)) is not None}
-        known.update(self._words(list(wanted - known.keys())))
-        self.words.update((w, b) for w, b in known.items() if len(w) <= LONGEST)
-        known[""] = b""
-        whole = {w: known[form] + known[mark] for w, (form, mark) in forms.items()}
-        whole[""] = b""
-        for words in split:
-            yield b"".join(map(whole.__getitem__, words))
+        names = forms.dictionary.to_pylist()
+        found = [a if (a := self.words.get(w)) is not None else self.older.get(w) for w in names]
+        new = [i for i, data in enumerate(found) if data is None]
+        for i, data in zip(new, self._words(forms.dictionary.take(pa.array(new, type=pa.int64()))), strict=True):
+            found[i] = data
+        self.words.update((w, data) for w, data in zip(names, found, strict=True) if len(w) <= LONGEST)
+        # each word is its form and the mark after it, or nothing
+        found += [*self.marks, b""]
+        which = pc.index_in(pc.if_else(mark, pc.utf8_slice_codeunits(words, -1), ""), pa.array(MARKS, type=pa.large_string())).fill_null(len(MARKS))
+        pair = np.stack([forms.indices.to_numpy(), which.to_numpy() + len(names)], axis=1)
+        size = np.dtype(self.dtype).itemsize
+        flat, length = np.frombuffer(b"".join(found), dtype=self.dtype), np.array([len(data) for data in found], dtype=np.int64) // size
+        units = pair[met.indices.to_numpy(zero_copy_only=False)].ravel()
+        n = length[units]
+        ends = np.cumsum(n)
+        at = np.arange(len(flat) and (ends[-1] if len(ends) else 0)) - np.repeat(ends - n - (np.cumsum(length) - length)[units], n)
+        ids, stops = flat[at], np.concatenate([[0], ends])[2 * (bounds - bounds[0])]
+        for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+            yield ids[a:b].tobytes()
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -281,7 +298,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2,
         part, n, writer, own = TaskContext.get().partitionId(), 0, None, encoder(tokenizer, dtype)
         done = lambda w, n: pa.RecordBatch.from_pydict(dict(zip(("file", "place", "docs", "ids"), ([x] for x in (w.file, (part << 24) + n, *w.close()[1:])), strict=True)))
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
+            for k, data in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
                 if writer and writer.ids >= IDS_OF_A_FILE:
                     yield done(writer, n)
                     writer, n = None, n + 1
