@@ -54,6 +54,8 @@ TEMPLATES = (
 #: Numbers of lines that make a unit.
 RUNS = (1, 2, 4, 8)
 WORD = r"[a-z0-9]+"
+#: The type of a file's units.
+_UNITS = "array<struct<line:int,lines:int,unit:string>>"
 #: Names of files that give a licence for their directory.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.(txt|md))?$"
 
@@ -107,14 +109,23 @@ def headers(files: DataFrame, weights: Templates, key: str, path: str, text: str
     anchor = F.lit("(?<![a-z0-9])(?:" + "|".join(anchors) + ")(?![a-z0-9])")
     rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text")).filter(F.regexp_like(F.lower("text"), anchor))
     name = F.element_at(F.split("path", "/"), -1)
-    def runs(ls: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(ls) - n, F.lit(0))), lambda i: F.struct(i.alias("line"), F.lit(n).alias("lines"), F.array_join(F.slice(ls, i + 1, n), " ").alias("unit")))
 
-    held = F.transform(F.array(F.split("text", "\n")), lambda ls: F.flatten(F.array(*[runs(ls, n) for n in RUNS])))
-    units = F.filter(F.element_at(held, 1), lambda u: (u["lines"] == 1) | (u["line"] + u["lines"] <= F.size(F.split("text", "\n"))))
+    def runs(ls: Column, marked: Column, n: int) -> Column:
+        """Runs of n lines with at least one of the marked ones."""
+        last = F.size(ls) - n
+        starts = F.array_distinct(F.flatten(F.transform(marked, lambda p: F.sequence(F.greatest(F.lit(0), p - n + 1), F.least(p, last)))))
+        made = F.transform(starts, lambda i: F.struct(i.alias("line"), F.lit(n).alias("lines"), F.array_join(F.slice(ls, i + 1, n), " ").alias("unit")))
+        return F.when(last >= 0, made).otherwise(F.array().cast(_UNITS))
+
+    def around(ls: Column) -> Column:
+        marked = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.regexp_like(F.lower(F.get(ls, i)), anchor))
+        return F.element_at(F.transform(F.array(marked), lambda m: F.flatten(F.array(*[runs(ls, m, n) for n in RUNS]))), 1)
+
+    # the lines are one value of an array of one, so that they are split once
+    units = F.element_at(F.transform(F.array(F.split("text", "\n")), around), 1)
     whole = F.array(F.struct(F.size(F.split("text", "\n")).alias("line"), F.lit(0).alias("lines"), F.col("text").alias("unit")))
     units = F.when(name.rlike(LICENCE_FILE), F.concat(units, whole)).otherwise(units)
-    lines = rows.select("key", "path", F.explode(units).alias("u")).select("key", "path", (F.col("u.line") * 16 + F.col("u.lines")).alias("line"), F.col("u.unit").alias("unit")).filter(F.regexp_like(F.lower("unit"), anchor))
+    lines = rows.select("key", "path", F.explode(units).alias("u")).select("key", "path", (F.col("u.line") * 16 + F.col("u.lines")).alias("line"), F.col("u.unit").alias("unit"))
     # squared length of the unit's vector: words outside the templates weigh as much as the rarest inside
     rarest = max(weights.idf.values())
     table = F.create_map(*[F.lit(x) for pair in sorted(weights.idf.items()) for x in pair])

@@ -134,6 +134,12 @@ def test_batches_respect_the_budget(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_results_replace_carried_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(i, "a b " * i, 7, 7, "x") for i in range(5)], "doc_id long, text string, bucket int, Slot int, batch string")
+    got = packing.pack(docs, carry=("text", "bucket", "Slot", "batch"))
+    assert got.columns == ["doc_id", *packing.RESULTS, "text"] and sorted(r["n_tokens"] for r in got.collect()) == [0, 2, 4, 6, 8]
+
+
 def test_buckets_stay_exact_with_a_very_long_document(spark):
     lengths = [3, 5, 5, 8, 21, 34, 55, 55, 89, 1_000_001]
     df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")

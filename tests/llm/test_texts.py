@@ -187,6 +187,15 @@ def test_main_text(spark):
     assert got[1]["text"] == "" and got[2]["text"] == ""
 
 
+def test_classes_of_an_article_do_not_empty_it():
+    long = "This paragraph says a great deal about the matter, and it does so in several whole sentences. It goes on."
+    page = f'<body><nav class=menu><a href=x>Home</a></nav><article class="post category-social tag-search related"><p>{long}</p><p class="legal-note">{long}</p><div class="ad"><p>Buy it now.</p></div></article>{{}}</body>'
+    assert html_extract.main_text(page.format("")) == f"{long} {long}"
+    readers = f'<div id="comments"><article class="comment"><p>{long}</p></article></div>'
+    assert html_extract.main_text(page.format(readers)) == f"{long} {long}"
+    assert html_extract.main_text(page.format(f'<article class="comment-body"><p>{long}</p></article>')) == f"{long} {long}"
+
+
 def test_neighbours_overturn_what_a_block_says_itself():
     long = "This paragraph says a great deal about the matter, and it does so in several whole sentences. It goes on."
     page = f"<body><div><p>{long}</p><p>Fig 3</p><p>{long}</p></div><div><a href=x>Home</a></div><div><a href=y>More</a></div></body>"
@@ -297,6 +306,15 @@ def test_toxicity_features_equal_plain_counts():
     assert len(lexicon.features("bad " * 300_000)) == len(toxicity.FEATURES)
 
 
+def test_headers_of_very_long_texts(spark):
+    lines = [f"line of text number {i}" for i in range(100_000)]
+    lines[70_000] = "# Released under the MIT License."
+    df = spark.createDataFrame([(1, "a/b.txt", "\n".join(lines)), (2, "a/c.txt", "\n".join(["Licensed under CC BY 4.0."] * 5_000))], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    assert (got[1]["own"], got[1]["line"], got[1]["lines"]) == ("MIT", 70_000, 1)
+    assert (got[2]["own"], got[2]["line"]) == ("CC-BY-4.0", 0)
+
+
 def test_real_headers_are_found(spark):
     wrap = lambda text, mark: "\n".join(mark + " ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
     full = [(n, t) for n, t in license_scan.TEMPLATES if len(t.split()) > 20]
