@@ -13,6 +13,9 @@ from loomspark.llm.common import cut
 #: A token: a run of letters, digits and underscores, or one other visible character.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]"
 
+#: What pack() adds to a row.
+RESULTS = ("n_tokens", "bucket", "bucket_end", "batch", "slot")
+
 
 def token_length(text: str = "text") -> Column:
     """Words and marks of a text, 0 for null."""
@@ -75,8 +78,11 @@ def pack(docs: DataFrame, length: Column | None = None, key: str = "doc_id", buc
     digits of md5(key), then key, then length: the digits deal even a bucket with most rows over 4096 groups that are
     numbered apart and joined by a running total of their counts. Equal rows take separate slots; a null key counts as
     the text 'null'; null and empty texts have length 0; an empty table gives an empty result. Other columns of docs
-    are not used. Equal lengths share a bucket; a text of any length is counted whole.
+    are not used, and a carried one of a result's name (in capitals or not) gives way to the result. Equal lengths share
+    a bucket; a text of any length is counted whole.
     """
+    taken = {name.lower() for name in (key, *RESULTS)}
+    carry = tuple(c for c in carry if c.lower() not in taken)
     length = token_length() if length is None else length
     salt = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")), 1, 3)
     own = [F.col(key).alias("k"), length.cast("long").alias("n_tokens"), salt.alias("salt")]
