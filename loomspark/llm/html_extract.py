@@ -35,6 +35,10 @@ BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 #: Words of class, id and role that mark boilerplate; the second set counts around an article as well.
 HINTS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle banner promo promotion sponsor sponsored sidebar side widget menu nav navbar navigation topbar toolbar breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notification alert popup modal overlay share sharing social newsletter subscribe subscription signup login search pager pagination toc hidden copyright legal disclaimer tags".split())
 STRONG = frozenset("comment comments commentlist discussion disqus respond replies reply reviews related recommended recommendations".split())
+#: Those of the second set that mark what readers write.
+READERS = frozenset("comment comments commentlist discussion disqus respond replies reply reviews".split())
+#: Elements that hold text rather than parts of a page.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split())
 MAIN = frozenset("article main content post entry story body text".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SENTENCE = re.compile(r"[.!?…]['\"»”)]*(?:\s|$)")
@@ -104,8 +108,10 @@ class _Blocks(HTMLParser):
         words = {w for name in names if not name.startswith(("with-", "has-", "no-", "without-")) for w in _SPLIT.split(name)}
         article = tag in ("article", "main")
         top = tag in ("html", "body")
-        worse = above.worse or (not top and bool(words & STRONG)) or tag in BOILERPLATE
-        bad = not article and above.bad or (not top and bool(words & HINTS)) or tag == "header" and not above.main
+        # an article's classes name its topics, and those of a paragraph in it what it says: only readers' words exclude them
+        said = article or above.main and tag in TEXTUAL
+        worse = above.worse or (not top and bool(words & (READERS if said else STRONG))) or tag in BOILERPLATE
+        bad = not article and (above.bad or (not top and not said and bool(words & HINTS)) or tag == "header" and not above.main)
         self.node = _Node(above, tag, above.depth + 1, above.hidden or tag in HIDDEN, bad, worse, above.main or article or (not top and bool(words & MAIN)))
         self.open[tag] = self.open.get(tag, 0) + 1
 
