@@ -94,16 +94,17 @@ class Scratch:
     def keep(self, df: DataFrame, most: int | None = None) -> DataFrame:
         """The same rows, read from a Parquet table; a small one has few files. most: a bound of the rows where one is known."""
         if most is not None:
-            return self._written(df.coalesce(1 + most // ROWS_OF_A_FILE))
-        files = self._written(df)
+            return self.written(df.coalesce(1 + most // ROWS_OF_A_FILE))
+        files = self.written(df)
         wanted, first = 1 + files.count() // ROWS_OF_A_FILE, self.n
         if len(files.inputFiles()) <= 4 * wanted:
             return files
-        few = self._written(files.coalesce(wanted))
+        few = self.written(files.coalesce(wanted))
         delete(self.spark, f"{self.folder}/{first}")
         return few
 
-    def _written(self, df: DataFrame) -> DataFrame:
+    def written(self, df: DataFrame) -> DataFrame:
+        """The same rows, read from a Parquet table with a file for each task."""
         self.n += 1
         # pages end with the row that fills them: a page of large values would be buffered outside the heap as a whole
         df.write.option("compression", "uncompressed").option("parquet.page.size.row.check.min", "1").parquet(f"{self.folder}/{self.n}")

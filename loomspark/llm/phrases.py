@@ -176,7 +176,10 @@ _SHARDS = "shard long, words array<struct<lang:string, word:string, n:long>>, en
 
 
 def shards(docs: DataFrame, text: Column | str = "text", lang: Column | str = "lang") -> DataFrame:
-    """Bitmaps of all words, one row for each shard; null texts are empty, a null lang is und."""
+    """Bitmaps of all words, one row for each shard; null texts are empty, a null lang is und.
+
+    Shards are numbered by task: the rows are written as they come, before anything else is done with them.
+    """
     body = (F.col(text) if isinstance(text, str) else text).cast("binary")
     named = F.coalesce(F.col(lang) if isinstance(lang, str) else lang, F.lit("und"))
 
@@ -264,14 +267,14 @@ def counted(docs: DataFrame, scratch: Scratch, least: int = 100, most: int = 5)
     in their lang; sizes (lang, n) counts all occurrences of words.
     """
     bound_batches(docs.sparkSession)
-    laid = scratch.keep(shards(docs), 0)
+    laid = scratch.written(shards(docs))
     each = laid.select("shard", F.posexplode("words").alias("place", "w")).select("shard", "place", "w.*")
     totals = scratch.keep(each.groupBy("lang", "word").agg(F.sum("n").alias("f")))
     sizes = totals.groupBy("lang").agg(F.sum("f").alias("n"))
     words = scratch.keep(running(totals.filter(F.col("f") >= least), ["lang", "word"], {"id": F.lit(1)}, scratch))
     kept = each.join(small(words), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("kept"))
     rows = "shard long, ids array<long>, entries binary, gaps binary, bits binary"
-    held = scratch.keep(laid.drop("words").join(kept, "shard").mapInArrow(_frequent_only, rows), 0)
+    held = scratch.written(laid.drop("words").join(kept, "shard").mapInArrow(_frequent_only, rows))
 
     pairs = held.mapInArrow(_pairs, "shard long, first long, second long, n long")
     often = scratch.keep(pairs.groupBy("first", "second").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
