@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import scalars, text
-from loomspark.operators.retrieval import small
+from loomspark.operators.terms import contained
 
 
 def day_search(targets: DataFrame, articles: DataFrame, comments: DataFrame, boards: tuple[int, ...], day: str, limit: int = 20, most_comments: int = 10) -> DataFrame:
@@ -22,11 +22,13 @@ def day_search(targets: DataFrame, articles: DataFrame, comments: DataFrame, boa
     day_rows = articles.filter(F.col("board_id").isin(*boards) & F.col("status").isin("discovered", "sanitized", "indexed") & (at >= start) & (at < end))
     terms = targets.select("target", F.explode("terms").alias("term")).select("target", F.lower("term").alias("term"))
     own = comments.filter(F.col("status").isin("sanitized", "indexed")).join(day_rows.select("article_id"), "article_id", "left_semi")
-    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.col("term"))
-    direct = day_rows.join(small(terms), has("title") | has("body") | has("category"))
-    by_text = direct.select("target", "article_id", has("title").alias("titled"))
-    by_comment = own.join(small(terms), has("body")).select("target", "article_id", F.lit(False).alias("titled"))
-    met = by_text.unionByName(by_comment).groupBy("target", "article_id").agg(F.max("titled").alias("titled"))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    direct = contained(day_rows.select("article_id", "title", "body", "category"), {"in_title": low("title"), "in_text": F.concat_ws("\x00", low("body"), low("category"))}, terms)
+    titled = lambda df, c, flag: df.select("article_id", F.explode(c).alias("term"), F.lit(flag).alias("titled"))
+    by_text = titled(direct, "in_title", True).unionByName(titled(direct, "in_text", False))
+    by_comment = titled(contained(own.select("article_id", "body"), {"in_text": low("body")}, terms), "in_text", False)
+    said = by_text.unionByName(by_comment).groupBy("article_id", "term").agg(F.max("titled").alias("titled"))
+    met = said.join(terms, "term").groupBy("target", "article_id").agg(F.max("titled").alias("titled"))
     counts = own.groupBy("article_id").agg(F.count("*").alias("n_comments"))
     ranked = met.join(day_rows, "article_id").join(counts, "article_id", "left").withColumn("n_comments", F.coalesce("n_comments", F.lit(0)))
     order = [F.desc("titled"), F.desc("recommended"), F.desc("n_comments"), F.desc("views"), F.desc_nulls_last("at"), F.desc("article_id")]
@@ -51,17 +53,19 @@ def guide_candidates(articles: DataFrame, comments: DataFrame, topic: Column, ti
 def audit_terms(chunks: DataFrame, pairs: DataFrame, letters: str = "가-힣", top: int = 20, letters_ratio: float = 0.55) -> DataFrame:
     """Use of abbreviations and official names: (abbreviation, official, abbreviation_chunks, official_chunks, matching, different, compounds).
 
-    pairs (abbreviation, official) is the catalog's side and is broadcast while it is small; all terms are counted in one pass over the
-    chunks. matching counts explicit expansions that hold the official name; different lists up to `top` others that
+    pairs (abbreviation, official) is the catalog's side; each chunk is read once for all its terms, and only chunks with
+    an abbreviation are read again, for what is said about it. Nulls are in no chunk.
+    matching counts explicit expansions that hold the official name; different lists up to `top` others that
     resemble it by Ratcliff-Obershelp ratio; compounds lists the most frequent longer forms, ties by name.
     """
-    hit = F.contains("text", F.col("abbreviation")) | F.contains("text", F.col("official"))
-    met = chunks.select("chunk_id", "text").join(small(pairs), hit)
+    named = pairs.select(F.explode(F.array("abbreviation", "official")).alias("term")).distinct()
+    held = contained(chunks.select("chunk_id", "text"), {"terms": F.col("text")}, named).filter(F.size("terms") > 0)
     flat = lambda c: F.replace(text.normalized(c), F.lit(" "), F.lit(""))
-    counts = met.groupBy("abbreviation", "official").agg(
-        F.count(F.when(F.contains("text", F.col("abbreviation")), 1)).alias("abbreviation_chunks"),
-        F.count(F.when(F.contains("text", F.col("official")), 1)).alias("official_chunks"),
-    )
+    numbers = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counts = pairs
+    for c in ("abbreviation", "official"):
+        counts = counts.join(numbers.select(F.col("term").alias(c), F.col("n").alias(f"{c}_chunks")), c, "left")
+    met = held.select("chunk_id", "text", F.explode("terms").alias("abbreviation")).join(pairs, "abbreviation")
     said = met.select("abbreviation", "official", "chunk_id", F.explode(text.expansions("text", "abbreviation")).alias("said"))
     said = said.withColumn("same", F.contains(flat("said"), flat("official")))
     near = said.filter("not same").withColumn("ratio", text.matching_ratio(flat("said"), flat("official"))).filter(F.col("ratio") >= letters_ratio)
@@ -72,7 +76,7 @@ def audit_terms(chunks: DataFrame, pairs: DataFrame, letters: str = "가-힣", t
     forms = forms.withColumn("rank", F.row_number().over(Window.partitionBy("abbreviation", "official").orderBy(F.desc("n"), "form"))).filter(F.col("rank") <= top)
     compounds = forms.groupBy("abbreviation", "official").agg(F.array_sort(F.collect_list(F.struct("rank", "form", "n"))).alias("compounds"))
     keys = ["abbreviation", "official"]
-    out = pairs.join(counts, keys, "left").join(matching, keys, "left").join(different, keys, "left").join(compounds, keys, "left")
+    out = counts.join(matching, keys, "left").join(different, keys, "left").join(compounds, keys, "left")
     return out.fillna(0, ["abbreviation_chunks", "official_chunks", "matching"])
 
 
@@ -87,8 +91,10 @@ def family_targets(relations: DataFrame, entities: DataFrame) -> DataFrame:
 def find_guides(asked: DataFrame, guides: DataFrame) -> DataFrame:
     """For each asked name the guide of that name, else the first by name that contains it or is contained in it."""
     flat = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit(""))
-    g = guides.withColumn("g", flat("job_name"))
-    met = asked.withColumn("a", flat("asked")).join(small(g), F.contains("g", F.col("a")) | F.contains("a", F.col("g")))
+    a, g = asked.withColumn("a", flat("asked")), guides.withColumn("g", flat("job_name"))
+    longer = contained(g.select("g").distinct(), {"a": F.col("g")}, a, "a").select("g", F.explode("a").alias("a"))
+    shorter = contained(a.select("a").distinct(), {"g": F.col("a")}, g, "g").select(F.explode("g").alias("g"), "a")
+    met = longer.unionByName(shorter).distinct().join(a, "a").join(g, "g")
     order = Window.partitionBy("asked").orderBy(F.desc(F.col("a") == F.col("g")), "job_name")
     return met.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n", "a", "g")
 

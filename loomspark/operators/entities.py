@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from loomspark.functions import text
 from loomspark.functions.answers import terms
 from loomspark.functions.text import normalized
+from loomspark.operators.terms import located
 
 #: Specificity inside the job ontology.
 SPECIFICITY = {"taxonomy": 1, "job_family": 2, "job": 3}
@@ -32,16 +33,13 @@ def catalog_problems(entities: DataFrame, aliases: DataFrame, relations: DataFra
 def occurrences(texts: DataFrame, aliases: DataFrame, tid: str = "query_id", body: str = "query") -> DataFrame:
     """Every occurrence of every normalised alias: (tid, entity_id, entity_type, alias, start, end), start from 0.
 
-    Texts and aliases meet by the alias's first word start, an equi-join on three characters, so no text is compared with
-    all aliases; starts that overlap an earlier match of the same alias count as well. Aliases shorter than three
-    characters meet by what they have.
+    Each text is read once for all aliases; occurrences that overlap an earlier one of the same alias count as well. An
+    occurrence joins the entities that have its alias, and no text travels with it.
     """
-    a = aliases.select("entity_id", "entity_type", "alias", normalized("alias").alias("na")).filter("na <> ''").withColumn("head", F.substring("na", 1, 3))
-    t = texts.select(tid, normalized(body).alias("nt"))
-    spots = t.select(tid, "nt", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("nt"), F.lit(1))), lambda i: F.substring(F.col("nt"), i, F.lit(3)))).alias("start", "gram"))
-    heads = spots.select(tid, "nt", "start", F.explode(F.array_distinct(F.array(*[F.substring("gram", 1, n) for n in (1, 2, 3)]))).alias("head"))
-    met = heads.join(a, "head").filter(F.substring(F.col("nt"), F.col("start") + 1, F.length("na")) == F.col("na"))
-    return met.select(tid, "entity_id", "entity_type", "alias", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("na")).cast("int").alias("end")).distinct()
+    a = aliases.select("entity_id", "entity_type", "alias", normalized("alias").alias("na")).filter("na <> ''")
+    spots = located(texts.select(tid, normalized(body).alias("nt")), F.col("nt"), a, "na").select(tid, F.explode("spots").alias("s"))
+    met = spots.select(tid, F.col("s.term").alias("na"), F.col("s.start").alias("start")).join(a, "na")
+    return met.select(tid, "entity_id", "entity_type", "alias", "start", (F.col("start") + F.length("na")).cast("int").alias("end")).distinct()
 
 
 def greedy(matches: Column) -> Column:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,56 +26,6 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, block: int = 4096, qid: str = "query_id", cid: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest corpus vectors of each query by cosine distance, ties by id: (qid, cid, score, rank), score max(0, 1 - d).
-
-    Exact. Queries are the stated side: they go to the executors in blocks of at most about `block` vectors, each block
-    against all rows. A task multiplies matrices and hands on its own k best of each query (and what ties with the last),
-    so what is shuffled doesn't grow with the corpus but with tasks. Null, zero and misfit vectors rank nowhere.
-    """
-    kinds = dict(queries.dtypes)[qid], dict(corpus.dtypes)[cid]
-    asked = queries.select(F.col(qid).alias("q"), F.col(vector).alias("v")).filter("v is not null")
-    blocks = max(1, -(-asked.count() // block))
-    out = None
-    for b in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
-        ids, wide = [r["q"] for r in rows], len(rows[0]["v"])
-        matrix = np.array([r["v"] if len(r["v"]) == wide else [np.nan] * wide for r in rows], dtype=np.float64)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, side = shared.value
-            best: list[list[tuple]] = [[] for _ in names]
-            for batch in batches:
-                fit = [i for i, v in enumerate(batch["v"]) if v is not None and len(v) == side.shape[1]]
-                if not fit:
-                    continue
-                vectors = np.array([batch["v"].iloc[i] for i in fit], dtype=np.float64)
-                norms = np.linalg.norm(vectors, axis=1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    sims = (vectors / norms[:, None]) @ side.T
-                chunk = batch["c"].to_numpy()[fit]
-                for j in range(len(names)):
-                    column = sims[:, j]
-                    good = np.flatnonzero(np.isfinite(column))
-                    if len(good) > k:
-                        good = good[column[good] >= np.partition(column[good], len(good) - k)[len(good) - k]]
-                    merged = sorted([*best[j], *((-column[i], chunk[i]) for i in good)])
-                    best[j] = [m for m in merged if len(merged) <= k or m[0] <= merged[k - 1][0]]
-            yield pd.DataFrame([(n, c, -s) for n, own in zip(names, best, strict=True) for s, c in own], columns=["q", "c", "sim"])
-
-        part = corpus.select(F.col(cid).alias("c"), F.col(vector).alias("v")).filter("v is not null").mapInPandas(nearest, f"q {kinds[0]}, c {kinds[1]}, sim double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return corpus.sparkSession.createDataFrame([], f"{qid} {kinds[0]}, {cid} {kinds[1]}, score double, rank int")
-    named = out.select(F.col("q").alias(qid), F.col("c").alias(cid), "sim")
-    return top(named, [qid], [F.desc("sim"), F.col(cid)], k).select(qid, cid, F.greatest(F.lit(0.0), "sim").alias("score"), "rank")
-
-
 def postings(corpus: DataFrame, cid: str = "chunk_id", body: str = "text") -> DataFrame:
     """Distinct (token, cid) of the lower-cased runs of letters and digits; written once, it serves all queries."""
     words = F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalars, text
-from loomspark.operators import analytics, chunking, entities, evaluation, retrieval
+from loomspark.operators import analytics, chunking, entities, evaluation, retrieval, vectors
 from loomspark.plans import modes
-from loomspark.sources import pages
+from loomspark.sources import pages, shared
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -148,13 +148,45 @@ def lexical_two_stage(t, spark: SparkSession) -> DataFrame:
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)))"
 
 
-@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT vec_id AS chunk_id, embedding AS e FROM embeddings),
+_NEAREST = f"""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT vec_id AS chunk_id, embedding AS e FROM embeddings),
  s AS (SELECT query_id, chunk_id, {_DOT.format(a='q.e', b='c.e')} / (sqrt({_DOT.format(a='q.e', b='q.e')}) * sqrt({_DOT.format(a='c.e', b='c.e')})) AS sim FROM q, c)
- SELECT query_id, chunk_id, round(greatest(0.0, sim), 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM s) WHERE rank <= 20""")
-def knn_exact(t, spark: SparkSession) -> DataFrame:
+ SELECT query_id, chunk_id, round(greatest(0.0, sim), 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM s) WHERE rank <= 20"""
+
+
+def _vectors(t) -> tuple[DataFrame, DataFrame]:
+    """Every row whose id 20 divides as query, and all rows."""
     e = t("embeddings")
-    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.knn(asked, e.select(F.col("vec_id").alias("chunk_id"), "embedding"), 20).withColumn("score", F.round("score", 6))
+    return e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+@query(_NEAREST)
+def knn_exact(t, spark: SparkSession) -> DataFrame:
+    return vectors.knn(*_vectors(t), 20).withColumn("score", F.round("score", 6))
+
+
+@query(_NEAREST)
+def knn_cells_exact(t, spark: SparkSession) -> DataFrame:
+    """The same from an inverted file: near cells first, then those that may hold a better neighbour."""
+    asked, corpus = _vectors(t)
+    folder = shared.new(spark, "cells")
+    try:
+        vectors.build(corpus, folder)
+        return vectors.search(asked, folder, 20, exact=True).withColumn("score", F.round("score", 6))
+    finally:
+        shared.delete(spark, folder)
+
+
+@query()
+def knn_ivf_recall(t, spark: SparkSession) -> DataFrame:
+    """(query_id, wanted, hits): how many of the 20 nearest the nearest quarter of the cells gives."""
+    asked, corpus = _vectors(t)
+    folder = shared.new(spark, "cells")
+    try:
+        vectors.build(corpus, folder)
+        found = vectors.search(asked, folder, 20, probes=max(8, spark.read.parquet(f"{folder}/cells").count() // 4))
+        return vectors.recall(found, vectors.knn(asked, corpus, 20))
+    finally:
+        shared.delete(spark, folder)
 
 
 @query("SELECT vec_id, len(embedding) = 64 AND abs(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) - 1) <= 0.001 AS valid FROM embeddings")
@@ -167,7 +199,7 @@ def _dense_leg(t, k: int = 1000) -> DataFrame:
     e = t("embeddings")
     asked = e.join(_asked(t).select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
     held = e.join(t("documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return retrieval.knn(asked, held, k).select("query_id", "chunk_id", "rank")
+    return vectors.knn(asked, held, k).select("query_id", "chunk_id", "rank")
 
 
 def _lexical_leg(t) -> DataFrame:

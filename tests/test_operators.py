@@ -1,10 +1,12 @@
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalars
-from loomspark.operators import analytics, chunking, entities, evaluation, merge, retrieval, temporal, threads
+from loomspark.operators import analytics, chunking, entities, evaluation, merge, retrieval, temporal, terms, threads, vectors
 from loomspark.plans import modes
 from loomspark.sources import pages
 
@@ -16,10 +18,56 @@ def rows(df):
 def test_knn_ties_nulls_and_blocks(spark):
     c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0])], "chunk_id long, embedding array<double>")
     q = spark.createDataFrame([(10, [3.0, 0.0]), (11, [0.0, 1.0])], "query_id long, embedding array<double>")
-    for block in (1, 100):
-        got = rows(retrieval.knn(q, c, 2, block).select("query_id", "rank", "chunk_id"))
-        assert got == [(10, 1, 1), (10, 2, 2), (11, 1, 3), (11, 2, 1)]
-    assert retrieval.knn(q.limit(0), c, 2).count() == 0
+    got = rows(vectors.knn(q, c, 2).select("query_id", "rank", "chunk_id"))
+    assert got == [(10, 1, 1), (10, 2, 2), (11, 1, 3), (11, 2, 1)]
+    assert vectors.knn(q.limit(0), c, 2).count() == 0 and vectors.knn(q, c.limit(0), 2).count() == 0
+
+
+def clustered(n=1200, groups=40, seed=5):
+    """Vectors about some directions, a third of them equal."""
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(groups, 16))
+    made = middle[rng.integers(0, groups, n)] + 0.25 * rng.normal(size=(n, 16))
+    made[: n // 3] = made[0]
+    return made
+
+
+def test_inverted_file(spark, tmp_path, monkeypatch):
+    made = clustered()
+    c = spark.createDataFrame([(f"c{i:04d}", v.tolist()) for i, v in enumerate(made)] + [("none", None), ("zero", [0.0] * 16), ("short", [1.0])], "chunk_id string, embedding array<double>")
+    q = spark.createDataFrame([(i, made[i].tolist()) for i in range(0, len(made), 20)] + [(9999, [-x for x in made[0].tolist()])], "query_id int, embedding array<double>")
+    unit = made / np.linalg.norm(made, axis=1, keepdims=True)
+    want = {}
+    for r in q.collect():
+        sims = np.round(unit @ (np.array(r["embedding"]) / np.linalg.norm(r["embedding"])), 12)
+        want[r["query_id"]] = [f"c{i:04d}" for i in np.lexsort((np.arange(len(made)), -sims))[:20]]
+    found = lambda df: {k: [r["chunk_id"] for r in sorted(g, key=lambda r: r["rank"])] for k, g in itertools.groupby(sorted(df.collect(), key=lambda r: r["query_id"]), lambda r: r["query_id"])}
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(vectors, "TILE", 500)
+    folder = str(tmp_path / "cells")
+    vectors.build(c, folder, cells=40)
+    assert found(vectors.knn(q, c, 20)) == want
+    assert found(vectors.search(q, folder, 20, probes=1, exact=True)) == want
+    near = vectors.search(q, folder, 20, probes=5)
+    told = vectors.recall(near, vectors.knn(q, c, 20)).agg(F.sum("hits"), F.sum("wanted")).first()
+    assert told[0] / told[1] >= 0.95
+    scan = vectors.search(q.limit(1), folder, 5, probes=2)
+    assert scan.count() == 5 and spark.read.parquet(f"{folder}/cells").agg(F.sum("n")).first()[0] == len(made)
+    vectors.build(c.limit(0), str(tmp_path / "none"))
+    assert vectors.search(q, str(tmp_path / "none"), 5, exact=True).count() == 0
+
+
+def test_terms_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(terms, "BLOCK_BYTES", 6)
+    words = ["a", "ab", "bab", "é", "", None, "zz", "ab"]
+    texts = ["babab", "", None, "é a", "q" * 10_000 + "zz"]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, body string")
+    w = spark.createDataFrame([(x,) for x in words], "term string")
+    got = {r["id"]: r["found"] for r in terms.contained(t, {"found": F.col("body")}, w).collect()}
+    assert {i: None if f is None else sorted(f) for i, f in got.items()} == {i: None if x is None else sorted({y for y in words if y is not None and y in x}) for i, x in enumerate(texts)}
+    spots = {r["id"]: sorted(tuple(s) for s in r["spots"]) for r in terms.located(t, F.col("body"), w).collect()}
+    assert spots == {i: sorted({(y, j) for y in words if y for j in range(len(x or "")) if x.startswith(y, j)}) for i, x in enumerate(texts)}
+    assert terms.contained(t, {"found": F.col("body")}, w.limit(0)).filter(F.size("found") > 0).count() == 0
 
 
 def test_fusion_and_caps(spark):
