@@ -21,9 +21,9 @@ from loomspark.llm.common import Scratch, bound_batches, cut
 from loomspark.llm.running import running
 
 #: Places of a shard, but for what its last document has beyond them.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Entries of bitmaps that are extended together: a group of first words is taken to its longest phrases before the next.
-GROUP = 1 << 17
+GROUP = 1 << 16
 #: Rows of a table that is broadcast at most.
 SMALL = 1 << 21
 #: Marks that end a piece, and capitals: what becomes a line feed, a space or a small letter.
@@ -54,8 +54,11 @@ def from_varint(data: bytes) -> np.ndarray:
     if not len(ends):
         return np.empty(0, dtype=np.int64)
     starts = np.concatenate([[0], ends[:-1]])
-    place = np.arange(len(raw)) - np.repeat(starts, ends - starts)
-    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), starts)
+    out, more = (raw[starts] & 127).astype(np.int64), ends - starts
+    for i in range(1, int(more.max())):
+        has = more > i
+        out[has] |= (raw[starts[has] + i] & 127).astype(np.int64) << (7 * i)
+    return out
 
 
 class _Ids(dict):
@@ -108,12 +111,12 @@ class Shard:
 
     def __init__(self, words: np.ndarray, entries: np.ndarray, block: np.ndarray, bits: np.ndarray) -> None:
         self.names, self.entries = words, entries
-        self.word, self.block, self.bits = np.repeat(np.arange(len(words)), entries), block, bits
+        self.word, self.block, self.bits = np.repeat(np.arange(len(words), dtype=np.int32), entries), block, bits
         order = np.argsort(block, kind="stable")
         self.by_word, self.by_bits = self.word[order], bits[order]
         last = int(block.max()) if len(block) else 0
-        self.count = np.bincount(block, minlength=last + 2)
-        self.start = np.cumsum(self.count) - self.count
+        self.count = np.bincount(block, minlength=last + 2).astype(np.int32)
+        self.start = np.cumsum(self.count, dtype=np.int32) - self.count
 
     def extended(self, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
         """(phrase, word, block, bits): the bitmaps shifted by one place and ANDed with those of all words."""
@@ -123,7 +126,7 @@ class Shard:
             has = value > 0
             p, b, v = phrase[has], block[has] + ahead, value[has].astype(np.uint16)
             n = self.count[b]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[b], n)
+            at = np.arange(n.sum(), dtype=np.int32) + np.repeat(self.start[b] - (np.cumsum(n, dtype=np.int32) - n), n)
             both = np.repeat(v, n) & self.by_bits[at]
             met = both > 0
             out.append((np.repeat(p, n)[met], self.by_word[at[met]], np.repeat(b, n)[met], both[met]))
@@ -143,7 +146,7 @@ class Shard:
         keys, counts = [], []
         for part in self.groups():
             first, second, _, both = self.extended(self.word[part], self.block[part], self.bits[part])
-            key, which = np.unique(first * len(self.names) + second, return_inverse=True)
+            key, which = np.unique(first.astype(np.int64) * len(self.names) + second, return_inverse=True)
             keys.append(key)
             counts.append(np.bincount(which, np.bitwise_count(both)).astype(np.int64))
         key = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
@@ -161,10 +164,10 @@ class Shard:
             path = np.arange(len(self.names))[:, None]
             for size in range(2, most + 1):
                 before, word, block, bits = self.extended(phrase, block, bits)
-                pair = path[before, -1] * len(self.names) + word
+                pair = path[before, -1].astype(np.int64) * len(self.names) + word
                 keep = allowed[np.minimum(np.searchsorted(allowed, pair), len(allowed) - 1)] == pair
                 before, word, block, bits = before[keep], word[keep], block[keep], bits[keep]
-                key, phrase = np.unique(before * len(self.names) + word, return_inverse=True)
+                key, phrase = np.unique(before.astype(np.int64) * len(self.names) + word, return_inverse=True)
                 if not len(key):
                     break
                 path = np.column_stack([path[key // len(self.names)], key % len(self.names)])
@@ -216,7 +219,7 @@ def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, Shard]]:
     for i in range(batch.num_rows):
         row = {c: batch.column(c)[i] for c in batch.schema.names}
         entries = from_varint(row["entries"].as_py())
-        block, bits = _blocks(from_varint(row["gaps"].as_py()), entries), np.frombuffer(row["bits"].as_py(), dtype=np.uint16)
+        block, bits = _blocks(from_varint(row["gaps"].as_py()), entries).astype(np.int32), np.frombuffer(row["bits"].as_py(), dtype=np.uint16)
         yield i, Shard(row["ids"].values.to_numpy(zero_copy_only=False), entries, block, bits)
 
 
