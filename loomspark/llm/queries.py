@@ -106,7 +106,7 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.scratch(spark)
     try:
         files = token_files.write(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
-        return cut(token_files.digests(token_files.read(files)).withColumnRenamed("key", "doc_id"))
+        return cut(token_files.digests(files).withColumnRenamed("key", "doc_id"))
     finally:
         delete(spark, folder)
 

@@ -130,7 +130,7 @@ class Encoder:
         return bool(split) and removes(split[0]) and plain and added and all(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in split[1:])
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: pa.Array) -> list[bytes]:
         """The ids of each word. Words of plain letters are encoded as one text, in which each ends with an id of a word's end."""
@@ -138,7 +138,7 @@ class Encoder:
         plain = np.flatnonzero(pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)) if self.ends is not None else []
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode("\n".join(words.take(pa.array(some)).to_pylist()), add_special_tokens=False).ids, dtype=self.dtype)
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words.take(pa.array(some)).to_pylist())], add_special_tokens=False)[0].ids, dtype=self.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some):
                 data, stops = ids.tobytes(), (stops * ids.itemsize).tolist()
@@ -174,21 +174,30 @@ class Encoder:
         for i, data in zip(new, self._words(forms.dictionary.take(pa.array(new, type=pa.int64()))), strict=True):
             found[i] = data
         self.words.update((w, data) for w, data in zip(names, found, strict=True) if len(w) <= LONGEST)
-        # each word is its form and the mark after it, or nothing
+        # each distinct word is its form and the mark after it, or nothing
         found += [*self.marks, b""]
         which = pc.index_in(pc.if_else(mark, pc.utf8_slice_codeunits(words, -1), ""), pa.array(MARKS, type=pa.large_string())).fill_null(len(MARKS))
         pair = np.stack([forms.indices.to_numpy(), which.to_numpy() + len(names)], axis=1)
         size = np.dtype(self.dtype).itemsize
-        flat, length = np.frombuffer(b"".join(found), dtype=self.dtype), np.array([len(data) for data in found], dtype=np.int64) // size
-        units = pair[met.indices.to_numpy(zero_copy_only=False)].ravel()
-        n = length[units]
-        ends = np.cumsum(n)
-        at = np.arange(len(flat) and (ends[-1] if len(ends) else 0)) - np.repeat(ends - n - (np.cumsum(length) - length)[units], n)
-        ids, stops = flat[at], np.concatenate([[0], ends])[2 * (bounds - bounds[0])]
-        for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+        flat, ends = np.frombuffer(b"".join(found), dtype=self.dtype), np.cumsum([0, *(len(data) // size for data in found)], dtype=np.int32)
+        flat, ends = _joined(flat, ends, pair.ravel())
+        ids, ends = _joined(flat, ends[::2], met.indices.to_numpy(zero_copy_only=False))
+        stops = ends[bounds - bounds[0]].tolist()
+        for a, b in zip(stops[:-1], stops[1:], strict=True):
             yield ids[a:b].tobytes()
 
 
+def _joined(flat: np.ndarray, ends: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of units one after the other, and their bounds; unit u is flat[ends[u]:ends[u + 1]]."""
+    start = ends[units]
+    n = ends[units + 1] - start
+    out = np.zeros(len(units) + 1, dtype=np.int64)
+    np.cumsum(n, out=out[1:])
+    at = np.arange(out[-1], dtype=np.int32 if out[-1] < 1 << 31 else np.int64)
+    at += np.repeat((start - out[:-1]).astype(at.dtype), n)
+    return flat[at], out
+
+
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -318,6 +327,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2,
     return files.join(F.broadcast(files.sparkSession.createDataFrame(before, "place long, first long")), "place")
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, int]]:
+    """Keys, bounds in the file, ids and ids before the file, of about a million ids at a time, of the blocks (file, i, j, first)."""
+    for batch in batches:
+        for name, i, j, first in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            with TokenFile(name) as file:
+                bounds, keys, at = file.bounds(i, j), file.keys(i, j), 0
+                while at < j - i:
+                    to = at + max(1, int(np.searchsorted(bounds[at + 1 :], bounds[at] + (1 << 20), side="right")))
+                    yield keys[at:to], bounds[at : to + 1], file.ids(int(bounds[at]), int(bounds[to])), first
+                    at = to
+
+
+def _blocks(files: DataFrame, docs_of_a_read: int) -> DataFrame:
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("docs") - 1, F.lit(0)), F.lit(docs_of_a_read).cast("long")))
+    blocks = files.select("file", begin.alias("i"), "docs", "first").select("file", "i", F.least(F.col("i") + docs_of_a_read, "docs").alias("j"), "first")
+    return blocks.repartition(min(max(1, blocks.count()), 100_000))
+
+
 def read(files: DataFrame, docs_of_a_read: int = DOCS_OF_A_READ) -> DataFrame:
     """The documents of files (file, docs, first): (key, start, ids), start counting ids before them in all files.
 
@@ -325,32 +352,21 @@ def read(files: DataFrame, docs_of_a_read: int = DOCS_OF_A_READ) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, i, j, first in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                with TokenFile(name) as file:
-                    bounds, keys, at = file.bounds(i, j), file.keys(i, j), 0
-                    while at < j - i:
-                        to = at + max(1, int(np.searchsorted(bounds[at + 1 :], bounds[at] + (1 << 20), side="right")))
-                        ids = file.ids(int(bounds[at]), int(bounds[to])).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(keys[at:to], type=pa.int64()), pa.array(bounds[at:to] + first, type=pa.int64()),
-                            pa.ListArray.from_arrays(pa.array((bounds[at : to + 1] - bounds[at]).astype(np.int32)), pa.array(ids)),
-                        ], names=["key", "start", "ids"])
-                        at = to
+        for keys, bounds, ids, first in _documents(batches):
+            lists = pa.ListArray.from_arrays(pa.array((bounds - bounds[0]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array(bounds[:-1] + first, type=pa.int64()), lists], names=["key", "start", "ids"])
 
-    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("docs") - 1, F.lit(0)), F.lit(docs_of_a_read).cast("long")))
-    blocks = files.select("file", begin.alias("i"), "docs", "first").select("file", "i", F.least(F.col("i") + docs_of_a_read, "docs").alias("j"), "first")
-    return blocks.repartition(min(max(1, blocks.count()), 100_000)).mapInArrow(scan, "key long, start long, ids array<int>")
+    return _blocks(files, docs_of_a_read).mapInArrow(scan, "key long, start long, ids array<int>")
 
 
-def digests(documents: DataFrame) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of documents as read() gives them; the CRC is over little-endian 32-bit ids."""
+def digests(files: DataFrame, docs_of_a_read: int = DOCS_OF_A_READ) -> DataFrame:
+    """(key, start, n_tokens, ids_crc32) of the documents that read() gives, where they are read; the CRC is over little-endian 32-bit ids."""
 
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            sums = [zlib.crc32(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds), type=pa.int64()), pa.array(sums, type=pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, bounds, ids, first in _documents(batches):
+            wide, own = ids.astype("<u4"), (bounds - bounds[0]).tolist()
+            sums = [zlib.crc32(wide[a:b]) for a, b in zip(own[:-1], own[1:], strict=True)]
+            columns = [pa.array(keys, type=pa.int64()), pa.array(bounds[:-1] + first, type=pa.int64()), pa.array(np.diff(bounds), type=pa.int64()), pa.array(sums, type=pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "n_tokens", "ids_crc32"])
 
-    return documents.mapInArrow(crc, "key long, start long, n_tokens long, ids_crc32 long")
+    return _blocks(files, docs_of_a_read).mapInArrow(scan, "key long, start long, n_tokens long, ids_crc32 long")
