@@ -110,12 +110,26 @@ def headers(files: DataFrame, weights: Templates, key: str, path: str, text: str
     rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text")).filter(F.regexp_like(F.lower("text"), anchor))
     name = F.element_at(F.split("path", "/"), -1)
 
+    rarest = max(weights.idf.values())
+    table = F.create_map(*[F.lit(x) for pair in sorted(weights.idf.items()) for x in pair])
+    vocabulary = F.array(*[F.lit(w) for w in sorted(weights.idf)])
+
+    def near(unit: Column) -> Column:
+        """Whether a unit may reach the cosine: no template fits better than its known words do, each as often as there are repeats, and each other word counts once at least."""
+
+        def bound(ws: Column) -> Column:
+            known, different = F.array_intersect(vocabulary, ws), F.size(F.array_distinct(ws))
+            inside = F.aggregate(known, F.lit(0.0), lambda a, w: a + F.element_at(table, w) * F.element_at(table, w)) * F.pow(F.size(ws) - different + 1, F.lit(2))
+            return inside >= cosine * cosine * (inside + (different - F.size(known)) * rarest * rarest) - 1e-6
+
+        return F.element_at(F.transform(F.array(_words(unit)), bound), 1)
+
     def runs(ls: Column, marked: Column, n: int) -> Column:
         """Runs of n lines with at least one of the marked ones."""
         last = F.size(ls) - n
         starts = F.array_distinct(F.flatten(F.transform(marked, lambda p: F.sequence(F.greatest(F.lit(0), p - n + 1), F.least(p, last)))))
         made = F.transform(starts, lambda i: F.struct(i.alias("line"), F.lit(n).alias("lines"), F.array_join(F.slice(ls, i + 1, n), " ").alias("unit")))
-        return F.when(last >= 0, made).otherwise(F.array().cast(_UNITS))
+        return F.when(last >= 0, F.filter(made, lambda u: near(u["unit"]))).otherwise(F.array().cast(_UNITS))
 
     def around(ls: Column) -> Column:
         marked = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.regexp_like(F.lower(F.get(ls, i)), anchor))
@@ -127,8 +141,6 @@ def headers(files: DataFrame, weights: Templates, key: str, path: str, text: str
     units = F.when(name.rlike(LICENCE_FILE), F.concat(units, whole)).otherwise(units)
     lines = rows.select("key", "path", F.explode(units).alias("u")).select("key", "path", (F.col("u.line") * 16 + F.col("u.lines")).alias("line"), F.col("u.unit").alias("unit"))
     # squared length of the unit's vector: words outside the templates weigh as much as the rarest inside
-    rarest = max(weights.idf.values())
-    table = F.create_map(*[F.lit(x) for pair in sorted(weights.idf.items()) for x in pair])
     tokens = lines.select("key", "path", "line", F.explode(_words(F.col("unit"))).alias("w")).groupBy("key", "path", "line", "w").agg(F.count("*").alias("tf"))
     known = F.element_at(table, F.col("w"))
     weighed = tokens.withColumn("x", F.col("tf") * F.coalesce(known, F.lit(rarest)))
