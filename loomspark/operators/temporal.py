@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,6 +108,78 @@ def reclaim(jobs: DataFrame, now: Column, max_attempts: int = 5) -> DataFrame:
     return jobs.select(*[state.alias("state") if c == "state" else free(c) if c in ("lease_owner", "leased_until") else F.col(c) for c in jobs.columns])
 
 
+@dataclass(frozen=True)
+class JobRules:
+    """How a job's state follows its events; times are microseconds, a state is [state, attempts, owner, until, next] or null before the first.
+
+    enqueue counts unless the job waits or is leased; lease if it waits and is due; succeed and fail by the lease's owner
+    only. A failure waits, doubling from base up to cap seconds, and after max_attempts the job is dead. A lease that is
+    not settled runs out: the job waits again at once, or is dead.
+    """
+
+    max_attempts: int = 5
+    base: int = 30
+    cap: int = 3600
+
+    @staticmethod
+    def due(state: list | None) -> int | None:
+        return state[3] if state and state[0] == "leased" else None
+
+    def expired(self, state: list | None, now: int) -> tuple[list | None, list]:
+        """The state once a lease that ended before now has run out, and the change."""
+        until = self.due(state)
+        if until is None or until >= now:
+            return state, []
+        name = "dead_letter" if state[1] >= self.max_attempts else "queued"
+        return [name, state[1], None, None, until], [(until, name, state[1], None)]
+
+    def step(self, state: list | None, event: dict, at: int) -> tuple[list | None, list]:
+        state, out = self.expired(state, at)
+        kind, owner = event["kind"], event["owner"]
+        name, attempts, holder, _, due = state or [None, 0, None, None, None]
+        if kind == "enqueue" and name not in ("queued", "leased"):
+            state = ["queued", 0, None, None, at]
+        elif kind == "lease" and name == "queued" and due <= at:
+            state = ["leased", attempts + 1, owner, at + (event["seconds"] or 300) * 1_000_000, None]
+        elif kind == "succeed" and name == "leased" and holder == owner:
+            state = ["succeeded", attempts, None, None, None]
+        elif kind == "fail" and name == "leased" and holder == owner:
+            wait = min(self.cap, self.base * 2 ** (attempts - 1)) * 1_000_000
+            state = ["dead_letter", attempts, None, None, None] if attempts >= self.max_attempts else ["queued", attempts, None, None, at + wait]
+        else:
+            return state, out
+        return state, [*out, (at, state[0], state[1], state[2])]
+
+
+def job_history(events: DataFrame, now: Column | None = None, rules: JobRules | None = None) -> DataFrame:
+    """(job_id, at, state, attempts, owner): each change of a job's state by its events (job_id, at, event_id, kind, owner, seconds).
+
+    A job's events take their steps in the order of time and id, streamed through one fold; leases that end before now,
+    where it is given, have run out. Rows without job_id are left out.
+    """
+    rules = rules or JobRules()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, state, until = None, None, None
+        for batch in batches:
+            out = []
+            for k, at, _, kind, owner, seconds, now_us in batch.itertuples(index=False, name=None):
+                if k != job:
+                    out += [(job, *row) for row in (rules.expired(state, until)[1] if until is not None else [])]
+                    job, state, until = k, None, None if pd.isna(now_us) else int(now_us)
+                state, rows = rules.step(state, {"kind": kind, "owner": owner, "seconds": None if pd.isna(seconds) else int(seconds)}, at)
+                out += [(k, *row) for row in rows]
+            yield pd.DataFrame(out, columns=["job_id", "at_us", "state", "attempts", "owner"])
+        if until is not None:
+            yield pd.DataFrame([(job, *row) for row in rules.expired(state, until)[1]], columns=["job_id", "at_us", "state", "attempts", "owner"])
+
+    until = F.lit(None).cast("long") if now is None else F.unix_micros(now.cast("timestamp"))
+    rows = events.filter("job_id is not null").select("job_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "event_id", "kind", "owner", "seconds", until.alias("now"))
+    rows = rows.repartition("job_id").sortWithinPartitions("job_id", "at", "event_id")
+    found = rows.mapInPandas(fold, f"job_id {dict(events.dtypes)['job_id']}, at_us long, state string, attempts int, owner string")
+    return found.select("job_id", F.timestamp_micros("at_us").alias("at"), "state", "attempts", "owner")
+
+
 def circuit(statuses: DataFrame, host: str = "host", order: str = "seq", status: str = "status", threshold: int = 2) -> DataFrame:
     """Per host whether and why the circuit opened: (host, reason, opened_at).
 

@@ -205,8 +205,10 @@ def build(corpus: DataFrame, folder: str, cells: int | None = None, cid: str = "
 
     rows = corpus.select(F.col(cid).alias("c"), F.col(vector).alias("v")).filter("v is not null and c is not null")
     held = rows.mapInArrow(assign, f"c {kinds[cid]}, v {kinds[vector]}, cell int, away double")
-    held.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{folder}/rows")
-    if not len(centers):
+    if len(centers):
+        held.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{folder}/rows")
+    else:
+        held.limit(0).write.parquet(f"{folder}/rows")
         spark.createDataFrame([], "cell int, centroid array<double>, n long, radius double").write.parquet(f"{folder}/cells")
         return
     middle = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cell int, centroid array<double>")
