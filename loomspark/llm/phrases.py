@@ -154,9 +154,13 @@ class Shard:
 
     def longer(self, first: np.ndarray, second: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Phrases of 3 to `most` words, all of whose pairs are among (first, second), and their counts."""
+        if not len(self.names):
+            return
         order = np.argsort(self.names)
-        local = lambda x: order[np.searchsorted(self.names, x, sorter=order)]
-        allowed = np.sort(local(first) * len(self.names) + local(second))
+        local = lambda x: order[np.minimum(np.searchsorted(self.names, x, sorter=order), len(order) - 1)]
+        one, two = local(first), local(second)
+        here = (self.names[one] == first) & (self.names[two] == second)
+        allowed = np.sort(one[here].astype(np.int64) * len(self.names) + two[here])
         if not len(allowed):
             return
         for part in self.groups():
@@ -237,7 +241,7 @@ def _frequent_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             which = np.repeat(keep, entries)
             for c, v in zip(out, (row["shard"].as_py(), ids[order], to_varint(entries[keep]), to_varint(gaps[which]), bits[which].tobytes()), strict=True):
                 out[c].append(v)
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+        kinds = (pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
@@ -251,12 +255,15 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number, first[part], second[part], n[part])], names=["shard", "first", "second", "n"])
 
 
-def _extend(most: int):
+def _extend(most: int, shared=None):
+    """Longer phrases of shards whose pairs are among those shared, or of each row's own."""
+
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, shard in _opened(batch):
-                pairs = batch.column("pairs")[i].values
-                for phrases, n in shard.longer(*(pairs.field(c).to_numpy(zero_copy_only=False) for c in ("first", "second")), most):
+                own = None if shared else batch.column("pairs")[i].values
+                pairs = shared.value if shared else tuple(own.field(c).to_numpy(zero_copy_only=False) for c in ("first", "second"))
+                for phrases, n in shard.longer(*pairs, most):
                     offsets = np.arange(len(n) + 1, dtype=np.int32) * phrases.shape[1]
                     yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(phrases.ravel())), pa.array(n)], names=["phrase", "n"])
 
@@ -266,6 +273,8 @@ def _extend(most: int):
 def counted(docs: DataFrame, scratch: Scratch, least: int = 100, most: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, phrases, sizes) of docs (text, lang), written to scratch.
 
+    Up to SMALL frequent pairs go to all shards as they are; of more, each shard gets those that it has, by a join.
+
     words (lang, word, f, id) and phrases (phrase as an array of ids, f) of 1 to `most` words occur at least `least` times
     in their lang; sizes (lang, n) counts all occurrences of words.
     """
@@ -274,16 +283,21 @@ def counted(docs: DataFrame, scratch: Scratch, least: int = 100, most: int = 5)
     each = laid.select("shard", F.posexplode("words").alias("place", "w")).select("shard", "place", "w.*")
     totals = scratch.keep(each.groupBy("lang", "word").agg(F.sum("n").alias("f")))
     sizes = totals.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = scratch.keep(running(totals.filter(F.col("f") >= least), ["lang", "word"], {"id": F.lit(1)}, scratch))
+    words = scratch.keep(running(totals.filter(F.col("f") >= least), ["lang", "word"], {"id": F.lit(1)}, scratch).withColumn("id", F.col("id").cast("int")))
     kept = each.join(small(words), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("kept"))
-    rows = "shard long, ids array<long>, entries binary, gaps binary, bits binary"
+    rows = "shard long, ids array<int>, entries binary, gaps binary, bits binary"
     held = scratch.written(laid.drop("words").join(kept, "shard").mapInArrow(_frequent_only, rows))
 
-    pairs = held.mapInArrow(_pairs, "shard long, first long, second long, n long")
+    pairs = held.mapInArrow(_pairs, "shard long, first int, second int, n long")
     often = scratch.keep(pairs.groupBy("first", "second").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
-    there = pairs.join(small(often.select("first", "second")), ["first", "second"], "left_semi")
-    there = there.groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("pairs"))
-    longer = held.join(there, "shard").mapInArrow(_extend(most), "phrase array<long>, n long")
+    if often.count() <= SMALL:
+        found = often.select("first", "second").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(found.column(c).to_numpy() for c in ("first", "second")))
+        longer = held.mapInArrow(_extend(most, shared), "phrase array<int>, n long")
+    else:
+        there = pairs.join(often.select("first", "second"), ["first", "second"], "left_semi")
+        there = there.groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("pairs"))
+        longer = held.join(there, "shard").mapInArrow(_extend(most), "phrase array<int>, n long")
     longer = scratch.keep(longer.groupBy("phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
     phrases = words.select(F.array("id").alias("phrase"), "f").unionByName(often.select(F.array("first", "second").alias("phrase"), "f")).unionByName(longer)
     return words, phrases, sizes

@@ -153,8 +153,9 @@ def plain_phrases(rows, least, most, k):
     return {(lang, i + 1, p.decode(), -a, lf, r, total, -s) for lang, found in out.items() for i, (s, a, p, lf, r, total) in enumerate(sorted(found)[:k])}
 
 
-@pytest.mark.parametrize("shard, group, least", [(1 << 21, 1 << 17, 3), (50, 16, 3), (300, 1 << 17, 8)])
-def test_phrases_equal_plain_counts(spark, monkeypatch, shard, group, least):
+@pytest.mark.parametrize("shard, group, least, small", [(1 << 21, 1 << 17, 3, 1 << 21), (50, 16, 3, 0), (300, 1 << 17, 8, 1 << 21)])
+def test_phrases_equal_plain_counts(spark, monkeypatch, shard, group, least, small):
+    monkeypatch.setattr(phrases, "SMALL", small)
     monkeypatch.setattr(phrases, "SHARD", shard)
     monkeypatch.setattr(phrases, "GROUP", group)
     rng = random.Random(shard)
