@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import scalars, text
+from loomspark.operators import trigram
+from loomspark.operators.terms import contained
+from loomspark.sources.shared import Kept
 
 
 def active(df: DataFrame, *flags: str) -> DataFrame:
@@ -32,41 +35,56 @@ def postings(corpus: DataFrame, cid: str = "chunk_id", body: str = "text") -> Da
     return corpus.select(F.col(cid), F.explode(F.array_distinct(words)).alias("token"))
 
 
-def similar(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "query_id", cid: str = "chunk_id") -> DataFrame:
-    """The k chunks of the highest trigram similarity to each query, ties by id: (qid, cid, score, rank); only positive ones.
+def write_index(corpus: DataFrame, folder: str, buckets: int = 64, cid: str = "chunk_id", body: str = "text") -> None:
+    """The index at rest: postings (token, cid) and the dictionary of tokens, in partitions by the token's first sign, sorted inside files."""
+    bucket = F.pmod(F.xxhash64(F.substring("token", 1, 1)), F.lit(buckets)).cast("int").alias("bucket")
+    found = postings(corpus, cid, body).select(F.col(cid).alias("cid"), "token", bucket)
+    found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "cid").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    tokens = corpus.sparkSession.read.parquet(f"{folder}/postings").groupBy("bucket", "token").agg(F.count("*").alias("n"))
+    tokens.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").option("parquet.block.size", 1 << 20).parquet(f"{folder}/tokens")
+    spark = corpus.sparkSession
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{folder}/layout")
 
-    Queries are the stated side. Chunks are dealt by id once; each meets the queries by an equi-join on trigrams, common
-    ones are counted where the chunk lies, and a task hands on its best k of each query only.
+
+def keyword_hits(queries: DataFrame, folder: str, spark: SparkSession, qid: str = "query_id", cid: str = "chunk_id") -> DataFrame:
+    """(qid, cid) of chunks of an index at rest with a token that starts with a keyword of the query.
+
+    Only partitions of the keywords' first signs are read. Words and tokens of the dictionary meet by an equi-join on up
+    to three first signs that is checked in full; the tokens found then join their postings.
     """
-    asked = queries.select(qid, text.trigrams("query").alias("g")).select(qid, F.size("g").alias("qn"), F.explode("g").alias("g"))
-    held = corpus.select(cid, "text").repartition(F.col(cid)).select(cid, text.trigrams("text").alias("g")).select(cid, F.size("g").alias("cn"), F.explode("g").alias("g"))
-    met = held.join(small(asked, 2_000_000), "g").groupBy(cid, qid, "cn", "qn").agg(F.count("*").alias("both"))
-    return top(met.select(qid, cid, (F.col("both") / (F.col("qn") + F.col("cn") - F.col("both"))).alias("score")), [qid], [F.desc("score"), F.col(cid)], k)
+    asked = queries.select(qid, F.explode(text.keywords("query")).alias("word")).select(qid, F.lower("word").alias("word")).distinct()
+    buckets = spark.read.parquet(f"{folder}/layout").first()[0]
+    words = asked.select("word").distinct().withColumn("head", F.substring("word", 1, 3))
+    wanted = [r[0] for r in words.select(F.pmod(F.xxhash64(F.substring("word", 1, 1)), F.lit(buckets)).cast("int")).distinct().collect()]
+    held = lambda name: spark.read.parquet(f"{folder}/{name}").filter(F.col("bucket").isin(wanted))
+    heads = held("tokens").select("bucket", "token", F.explode(F.array_distinct(F.array(*[F.substring("token", 1, n) for n in (1, 2, 3)]))).alias("head"))
+    forms = heads.join(small(words), "head").filter(F.startswith("token", F.col("word"))).select("bucket", "token", "word")
+    return held("postings").join(forms, ["bucket", "token"]).join(small(asked), "word").select(qid, F.col("cid").alias(cid)).distinct()
 
 
-def lexical(queries: DataFrame, corpus: DataFrame, index: DataFrame | None = None, stage1: int = 600, k: int = 200, qid: str = "query_id", cid: str = "chunk_id") -> DataFrame:
+def lexical(queries: DataFrame, corpus: DataFrame, index: str | None = None, stage1: int = 600, k: int = 200, qid: str = "query_id", cid: str = "chunk_id") -> DataFrame:
     """Two-stage lexical search: (qid, cid, score, rank).
 
     Stage 1 takes the first stage1 chunks by id with a token that starts with a keyword of the query; stage 2 ranks
     those of positive trigram similarity, ties by id. Queries without keywords or stage-2 rows are compared with every
-    chunk. Words and tokens meet once each, by an equi-join on up to three first characters that is checked in full.
-    Only chunks of stage 1 are turned into trigrams; what stage 2 scores is kept in memory or on disk, as it is read
-    twice, and has at most stage1 rows a query.
+    chunk. index is the folder of an index at rest, of which only what the keywords need is read; without one, a pass
+    over the texts finds all keywords at once. What stage 2 scores has at most stage1 rows a query and is written to the
+    shared folder, as it is read twice.
     """
-    index = postings(corpus, cid) if index is None else index
-    asked = queries.select(qid, F.explode(text.keywords("query")).alias("word")).select(qid, F.lower("word").alias("word")).distinct()
-    words = asked.select("word").distinct().withColumn("head", F.substring("word", 1, 3))
-    heads = index.select("token").distinct().select("token", F.explode(F.array_distinct(F.array(*[F.substring("token", 1, n) for n in (1, 2, 3)]))).alias("head"))
-    forms = heads.join(small(words), "head").filter(F.startswith("token", F.col("word"))).select("token", "word")
-    met = index.join(forms, "token").join(small(asked), "word").select(qid, cid).distinct()
-    first = top(met, [qid], [F.col(cid)], stage1).select(qid, cid).persist()
-    wanted = small(first.select(cid).distinct())
-    grams = corpus.select(cid, "text").join(wanted, cid, "left_semi").repartition(F.col(cid)).select(cid, text.trigrams("text").alias("cg"))
-    asking = queries.select(qid, text.trigrams("query").alias("qg"))
-    scored = first.join(small(asking), qid).join(grams, cid).select(qid, cid, text.set_similarity("qg", "cg").alias("score")).filter("score > 0").persist()
-    ranked = top(scored, [qid], [F.desc("score"), F.col(cid)], k)
-    rest = queries.join(scored.select(qid).distinct(), qid, "left_anti")
-    return ranked if rest.isEmpty() else ranked.unionByName(similar(rest, corpus, k, qid, cid))
+    spark = corpus.sparkSession
+    asked = queries.select(qid, F.explode(text.keywords("query")).alias("word")).select(qid, F.concat(F.lit(" "), F.lower("word")).alias("word")).distinct()
+    if index is None:
+        tokens = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
+        held = contained(corpus.select(cid, "text"), {"words": F.concat(F.lit(" "), tokens)}, asked, "word")
+        met = held.select(cid, F.explode("words").alias("word")).join(small(asked), "word").select(qid, cid).distinct()
+    else:
+        met = keyword_hits(queries, index, spark, qid, cid)
+    first = top(met, [qid], [F.col(cid)], stage1).select(qid, cid)
+    with Kept(spark) as kept:
+        found = kept.keep(trigram.scored(first, queries, corpus, qid, cid).filter("score > 0"))
+        ranked = top(found, [qid], [F.desc("score"), F.col(cid)], k)
+        rest = queries.join(found.select(qid).distinct(), qid, "left_anti")
+        return kept.settled(ranked if rest.isEmpty() else ranked.unionByName(trigram.similar(rest, corpus, k, qid, cid)))
 
 
 def fuse(ranked: list[DataFrame], k: int = 60, qid: str = "query_id", cid: str = "chunk_id") -> DataFrame:
@@ -123,6 +141,6 @@ def hybrid(queries: DataFrame, corpus: DataFrame, dense: DataFrame, lexical_hits
         if "anchors" in reads:
             score = score + scalars.anchor_boost("anchors", title, body, "source_key")
     kept = cap_groups(fused.withColumn("score", score).drop("text", *reads), per_group=per_group, k=fused_k).drop("rank", "in_group")
-    model = text.set_similarity(text.trigrams("query"), text.trigrams("text"))
+    model = trigram.similarity("query", "text")
     rated = kept.join(corpus.select("chunk_id", "text"), "chunk_id").join(queries.drop(*reads), "query_id").withColumn("rerank", calibrated(model, "query", "title", "source_key"))
     return best_of_groups(rated, least=least, k=k)

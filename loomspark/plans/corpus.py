@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalars, text
-from loomspark.operators import analytics, chunking, entities, evaluation, retrieval, vectors
+from loomspark.operators import analytics, chunking, entities, evaluation, retrieval, trigram, vectors
 from loomspark.plans import modes
 from loomspark.sources import pages, shared
 
@@ -105,7 +105,7 @@ def chunk_header(t, spark: SparkSession) -> DataFrame:
   s AS (SELECT item_id, doc_id, {_sim('q.g', 'd.g')} AS score FROM q, d) SELECT item_id, doc_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def trigram_topk(t, spark: SparkSession) -> DataFrame:
     q = t("benchmark").select("item_id", F.col("text").alias("query"))
-    return retrieval.similar(q, t("documents"), 5, "item_id", "doc_id").withColumn("score", F.round("score", 9))
+    return trigram.similar(q, t("documents"), 5, "item_id", "doc_id").withColumn("score", F.round("score", 9))
 
 
 @query(f"""SELECT b.item_id, c.item_id AS other, round(CASE WHEN len(b.g) = 0 THEN 0.0 ELSE len(list_intersect(b.g, c.g)) / len(b.g) END, 9) AS coverage FROM (SELECT item_id, {_big('text')} AS g FROM benchmark WHERE item_id % 20 = 0) b, (SELECT item_id, {_big(_TITLE)} AS g FROM benchmark) c WHERE b.item_id <> c.item_id""")
@@ -145,6 +145,17 @@ def lexical_two_stage(t, spark: SparkSession) -> DataFrame:
     return retrieval.lexical(_asked(t), _corpus(t).select("chunk_id", "text"), k=50).withColumn("score", F.round("score", 9))
 
 
+@query(_LEXICAL + "SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM lexical WHERE rank <= 50")
+def lexical_at_rest(t, spark: SparkSession) -> DataFrame:
+    """The same from an index that is written first and read by its partitions."""
+    folder, corpus = shared.new(spark, "index"), _corpus(t).select("chunk_id", "text")
+    try:
+        retrieval.write_index(corpus, folder)
+        return retrieval.lexical(_asked(t), corpus, folder, k=50).withColumn("score", F.round("score", 9))
+    finally:
+        shared.delete(spark, folder)
+
+
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)))"
 
 
