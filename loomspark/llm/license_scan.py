@@ -12,6 +12,7 @@ import math
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,19 +111,19 @@ def headers(files: DataFrame, weights: Templates, key: str, path: str, text: str
     rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text")).filter(F.regexp_like(F.lower("text"), anchor))
     name = F.element_at(F.split("path", "/"), -1)
 
-    rarest = max(weights.idf.values())
-    table = F.create_map(*[F.lit(x) for pair in sorted(weights.idf.items()) for x in pair])
     vocabulary = F.array(*[F.lit(w) for w in sorted(weights.idf)])
 
-    def near(unit: Column) -> Column:
-        """Whether a unit may reach the cosine: no template fits better than its known words do, each as often as there are repeats, and each other word counts once at least."""
-
-        def bound(ws: Column) -> Column:
-            known, different = F.array_intersect(vocabulary, ws), F.size(F.array_distinct(ws))
-            inside = F.aggregate(known, F.lit(0.0), lambda a, w: a + F.element_at(table, w) * F.element_at(table, w)) * F.pow(F.size(ws) - different + 1, F.lit(2))
-            return inside >= cosine * cosine * (inside + (different - F.size(known)) * rarest * rarest) - 1e-6
+    # squared weights of each word in all templates, one row of numbers after the other
+    width = len(weights.vectors)
+    shares = F.lit(np.array([v.get(w, 0.0) ** 2 for w in sorted(weights.idf) for v in weights.vectors]))
+    none = F.lit(np.zeros(width))
 
-        return F.element_at(F.transform(F.array(_words(unit)), bound), 1)
+    def near(unit: Column) -> Column:
+        """Whether a unit may reach the cosine: the words that it shares with a template hold at least the cosine's square of the template's vector."""
+        known = F.array_intersect(vocabulary, _words(unit))
+        row = lambda w: F.slice(shares, (F.array_position(vocabulary, w).cast("int") - 1) * width + 1, F.lit(width))
+        held = F.aggregate(known, none, lambda a, w: F.zip_with(a, row(w), lambda x, y: x + y))
+        return F.array_max(held) >= cosine * cosine - 1e-9
 
     def runs(ls: Column, marked: Column, n: int) -> Column:
         """Runs of n lines with at least one of the marked ones."""
@@ -133,6 +134,7 @@ def headers(files: DataFrame, weights: Templates, key: str, path: str, text: str
 
     def around(ls: Column) -> Column:
         marked = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.regexp_like(F.lower(F.get(ls, i)), anchor))
+        marked = F.filter(marked, lambda i: near(F.array_join(F.slice(ls, F.greatest(F.lit(1), i + 2 - max(RUNS)), 2 * max(RUNS) - 1), " ")))
         return F.element_at(F.transform(F.array(marked), lambda m: F.flatten(F.array(*[runs(ls, m, n) for n in RUNS]))), 1)
 
     # the lines are one value of an array of one, so that they are split once
@@ -141,6 +143,8 @@ def headers(files: DataFrame, weights: Templates, key: str, path: str, text: str
     units = F.when(name.rlike(LICENCE_FILE), F.concat(units, whole)).otherwise(units)
     lines = rows.select("key", "path", F.explode(units).alias("u")).select("key", "path", (F.col("u.line") * 16 + F.col("u.lines")).alias("line"), F.col("u.unit").alias("unit"))
     # squared length of the unit's vector: words outside the templates weigh as much as the rarest inside
+    rarest = max(weights.idf.values())
+    table = F.create_map(*[F.lit(x) for pair in sorted(weights.idf.items()) for x in pair])
     tokens = lines.select("key", "path", "line", F.explode(_words(F.col("unit"))).alias("w")).groupBy("key", "path", "line", "w").agg(F.count("*").alias("tf"))
     known = F.element_at(table, F.col("w"))
     weighed = tokens.withColumn("x", F.col("tf") * F.coalesce(known, F.lit(rarest)))
