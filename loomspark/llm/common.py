@@ -110,6 +110,10 @@ class Scratch:
         df.write.option("compression", "uncompressed").option("parquet.page.size.row.check.min", "1").parquet(f"{self.folder}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
+    def drop(self, number: int) -> None:
+        """The table written as the number-th goes; nothing reads it any more."""
+        delete(self.spark, f"{self.folder}/{number}")
+
     def __exit__(self, *_: object) -> None:
         delete(self.spark, self.folder)
 

@@ -8,10 +8,12 @@ Words, then pairs, that are too rare in all shards together never extend a phras
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,17 +26,12 @@ from loomspark.llm.running import running
 SHARD = 1 << 20
 #: Entries of bitmaps that are extended together: a group of first words is taken to its longest phrases before the next.
 GROUP = 1 << 16
-#: Rows of a table that is broadcast at most.
-SMALL = 1 << 21
+#: Rows, and bytes of words, that are broadcast at most.
+SMALL, SMALL_BYTES = 1 << 21, 64 << 20
 #: Marks that end a piece, and capitals: what becomes a line feed, a space or a small letter.
 _LETTERS = bytes(10 if chr(b) in ".,;:!?\n\v\f\r" else 32 if b in (9, 32) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has at most SMALL rows; of a written table."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def to_varint(values: np.ndarray) -> bytes:
     """Seven bits a byte, lowest first; the last byte of a value has no high bit."""
     v = values.astype(np.uint64)
@@ -152,8 +149,9 @@ class Shard:
         key = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
         return self.names[key // max(1, len(self.names))], self.names[key % max(1, len(self.names))], np.concatenate(counts) if counts else key
 
-    def longer(self, first: np.ndarray, second: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Phrases of 3 to `most` words, all of whose pairs are among (first, second), and their counts."""
+    def longer(self, pairs: tuple, triples: tuple | None, sizes: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Phrases of sizes[0] to sizes[1] words, all of whose pairs, and triples if given, are among those, and their counts."""
+        first, second = pairs
         if not len(self.names):
             return
         order = np.argsort(self.names)
@@ -163,19 +161,28 @@ class Shard:
         allowed = np.sort(one[here].astype(np.int64) * len(self.names) + two[here])
         if not len(allowed):
             return
+        among = lambda keys, known: known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), dtype=bool)
+        if triples is not None:
+            places = [local(x) for x in triples]
+            here = np.logical_and.reduce([self.names[p] == x for p, x in zip(places, triples, strict=True)])
+            one, two, three = (p[here].astype(np.int64) for p in places)
+            deeper = np.sort(np.searchsorted(allowed, one * len(self.names) + two) * len(self.names) + three)
         for part in self.groups():
             phrase, block, bits = self.word[part], self.block[part], self.bits[part]
             path = np.arange(len(self.names))[:, None]
-            for size in range(2, most + 1):
+            for size in range(2, sizes[1] + 1):
                 before, word, block, bits = self.extended(phrase, block, bits)
                 pair = path[before, -1].astype(np.int64) * len(self.names) + word
-                keep = allowed[np.minimum(np.searchsorted(allowed, pair), len(allowed) - 1)] == pair
+                keep = among(pair, allowed)
+                if triples is not None and size > 2:
+                    last = path[before, -2].astype(np.int64) * len(self.names) + path[before, -1]
+                    keep &= among(np.searchsorted(allowed, last) * len(self.names) + word, deeper)
                 before, word, block, bits = before[keep], word[keep], block[keep], bits[keep]
                 key, phrase = np.unique(before.astype(np.int64) * len(self.names) + word, return_inverse=True)
                 if not len(key):
                     break
                 path = np.column_stack([path[key // len(self.names)], key % len(self.names)])
-                if size > 2:
+                if size >= sizes[0]:
                     yield self.names[path], np.bincount(phrase, np.bitwise_count(bits)).astype(np.int64)
 
 
@@ -198,7 +205,7 @@ def shards(docs: DataFrame, text: Column | str = "text", lang: Column | str = "l
             counts, entries, block, bits = bitmaps(np.concatenate(laid), len(names))
             words = pa.StructArray.from_arrays([pa.array([g for g, _ in names]), pa.array([w for _, w in names], type=pa.binary()).cast(pa.string()), pa.array(counts, type=pa.int64())], names=["lang", "word", "n"])
             row = [pa.array([(part << 24) + made]), pa.ListArray.from_arrays(pa.array([0, len(names)], type=pa.int32()), words)]
-            row += [pa.array([x], type=pa.binary()) for x in (to_varint(entries), to_varint(_gaps(block, entries)), bits.tobytes())]
+            row += [pa.array([x], type=pa.binary()) for x in (to_varint(entries), to_varint(_gaps(block, entries)), zlib.compress(bits, 1))]
             return pa.RecordBatch.from_arrays(row, names=["shard", "words", "entries", "gaps", "bits"])
 
         for batch in batches:
@@ -223,26 +230,43 @@ def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, Shard]]:
     for i in range(batch.num_rows):
         row = {c: batch.column(c)[i] for c in batch.schema.names}
         entries = from_varint(row["entries"].as_py())
-        block, bits = _blocks(from_varint(row["gaps"].as_py()), entries).astype(np.int32), np.frombuffer(row["bits"].as_py(), dtype=np.uint16)
+        block, bits = _blocks(from_varint(row["gaps"].as_py()), entries).astype(np.int32), np.frombuffer(zlib.decompress(row["bits"].as_py()), dtype=np.uint16)
         yield i, Shard(row["ids"].values.to_numpy(zero_copy_only=False), entries, block, bits)
 
 
-def _frequent_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of shards with places and ids of their frequent words: the bitmaps of these words alone."""
-    for batch in batches:
-        out = {c: [] for c in ("shard", "ids", "entries", "gaps", "bits")}
-        for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i] for c in batch.schema.names}
-            place, ids = (row["kept"].values.field(c).to_numpy(zero_copy_only=False) for c in ("place", "id"))
-            order = np.argsort(place)
-            entries, gaps, bits = from_varint(row["entries"].as_py()), from_varint(row["gaps"].as_py()), np.frombuffer(row["bits"].as_py(), dtype=np.uint16)
-            keep = np.zeros(len(entries), dtype=bool)
-            keep[place] = True
-            which = np.repeat(keep, entries)
-            for c, v in zip(out, (row["shard"].as_py(), ids[order], to_varint(entries[keep]), to_varint(gaps[which]), bits[which].tobytes()), strict=True):
-                out[c].append(v)
-        kinds = (pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+def _frequent_only(shared=None):
+    """The bitmaps of shards' frequent words alone: of those shared (names, ids), or of each row's own (place, id)."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {c: [] for c in ("shard", "ids", "entries", "gaps", "bits")}
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                if shared:
+                    names, numbers = shared.value
+                    words = row["words"].values
+                    at = pc.index_in(_named(words.field("lang"), words.field("word")), names)
+                    place = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                    ids = numbers[at.drop_null().to_numpy()]
+                else:
+                    place, ids = (row["kept"].values.field(c).to_numpy(zero_copy_only=False) for c in ("place", "id"))
+                    order = np.argsort(place)
+                    place, ids = place[order], ids[order]
+                entries, gaps, bits = from_varint(row["entries"].as_py()), from_varint(row["gaps"].as_py()), np.frombuffer(zlib.decompress(row["bits"].as_py()), dtype=np.uint16)
+                keep = np.zeros(len(entries), dtype=bool)
+                keep[place] = True
+                which = np.repeat(keep, entries)
+                for c, v in zip(out, (row["shard"].as_py(), ids, to_varint(entries[keep]), to_varint(gaps[which]), zlib.compress(bits[which], 1)), strict=True):
+                    out[c].append(v)
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    return kept
+
+
+def _named(lang: pa.Array, word: pa.Array) -> pa.Array:
+    """A word with its lang before it; a word has no tab."""
+    return pc.binary_join_element_wise(lang, word, "\t")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,15 +279,15 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number, first[part], second[part], n[part])], names=["shard", "first", "second", "n"])
 
 
-def _extend(most: int, shared=None):
-    """Longer phrases of shards whose pairs are among those shared, or of each row's own."""
+def _extend(sizes: tuple[int, int], shared=None):
+    """Phrases of shards with so many words whose pairs, and triples if given, are among those shared, or whose pairs are the row's own."""
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, shard in _opened(batch):
                 own = None if shared else batch.column("pairs")[i].values
-                pairs = shared.value if shared else tuple(own.field(c).to_numpy(zero_copy_only=False) for c in ("first", "second"))
-                for phrases, n in shard.longer(*pairs, most):
+                pairs, triples = shared.value if shared else (tuple(own.field(c).to_numpy(zero_copy_only=False) for c in ("first", "second")), None)
+                for phrases, n in shard.longer(pairs, triples, sizes):
                     offsets = np.arange(len(n) + 1, dtype=np.int32) * phrases.shape[1]
                     yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(phrases.ravel())), pa.array(n)], names=["phrase", "n"])
 
@@ -273,32 +297,45 @@ def _extend(most: int, shared=None):
 def counted(docs: DataFrame, scratch: Scratch, least: int = 100, most: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, phrases, sizes) of docs (text, lang), written to scratch.
 
-    Up to SMALL frequent pairs go to all shards as they are; of more, each shard gets those that it has, by a join.
+    Up to SMALL frequent words and pairs go to all shards as they are; of more, each shard gets those that it has, by a join.
 
     words (lang, word, f, id) and phrases (phrase as an array of ids, f) of 1 to `most` words occur at least `least` times
     in their lang; sizes (lang, n) counts all occurrences of words.
     """
     bound_batches(docs.sparkSession)
     laid = scratch.written(shards(docs))
+    laid_at = scratch.n
     each = laid.select("shard", F.posexplode("words").alias("place", "w")).select("shard", "place", "w.*")
     totals = scratch.keep(each.groupBy("lang", "word").agg(F.sum("n").alias("f")))
-    sizes = totals.groupBy("lang").agg(F.sum("f").alias("n"))
+    sizes = scratch.keep(totals.groupBy("lang").agg(F.sum("f").alias("n")))
     words = scratch.keep(running(totals.filter(F.col("f") >= least), ["lang", "word"], {"id": F.lit(1)}, scratch).withColumn("id", F.col("id").cast("int")))
-    kept = each.join(small(words), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("kept"))
     rows = "shard long, ids array<int>, entries binary, gaps binary, bits binary"
-    held = scratch.written(laid.drop("words").join(kept, "shard").mapInArrow(_frequent_only, rows))
+    count, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("lang") + F.octet_length("word")), F.lit(0))).first()
+    if count <= SMALL and size <= SMALL_BYTES:
+        found = words.select("lang", "word", "id").toArrow().combine_chunks()
+        names = _named(*(pa.concat_arrays(found.column(c).chunks) if found.column(c).num_chunks else pa.array([], type=pa.string()) for c in ("lang", "word")))
+        shared = docs.sparkSession.sparkContext.broadcast((names, found.column("id").to_numpy()))
+        held = scratch.written(laid.mapInArrow(_frequent_only(shared), rows))
+    else:
+        kept = each.join(words, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("kept"))
+        held = scratch.written(laid.drop("words").join(kept, "shard").mapInArrow(_frequent_only(), rows))
+    scratch.drop(laid_at)
 
     pairs = held.mapInArrow(_pairs, "shard long, first int, second int, n long")
     often = scratch.keep(pairs.groupBy("first", "second").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
+    summed = lambda found: scratch.keep(found.groupBy("phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
+    columns = lambda df, n: tuple(df.select(*[F.get("phrase", F.lit(i)).alias(str(i)) for i in range(n)]).toArrow().column(i).to_numpy() for i in range(n))
+    kind, spark = "phrase array<int>, n long", docs.sparkSession
     if often.count() <= SMALL:
-        found = often.select("first", "second").toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast(tuple(found.column(c).to_numpy() for c in ("first", "second")))
-        longer = held.mapInArrow(_extend(most, shared), "phrase array<int>, n long")
+        known = columns(often.select(F.array("first", "second").alias("phrase")), 2)
+        longer = summed(held.mapInArrow(_extend((3, min(3, most)), spark.sparkContext.broadcast((known, None))), kind))
+        if most > 3:
+            triples = columns(longer, 3) if longer.count() <= SMALL else None
+            longer = longer.unionByName(summed(held.mapInArrow(_extend((4, most), spark.sparkContext.broadcast((known, triples))), kind)))
     else:
         there = pairs.join(often.select("first", "second"), ["first", "second"], "left_semi")
         there = there.groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("pairs"))
-        longer = held.join(there, "shard").mapInArrow(_extend(most), "phrase array<int>, n long")
-    longer = scratch.keep(longer.groupBy("phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
+        longer = summed(held.join(there, "shard").mapInArrow(_extend((3, most)), kind))
     phrases = words.select(F.array("id").alias("phrase"), "f").unionByName(often.select(F.array("first", "second").alias("phrase"), "f")).unionByName(longer)
     return words, phrases, sizes
 
