@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from loomspark.sources.shared import Kept
 
 #: Release thresholds: (metric, comparison, value).
 GATE = (("recall", ">=", 0.85), ("mrr", ">=", 0.70), ("min_family_recall", ">=", 0.75), ("term_rate", ">=", 0.85), ("unsupported_rate", "<", 0.02), ("source_match", "=", 1.0), ("security_violations", "=", 0.0))
@@ -105,6 +110,36 @@ def protocol_problems(cases: DataFrame, thresholds: dict[str, float], target: st
     return whole.unionByName(own).unionByName(limits)
 
 
-def percentile(values: DataFrame, by: list[str], value: str, share: float = 0.95) -> DataFrame:
-    """(*by, value) at a share of each group's sorted values: the one at position ceil(share * n), exact."""
-    return values.groupBy(*by).agg(F.element_at(F.array_sort(F.collect_list(value)), F.ceil(F.count(value) * share).cast("int")).alias(value))
+def percentile(values: DataFrame, by: list[str], value: str, share: float = 0.95, most: int = 100_000, bins: int = 1024) -> DataFrame:
+    """(*by, value) at a share of each group's sorted values: the one at position ceil(share * n), exact; null without values.
+
+    Selection by histograms, without lists: each round counts the values that may still be the one in `bins` equal bins
+    between their least and greatest and goes on with one bin, until it has at most `most` values or a single one. So a
+    group of any size is counted where its rows lie, and at most `most` of its values are ordered. Values are numbers.
+    """
+    keys = [F.col(c) for c in by]
+    rows = values.select(*by, F.col(value).alias("v")).filter("v is not null")
+    with Kept(values.sparkSession) as kept:
+        sought = kept.keep(rows.groupBy(*keys).agg(F.ceil(F.count("*") * F.lit(share)).alias("at"), F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.lit(0).cast("long").alias("below")))
+        while not sought.filter((F.col("n") > most) & (F.col("low") < F.col("high"))).isEmpty():
+            width = (F.col("v") - F.col("low")).cast("double") / F.nullif((F.col("high") - F.col("low")).cast("double"), F.lit(0.0))
+            number = F.coalesce(F.least(F.lit(bins - 1), F.floor(width * bins)), F.lit(0)).cast("int")
+            counted = _inside(rows, sought, by).groupBy(*keys, "at", "below", number.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            upto = F.col("below") + F.sum("n").over(Window.partitionBy(*by).orderBy("bin"))
+            chosen = counted.withColumn("upto", upto).filter((F.col("upto") >= F.col("at")) & (F.col("upto") - F.col("n") < F.col("at")))
+            sought = kept.keep(chosen.select(*by, "at", "n", "low", "high", (F.col("upto") - F.col("n")).alias("below")))
+        counted = _inside(rows, sought, by).groupBy(*keys, "at", "below", "v").agg(F.count("*").alias("n"))
+        upto = F.col("below") + F.sum("n").over(Window.partitionBy(*by).orderBy("v"))
+        found = counted.withColumn("upto", upto).filter((F.col("upto") >= F.col("at")) & (F.col("upto") - F.col("n") < F.col("at"))).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("v").alias(value))
+        return kept.settled(values.select(*by).distinct().join(found, _equal(by), "left").select(*by, value))
+
+
+def _equal(by: list[str]) -> Column:
+    """Equal keys, null with null."""
+    return functools.reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), by, F.lit(True))
+
+
+def _inside(rows: DataFrame, sought: DataFrame, by: list[str]) -> DataFrame:
+    """Rows between the least and greatest value that their group still has to do with, and what is sought there."""
+    held = sought.select(*[F.col(c).alias(f"_{c}") for c in by], "at", "below", "low", "high")
+    return rows.join(held, _equal(by)).filter(F.col("v").between(F.col("low"), F.col("high"))).select(*by, "v", "at", "below", "low", "high")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark.sources.shared import Kept
+
 VISIBLE = ("sanitized", "indexed")
 
 
@@ -13,17 +15,18 @@ def on_cycle(nodes: DataFrame, depth: int = 20, by: str = "article_id", node: st
     """(by, node) of the nodes on a cycle or with ancestors that enter one.
 
     Pointer doubling: after `depth` rounds a chain of fewer than 2^depth ancestors has ended, so whoever still has an
-    ancestor leads into a cycle. Rounds stop early once no node has one.
+    ancestor leads into a cycle. Rounds stop early once no node has one; each is a table of the shared folder.
     """
     jump = nodes.filter(F.col(parent).isNotNull()).select(by, node, F.col(parent).alias("up"))
     known = nodes.select(by, F.col(node).alias("up")).distinct()
-    jump = jump.join(known, [by, "up"], "left_semi").select(by, node, "up")
-    for _ in range(depth):
-        if jump.isEmpty():
-            break
-        higher = jump.select(by, F.col(node).alias("up"), F.col("up").alias("far"))
-        jump = jump.join(higher, [by, "up"]).select(by, node, F.col("far").alias("up")).checkpoint()
-    return jump.select(by, node).distinct()
+    with Kept(nodes.sparkSession) as kept:
+        jump = kept.keep(jump.join(known, [by, "up"], "left_semi").select(by, node, "up"))
+        for _ in range(depth):
+            if jump.isEmpty():
+                break
+            higher = jump.select(by, F.col(node).alias("up"), F.col("up").alias("far"))
+            jump = kept.keep(jump.join(higher, [by, "up"]).select(by, node, F.col("far").alias("up")))
+        return kept.settled(jump.select(by, node).distinct())
 
 
 def project(comments: DataFrame, depth: int = 20) -> DataFrame:

@@ -331,12 +331,18 @@ def next_schedule(t, spark: SparkSession) -> DataFrame:
     return t("events").select("event_id", scalars.next_daily(at, 6).cast("timestamp_ntz").alias("daily"), scalars.next_weekly(at, 2, 10).cast("timestamp_ntz").alias("weekly"))
 
 
-@query("""SELECT conv_id AS article_id, 'has_comment' AS kind, conv_id AS source, turn AS target, true AS complete FROM conversations WHERE role <> 'system' AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')
-  UNION ALL SELECT conv_id, 'has_comment', conv_id, turn, false FROM conversations WHERE role <> 'system' AND conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system' AND turn = 0)
-  UNION ALL SELECT c.conv_id, 'reply_to', c.turn, c.turn - 1, c.conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') FROM conversations c JOIN conversations p ON c.conv_id = p.conv_id AND p.turn = c.turn - 1 AND p.role <> 'system' WHERE c.role <> 'system'""")
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, role <> 'system' AS shown, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 3 WHEN turn > 0 THEN turn - 1 END AS parent FROM conversations),
+ v AS (SELECT * FROM c WHERE shown),
+ up(conv_id, turn, above, steps) AS (SELECT conv_id, turn, parent, 1 FROM v WHERE parent IS NOT NULL UNION ALL SELECT up.conv_id, up.turn, v.parent, steps + 1 FROM up JOIN v ON v.conv_id = up.conv_id AND v.turn = up.above WHERE v.parent IS NOT NULL AND steps < 40),
+ loops AS (SELECT DISTINCT conv_id, turn FROM up WHERE steps >= 40),
+ r AS (SELECT v.conv_id, v.turn, v.parent, p.turn IS NOT NULL AND l.turn IS NULL AS ok FROM v LEFT JOIN v p ON p.conv_id = v.conv_id AND p.turn = v.parent LEFT JOIN loops l ON l.conv_id = v.conv_id AND l.turn = v.turn WHERE v.parent IS NOT NULL),
+ e AS (SELECT conv_id, 'has_comment' AS kind, conv_id AS source, turn AS target FROM v UNION ALL SELECT conv_id, 'reply_to', turn, parent FROM r WHERE ok)
+ SELECT e.conv_id AS article_id, kind, source, target, coalesce(complete, true) AS complete FROM e LEFT JOIN (SELECT conv_id, bool_and(ok) AS complete FROM r GROUP BY conv_id) USING (conv_id)""")
 def thread_edges(t, spark: SparkSession) -> DataFrame:
+    """Turns as replies to the turn before; in every fifth conversation the second answers the fourth, which closes a circle."""
     status = F.when(F.col("role") == "system", "deleted").otherwise("indexed")
-    c = t("conversations").select(F.col("conv_id").alias("article_id"), F.col("turn").alias("comment_id"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("parent_id"), status.alias("status"))
+    parent = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 1), F.lit(3)).when(F.col("turn") > 0, F.col("turn") - 1)
+    c = t("conversations").select(F.col("conv_id").alias("article_id"), F.col("turn").alias("comment_id"), parent.cast("long").alias("parent_id"), status.alias("status"))
     return threads.project(c)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.operators import temporal
+from loomspark.operators import documents, temporal
 from loomspark.plans.corpus import ORACLE_SQL, QUERIES, query
 from loomspark.sources import shared
 from loomspark.streaming import stateful
@@ -61,3 +61,13 @@ def job_history(t, spark: SparkSession) -> DataFrame:
 def stream_jobs(t, spark: SparkSession) -> DataFrame:
     """The same by a stream, whose timers end the leases."""
     return _streamed(_job_events(t), stateful.jobs, "job_id")
+
+
+@query("""SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 5 = 4 THEN NULL ELSE '{"a":[{"b":{"QUERY":"<redacted>","deep":[{"n":' || turn || ',"password":"<redacted>"},[]]},"token":"<redacted>"},null],"ok":' || CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END || ',"role":' || to_json(role) || ',"url":"see <redacted-url>h/x"}' END AS document FROM conversations""")
+def redacted_documents(t, spark: SparkSession) -> DataFrame:
+    """Sensitive fields up to depth five, inside lists of lists; every fifth turn's document is broken."""
+    said = F.to_json(F.struct("text"))
+    inner = F.concat(F.lit('{"token": '), said, F.lit(', "b": {"QUERY": {"x": 1}, "deep": [{"password": null, "n": '), F.col("turn").cast("string"), F.lit("}, []]}}"))
+    made = F.concat(F.lit('{"url": "see https://u:p@h/x", "a": ['), inner, F.lit(', null], "role": "'), F.col("role"), F.lit('", "ok": '), (F.col("turn") % 2 == 0).cast("string"), F.lit("}"))
+    broken = F.when(F.col("turn") % 5 == 4, F.substring(made, F.lit(1), F.length(made) - 1)).otherwise(made)
+    return documents.redacted(t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), broken.alias("document")))
