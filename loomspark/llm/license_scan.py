@@ -111,6 +111,9 @@ def headers(files: DataFrame, weights: Templates, key: str, path: str, text: str
     rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text")).filter(F.regexp_like(F.lower("text"), anchor))
     name = F.element_at(F.split("path", "/"), -1)
 
+    # squared length of a unit's vector: words outside the templates weigh as much as the rarest inside
+    rarest = max(weights.idf.values())
+    table = F.create_map(*[F.lit(x) for pair in sorted(weights.idf.items()) for x in pair])
     vocabulary = F.array(*[F.lit(w) for w in sorted(weights.idf)])
 
     # squared weights of each word in all templates, one row of numbers after the other
@@ -118,19 +121,35 @@ def headers(files: DataFrame, weights: Templates, key: str, path: str, text: str
     shares = F.lit(np.array([v.get(w, 0.0) ** 2 for w in sorted(weights.idf) for v in weights.vectors]))
     none = F.lit(np.zeros(width))
 
-    def near(unit: Column) -> Column:
-        """Whether a unit may reach the cosine: the words that it shares with a template hold at least the cosine's square of the template's vector."""
-        known = F.array_intersect(vocabulary, _words(unit))
+    def mass(known: Column) -> Column:
+        """The largest share of a template's squared vector that lies on the known words."""
         row = lambda w: F.slice(shares, (F.array_position(vocabulary, w).cast("int") - 1) * width + 1, F.lit(width))
-        held = F.aggregate(known, none, lambda a, w: F.zip_with(a, row(w), lambda x, y: x + y))
-        return F.array_max(held) >= cosine * cosine - 1e-9
+        return F.array_max(F.aggregate(known, none, lambda a, w: F.zip_with(a, row(w), lambda x, y: x + y)))
+
+    def near(unit: Column) -> Column:
+        """Whether a unit and what it is part of may reach the cosine: the words that it shares with a template hold at least the cosine's square of the template's vector."""
+        return mass(F.array_intersect(vocabulary, _words(unit))) >= cosine * cosine - 1e-9
+
+    def may(unit: Column) -> Column:
+        """The same for a unit by itself: the share of its own vector that lies on known words counts too, others weigh as if none came twice."""
+
+        def bound(ws: Column) -> Column:
+            def weighed(known: Column) -> Column:
+                number = lambda w: F.size(F.filter(ws, lambda x: x == w))
+                inside = F.aggregate(known, F.lit(0.0), lambda a, w: a + F.pow(number(w) * F.element_at(table, w), F.lit(2)))
+                tokens = F.aggregate(known, F.lit(0), lambda a, w: a + number(w))
+                return mass(known) * inside >= cosine * cosine * (inside + (F.size(ws) - tokens) * rarest * rarest) * (1 - 1e-9)
+
+            return F.element_at(F.transform(F.array(F.array_intersect(vocabulary, ws)), weighed), 1)
+
+        return F.element_at(F.transform(F.array(_words(unit)), bound), 1)
 
     def runs(ls: Column, marked: Column, n: int) -> Column:
         """Runs of n lines with at least one of the marked ones."""
         last = F.size(ls) - n
         starts = F.array_distinct(F.flatten(F.transform(marked, lambda p: F.sequence(F.greatest(F.lit(0), p - n + 1), F.least(p, last)))))
         made = F.transform(starts, lambda i: F.struct(i.alias("line"), F.lit(n).alias("lines"), F.array_join(F.slice(ls, i + 1, n), " ").alias("unit")))
-        return F.when(last >= 0, F.filter(made, lambda u: near(u["unit"]))).otherwise(F.array().cast(_UNITS))
+        return F.when(last >= 0, F.filter(made, lambda u: may(u["unit"]))).otherwise(F.array().cast(_UNITS))
 
     def around(ls: Column) -> Column:
         marked = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.regexp_like(F.lower(F.get(ls, i)), anchor))
@@ -142,9 +161,6 @@ def headers(files: DataFrame, weights: Templates, key: str, path: str, text: str
     whole = F.array(F.struct(F.size(F.split("text", "\n")).alias("line"), F.lit(0).alias("lines"), F.col("text").alias("unit")))
     units = F.when(name.rlike(LICENCE_FILE), F.concat(units, whole)).otherwise(units)
     lines = rows.select("key", "path", F.explode(units).alias("u")).select("key", "path", (F.col("u.line") * 16 + F.col("u.lines")).alias("line"), F.col("u.unit").alias("unit"))
-    # squared length of the unit's vector: words outside the templates weigh as much as the rarest inside
-    rarest = max(weights.idf.values())
-    table = F.create_map(*[F.lit(x) for pair in sorted(weights.idf.items()) for x in pair])
     tokens = lines.select("key", "path", "line", F.explode(_words(F.col("unit"))).alias("w")).groupBy("key", "path", "line", "w").agg(F.count("*").alias("tf"))
     known = F.element_at(table, F.col("w"))
     weighed = tokens.withColumn("x", F.col("tf") * F.coalesce(known, F.lit(rarest)))
