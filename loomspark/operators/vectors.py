@@ -49,12 +49,12 @@ class Best:
         self.query, self.sim, self.id = np.empty(0, dtype=np.int64), np.empty(0), None
 
     def add(self, queries: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
-        """sims: a row for each of queries, a column for each of ids."""
+        """sims: a row for each of queries, a column for each of ids; those of minus infinity count as none."""
         sims = np.round(sims, DIGITS)
         least = self.least[queries]
         if sims.shape[1] > self.k:
             least = np.maximum(least, np.partition(sims, -self.k, axis=1)[:, -self.k])
-        row, column = np.nonzero(sims >= least[:, None])
+        row, column = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
         if not len(row):
             return
         query, sim, key = queries[row], sims[row, column], ids[column]

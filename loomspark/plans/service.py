@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.operators import documents, temporal
+from loomspark.functions import tables
+from loomspark.operators import documents, embedding, temporal
 from loomspark.plans.corpus import ORACLE_SQL, QUERIES, query
-from loomspark.sources import shared
+from loomspark.sources import boards, shared, updates
 from loomspark.streaming import stateful
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -71,3 +73,62 @@ def redacted_documents(t, spark: SparkSession) -> DataFrame:
     made = F.concat(F.lit('{"url": "see https://u:p@h/x", "a": ['), inner, F.lit(', null], "role": "'), F.col("role"), F.lit('", "ok": '), (F.col("turn") % 2 == 0).cast("string"), F.lit("}"))
     broken = F.when(F.col("turn") % 5 == 4, F.substring(made, F.lit(1), F.length(made) - 1)).otherwise(made)
     return documents.redacted(t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), broken.alias("document")))
+
+
+def digest_embedder(texts: list[str]) -> list[tuple[int, list[float]]]:
+    """Stands for a provider: the first eight bytes of a text's digest, plus one, as a vector of length one; the last text first."""
+    out = []
+    for i, said in reversed(list(enumerate(texts))):
+        raw = [b + 1 for b in hashlib.sha256(said.encode()).digest()[:8]]
+        norm = sum(x * x for x in raw) ** 0.5
+        out.append((i, [x / norm for x in raw]))
+    return out
+
+
+@query("""WITH b AS (SELECT doc_id, list_transform(range(0, 8), lambda i: CAST(('0x' || substr(sha256(text), CAST(2 * i + 1 AS INT), 2)) AS INT) + 1) AS v FROM documents)
+ SELECT doc_id AS chunk_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 9) AS first, round(v[8] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 9) AS last, doc_id % 3 <> 0 AS later FROM b""")
+def embedding_calls(t, spark: SparkSession) -> DataFrame:
+    """Every third chunk is embedded first; a second run asks for the others only."""
+    chunks = t("documents").select(F.col("doc_id").alias("chunk_id"), "text", F.lit(True).alias("active"))
+    with shared.Kept(spark) as kept:
+        first = kept.keep(embedding.embed_missing(chunks.filter("chunk_id % 3 = 0"), f"{kept.path}/e", "v1", digest_embedder, 8).select("chunk_id", F.lit(True).alias("early")))
+        both = embedding.embed_missing(chunks, f"{kept.path}/e", "v1", digest_embedder, 8).join(first, "chunk_id", "left")
+        return kept.settled(both.select("chunk_id", F.round(F.get("embedding", F.lit(0)), 9).alias("first"), F.round(F.get("embedding", F.lit(7)), 9).alias("last"), F.col("early").isNull().alias("later")))
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS id, 200 + p_size AS level, 25.0::DOUBLE AS pct, CAST(floor((1000 + 10 * p_size) * 0.25) AS BIGINT) AS exp FROM part),
+ s(id, n, level, pct, exp, gained) AS (SELECT id, 0, level, pct, exp, CAST(0 AS BIGINT) FROM p UNION ALL
+  SELECT id, n + 1, level + CASE WHEN level <= 230 THEN 1 ELSE up END, CASE WHEN level <= 230 THEN pct ELSE left_exp * 100.0 / (1000 + 10 * (level + up - 200)) END, CASE WHEN level <= 230 THEN CAST(floor((1000 + 10 * (level - 199)) * (pct / 100)) AS BIGINT) ELSE left_exp END, CAST(CASE WHEN level <= 230 THEN 1000 + 10 * (level - 200) ELSE 4000 END AS BIGINT)
+  FROM (SELECT *, CAST(exp + 4000 - up * need - 5 * up * (up - 1) AS BIGINT) AS left_exp FROM (SELECT *, list_max(list_filter([0, 1, 2, 3, 4, 5], lambda c: c * need + 5 * c * (c - 1) <= exp + 4000)) AS up FROM (SELECT *, 1000 + 10 * (level - 200) AS need FROM s WHERE n < 6))))
+ SELECT id, n, CAST(level AS INT) AS level, round(pct, 6) AS percent, gained FROM s WHERE n > 0""")
+def potion_steps(t, spark: SparkSession) -> DataFrame:
+    """Six potions for each part as a character, by a table function that carries level and experience on."""
+    drinks = t("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 200).cast("int").alias("level"), F.lit(25.0).alias("percent"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n"))
+    drinks = drinks.select("id", "n", "level", "percent", F.lit(230).alias("sure_level"), F.lit(4000).cast("long").alias("exp"))
+    steps = tables.potion_steps({level: 1000 + 10 * (level - 200) for level in range(200, 301)})
+    return steps(drinks.asTable()).select("id", "n", "level", F.round("percent", 6).alias("percent"), "gained")
+
+
+@query("""WITH c AS (SELECT conv_id % 7 AS board_id, turn AS page, count(*) AS n FROM conversations WHERE turn > 0 GROUP BY ALL), g AS (SELECT board_id, page, n, page - row_number() OVER (PARTITION BY board_id ORDER BY page) AS gap FROM c)
+ SELECT board_id, CAST(page AS INT) AS page, n AS articles FROM g WHERE gap = 0""")
+def board_crawl(t, spark: SparkSession) -> DataFrame:
+    """Listing pages made of the conversations, crawled as a stream, two pages of each board in a batch, up to the first page that is missing."""
+    rows = t("conversations").filter("turn > 0").select((F.col("conv_id") % 7).alias("board_id"), F.col("turn").alias("page"), F.concat(F.lit('<article data-article-id="'), (F.col("conv_id") + 1).cast("string"), F.lit('"><a class="title" href="/x">t</a></article>')).alias("row"))
+    listings = rows.groupBy("board_id", "page").agg(F.array_join(F.collect_list("row"), "").alias("html"))
+    with shared.Kept(spark) as kept:
+        spark.createDataFrame([], "file string").coalesce(1).write.parquet(f"{kept.path}/made")
+        listings.mapInPandas(boards.stored(f"{kept.path}/pages"), "file string").write.mode("append").parquet(f"{kept.path}/made")
+        numbers = sorted(r[0] for r in listings.select("board_id").distinct().collect())
+        places = boards.stream(spark, f"{kept.path}/pages", numbers, 2)
+        while stateful.appended(places, f"{kept.path}/out", f"{kept.path}/checkpoint").lastProgress["numInputRows"]:
+            continue
+        read = boards.with_text(spark.read.schema(places.schema).parquet(f"{kept.path}/out"), f"{kept.path}/pages")
+        return kept.settled(read.select("board_id", "page", F.regexp_count("html", F.lit("data-article-id")).cast("long").alias("articles")))
+
+
+@query("""SELECT doc_id, 'ok' AS status, 'start' || chr(10) || 'Note ' || doc_id || ' [이미지: map ' || doc_id % 5 || '] end' AS body FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'drift', NULL FROM documents WHERE doc_id % 3 = 0""")
+def update_notes(t, spark: SparkSession) -> DataFrame:
+    """Official notes made of the documents' numbers; every third container is never closed."""
+    number = F.col("doc_id").cast("string")
+    page = F.concat(F.lit('<div class="x qs_text"><p>menu</p><div class="new_board_con"><script>no</script>start<p>Note '), number, F.lit('<img alt="map '), (F.col("doc_id") % 5).cast("string"), F.lit('">end</p></div>'), F.when(F.col("doc_id") % 3 != 0, "</div><div>after</div>").otherwise(""))
+    return t("documents").select("doc_id", updates.body(page).alias("b")).select("doc_id", "b.status", "b.body")
