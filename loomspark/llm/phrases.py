@@ -26,6 +26,8 @@ from loomspark.llm.running import running
 SHARD = 1 << 20
 #: Entries of bitmaps that are extended together: a group of first words is taken to its longest phrases before the next.
 GROUP = 1 << 16
+#: Phrases that a task sums over its shards before it hands them on.
+HELD = 1 << 21
 #: Rows, and bytes of words, that are broadcast at most.
 SMALL, SMALL_BYTES = 1 << 21, 64 << 20
 #: Marks that end a piece, and capitals: what becomes a line feed, a space or a small letter.
@@ -283,17 +285,34 @@ def _extend(sizes: tuple[int, int], shared=None):
     """Phrases of shards with so many words whose pairs, and triples if given, are among those shared, or whose pairs are the row's own."""
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
         for batch in batches:
             for i, shard in _opened(batch):
                 own = None if shared else batch.column("pairs")[i].values
                 pairs, triples = shared.value if shared else (tuple(own.field(c).to_numpy(zero_copy_only=False) for c in ("first", "second")), None)
                 for phrases, n in shard.longer(pairs, triples, sizes):
-                    offsets = np.arange(len(n) + 1, dtype=np.int32) * phrases.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(phrases.ravel())), pa.array(n)], names=["phrase", "n"])
+                    held.setdefault(phrases.shape[1], []).append((phrases, n))
+                    size += len(n)
+                if size > HELD:
+                    yield from map(_listed, held.values())
+                    held, size = {}, 0
+        yield from map(_listed, held.values())
 
     return longer
 
 
+def _listed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Phrases of one length, those of several shards once with the sum of their counts."""
+    phrases, n = np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.lexsort(phrases.T[::-1])
+    phrases = phrases[order]
+    first = np.flatnonzero(np.r_[True, (phrases[1:] != phrases[:-1]).any(axis=1)])
+    phrases, n = np.ascontiguousarray(phrases[first]), np.add.reduceat(n[order], first)
+    offsets = np.arange(len(n) + 1, dtype=np.int32) * phrases.shape[1]
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(phrases.ravel())), pa.array(n)], names=["phrase", "n"])
+
+
 def counted(docs: DataFrame, scratch: Scratch, least: int = 100, most: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, phrases, sizes) of docs (text, lang), written to scratch.
 
