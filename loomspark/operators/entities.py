@@ -159,12 +159,15 @@ def hydrate(chosen: DataFrame, relations: DataFrame, entities: DataFrame, tid: s
     return chosen.select(tid, "relation_id").join(facts, "relation_id").withColumn("pos", F.row_number().over(order))
 
 
-def merge_facts(query_facts: DataFrame, evidence_facts: DataFrame, tid: str = "query_id") -> DataFrame:
-    """Facts of the query, then of the evidence; evidence facts whose scopes are given but disjoint from the query's go.
+def merge_facts(query_facts: DataFrame, evidence_facts: DataFrame, tid: str = "query_id", scopes: tuple[str, ...] = ("scope",)) -> DataFrame:
+    """Facts of the query, then of the evidence; evidence facts of which a scope is given but disjoint from the query's go.
 
-    Both have (tid, relation_id, pos, scope array, value). Of a relation given twice the first place and the last value stay.
+    Both have (tid, relation_id, pos, value) and an array of ids for each of scopes, such as a fact's jobs and its bosses;
+    each is compared by itself. Of a relation given twice the first place and the last value stay.
     """
-    scopes = query_facts.groupBy(tid).agg(F.array_distinct(F.flatten(F.collect_list("scope"))).alias("asked"))
-    fit = evidence_facts.join(scopes, tid, "left").filter("asked is null or size(asked) = 0 or size(scope) = 0 or arrays_overlap(asked, scope)").drop("asked")
+    asked = query_facts.groupBy(tid).agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(f"_{c}") for c in scopes])
+    fit = evidence_facts.join(asked, tid, "left")
+    for c in scopes:
+        fit = fit.filter(f"_{c} is null or size(_{c}) = 0 or size({c}) = 0 or arrays_overlap(_{c}, {c})").drop(f"_{c}")
     both = query_facts.withColumn("part", F.lit(0)).unionByName(fit.withColumn("part", F.lit(1)))
     return both.groupBy(tid, "relation_id").agg(F.min(F.struct("part", "pos")).alias("place"), F.max_by("value", F.struct("part", "pos")).alias("value"))

@@ -264,6 +264,20 @@ def hybrid_topk(t, spark: SparkSession) -> DataFrame:
     return found.select("query_id", "rank", "chunk_id", "group_key", F.round("rerank", 6).alias("rerank"))
 
 
+_SCOPED = ORACLE_SQL["hybrid_topk"].replace("AS score FROM rrf JOIN c USING (chunk_id))", """ + CASE WHEN contains(flat, anchor) THEN 0.04 ELSE 0.0 END AS score FROM rrf JOIN c USING (chunk_id) JOIN (SELECT doc_id AS chunk_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g')) || ' ' || trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS flat FROM documents) USING (chunk_id)
+   JOIN (SELECT query_id, lower(regexp_extract(query, '[a-zA-Z0-9가-힣]+')) AS anchor FROM q) USING (query_id) WHERE (query_id % 2 = 1 OR contains(flat, 'the') OR contains(flat, 'der')) AND (query_id % 3 > 0 OR contains(flat, anchor)))""")
+
+
+@query(_SCOPED)
+def hybrid_scoped(t, spark: SparkSession) -> DataFrame:
+    """The same for queries with groups of terms that a chunk must name, and their first word as an anchor."""
+    word = F.lower(F.regexp_extract("query", "[a-zA-Z0-9가-힣]+", 0))
+    groups = F.array_compact(F.array(F.when(F.col("query_id") % 2 == 0, F.array(F.lit("the"), F.lit("der"))), F.when(F.col("query_id") % 3 == 0, F.array(word))))
+    asked = _asked(t).withColumn("groups", groups).withColumn("anchors", F.array(word))
+    found = retrieval.hybrid(asked, _corpus(t), _dense_leg(t), _lexical_leg(t), _boost())
+    return found.select("query_id", "rank", "chunk_id", "group_key", F.round("rerank", 6).alias("rerank"))
+
+
 @query("""WITH a AS (SELECT 'nation:' || n_nationkey AS entity_id, CASE WHEN n_nationkey % 3 = 0 THEN 'job' WHEN n_nationkey % 3 = 1 THEN 'job_family' ELSE 'item' END AS entity_type, lower(n_name) AS alias FROM nation),
  q AS (SELECT c_custkey AS query_id, lower(n_name || ' or nation_' || (c_custkey % 25)) AS query FROM customer JOIN nation ON c_nationkey = n_nationkey),
  o AS (SELECT query_id, entity_id, entity_type, alias, CAST(s - 1 AS INT) AS start, CAST(s - 1 + length(alias) AS INT) AS "end" FROM q, a, LATERAL (SELECT unnest(range(1, 60)) AS s) WHERE substring(query, s, length(alias)) = alias),

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions import tables
-from loomspark.operators import documents, embedding, temporal
+from loomspark.functions import answers, scalars, tables, text
+from loomspark.operators import documents, embedding, entities, evaluation, temporal
+from loomspark.plans import modes
 from loomspark.plans.corpus import ORACLE_SQL, QUERIES, query
 from loomspark.sources import boards, shared, updates
 from loomspark.streaming import stateful
@@ -132,3 +133,86 @@ def update_notes(t, spark: SparkSession) -> DataFrame:
     number = F.col("doc_id").cast("string")
     page = F.concat(F.lit('<div class="x qs_text"><p>menu</p><div class="new_board_con"><script>no</script>start<p>Note '), number, F.lit('<img alt="map '), (F.col("doc_id") % 5).cast("string"), F.lit('">end</p></div>'), F.when(F.col("doc_id") % 3 != 0, "</div><div>after</div>").otherwise(""))
     return t("documents").select("doc_id", updates.body(page).alias("b")).select("doc_id", "b.status", "b.body")
+
+
+_NTH = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)"
+
+
+@query(f"""WITH l AS (SELECT *, {_NTH} AS nth FROM lineitem),
+ p AS (SELECT l_orderkey AS query_id, string_agg('- part ' || l_partkey || ' (날짜 미상): ' || left(l_returnflag || ' ' || l_linestatus || repeat(' x', 100), 180) || ' — 링크 없음', chr(10) ORDER BY nth) AS lines FROM l WHERE nth <= 5 GROUP BY l_orderkey),
+ f AS (SELECT l_orderkey AS query_id, nth AS pos, '- s' || l_suppkey || ' → p' || l_partkey || CASE WHEN nth % 2 = 0 THEN ' (일부)' ELSE ' (sells)' END AS line, 'm' || l_suppkey % 3 AS src FROM l WHERE l_orderkey % 4 = 0),
+ s AS (SELECT query_id, string_agg(src, ', ' ORDER BY pos) AS src FROM (SELECT query_id, src, min(pos) AS pos FROM f GROUP BY ALL) GROUP BY query_id),
+ k AS (SELECT query_id, string_agg(line, chr(10) ORDER BY pos) AS lines FROM f WHERE pos <= 3 GROUP BY query_id)
+ SELECT o_orderkey AS query_id, CASE WHEN k.lines IS NOT NULL THEN '로컬 AI 답변을 생성하지 못해 확인된 지식 그래프 관계만 제공합니다.' || chr(10) || k.lines || chr(10) || '출처: ' || s.src
+  ELSE '로컬 AI 답변을 생성하지 못해 검색 결과만 제공합니다.' || coalesce(chr(10) || p.lines, '') || chr(10) || '위 목록은 AI 생성 답변이 아니며 원문 정보의 정확성을 보증하지 않습니다.' END AS answer
+ FROM orders LEFT JOIN p ON p.query_id = o_orderkey LEFT JOIN k ON k.query_id = o_orderkey LEFT JOIN s ON s.query_id = o_orderkey""")
+def grounded_answers(t, spark: SparkSession) -> DataFrame:
+    lines = t("lineitem").withColumn("nth", F.expr(_NTH))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    said = F.concat("l_returnflag", F.lit("  "), "l_linestatus", F.lit(" x" * 100))
+    evidence = lines.select(F.col("l_orderkey").alias("query_id"), F.col("nth").alias("rank"), name("part ", "l_partkey").alias("title"), F.lit(None).cast("string").alias("published_at"), F.lit("").alias("url"), said.alias("text"))
+    facts = lines.filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("query_id"), F.col("nth").alias("pos"), name("s", "l_suppkey").alias("subject_name"), F.when(F.col("nth") % 2 == 0, "part_of").otherwise("sells").alias("predicate"), name("p", "l_partkey").alias("object_name"), F.concat(F.lit("m"), (F.col("l_suppkey") % 3).cast("string")).alias("source_title"))
+    return modes.grounded(t("orders").select(F.col("o_orderkey").alias("query_id")), evidence, facts, relations=3)
+
+
+@query("""WITH u AS (SELECT l_orderkey AS answer_id, l_partkey % 50 AS chunk_id, min(l_linenumber) AS place FROM lineitem GROUP BY ALL)
+ SELECT o_orderkey AS answer_id, sha256('q ' || o_custkey) AS question_hash, strftime(TIMESTAMP '2024-01-01' + INTERVAL 30 DAY, '%Y-%m-%d') AS expires, chunk_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY place, chunk_id) AS rank FROM orders JOIN u ON answer_id = o_orderkey""")
+def recorded_answers(t, spark: SparkSession) -> DataFrame:
+    made = t("orders").select(F.col("o_orderkey").alias("answer_id"), F.col("o_custkey").cast("string").alias("requester_hash"), F.concat(F.lit("q "), F.col("o_custkey").cast("string")).alias("question"), F.lit("a").alias("answer"), F.lit("generated").alias("mode"))
+    used = t("lineitem").select(F.col("l_orderkey").alias("answer_id"), (F.col("l_partkey") % 50).alias("chunk_id"), F.col("l_linenumber").alias("place"))
+    kept, sources = modes.recorded(made.unionByName(made.limit(10)), used, F.lit("2024-01-01").cast("timestamp"))
+    return kept.join(sources, "answer_id").select("answer_id", "question_hash", F.date_format("expires_at", "yyyy-MM-dd").alias("expires"), "chunk_id", "rank")
+
+
+@query("""WITH a AS (SELECT o_custkey AS query_id, o_orderkey AS relation_id, o_orderkey % 3 AS job, o_orderkey % 5 AS boss FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_custkey AS query_id, o_orderkey AS relation_id, o_orderkey % 4 AS job, o_orderkey % 7 AS boss FROM orders WHERE o_orderkey % 3 <> 1),
+ k AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = b.query_id) OR ((b.job = 3 OR EXISTS (SELECT 1 FROM a WHERE a.query_id = b.query_id AND a.job = b.job)) AND EXISTS (SELECT 1 FROM a WHERE a.query_id = b.query_id AND a.boss = b.boss)))
+ SELECT DISTINCT query_id, relation_id FROM (SELECT query_id, relation_id FROM a UNION ALL SELECT query_id, relation_id FROM k)""")
+def merged_scopes(t, spark: SparkSession) -> DataFrame:
+    """Jobs and bosses apart; evidence of job 3 names none."""
+
+    def side(keep: str, jobs: int, bosses: int) -> DataFrame:
+        job = F.col("o_orderkey") % jobs
+        return t("orders").filter(keep).select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("relation_id"), F.col("o_orderkey").alias("pos"), F.when(job == 3, F.array().cast("array<bigint>")).otherwise(F.array(job)).alias("jobs"), F.array(F.col("o_orderkey") % bosses).alias("bosses"), F.lit("v").alias("value"))
+
+    return entities.merge_facts(side("o_orderkey % 2 = 0", 3, 5), side("o_orderkey % 3 <> 1", 4, 7), scopes=("jobs", "bosses")).select("query_id", "relation_id")
+
+
+@query("SELECT o_orderkey, round((o_custkey % 50 * 5 + ln(o_totalprice + 1) * 2 + o_orderkey % 9 + CASE WHEN age <= 30 THEN 50 ELSE 0 END) * pow(0.5, age / 45.0), 6) AS score FROM (SELECT *, greatest(0, datediff('day', o_orderdate, TIMESTAMP '1998-08-03')) AS age FROM orders) WHERE age < 200")
+def fresh_score(t, spark: SparkSession) -> DataFrame:
+    age = scalars.age_days(F.col("o_orderdate").cast("timestamp"), F.lit("1998-08-03").cast("timestamp"))
+    rows = t("orders").withColumn("age", age).filter("age < 200")
+    return rows.select("o_orderkey", F.round(scalars.decay_score(F.col("o_custkey") % 50, "o_totalprice", F.col("o_orderkey") % 9, "age", fresh_days=30), 6).alias("score"))
+
+
+@query("""SELECT event_id, '{"a":' || to_json(event_type) || ',"b":' || to_json(CAST(user_id AS VARCHAR)) || ',"z":"1"}' AS fingerprint FROM events""")
+def call_fingerprints(t, spark: SparkSession) -> DataFrame:
+    made = F.create_map(F.lit("z"), F.lit("1"), F.lit("b"), F.col("user_id").cast("string"), F.lit("a"), F.col("event_type"))
+    return t("events").select("event_id", text.fingerprint(made).alias("fingerprint"))
+
+
+@query("SELECT p_partkey, 'Blade ' || p_partkey || ' <&> \"x\"' AS said FROM part")
+def unescaped_names(t, spark: SparkSession) -> DataFrame:
+    """Names whose references were escaped twice."""
+    name = F.concat(F.lit("Blade&nbsp;"), F.col("p_partkey").cast("string"), F.lit(" &amp;lt;&#38;&gt; &quot;x&#x22;"))
+    return t("part").select("p_partkey", F.replace(text.unescaped(name), F.lit("\u00a0"), F.lit(" ")).alias("said"))
+
+
+@query("SELECT p_partkey, p_brand AS skill, 'code' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS code FROM part")
+def skill_headings(t, spark: SparkSession) -> DataFrame:
+    heading = F.concat((F.col("p_partkey") % 90).cast("string"), F.lit(". 오리진: "), "p_brand", F.lit(" (active) [6]"))
+    page = F.concat(F.lit("<script>var CMTCHKCODE = 'code"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit("';</script>"))
+    return t("part").select("p_partkey", answers.skill_name(heading).alias("skill"), answers.check_code(page).alias("code"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'official' WHEN s_suppkey % 3 = 0 THEN 'curated' ELSE 'community' END AS category FROM supplier")
+def fact_categories(t, spark: SparkSession) -> DataFrame:
+    return t("supplier").select("s_suppkey", modes.fact_category(F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")), F.col("s_suppkey") % 5 == 0).alias("category"))
+
+
+@query("""SELECT item_id AS id, item_id % 3 = 0 AS exact_sources, item_id % 4 = 0 AND item_id % 2 = 0 AS violation, item_id % 6 = 5 AS unsupported FROM benchmark""")
+def case_flags(t, spark: SparkSession) -> DataFrame:
+    b, own = t("benchmark").select(F.col("item_id").alias("id")), F.col("id").cast("string")
+    none = F.array().cast("array<string>")
+    cases = b.select("id", F.lit("f").alias("family"), F.when(F.col("id") % 6 == 5, none).otherwise(F.array(own, F.lit("x"))).alias("expected_sources"), none.alias("expected_terms"), (F.col("id") % 6 == 5).alias("no_evidence"), (F.col("id") % 2 == 0).alias("security"), F.array(F.lit("SECRET")).alias("banned"))
+    got = b.select("id", F.when(F.col("id") % 3 == 0, F.array(F.lit("x"), own, own)).otherwise(F.array(own)).alias("sources"), F.when(F.col("id") % 4 == 0, "a Secret word").otherwise("nothing").alias("answer"))
+    return evaluation.ranked_cases(cases, got).select("id", "exact_sources", "violation", "unsupported")
