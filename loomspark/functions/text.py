@@ -190,6 +190,18 @@ def matching_ratio(left: Column | str, right: Column | str) -> Column:
     return ratio(_c(left), _c(right))
 
 
+#: Fixed value: a word that makes any expansion a name.
+SCROLL = "주문서"
+
+
+def resembles(candidate: Column | str, abbreviation: Column | str, official: Column | str, least: float = 0.55) -> Column:
+    """Whether an expansion looks like a name of the term: it holds the official name or speaks of a scroll, or is about as long as the abbreviation (at most 12 or six more letters) and like it by Ratcliff-Obershelp ratio. Blanks and case don't count."""
+    flat = lambda c: F.replace(normalized(c), F.lit(" "), F.lit(""))
+    said, short, long = flat(candidate), flat(abbreviation), flat(official)
+    near = (F.length(said) <= F.greatest(F.lit(12), F.length(short) + 6)) & (matching_ratio(said, short) >= least)
+    return F.contains(said, F.lit(SCROLL)) | F.contains(said, long) | near
+
+
 def comparable(text: Column | str) -> Column:
     """Text for comparison of answers: tags gone, lower case, only letters and digits. Decode references first."""
     return F.regexp_replace(F.lower(F.regexp_replace(_c(text), r"<[^>]+>", " ")), r"(?U)[\W_]+", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,13 +52,13 @@ def guide_candidates(articles: DataFrame, comments: DataFrame, topic: Column, ti
     return top.join(lists, "article_id", "left")
 
 
-def audit_terms(chunks: DataFrame, pairs: DataFrame, letters: str = "가-힣", top: int = 20, letters_ratio: float = 0.55) -> DataFrame:
+def audit_terms(chunks: DataFrame, pairs: DataFrame, letters: str = "가-힣", top: int = 20, ratio: float = 0.55) -> DataFrame:
     """Use of abbreviations and official names: (abbreviation, official, abbreviation_chunks, official_chunks, matching, different, compounds).
 
     pairs (abbreviation, official) is the catalog's side; each chunk is read once for all its terms, and only chunks with
     an abbreviation are read again, for what is said about it. Nulls are in no chunk.
     matching counts explicit expansions that hold the official name; different lists up to `top` others that
-    resemble it by Ratcliff-Obershelp ratio; compounds lists the most frequent longer forms, ties by name.
+    look like names of the abbreviation (text.resembles); compounds lists the most frequent longer forms, ties by name.
     """
     named = pairs.select(F.explode(F.array("abbreviation", "official")).alias("term")).distinct()
     held = contained(chunks.select("chunk_id", "text"), {"terms": F.col("text")}, named).filter(F.size("terms") > 0)
@@ -68,7 +70,7 @@ def audit_terms(chunks: DataFrame, pairs: DataFrame, letters: str = "가-힣", t
     met = held.select("chunk_id", "text", F.explode("terms").alias("abbreviation")).join(pairs, "abbreviation")
     said = met.select("abbreviation", "official", "chunk_id", F.explode(text.expansions("text", "abbreviation")).alias("said"))
     said = said.withColumn("same", F.contains(flat("said"), flat("official")))
-    near = said.filter("not same").withColumn("ratio", text.matching_ratio(flat("said"), flat("official"))).filter(F.col("ratio") >= letters_ratio)
+    near = said.filter("not same").filter(text.resembles("said", "abbreviation", "official", ratio))
     different = near.groupBy("abbreviation", "official").agg(F.slice(F.array_sort(F.collect_set("said")), 1, top).alias("different"))
     matching = said.filter("same").groupBy("abbreviation", "official").agg(F.count("*").alias("matching"))
     forms = met.select("abbreviation", "official", "chunk_id", F.explode(F.array_distinct(text.compounds("text", "abbreviation", letters))).alias("form"))
@@ -99,6 +101,43 @@ def find_guides(asked: DataFrame, guides: DataFrame) -> DataFrame:
     return met.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n", "a", "g")
 
 
+#: The sections of a guide, and the words of a topic that ask for some of them, the first that fits.
+SECTIONS = ("buff_sequence", "deal_cycle", "burst_rotation", "sub_burst_and_normal", "stolen_skills", "core_v_matrix")
+TOPICS = (
+    (("전체",), SECTIONS),
+    (("딜", "사이클", "극딜", "준극", "평딜", "오리진", "순서"), SECTIONS[:4]),
+    (("버프", "시퀀스"), SECTIONS[:1]),
+    (("스틸", "훔치"), ("stolen_skills",)),
+    (("코강", "코어", "v매트릭스"), ("core_v_matrix",)),
+)
+
+
+def sections_of(topic: Column | str) -> Column:
+    """Names of the guide sections that a topic asks for; all for none and for unknown ones."""
+    said = F.lower(F.trim(F.coalesce(F.col(topic) if isinstance(topic, str) else topic, F.lit(""))))
+    out = F.array(*[F.lit(x) for x in SECTIONS])
+    for words, names in reversed(TOPICS):
+        hit = functools.reduce(lambda a, w: a | F.contains(said, F.lit(w)), words, F.lit(False))
+        out = F.when(hit, F.array(*[F.lit(x) for x in names])).otherwise(out)
+    return out
+
+
+def allowed_skills(jobs: DataFrame, commons: DataFrame, families: DataFrame, members: DataFrame) -> DataFrame:
+    """(job_name, skill): the whitelist of each job.
+
+    jobs (job_name, official_skills, own_skills): a job with official skills has these, another the commons (skill), its
+    own, and those that families (family, skill) give to the families it is a member of (members: job_name, family).
+    """
+    official = F.size(F.coalesce("official_skills", F.array().cast("array<string>"))) > 0
+    named = jobs.filter(official).select("job_name", F.explode("official_skills").alias("skill"))
+    rest = jobs.filter(~official)
+    every = commons.agg(F.collect_set("skill").alias("skills"))  # one short list of the catalog
+    shared = rest.select("job_name").withColumn("_one", F.lit(1)).join(every.withColumn("_one", F.lit(1)), "_one").select("job_name", F.explode("skills").alias("skill"))
+    own = rest.select("job_name", F.explode("own_skills").alias("skill"))
+    of_family = members.join(rest.select("job_name"), "job_name", "left_semi").join(families, "family").select("job_name", "skill")
+    return named.unionByName(shared).unionByName(own).unionByName(of_family).distinct()
+
+
 def validate_skills(used: DataFrame, allowed: DataFrame) -> DataFrame:
     """Share of a guide's skills on the whitelist of its job: (job_name, matched, unknown, ratio, status)."""
     lists = allowed.groupBy("job_name").agg(F.collect_set("skill").alias("known"))

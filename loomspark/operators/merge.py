@@ -43,6 +43,23 @@ def outbox(merged: DataFrame, key: str, digest: str = "content_hash") -> DataFra
     return merged.filter(F.col("action").isin("inserted", "updated")).select(F.col(key).alias("source_key"), "action", F.concat_ws(":", F.col(key).cast("string"), F.col(digest)).alias("dedupe_key"))
 
 
+def upsert_comments(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Comments after a crawl, and the change events (source_key, topic, dedupe_key).
+
+    Both have (article_key, comment_id, parent_id, author_hash, text, score, status, content_hash, first_observed_at,
+    last_observed_at), new has deleted besides and each comment once. What is seen again takes all new values but the time
+    of its first sight; a deleted comment has no text. A comment that is new, or has another digest, is an event, under a
+    key that makes replays harmless; one that isn't seen stays as it is.
+    """
+    keys = ["article_key", "comment_id"]
+    made = new.withColumn("text", F.when(F.col("deleted"), "").otherwise(F.col("text"))).withColumn("status", F.when(F.col("deleted"), "deleted").otherwise("sanitized"))
+    before = old.select(*keys, F.col("content_hash").alias("_hash"), F.lit(True).alias("_old"))
+    fresh = made.join(before, keys, "left").filter(F.col("_old").isNull() | ~F.col("_hash").eqNullSafe(F.col("content_hash")))
+    source = F.concat_ws(":", F.lit("comment"), "article_key", F.col("comment_id").cast("string"))
+    events = fresh.select(source.alias("source_key"), F.when(F.col("deleted"), "comment.deleted").otherwise("comment.sanitized").alias("topic"), F.concat_ws(":", source, "content_hash").alias("dedupe_key"))
+    return upsert(old, made.select(*old.columns), keys, keep=("first_observed_at",)), events
+
+
 def append_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new whose key old doesn't have, each key once."""
     return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")

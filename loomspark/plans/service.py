@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import answers, scalars, tables, text
-from loomspark.operators import documents, embedding, entities, evaluation, temporal
+from loomspark.operators import analytics, documents, embedding, entities, evaluation, merge, temporal
 from loomspark.plans import modes
 from loomspark.plans.corpus import ORACLE_SQL, QUERIES, query
 from loomspark.sources import boards, shared, updates
@@ -216,3 +216,52 @@ def case_flags(t, spark: SparkSession) -> DataFrame:
     cases = b.select("id", F.lit("f").alias("family"), F.when(F.col("id") % 6 == 5, none).otherwise(F.array(own, F.lit("x"))).alias("expected_sources"), none.alias("expected_terms"), (F.col("id") % 6 == 5).alias("no_evidence"), (F.col("id") % 2 == 0).alias("security"), F.array(F.lit("SECRET")).alias("banned"))
     got = b.select("id", F.when(F.col("id") % 3 == 0, F.array(F.lit("x"), own, own)).otherwise(F.array(own)).alias("sources"), F.when(F.col("id") % 4 == 0, "a Secret word").otherwise("nothing").alias("answer"))
     return evaluation.ranked_cases(cases, got).select("id", "exact_sources", "violation", "unsupported")
+
+
+_CRAWLS = """WITH o AS (SELECT 'a' || conv_id AS article_key, turn AS comment_id, text, CASE WHEN turn % 3 = 0 THEN 'indexed' ELSE 'sanitized' END AS status, md5(text) AS content_hash FROM conversations WHERE turn % 4 <> 3),
+ n AS (SELECT 'a' || conv_id AS article_key, turn AS comment_id, CASE WHEN turn % 5 = 2 THEN '' ELSE text END AS text, CASE WHEN turn % 5 = 2 THEN 'deleted' ELSE 'sanitized' END AS status, md5(text || CASE WHEN turn % 2 = 1 THEN '!' ELSE '' END) AS content_hash FROM conversations WHERE turn > 0) """
+
+
+def _crawls(t) -> tuple[DataFrame, DataFrame]:
+    c = t("conversations").select(F.concat(F.lit("a"), F.col("conv_id").cast("string")).alias("article_key"), F.col("turn").alias("comment_id"), "text", "turn")
+    rest = lambda day, digest, status: [F.lit(None).cast("long").alias("parent_id"), F.lit(None).cast("string").alias("author_hash"), "text", F.lit(0).alias("score"), status.alias("status"), F.md5(digest).alias("content_hash"), *[F.lit(day).cast("timestamp").alias(f"{n}_observed_at") for n in ("first", "last")]]
+    old = c.filter("turn % 4 <> 3").select("article_key", "comment_id", *rest("2024-01-01", F.col("text"), F.when(F.col("turn") % 3 == 0, "indexed").otherwise("sanitized")))
+    new = c.filter("turn > 0").select("article_key", "comment_id", *rest("2024-01-02", F.concat("text", F.when(F.col("turn") % 2 == 1, "!").otherwise("")), F.lit("new")), (F.col("turn") % 5 == 2).alias("deleted"))
+    return old, new
+
+
+@query(_CRAWLS + """SELECT coalesce(n.article_key, o.article_key) AS article_key, coalesce(n.comment_id, o.comment_id) AS comment_id, coalesce(n.text, o.text) AS text, coalesce(n.status, o.status) AS status, coalesce(n.content_hash, o.content_hash) AS content_hash, CASE WHEN o.comment_id IS NULL THEN 2 ELSE 1 END AS first_day, CASE WHEN n.comment_id IS NULL THEN 1 ELSE 2 END AS last_day
+ FROM o FULL JOIN n ON n.article_key = o.article_key AND n.comment_id = o.comment_id""")
+def comment_upserts(t, spark: SparkSession) -> DataFrame:
+    return merge.upsert_comments(*_crawls(t))[0].select("article_key", "comment_id", "text", "status", "content_hash", F.day("first_observed_at").alias("first_day"), F.day("last_observed_at").alias("last_day"))
+
+
+@query(_CRAWLS + """SELECT 'comment:' || n.article_key || ':' || n.comment_id AS source_key, CASE WHEN n.status = 'deleted' THEN 'comment.deleted' ELSE 'comment.sanitized' END AS topic, 'comment:' || n.article_key || ':' || n.comment_id || ':' || n.content_hash AS dedupe_key
+ FROM n LEFT JOIN o ON n.article_key = o.article_key AND n.comment_id = o.comment_id WHERE o.comment_id IS NULL OR o.content_hash <> n.content_hash""")
+def comment_events(t, spark: SparkSession) -> DataFrame:
+    return merge.upsert_comments(*_crawls(t))[1]
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS name FROM part""")
+def name_expansions(t, spark: SparkSession) -> DataFrame:
+    """Expansions of ABC that hold the official name, speak of a scroll, are too long, equal the abbreviation, or share nothing with it."""
+    said = ["the Official  Name of it", "주문서 x", "abc" * 5, "A bc", "zzz", "q"]
+    pick = F.get(F.array(*[F.lit(x) for x in said]), (F.col("p_partkey") % 6).cast("int"))
+    return t("part").select("p_partkey", text.resembles(pick, F.lit("ABC"), F.lit("official name")).alias("name"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'buff_sequence,deal_cycle,burst_rotation,sub_burst_and_normal' WHEN 1 THEN 'buff_sequence' WHEN 2 THEN 'stolen_skills' WHEN 3 THEN 'core_v_matrix' ELSE 'buff_sequence,deal_cycle,burst_rotation,sub_burst_and_normal,stolen_skills,core_v_matrix' END AS sections FROM part""")
+def guide_sections(t, spark: SparkSession) -> DataFrame:
+    topic = F.get(F.array(*[F.lit(x) for x in (" 극딜 버프 ", "버프 시퀀스", "훔치기", "V매트릭스")]), (F.col("p_partkey") % 5).cast("int"))
+    return t("part").select("p_partkey", F.array_join(analytics.sections_of(topic), ",").alias("sections"))
+
+
+@query("""WITH j AS (SELECT n_nationkey AS k, n_name AS job_name, n_regionkey AS r FROM nation)
+ SELECT job_name, 'o' || k AS skill FROM j WHERE k % 3 = 0 UNION SELECT job_name, x FROM j, (VALUES ('c1'), ('c2')) v(x) WHERE k % 3 > 0 UNION SELECT job_name, 'own' || k FROM j WHERE k % 3 > 0 UNION SELECT job_name, 'f' || r FROM j WHERE k % 3 > 0 AND k % 2 = 0""")
+def skill_whitelists(t, spark: SparkSession) -> DataFrame:
+    n, k = t("nation"), F.col("n_nationkey")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    jobs = n.select(F.col("n_name").alias("job_name"), F.when(k % 3 == 0, F.array(name("o", "n_nationkey"))).alias("official_skills"), F.array(name("own", "n_nationkey")).alias("own_skills"))
+    families = t("region").select(F.col("r_regionkey").alias("family"), name("f", "r_regionkey").alias("skill"))
+    members = n.filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("job_name"), F.col("n_regionkey").alias("family"))
+    return analytics.allowed_skills(jobs, spark.createDataFrame([("c1",), ("c2",)], "skill string"), families, members)
