@@ -57,7 +57,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left, with their length bucket, batch and slot; null and empty texts have no tokens."""
+    """The documents that are left, with their length bucket, batch and slot, which replace columns of these names; null and empty texts have no tokens."""
     return packing.pack(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
 
 
