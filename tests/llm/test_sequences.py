@@ -164,7 +164,7 @@ def test_phrases_equal_plain_counts(spark, monkeypatch, shard, group, least, sma
     rows = [(text(), rng.choice(["en", "fr", None])) for _ in range(40)] + [("", "en"), (None, None), (" . ", "de"), ("la la la la la la la la la", "fr"), ("a b " * 400, "en"), ("a b " * 400, "en")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "text string, lang string, n int")
     got = phrases.collocations(df, least=least, most=5, k=25).collect()
-    assert {tuple(r) for r in got} == plain_phrases(rows, least, 5, 25) and len(got) > 20
+    assert {tuple(r) for r in got} == plain_phrases(rows, least, 5, 25) and len(got) > 10
 
 
 def test_phrases_of_nothing(spark):
