@@ -165,6 +165,34 @@ def test_fingerprints_follow_edits(spark):
     assert fingerprint.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_sketches_equal_plain_order_minhash(spark):
+    """The selection, the order in the text and the pairs in plain Python, over the same hashes."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["alpha", "be", "gamma!", "delta", "o"]) for _ in range(n)) for n in (1, 3, 30, 90, 400)] + ["x", "", "漢字 と kana"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    mers = {r["id"]: r["m"] for r in df.select("id", fingerprint._kmers(F.col("text")).alias("m")).collect()}
+    numbered = {i: [(m, own[: p + 1].count(m)) for p, m in enumerate(own)] for i, own in mers.items()}
+    asked = sorted({x for own in numbered.values() for x in own})
+    hashed = spark.createDataFrame(asked, "mer long, nth int").select("mer", "nth", F.xxhash64("mer", "nth").alias("x")).select("*", F.xxhash64("x").alias("h"))
+    known = {(r["mer"], r["nth"]): (r["x"], r["h"] >> 32) for r in hashed.collect()}
+    chosen, pairs = {}, set()
+    for i, own in numbered.items():
+        least = {}
+        for pos, x in enumerate(own):
+            stratum, value = known[x][0] % 16, (known[x][1], pos)
+            least[stratum] = min(least.get(stratum, value), value)
+        for k in range(8):
+            a, b = least.get(2 * k), least.get(2 * k + 1)
+            if a or b:
+                first, second = (a, b) if a and b and a[1] < b[1] else (b, a)
+                chosen[i, k] = (first and first[0], second and second[0])
+                pairs.add(chosen[i, k])
+    table = {(r["a"], r["b"]): r["p"] % 65536 for r in spark.createDataFrame(list(pairs), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("p")).collect()}
+    want = {i: sorted(k * 65536 + table[pair] for (j, k), pair in chosen.items() if j == i) for i in mers}
+    got = {r["id"]: r["sketch"] for r in fingerprint.sketch(df, ["id"], "text", sketches=8).collect()}
+    assert got == want and got[6] == [] and len(got[4]) == 8
+
+
 def test_fingerprints_see_order(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(1, " ".join(words)), (2, " ".join(words[200:] + words[:200]))]
