@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from loomspark.functions import scalars, text
 from loomspark.operators import trigram
-from loomspark.operators.terms import contained
+from loomspark.operators.terms import owners
 from loomspark.sources.shared import Kept
 
 
@@ -75,8 +75,8 @@ def lexical(queries: DataFrame, corpus: DataFrame, index: str | None = None, sta
     asked = queries.select(qid, F.explode(text.keywords("query")).alias("word")).select(qid, F.concat(F.lit(" "), F.lower("word")).alias("word")).distinct()
     if index is None:
         tokens = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
-        held = contained(corpus.select(cid, "text"), {"words": F.concat(F.lit(" "), tokens)}, asked, "word")
-        met = held.select(cid, F.explode("words").alias("word")).join(small(asked), "word").select(qid, cid).distinct()
+        held = owners(corpus.select(cid, "text"), F.concat(F.lit(" "), tokens), asked, qid, "word")
+        met = held.select(cid, F.explode("owners").alias(qid))
     else:
         met = keyword_hits(queries, index, spark, qid, cid)
     first = top(met, [qid], [F.col(cid)], stage1).select(qid, cid)

@@ -83,3 +83,30 @@ def located(texts: DataFrame, body: Column, terms: DataFrame, term: str = "term"
     """texts with the column `name`: each occurrence (term, start) of each term in body, overlapping ones too, from 0; the empty term has none."""
     parts = [_spots(block)(body) for block in _blocks(terms, term)]
     return texts.withColumn(name, parts[0] if len(parts) == 1 else F.concat(*parts))
+
+
+def _owned(block: tuple, kind: str):
+    @F.pandas_udf(f"array<{kind}>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton, _ = _open(block)
+        who = block[1].value
+        for texts in batches:
+            yield pd.Series([[] if t is None or automaton is None else list({o for w in {w for _, w in automaton.iter(t)} for o in who[w]}) for t in texts], dtype=object)
+
+    return found
+
+
+def owners(texts: DataFrame, body: Column, owned: DataFrame, owner: str, term: str = "term", name: str = "owners") -> DataFrame:
+    """texts with the column `name`: the distinct owners of whose terms (owner, term) body has any; null and empty terms are no one's.
+
+    What a common term would multiply, a row for each of its owners in each text, never becomes rows.
+    """
+    kind = dict(owned.dtypes)[owner]
+    lists = owned.filter(F.length(term) > 0).groupBy(F.col(term).alias("term")).agg(F.collect_set(owner).alias("who"))
+    size = lists.agg(F.coalesce(F.sum(F.octet_length("term") + 8 * F.size("who")), F.lit(0))).first()[0]
+    n, parts = -(-size // BLOCK_BYTES) or 1, []
+    for b in range(n):
+        held = {r["term"]: tuple(r["who"]) for r in lists.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == b).collect()}
+        block = uuid.uuid4().hex, texts.sparkSession.sparkContext.broadcast(held)
+        parts.append(_owned(block, kind)(body))
+    return texts.withColumn(name, parts[0] if len(parts) == 1 else F.array_distinct(F.concat(*parts)))

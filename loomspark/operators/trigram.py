@@ -125,11 +125,13 @@ def _jaccard(one: np.ndarray, other: np.ndarray) -> float:
 def scored(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, qid: str = "query_id", cid: str = "chunk_id") -> DataFrame:
     """(qid, cid, score) of pairs (qid, cid): their trigram similarity.
 
-    A chunk meets its queries as one row, so its trigrams are made once; that row has as many queries as ask for it.
+    A chunk meets its queries as one row, so its trigrams are made once; that row has as many queries as ask for it. Both
+    sides are dealt by chunk into the session's number of partitions, as the work is more than their bytes say.
     """
-    asked = pairs.join(queries.select(qid, F.lower(F.coalesce("query", F.lit(""))).alias("query")), qid)
+    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = pairs.join(queries.select(qid, F.lower(F.coalesce("query", F.lit(""))).alias("query")), qid).repartition(n, cid)
     lists = asked.groupBy(cid).agg(F.collect_list(F.struct(qid, "query")).alias("asked"))
-    met = corpus.select(cid, F.lower("text").alias("text")).join(lists, cid)
+    met = corpus.select(cid, F.lower("text").alias("text")).repartition(n, cid).join(lists, cid)
 
     @F.pandas_udf("array<double>")
     def each(texts: pd.Series, asked: pd.Series) -> pd.Series:

@@ -13,8 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -162,6 +160,9 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "query_id", ci
 
 def centroids(corpus: DataFrame, cells: int, vector: str = "embedding", sample: int = 200_000, seed: int = 7) -> np.ndarray:
     """Unit centroids of at most `cells` cells by distributed k-means on about `sample` vectors, chosen by a hash of the vector."""
+    from pyspark.ml.clustering import KMeans  # tasks that only search don't load it
+    from pyspark.ml.functions import array_to_vector
+
     rows = corpus.select(F.col(vector).cast("array<double>").alias("v")).filter("v is not null and size(v) > 0")
     total, wide = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not total:

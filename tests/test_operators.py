@@ -67,6 +67,9 @@ def test_terms_in_one_pass(spark, monkeypatch):
     assert {i: None if f is None else sorted(f) for i, f in got.items()} == {i: None if x is None else sorted({y for y in words if y is not None and y in x}) for i, x in enumerate(texts)}
     spots = {r["id"]: sorted(tuple(s) for s in r["spots"]) for r in terms.located(t, F.col("body"), w).collect()}
     assert spots == {i: sorted({(y, j) for y in words if y for j in range(len(x or "")) if x.startswith(y, j)}) for i, x in enumerate(texts)}
+    owned = spark.createDataFrame([(n, x) for n in (1, 2) for x in words[n:]], "who long, term string")
+    got = {r["id"]: sorted(r["owners"]) for r in terms.owners(t, F.col("body"), owned, "who").collect()}
+    assert got == {i: [n for n in (1, 2) if any(y and y in (x or "") for y in words[n:])] for i, x in enumerate(texts)}
     assert terms.contained(t, {"found": F.col("body")}, w.limit(0)).filter(F.size("found") > 0).count() == 0
 
 
