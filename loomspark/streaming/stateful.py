@@ -81,10 +81,10 @@ class Ordered(StatefulProcessor):
         later = [h for h in held if h[0] > now]
         times = [h[0] for h in later] + ([due] if self.due and (due := self.due(state)) is not None else [])
         if self.idle_us is not None and last is not None:
-            if not later and last + self.idle_us < now:
+            if not later and last + self.idle_us <= now:
                 self.value.clear()
                 last = None
-            else:
+            elif last + self.idle_us > now:  # a timer that is set while it fires would go with the one that fired
                 times.append(last + self.idle_us)
         if later:
             self.waiting.put(later)
