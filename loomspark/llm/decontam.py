@@ -4,10 +4,12 @@ Benchmark items are cut into short passages, documents into overlapping windows.
 TF-IDF matrix, with power iterations summed over Spark partitions, gives a latent space; windows whose projection is
 close to a passage's are candidates, and so is every place that shares a run of GRAM words, or the whole of a shorter
 item. A candidate counts as a leak if the document around it has most of the item's words in order, and its answer.
+Of an item's rarest words such a place has several, so only windows around these are projected and compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +28,8 @@ GRAM = 5
 #: Words with a row of their own in the latent space, rows that all further words share, the rank, rows of one summed
 #: slice, passages compared in one pass, blocks of STRIDE words projected at once.
 OWN_ROWS, SHARED_ROWS, MAX_RANK, SLICE, BLOCK, BLOCKS = 32768, 32768, 128, 1024, 65536, 2048
+#: Rare words of an item that a leak has at least, but for one; places of rare words that are looked at together.
+SPARE, HITS = 3, 1 << 20
 
 
 def passages(words: np.ndarray) -> list[np.ndarray]:
@@ -44,6 +48,24 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _sieve(values: np.ndarray) -> np.ndarray:
+    """A table of the low bits of hashes: what it hasn't is surely not among the values."""
+    out = np.zeros(1 << max(10, (8 * len(values)).bit_length()), dtype=bool)
+    out[values & _U(len(out) - 1)] = True
+    return out
+
+
+def _sifted(sieve: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of the words that may be among the values of a sieve."""
+    return np.flatnonzero(sieve[words & _U(len(sieve) - 1)])
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of so many members: the range of each member, and its place in the range."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def lcs_length(mask_of: dict[int, int], length: int, words: np.ndarray) -> int:
     """Length of the longest common subsequence, bit-parallel; mask_of has the positions of each word of the pattern."""
     full = (1 << length) - 1
@@ -71,26 +93,34 @@ class LatentSpace:
     weight: np.ndarray
     basis: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.sieve = _sieve(self.words)
+
     @property
     def unknown(self) -> int:
         return len(self.weight) - 1
 
     def columns(self, words: np.ndarray) -> np.ndarray:
         """Row of each word."""
-        if not len(self.words):
-            return np.zeros(len(words), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.row[at], self.unknown)
+        out = np.full(len(words), self.unknown, dtype=np.int64)
+        if len(self.words):
+            some = _sifted(self.sieve, words)
+            at = np.minimum(np.searchsorted(self.words, words[some]), len(self.words) - 1)
+            met = self.words[at] == words[some]
+            out[some[met]] = self.row[at[met]]
+        return out
 
     def project(self, columns: np.ndarray) -> np.ndarray:
         """The sum of the weighted rows."""
         return (self.basis[columns] * self.weight[columns, None]).sum(axis=0)
 
-    def windows(self, columns: np.ndarray) -> np.ndarray:
-        """Unit vectors of the windows of WINDOW words that begin every STRIDE words; each row is read once."""
-        weighted = self.basis[columns] * self.weight[columns, None].astype(np.float32)
-        sums = np.add.reduceat(weighted, np.arange(0, len(columns), STRIDE), axis=0)
-        out = sums[:-1] + sums[1:] if len(sums) > 1 else sums
+    def windows(self, columns: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Unit vectors of the chosen windows of WINDOW words, of those that begin every STRIDE words; each row is read once."""
+        halves, of = np.unique(np.concatenate((chosen, chosen + 1)), return_inverse=True)
+        at = halves[:, None] * STRIDE + np.arange(STRIDE)
+        rows = np.where(at < len(columns), columns[np.minimum(at, len(columns) - 1)], self.unknown)
+        sums = np.einsum("ijk,ij->ik", self.basis[rows], self.weight[rows].astype(np.float32))[of]
+        out = sums[: len(chosen)] + sums[len(chosen) :]
         return out / np.maximum(1e-12, np.linalg.norm(out, axis=1, keepdims=True))
 
 
@@ -98,12 +128,13 @@ def document_frequency(docs: DataFrame, words: np.ndarray, text: str) -> tuple[n
     """Number of documents with each of the sorted words, over all documents, and of documents."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(words) + 1, dtype=np.int64)
+        total, sieve = np.zeros(len(words) + 1, dtype=np.int64), _sieve(words)
         for batch in batches:
             for body in batch["text"]:
-                own = np.unique(word_hashes(body))
+                own = word_hashes(body)
+                own = own[_sifted(sieve, own)]
                 at = np.minimum(np.searchsorted(words, own), len(words) - 1)
-                total[at[words[at] == own]] += 1
+                total[np.unique(at[words[at] == own])] += 1
                 total[-1] += 1
         found = np.flatnonzero(total)
         yield pd.DataFrame({"w": found, "n": total[found]})
@@ -188,12 +219,18 @@ class _Items:
     #: Of each item: the rows of its words, sorted, and how often it has each; by row, one bit for each item that has it.
     held: list
     bits: np.ndarray
-    #: By number of words: sorted hashes of runs, and the item and place of each.
-    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: By number of words: sorted hashes of runs, the item and place of each, and the sieve of the hashes.
+    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    #: Of each item: how many of its rare words a leak has at least; items by row of a rare word, where each row's begin.
+    least: np.ndarray
+    rare: np.ndarray
+    begin: np.ndarray
 
 
-def _prepare(rows: list, space: LatentSpace, answer_words: int) -> _Items:
+def _prepare(rows: list, space: LatentSpace, answer_words: int, overlap: float) -> _Items:
+    """A leak has `needed` of an item's n words, so of any n - needed + m of them it has m: the rarest are taken, m is SPARE + 1 or fewer."""
     ids, vectors, owner, masks, lengths, answers, held, found = [], [], [], [], [], [], [], {}
+    least, rare = [], []
     for row in rows:
         words = word_hashes(row["text"])
         if not len(words):
@@ -212,28 +249,57 @@ def _prepare(rows: list, space: LatentSpace, answer_words: int) -> _Items:
         ids.append(row["item"])
         masks.append(_masks(words))
         lengths.append(len(words))
-        held.append(np.unique(space.columns(words), return_counts=True))
+        columns = space.columns(words)
+        held.append(np.unique(columns, return_counts=True))
+        needed = max(1, math.ceil(overlap * len(words) - 1e-6))
+        size = min(len(words), len(words) - needed + 1 + SPARE)
+        least.append(size - (len(words) - needed))
+        rare.append(np.unique(columns[np.argsort(-space.weight[columns], kind="stable")[:size]]))
         answers.append((_masks(answer), len(answer)))
     runs = {}
     for size, own in found.items():
         hashes, item, place = (np.concatenate(c) for c in zip(*own, strict=True))
         order = np.argsort(hashes, kind="stable")
-        runs[size] = hashes[order], item[order].astype(np.int32), place[order].astype(np.int32)
+        runs[size] = hashes[order], item[order].astype(np.int32), place[order].astype(np.int32), _sieve(hashes)
+    row, by = np.concatenate([np.empty(0, dtype=np.int64), *rare]), np.repeat(np.arange(len(ids)), [len(r) for r in rare])
     bits = np.zeros((space.unknown + 1, -(-len(ids) // 8)), dtype=np.uint8)
     for i, (columns, _) in enumerate(held):
         bits[columns, i >> 3] |= np.uint8(1 << (i & 7))
-    return _Items(ids, np.array(vectors, dtype=np.float32).reshape(-1, space.basis.shape[1]), np.array(owner, dtype=int), masks, lengths, answers, held, bits, runs)
+    return _Items(ids, np.array(vectors, dtype=np.float32).reshape(-1, space.basis.shape[1]), np.array(owner, dtype=int), masks, lengths, answers, held, bits, runs,
+                  np.array(least, dtype=np.int64), by[np.argsort(row, kind="stable")], np.append(0, np.cumsum(np.bincount(row, minlength=space.unknown + 1))))
+
+
+def _near(at: np.ndarray, items: _Items, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows from the first on, before the last, and items that have enough of the item's rare words around the window; by window and item."""
+    around = np.maximum(0, np.array(items.lengths) - PASSAGE) + 4
+    reach = int(around.max())
+    lo = max(0, first * STRIDE - reach)
+    here = at[lo : (last - 1) * STRIDE + WINDOW + reach]
+    which, nth = _spread(items.begin[here + 1] - items.begin[here])
+    item, place = items.rare[items.begin[here[which]] + nth], which + lo
+    order = np.argsort(item, kind="stable")
+    item, place = item[order], place[order]
+    end = np.arange(len(item)) + items.least[item] - 1
+    met = np.flatnonzero(item[np.minimum(end, len(item) - 1)] == item) if len(item) else np.empty(0, dtype=np.int64)
+    met = met[end[met] < len(item)]
+    own = item[met]
+    low = np.maximum(first, (place[end[met]] - WINDOW - around[own]) // STRIDE + 1)
+    high = np.minimum(last - 1, (place[met] + around[own]) // STRIDE)
+    which, nth = _spread(np.maximum(0, high - low + 1))
+    pairs = np.unique((low[which] + nth) * len(items.ids) + own[which])
+    return pairs // len(items.ids), pairs % len(items.ids)
 
 
 def _aligned(words: np.ndarray, items: _Items) -> list[tuple[int, int]]:
     """(item, where it would start in the words) of each run of words that both have; the start can be negative."""
     out: set[tuple[int, int]] = set()
-    for size, (hashes, item, place) in items.runs.items():
+    for size, (hashes, item, place, sieve) in items.runs.items():
         own = grams(words, size)
-        at = np.searchsorted(hashes, own)
-        hit = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == own)
-        upto = np.searchsorted(hashes, own[hit], side="right")
-        for where, lo, hi in zip(hit.tolist(), at[hit].tolist(), upto.tolist(), strict=True):
+        some = _sifted(sieve, own)
+        at = np.searchsorted(hashes, own[some])
+        hit = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == own[some])
+        upto = np.searchsorted(hashes, own[some[hit]], side="right")
+        for where, lo, hi in zip(some[hit].tolist(), at[hit].tolist(), upto.tolist(), strict=True):
             out.update(zip(item[lo:hi].tolist(), (where - place[lo:hi]).tolist(), strict=True))
     return sorted(out)
 
@@ -265,17 +331,29 @@ def _leaks(words: np.ndarray, space: LatentSpace, items: _Items, cosine: float,
         return (share, hit) if share >= sure or hit >= answer else None
 
     lengths = np.array(items.lengths)
-    for block in range(0, max(1, -(-n // STRIDE) - 1), BLOCKS):
-        begin = block * STRIDE
-        near = space.windows(at[begin : begin + (BLOCKS + 1) * STRIDE]) @ items.latent.T
-        w, p = np.nonzero(near >= cosine)
+    hits, count, end = np.append(0, np.cumsum(items.begin[at + 1] - items.begin[at])), max(1, -(-n // STRIDE) - 1), 0
+    reach = max(0, int(lengths.max()) - PASSAGE) + 4
+    passage = np.searchsorted(items.owner, np.arange(len(items.ids) + 1))
+    while end < count:
+        begin, size = end, BLOCKS
+        while size > 1 and hits[min(n, (begin + size - 1) * STRIDE + WINDOW + reach)] - hits[max(0, begin * STRIDE - reach)] > HITS:
+            size //= 2
+        end = min(count, begin + size)
+        w, owner = _near(at, items, begin, end)
         if not len(w):
             continue
+        chosen, place = np.unique(w, return_inverse=True)
+        vectors = space.windows(at, chosen)
+        which, nth = _spread(passage[owner + 1] - passage[owner])
+        p = passage[owner[which]] + nth
+        near = np.concatenate([np.einsum("ij,ij->i", vectors[place[which[i : i + BLOCK]]], items.latent[p[i : i + BLOCK]]) for i in range(0, len(p), BLOCK)] or [np.empty(0)])
         # of several passages of an item that meet a window the first stands for all
-        once = np.sort(np.unique(w * len(items.ids) + items.owner[p], return_index=True)[1])
-        w, p = w[once], p[once]
-        owner = items.owner[p]
-        starts = begin + w * STRIDE
+        met = np.flatnonzero(near >= cosine)
+        met = met[np.unique(which[met], return_index=True)[1]]
+        if not len(met):
+            continue
+        w, owner, near = w[which[met]], owner[which[met]], near[met]
+        starts = w * STRIDE
         around = np.maximum(0, lengths[owner] - PASSAGE) + 4
         first, last = np.maximum(0, starts - around), np.minimum(n, starts + WINDOW + around)
         # a region with too few of the item's words can't have them in order
@@ -292,7 +370,7 @@ def _leaks(words: np.ndarray, space: LatentSpace, items: _Items, cosine: float,
             room = np.minimum(np.bincount(spot[columns[spot] == here], minlength=len(columns)), counts).sum()
             scores = check(item, words[first[i] : last[i]]) if room >= overlap * lengths[item] - 1e-6 else None
             if scores:
-                found[item] = (float(near[w[i], p[i]]), *scores)
+                found[item] = (float(near[i]), *scores)
     near_by = set(found)
     for item, start in _aligned(words, items):
         if item in near_by:
@@ -309,7 +387,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
           item_answer: str | None = None, cosine: float = 0.5, overlap: float = 0.6, sure: float = 0.8, answer: float = 0.6, answer_words: int = 8) -> DataFrame:
     """One row per document and item that leaks into it: key, item_key, cosine, lcs_share, answer_share.
 
-    A window with a benchmark word is compared with all passages; from `cosine` on, or where a run of GRAM words or a
+    A window is compared with the passages of all items of which it has enough rare words around it; from `cosine` on, or where a run of GRAM words or a
     whole shorter item occurs in the document, the surrounding words must have at least `overlap` of the item's words
     in order, and either `sure` of them or `answer` of the answer's words. So no verbatim copy is lost, whatever its
     length, its words and its surroundings; cosine is then that of the copy's first passage. The answer is the item_answer column or the item's last answer_words
@@ -329,7 +407,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     out = None
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
-        prepared = spark.sparkContext.broadcast(_prepare(rows, space, answer_words))
+        prepared = spark.sparkContext.broadcast(_prepare(rows, space, answer_words, overlap))
 
         def search(batches: Iterator[pd.DataFrame], prepared=prepared) -> Iterator[pd.DataFrame]:
             for batch in batches:

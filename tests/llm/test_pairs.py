@@ -287,6 +287,40 @@ def test_candidate_search_recalls_all_windows(spark):
     assert len(want) >= 10 and len(got & want) >= 0.9 * len(want)
 
 
+def test_only_windows_with_rare_words_are_projected(spark, monkeypatch):
+    rng = random.Random(5)
+    often, seldom = [f"often{i}" for i in range(30)], [f"seldom{i}" for i in range(300)]
+    text = lambda n, share: [rng.choice(seldom if rng.random() < share else often) for _ in range(n)]
+    items = [text(n, 0.9) for n in (1, 3, 15, 30, 45, 60)]
+    docs = [text(400, 0.01) for _ in range(40)] + [text(n, 0.05) for n in (1, 15, 16, 17, 32, 33)]
+    for i, doc in enumerate(docs[:24]):
+        at = rng.randrange(len(doc))
+        doc[at:at] = [w for w in items[i % 6] if rng.random() < 0.8]
+    table = lambda rows, key: spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], f"{key} long, text string")
+    space = decontam.fit(table(items, "item_id"), table(docs, "doc_id"))
+    rows = [{"item": i, "text": " ".join(r), "answer": None} for i, r in enumerate(items)]
+    known, projected, kept = decontam._prepare(rows, space, 8, 0.6), [], decontam.LatentSpace.windows
+    monkeypatch.setattr(decontam.LatentSpace, "windows", lambda self, at, chosen: projected.append(len(chosen)) or kept(self, at, chosen))
+    for doc in docs:
+        words = common.word_hashes(" ".join(doc))
+        at, count = space.columns(words), max(1, -(-len(words) // decontam.STRIDE) - 1)
+        near = set(zip(*(x.tolist() for x in decontam._near(at, known, 0, count)), strict=True))
+        for w, item in itertools.product(range(count), range(len(items))):
+            around = max(0, len(items[item]) - decontam.PASSAGE) + 4
+            region = words[max(0, w * decontam.STRIDE - around) : w * decontam.STRIDE + decontam.WINDOW + around]
+            if decontam.lcs_length(known.masks[item], known.lengths[item], region) >= 0.6 * known.lengths[item]:
+                assert (w, item) in near
+        found = decontam._leaks(words, space, known, 0.5, 0.6, 0.8, 0.6)
+        with monkeypatch.context() as m:
+            m.setattr(decontam, "HITS", 1)
+            again = decontam._leaks(words, space, known, 0.5, 0.6, 0.8, 0.6)
+        assert found.keys() == again.keys() and all(found[i] == pytest.approx(again[i], abs=1e-6) for i in found)
+    assert projected
+    projected.clear()
+    assert not decontam._leaks(common.word_hashes(" ".join(text(4000, 0))), space, decontam._prepare(rows[2:], space, 8, 0.6), 0.5, 0.6, 0.8, 0.6)
+    assert not projected
+
+
 def test_leaks_of_repeated_rows_and_clashing_columns(spark):
     item = " ".join(f"word{i}" for i in range(20))
     docs = spark.createDataFrame([(1, f"x {item} y"), (1, f"x {item} y"), (2, "b " * 300_000 + item), (3, None)], "doc_id long, text string").withColumn("item_id", F.lit("x")).withColumn("cosine", F.lit("y"))
