@@ -104,6 +104,19 @@ def test_components_of_a_path(spark):
     assert got == {**dict.fromkeys(ids, -40), 200: 200, 201: 200}
 
 
+def test_components_of_few_edges_write_few_tables(spark, monkeypatch):
+    rng = random.Random(17)
+    pairs = [(rng.randrange(600), rng.randrange(600)) for _ in range(500)]
+    edges, written = spark.createDataFrame([*pairs, (None, 4)], "a long, b long"), []
+    keep = common.Scratch.written
+    monkeypatch.setattr(common.Scratch, "written", lambda self, df: written.append(1) or keep(self, df))
+    few = sorted(map(tuple, common.components(edges).collect()))
+    assert len(written) <= 2
+    monkeypatch.setattr(common, "EDGES_OF_A_TASK", 10)
+    assert few == sorted(map(tuple, common.components(edges).collect())) and len(written) > 6
+    assert common.components(edges.limit(0)).count() == 0
+
+
 def test_words_are_hashed_apart():
     a = common.word_hashes("Ab  c\x0bé ab")
     assert len(a) == 4 and a[0] == a[3] and len(set(a.tolist())) == 3
