@@ -3,7 +3,8 @@
 Texts are laid out in shards: every word of a shard has a place, and pieces are kept apart by a place without a word. A
 word's places are a bitmap of 16-bit blocks of which only those with a bit are stored. Shifted by one place and ANDed with
 a word's bitmap, a phrase's bitmap is that of the phrase longer by the word; its bits are counted and summed over shards.
-Words, then pairs, that are too rare in all shards together never extend a phrase; what is left is extended depth-first.
+Words, then pairs, that are too rare in all shards together never extend a phrase, nor do triples at whose hashed position
+all triples together are too rare; what is left is extended depth-first.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -19,15 +21,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.llm.common import Scratch, bound_batches, cut
+from loomspark.llm.common import Scratch, bound_batches, cut, mix64
 from loomspark.llm.running import running
 
 #: Places of a shard, but for what its last document has beyond them.
 SHARD = 1 << 20
 #: Entries of bitmaps that are extended together: a group of first words is taken to its longest phrases before the next.
 GROUP = 1 << 16
-#: Phrases that a task sums over its shards before it hands them on.
-HELD = 1 << 21
+#: Phrases that a task sums over its shards before it hands them on, and shards that such a task has, about.
+HELD, SUMMED = 1 << 21, 12
+#: Positions that triples are hashed to: at most (32 MB of bits), and those of one slice.
+POSITIONS, SLICE = 1 << 28, 1 << 16
 #: Rows, and bytes of words, that are broadcast at most.
 SMALL, SMALL_BYTES = 1 << 21, 64 << 20
 #: Marks that end a piece, and capitals: what becomes a line feed, a space or a small letter.
@@ -105,6 +109,21 @@ def _blocks(gaps: np.ndarray, entries: np.ndarray) -> np.ndarray:
     return total - np.repeat(base, entries)
 
 
+def _position(ahead: np.ndarray, third: np.ndarray, size: int) -> np.ndarray:
+    """Position of triples, given the hash of the first two words."""
+    return (mix64(ahead + third.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _ahead(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix64(first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64))
+
+
+def _added(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each position once with its sum."""
+    found, which = np.unique(at, return_inverse=True)
+    return found, np.bincount(which, n, minlength=len(found)).astype(np.int64)
+
+
 class Shard:
     """The bitmaps of a shard's frequent words, found by block."""
 
@@ -151,34 +170,46 @@ class Shard:
         key = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
         return self.names[key // max(1, len(self.names))], self.names[key % max(1, len(self.names))], np.concatenate(counts) if counts else key
 
-    def longer(self, pairs: tuple, triples: tuple | None, sizes: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Phrases of sizes[0] to sizes[1] words, all of whose pairs, and triples if given, are among those, and their counts."""
+    def _allowed(self, pairs: tuple) -> np.ndarray:
+        """Those of the pairs whose words are here, as sorted numbers."""
         first, second = pairs
-        if not len(self.names):
-            return
         order = np.argsort(self.names)
         local = lambda x: order[np.minimum(np.searchsorted(self.names, x, sorter=order), len(order) - 1)]
         one, two = local(first), local(second)
         here = (self.names[one] == first) & (self.names[two] == second)
-        allowed = np.sort(one[here].astype(np.int64) * len(self.names) + two[here])
-        if not len(allowed):
+        return np.sort(one[here].astype(np.int64) * len(self.names) + two[here])
+
+    def _met(self, keys: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        return allowed[np.minimum(np.searchsorted(allowed, keys), len(allowed) - 1)] == keys
+
+    def triples(self, pairs: tuple, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and counts of the phrases of three words whose pairs are among those."""
+        if not len(self.names) or not len(allowed := self._allowed(pairs)):
+            return
+        for part in self.groups():
+            before, word, block, bits = self.extended(self.word[part], self.block[part], self.bits[part])
+            keep = self._met(before.astype(np.int64) * len(self.names) + word, allowed)
+            key, phrase = np.unique(before[keep].astype(np.int64) * len(self.names) + word[keep], return_inverse=True)
+            before, word, _, bits = self.extended(phrase, block[keep], bits[keep])
+            last = key % len(self.names)
+            keep = self._met(last[before] * len(self.names) + word, allowed)
+            ahead = _ahead(self.names[key // len(self.names)], self.names[last])
+            yield _added(_position(ahead[before[keep]], self.names[word[keep]], size), np.bitwise_count(bits[keep]))
+
+    def longer(self, pairs: tuple, often: np.ndarray | None, sizes: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Phrases of sizes[0] to sizes[1] words, all of whose pairs are among those, and triples at positions that are set, if given, and their counts."""
+        if not len(self.names) or not len(allowed := self._allowed(pairs)):
             return
-        among = lambda keys, known: known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), dtype=bool)
-        if triples is not None:
-            places = [local(x) for x in triples]
-            here = np.logical_and.reduce([self.names[p] == x for p, x in zip(places, triples, strict=True)])
-            one, two, three = (p[here].astype(np.int64) for p in places)
-            deeper = np.sort(np.searchsorted(allowed, one * len(self.names) + two) * len(self.names) + three)
         for part in self.groups():
             phrase, block, bits = self.word[part], self.block[part], self.bits[part]
             path = np.arange(len(self.names))[:, None]
             for size in range(2, sizes[1] + 1):
                 before, word, block, bits = self.extended(phrase, block, bits)
-                pair = path[before, -1].astype(np.int64) * len(self.names) + word
-                keep = among(pair, allowed)
-                if triples is not None and size > 2:
-                    last = path[before, -2].astype(np.int64) * len(self.names) + path[before, -1]
-                    keep &= among(np.searchsorted(allowed, last) * len(self.names) + word, deeper)
+                keep = np.flatnonzero(self._met(path[before, -1].astype(np.int64) * len(self.names) + word, allowed))
+                if often is not None and size > 2:
+                    ahead = _ahead(self.names[path[:, -2]], self.names[path[:, -1]])
+                    at = _position(ahead[before[keep]], self.names[word[keep]], 8 * len(often))
+                    keep = keep[(often[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
                 before, word, block, bits = before[keep], word[keep], block[keep], bits[keep]
                 key, phrase = np.unique(before.astype(np.int64) * len(self.names) + word, return_inverse=True)
                 if not len(key):
@@ -281,8 +312,47 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number, first[part], second[part], n[part])], names=["shard", "first", "second", "n"])
 
 
+def _hashed(shared, size: int, most: int):
+    """Counts of triples by position, up to `most` a task, in slices of positions."""
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+        for batch in batches:
+            for _, shard in _opened(batch):
+                for found in shard.triples(shared.value, size):
+                    held.append(found)
+                    waiting += len(found[0])
+                    if waiting > HELD:
+                        held, waiting = [merged()], 0
+        at, n = merged()
+        slices, first = np.unique(at // SLICE, return_index=True)
+        cut_up = lambda a: pa.array([p.tobytes() for p in np.split(a, first[1:])][: len(slices)], type=pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(slices), cut_up((at % SLICE).astype(np.uint16)), cut_up(np.minimum(n, most).astype(np.uint8))], names=["slice", "low", "n"])
+
+    return triples
+
+
+def often_met(held: DataFrame, shared, words: int, least: int) -> np.ndarray:
+    """Bits of the positions whose triples occur `least` times together; of a triple that does, the bit is set. shared: the frequent pairs."""
+    size, most = min(POSITIONS, max(SLICE, 1 << max(0, words // 4).bit_length())), min(least, 255)
+
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        at, n = (np.concatenate([np.frombuffer(b, dtype=kind) for b in group[c]]) for c, kind in (("low", np.uint16), ("n", np.uint8)))
+        return pd.DataFrame({"slice": group["slice"][:1], "bits": [np.packbits(np.bincount(at, n, minlength=SLICE) >= most, bitorder="little").tobytes()]})
+
+    out = np.zeros(size // 8, dtype=np.uint8)
+    hashed = held.mapInArrow(_hashed(shared, size, most), "slice long, low binary, n binary")
+    for row in hashed.groupBy("slice").applyInPandas(summed, "slice long, bits binary").toLocalIterator():
+        out[row["slice"] * SLICE // 8 : (row["slice"] + 1) * SLICE // 8] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return out
+
+
 def _extend(sizes: tuple[int, int], shared=None):
-    """Phrases of shards with so many words whose pairs, and triples if given, are among those shared, or whose pairs are the row's own."""
+    """Phrases of shards with so many words whose pairs and triples are among those shared, or whose pairs are the row's own."""
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -290,8 +360,8 @@ def _extend(sizes: tuple[int, int], shared=None):
         for batch in batches:
             for i, shard in _opened(batch):
                 own = None if shared else batch.column("pairs")[i].values
-                pairs, triples = shared.value if shared else (tuple(own.field(c).to_numpy(zero_copy_only=False) for c in ("first", "second")), None)
-                for phrases, n in shard.longer(pairs, triples, sizes):
+                pairs, often = shared.value if shared else (tuple(own.field(c).to_numpy(zero_copy_only=False) for c in ("first", "second")), None)
+                for phrases, n in shard.longer(pairs, often, sizes):
                     held.setdefault(phrases.shape[1], []).append((phrases, n))
                     size += len(n)
                 if size > HELD:
@@ -347,10 +417,10 @@ def counted(docs: DataFrame, scratch: Scratch, least: int = 100, most: int = 5)
     kind, spark = "phrase array<int>, n long", docs.sparkSession
     if often.count() <= SMALL:
         known = columns(often.select(F.array("first", "second").alias("phrase")), 2)
-        longer = summed(held.mapInArrow(_extend((3, min(3, most)), spark.sparkContext.broadcast((known, None))), kind))
-        if most > 3:
-            triples = columns(longer, 3) if longer.count() <= SMALL else None
-            longer = longer.unionByName(summed(held.mapInArrow(_extend((4, most), spark.sparkContext.broadcast((known, triples))), kind)))
+        context, laid_out = spark.sparkContext, held.agg(F.count("*")).first()[0]
+        marks = often_met(held, context.broadcast(known), sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], least)
+        # with more shards in a task a phrase is handed on fewer times
+        longer = summed(held.coalesce(1 + laid_out // SUMMED).mapInArrow(_extend((3, most), context.broadcast((known, marks))), kind))
     else:
         there = pairs.join(often.select("first", "second"), ["first", "second"], "left_semi")
         there = there.groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("pairs"))

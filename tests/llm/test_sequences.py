@@ -167,6 +167,25 @@ def test_phrases_equal_plain_counts(spark, monkeypatch, shard, group, least, sma
     assert {tuple(r) for r in got} == plain_phrases(rows, least, 5, 25) and len(got) > 10
 
 
+def test_triples_too_rare_in_all_shards_are_never_listed():
+    rng, names = np.random.default_rng(4), np.arange(10, 50, dtype=np.int32)
+    places = [np.where(rng.random(4000) < 0.1, 0, np.minimum(rng.geometric(0.25, 4000), 40)) for _ in range(3)]
+    shards = [phrases.Shard(names, *phrases.bitmaps(p, 40)[1:]) for p in places]
+    pairs, size, least = (np.repeat(names, 40), np.tile(names, 40)), 1 << 20, 20
+    total, plain = np.zeros(size, dtype=np.int64), Counter()
+    for shard, p in zip(shards, places, strict=True):
+        for at, n in shard.triples(pairs, size):
+            total[at] += n
+        plain.update(tuple(names[p[i : i + 3] - 1].tolist()) for i in range(len(p) - 2) if p[i : i + 3].all())
+    listed = Counter()
+    for shard in shards:
+        for found, n in shard.longer(pairs, np.packbits(total >= least, bitorder="little"), (3, 3)):
+            listed.update(dict(zip(map(tuple, found.tolist()), n.tolist(), strict=True)))
+    often = {t: n for t, n in plain.items() if n >= least}
+    assert total.sum() == sum(plain.values()) and {t: listed[t] for t in often} == often
+    assert 10 < len(often) <= len(listed) < 1.1 * len(often) + 5 < len(plain)
+
+
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([], "text string, lang string")).count() == 0
     assert phrases.collocations(spark.createDataFrame([("one word", "en")], "text string, lang string")).count() == 0
