@@ -1,5 +1,6 @@
 import itertools
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -117,6 +118,38 @@ def test_two_hops(spark):
         entities.neighbourhood(seeds, r, 3)
 
 
+def shuffled(spark, df):
+    """A query's rows, and how many rows its stages wrote to shuffles."""
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "")
+    got = rows(df)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    return got, sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_neighbourhood_of_hubs(spark):
+    rng, most = random.Random(3), 7
+    edges = [(f"{rng.random():.9f}", f"n{rng.randrange(3)}", f"s{i % 40}") for i in range(90)] + [(f"{rng.random():.9f}", f"s{rng.randrange(40)}", f"t{rng.randrange(30)}") for _ in range(40)]
+    asked = [(q, e) for q in range(60) for e in rng.sample([f"{k}{i}" for k in "nst" for i in range(3)], 1 + q % 2)]
+    expected = []
+    for q in range(60):
+        own = {e for i, e in asked if i == q}
+        one = {r for r, a, b in edges if {a, b} & own}
+        ends = {x for r, a, b in edges if r in one for x in (a, b)}
+        expected += [(r, q, hop) for hop, r in sorted([(1, r) for r in one] + [(2, r) for r, a, b in edges if {a, b} & ends and r not in one])[:most]]
+    seeds, r = spark.createDataFrame(asked, "query_id long, entity_id string"), spark.createDataFrame(edges, "relation_id string, subject string, object string")
+    assert rows(entities.neighbourhood(seeds, r, 2, most).select("relation_id", "query_id", "hop")) == sorted(expected)
+
+
+def test_neighbourhood_of_a_hub_is_found_once(spark):
+    seeds = spark.range(400).select(F.col("id").alias("query_id"), F.lit("n").alias("entity_id"))
+    r = spark.range(300).select(F.format_string("%03d", "id").alias("relation_id"), F.concat(F.lit("s"), "id").alias("subject"), F.lit("n").alias("object"))
+    got, moved = shuffled(spark, entities.neighbourhood(seeds, r, 2, 3).select("query_id", "relation_id", "hop"))
+    assert got == [(q, f"{i:03d}", 1) for q in range(400) for i in range(3)]
+    assert moved < 10_000  # every pair of a query and a relation, before: 602,400
+
+
 def test_upsert_and_outbox(spark):
     old = spark.createDataFrame([(1, "a", 1, "indexed"), (2, "b", 1, "indexed")], "k long, content_hash string, views long, status string")
     new = spark.createDataFrame([(1, "a", 9), (2, "c", 9), (3, "d", 9)], "k long, content_hash string, views long")
