@@ -150,6 +150,16 @@ def test_neighbourhood_of_a_hub_is_found_once(spark):
     assert moved < 10_000  # every pair of a query and a relation, before: 602,400
 
 
+def test_typed_relations_of_a_hub_are_found_once(spark):
+    linked = spark.range(1, 401).selectExpr("id as query_id", "explode(if(id % 4 = 0, array('n', 'm'), array('n'))) as entity_id", "if(id % 5 = 0, 'job', 'job_family') as entity_type")
+    r = spark.range(300).selectExpr("format_string('%03d', id) as relation_id", "concat('s', id) as subject", "'is_a' as predicate", "if(id % 3 = 0, 'm', 'n') as object")
+    r = r.unionByName(spark.createDataFrame([("own", "n", "is_a", "x"), ("part", "n", "part_of", "y"), ("both", "m", "is_a", "n")], r.schema))
+    got, moved = shuffled(spark, entities.typed_relations(linked, r).select("query_id", "relation_id"))
+    of = lambda q: ["own", *["both"] * (q % 4 == 0)] if q % 5 == 0 else ["both", "part", *[f"{i:03d}" for i in range(300) if i % 3 or q % 4 == 0]]
+    assert got == sorted((q, x) for q in range(1, 401) for x in of(q))
+    assert moved < 10_000  # every pair of a query and a relation, before: 72,740
+
+
 def test_upsert_and_outbox(spark):
     old = spark.createDataFrame([(1, "a", 1, "indexed"), (2, "b", 1, "indexed")], "k long, content_hash string, views long, status string")
     new = spark.createDataFrame([(1, "a", 9), (2, "c", 9), (3, "d", 9)], "k long, content_hash string, views long")
