@@ -1,10 +1,12 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import answers, text
 from loomspark.operators import chunking, retrieval
+from loomspark.plans import registry
 
 
 def one(spark, column, **values):
@@ -18,6 +20,19 @@ def test_masks_in_order_and_keeps_lines(spark):
     assert one(spark, text.masked_fields("t"), t=raw) == ["discord_id", "email", "phone"]
 
 
+def test_masks_and_their_sql_agree(spark, tmp_path):
+    texts = {
+        "a@b.co a@b.co+c@d.kr": "[이메일 삭제] [이메일 삭제]+[이메일 삭제]", "01012345678 +82 10-1234-5678": "[전화번호 삭제] [전화번호 삭제]", "ab#1234.cd#5678": "[Discord 식별자 삭제].[Discord 식별자 삭제]",
+        "٣01012345678": "٣01012345678", "𝟘01012345678": "𝟘01012345678", "xⒶ#1234 x²#1234": "[Discord 식별자 삭제] x²#1234", "x\u00a0\x1cy \u3000": "x\ny", "\u2003a\x85\x0b\r\n\nb": "a\n\nb",
+    }
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in registry.QUERIES["pii_mask"](spark, str(tmp_path)).collect())
+    assert got == list(enumerate(texts.values()))
+    held = duckdb.connect()
+    held.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(held.sql(registry.ORACLE_SQL["pii_mask"]).fetchall()) == got
+
+
 def test_content_hash_separates_parts(spark):
     import hashlib
 
