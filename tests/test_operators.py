@@ -174,6 +174,17 @@ def test_facts_of_a_nation_are_numbered_once(spark, tmp_path):
     assert moved < 10_000  # every pair of a customer and a supplier, before: 74,572
 
 
+def test_common_keywords_hand_on_their_first_chunks(spark, tmp_path):
+    c = spark.range(600).selectExpr("id as chunk_id", "concat('night nightly nights ', if(id % 2 = 0, 'owl ', 'fox '), id) as text")
+    q = spark.range(300).selectExpr("id as query_id", "if(id % 2 = 0, 'night owl', 'fox ni') as query")
+    retrieval.write_index(c, str(tmp_path / "index"), buckets=4)
+    held, moved = shuffled(spark, retrieval.keyword_hits(q, str(tmp_path / "index"), spark, 5))
+    assert {query for query, _ in held} == set(range(300)) and all([c for i, c in held if i == n][:5] == list(range(5)) for n in (0, 1))
+    assert moved < 20_000  # a row for each query and chunk, before: 270,016
+    plain, indexed = retrieval.lexical(q, c, stage1=5, k=4), retrieval.lexical(q, c, str(tmp_path / "index"), stage1=5, k=4)
+    assert rows(indexed) == rows(plain) and len(rows(plain)) == 1200
+
+
 def test_upsert_and_outbox(spark):
     old = spark.createDataFrame([(1, "a", 1, "indexed"), (2, "b", 1, "indexed")], "k long, content_hash string, views long, status string")
     new = spark.createDataFrame([(1, "a", 9), (2, "c", 9), (3, "d", 9)], "k long, content_hash string, views long")
