@@ -109,3 +109,14 @@ def test_job_steps_equal_the_table_functions(spark):
     state, rows = rules.expired(state, 200 * 1_000_000)
     assert told[1:] + [(rows[0][1], rows[0][2])] == [("leased", 1), ("queued", 1), ("leased", 2), ("queued", 2)] and [g[:2] for g in got] == [("leased", 1), ("queued", 1), ("queued", 2)]
     assert got[1][2] == 50 and state[4] == 160 * 1_000_000
+
+
+def test_backfill_streams_slices_of_time(spark, tmp_path, monkeypatch):
+    rng, took, run = random.Random(8), [], stateful.appended
+    made = [(i % 2, i, f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00", rng.choice([200, 429, 500]), "captcha" if i == 1100 else None) for i in range(1200)]
+    calls = spark.createDataFrame(made, "host long, seq long, at string, status int, event string").withColumn("at", F.to_timestamp("at"))
+    monkeypatch.setattr(stateful, "SLICE", 400, raising=False)
+    monkeypatch.setattr(stateful, "appended", lambda *a: took.extend(p["numInputRows"] for p in run(*a).recentProgress))
+    got = stateful.backfilled(calls.orderBy(F.rand(3)), lambda e: stateful.circuit(e, 6), "host", "at", str(tmp_path / "b"), 2)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in temporal.circuit(calls, threshold=6).select("host", "reason", "opened_at").collect())
+    assert sum(took) == 1201 and max(took) < 600  # all in one batch, before
